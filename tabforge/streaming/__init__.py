@@ -1,0 +1 @@
+"""tabforge.streaming."""
