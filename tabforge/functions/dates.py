@@ -72,3 +72,32 @@ def future_dates(last: Column, freq: str, horizon: int) -> Column:
     """Array of the next ``horizon`` timestamps after ``last`` at calendar step ``freq``."""
     step = FREQ_STEP.get(freq, "INTERVAL 1 DAY")
     return F.transform(F.sequence(F.lit(1), F.lit(int(horizon))), lambda i: last + F.expr(step) * i)
+
+
+def datetime_feature_sql(c: str, with_time: bool, date_features: bool = True, cyclic_features: bool = True,
+                         ref_dates: dict | None = None) -> dict[str, str]:
+    """SQL form of the datetime feature set (persistable in a SQLTransformer stage)."""
+    q = f"`{c}`"
+    out = {}
+    if date_features:
+        out.update({f"{c}_year": f"CAST(year({q}) AS BIGINT)", f"{c}_month": f"CAST(month({q}) AS BIGINT)",
+                    f"{c}_day": f"CAST(dayofmonth({q}) AS BIGINT)", f"{c}_dayofweek": f"CAST(weekday({q}) AS BIGINT)",
+                    f"{c}_dayofyear": f"CAST(dayofyear({q}) AS BIGINT)", f"{c}_quarter": f"CAST(quarter({q}) AS BIGINT)"})
+        if with_time:
+            out[f"{c}_hour"] = f"CAST(hour({q}) AS BIGINT)"
+            out[f"{c}_minute"] = f"CAST(minute({q}) AS BIGINT)"
+        out[f"{c}_is_weekend"] = f"weekday({q}) >= 5"
+        out[f"{c}_is_month_end"] = f"to_date({q}) = last_day({q})"
+    if cyclic_features:
+        out[f"{c}_month_sin"] = f"sin(2 * pi() * month({q}) / 12)"
+        out[f"{c}_month_cos"] = f"cos(2 * pi() * month({q}) / 12)"
+        out[f"{c}_dayofweek_sin"] = f"sin(2 * pi() * weekday({q}) / 7)"
+        out[f"{c}_dayofweek_cos"] = f"cos(2 * pi() * weekday({q}) / 7)"
+        if with_time:
+            out[f"{c}_hour_sin"] = f"sin(2 * pi() * hour({q}) / 24)"
+            out[f"{c}_hour_cos"] = f"cos(2 * pi() * hour({q}) / 24)"
+    for name, ref in (ref_dates or {}).items():
+        out[f"{c}_days_from_{name}"] = (f"CAST(floor((unix_micros(CAST({q} AS TIMESTAMP)) - "
+                                        f"unix_micros(TIMESTAMP '{ref}')) / 86400000000) AS BIGINT)")
+    out[f"{c}_days_from_epoch"] = f"CAST(floor(unix_micros(CAST({q} AS TIMESTAMP)) / 86400000000) AS BIGINT)"
+    return out

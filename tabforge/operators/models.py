@@ -123,7 +123,7 @@ def regression_estimator(name: str, params: dict | None, y_sd: float, n: int, fe
     if name == "random_forest":
         depth = p.get("max_depth") or 12
         return R.RandomForestRegressor(numTrees=p["n_estimators"], maxDepth=min(depth, SPARK_MAX_DEPTH),
-                                       seed=seed, **common)
+                                       maxMemoryInMB=1024, cacheNodeIds=True, seed=seed, **common)
     if name == "gradient_boosting":
         return R.GBTRegressor(maxIter=p["n_estimators"], stepSize=p["learning_rate"], maxDepth=3, seed=seed, **common)
     raise ValueError(f"unknown regression model {name!r}")
@@ -146,7 +146,7 @@ def classification_estimator(name: str, params: dict | None, n: int, n_classes:
     if name == "random_forest":
         return C.RandomForestClassifier(numTrees=p.get("n_estimators", 100),
                                         maxDepth=min(p.get("max_depth") or 12, SPARK_MAX_DEPTH), seed=seed,
-                                        **common, **wc)
+                                        maxMemoryInMB=1024, cacheNodeIds=True, **common, **wc)
     if name == "gradient_boosting":
         gbt = C.GBTClassifier(maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", 0.1), maxDepth=3,
                               seed=seed, **common, **wc)

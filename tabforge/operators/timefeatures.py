@@ -22,19 +22,13 @@ def has_time_of_day(df: DataFrame, cols: Sequence[str]) -> dict[str, bool]:
 def datetime_feature_columns(df: DataFrame, cols: Sequence[str], date_features: bool = True,
                              cyclic_features: bool = True, ref_dates: dict | None = None,
                              hour_flags: dict | None = None) -> dict:
-    """Column expressions of the datetime feature set for each column in ``cols``."""
+    """Column expressions of the datetime feature set for each column in ``cols``; the
+    hour / minute columns and the hour cycle only where a value has hour > 0."""
     flags = hour_flags if hour_flags is not None else has_time_of_day(df, cols)
     out = {}
     for c in cols:
-        with_time = flags.get(c, False)
-        if date_features:
-            out.update({k: v.cast("long") for k, v in D.date_parts(c, with_time).items()})
-            out.update(D.date_flags(c))
-        if cyclic_features:
-            out.update(D.cyclic(c, with_time))
-        for name, ref in (ref_dates or {}).items():
-            out[f"{c}_days_from_{name}"] = D.days_between(c, ref)
-        out[f"{c}_days_from_epoch"] = D.days_from_epoch(c)
+        sql = D.datetime_feature_sql(c, flags.get(c, False), date_features, cyclic_features, ref_dates)
+        out.update({k: F.expr(v) for k, v in sql.items()})
     return out
 
 
