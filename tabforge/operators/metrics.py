@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabforge.operators.quantiles import exact_quantiles
+from tabforge.session import ship_package
 
 EPS = 2.220446049250313e-16          # fixed value: float64 machine epsilon used by MAPE
 
@@ -207,6 +208,7 @@ def ranking_metrics(df: DataFrame, label: str, score: str, positive=None, bucket
     spark = df.sparkSession
     if positive is None:
         positive = df.select(F.max(F.col(label).cast("string"))).first()[0]
+    ship_package(spark)
     sc = _score_table(df, label, score, positive)
     b, _ = _bucketed(sc, buckets)
     b = b.persist()

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabforge.operators.quantiles import exact_quantiles
+from tabforge.session import ship_package
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType)
@@ -243,6 +244,7 @@ def gap_stats(df: DataFrame, col: str, partitions: int | None = None) -> dict:
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = df.select(F.col(col).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v")).distinct()
+    ship_package(spark)
     ranged = distinct.repartitionByRange(parts, "v")
     rows = ranged.mapInPandas(_gap_partials, "n long, lo double, hi double, g1 double, g2 double").collect()
     rows = sorted(rows, key=lambda r: r["lo"])

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabforge.functions import dates as D
-from tabforge.session import cut_lineage
+from tabforge.session import cut_lineage, ship_package
 
 BROADCAST_ROWS = 2_000_000      # offsets / carry tables up to this size are broadcast
 
@@ -212,6 +212,7 @@ def adjacent_stats(df: DataFrame, order_col: str, value_col: str, partitions: in
     """
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship_package(spark)
     base = df.select(F.col(order_col).cast("double").alias("o"), F.col(value_col).cast("double").alias("v"))
     rows = (base.repartitionByRange(parts, "o")
             .mapInPandas(_adjacent_partials, "o_first double, n long, first double, last double, n_up long, "

@@ -63,3 +63,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tabforge`` importable in Python workers (pandas UDFs reference its functions).
+
+    The package source is zipped on the driver and distributed with
+    ``SparkContext.addPyFile`` -- Spark's own code-distribution path -- once per application.
+    """
+    import zipfile
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="tabforge-py-")
+    zpath = os.path.join(out_dir, "tabforge.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for base, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
