@@ -104,19 +104,21 @@ def regression_estimator(name: str, params: dict | None, y_sd: float, n: int, fe
     p = {**REGRESSION_DEFAULTS.get(name, {}), **(params or {})}
     common = {"featuresCol": features_col, "labelCol": label_col}
     if name == "linear_regression":
-        return R.LinearRegression(regParam=0.0, solver="normal", standardization=False, **common)
+        # l-bfgs from zero stays near the minimum-norm solution when features are collinear
+        # (lags and differences of the same series are); the normal equations do not.
+        return R.LinearRegression(regParam=0.0, solver="l-bfgs", standardization=False, maxIter=200, **common)
     if name == "ridge":
         return R.LinearRegression(regParam=p["alpha"] * y_sd / n, elasticNetParam=0.0, solver="l-bfgs",
-                                  standardization=False, maxIter=1000, tol=1e-10, **common)
+                                  standardization=False, maxIter=200, tol=1e-8, **common)
     if name == "lasso":
         return R.LinearRegression(regParam=p["alpha"], elasticNetParam=1.0, standardization=False,
-                                  maxIter=1000, tol=1e-10, **common)
+                                  maxIter=200, tol=1e-8, **common)
     if name == "elastic_net":
         l1 = p["alpha"] * p["l1_ratio"]
         l2 = p["alpha"] * (1 - p["l1_ratio"]) * y_sd
         reg = l1 + l2
         return R.LinearRegression(regParam=reg, elasticNetParam=(l1 / reg if reg else 0.0), solver="l-bfgs",
-                                  standardization=False, maxIter=1000, tol=1e-10, **common)
+                                  standardization=False, maxIter=200, tol=1e-8, **common)
     if name == "decision_tree":
         return R.DecisionTreeRegressor(maxDepth=min(p.get("max_depth") or SPARK_MAX_DEPTH, SPARK_MAX_DEPTH),
                                        seed=seed, **common)
