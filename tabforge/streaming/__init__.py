@@ -1 +1,10 @@
-"""tabforge.streaming."""
+"""Streaming scoring.
+
+The reference has no streaming operators; the only streaming use here is applying a trained
+run to an unbounded table: the fitted pipeline is stateless per row, so it runs unchanged on
+a streaming DataFrame, and ``foreachBatch`` writes predictions and per-batch metrics.
+"""
+
+from tabforge.streaming.score_stream import score_stream
+
+__all__ = ["score_stream"]

@@ -1,0 +1,26 @@
+"""Apply a trained run to a streaming DataFrame and write each micro-batch idempotently."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def score_stream(run, stream: DataFrame, output_path: str, checkpoint_path: str, trigger_once: bool = False):
+    """Start a streaming query that scores every micro-batch with ``run`` (a RunArtifact) and
+    appends predictions (and metrics, when the target is present) under ``output_path``,
+    partitioned by batch id so a replayed batch overwrites its own output."""
+    from pyspark.sql import functions as F
+    from tabforge.plans.score import score
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        res = score(run, batch, sample_size=0)
+        res.predictions.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+            .parquet(f"{output_path}/predictions/batch_id={batch_id}")
+        if res.metrics is not None:
+            res.metrics.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+                .parquet(f"{output_path}/metrics/batch_id={batch_id}")
+
+    w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
+    if trigger_once:
+        w = w.trigger(availableNow=True)
+    return w.start()
