@@ -169,11 +169,11 @@ def feature_importances(model, slot_names: Sequence[str], top: int = 10) -> list
     vals = None
     if hasattr(model, "featureImportances"):
         vals = model.featureImportances.toArray().tolist()
-    elif hasattr(model, "coefficients"):
-        vals = [abs(v) for v in model.coefficients.toArray().tolist()]
-    elif hasattr(model, "coefficientMatrix"):
+    elif hasattr(model, "coefficientMatrix") and getattr(model, "numClasses", 2) > 2:
         m = model.coefficientMatrix.toArray()
         vals = [float(abs(m[:, j]).mean()) for j in range(m.shape[1])]
+    elif hasattr(model, "coefficients"):
+        vals = [abs(v) for v in model.coefficients.toArray().tolist()]
     if vals is None:
         return []
     names = list(slot_names) + [f"f{i}" for i in range(len(slot_names), len(vals))]

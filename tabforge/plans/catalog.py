@@ -988,3 +988,244 @@ FROM {RUNS_SQL}) WHERE r <= 4""")
 def q_retention(spark, sf):
     from tabforge.sources.runs import retained_versions
     return retained_versions(runs_table(spark, sf), max_versions=5).select("model_id", "version")
+
+
+# ------------------------------------------------------------------ X9 decode, T8 balanced sample, W8 frequency
+
+@query("label_decode", """
+WITH c AS (SELECT o_orderstatus AS cls, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS code
+           FROM (SELECT DISTINCT o_orderstatus FROM orders))
+SELECT o.o_orderkey, CAST(c.code AS INTEGER) AS code, coalesce(c2.cls, CAST(c.code AS VARCHAR)) AS code_decoded
+FROM orders o JOIN c ON o.o_orderstatus = c.cls LEFT JOIN c c2 ON c2.code = c.code""")
+def q_label_decode(spark, sf):
+    o = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    classes = sorted(r[0] for r in o.select("o_orderstatus").distinct().collect())
+    enc = R.label_encode(o, "o_orderstatus", "code", classes)
+    return R.label_decode(enc, "code", classes).select("o_orderkey", F.col("code").cast("int").alias("code"),
+                                                       "code_decoded")
+
+
+@query("sample_balanced", f"""
+WITH s AS (SELECT o_orderkey, actual <> predicted AS wrong, {HASH_FRAC_SQL.format(id='o_orderkey')} AS h FROM {ORD_PRED_SQL}),
+w AS (SELECT o_orderkey FROM s WHERE wrong ORDER BY h, o_orderkey LIMIT 50)
+SELECT o_orderkey FROM w UNION ALL
+SELECT o_orderkey FROM (SELECT o_orderkey FROM s WHERE NOT wrong ORDER BY h, o_orderkey LIMIT (100 - (SELECT count(*) FROM w)))""")
+def q_sample_balanced(spark, sf):
+    from tabforge.operators.sampling import sample_balanced
+    return sample_balanced(ord_pred(spark, sf), "actual", "predicted", ["o_orderkey"], 100).select("o_orderkey")
+
+
+@query("freq_infer", """
+WITH d AS (SELECT DISTINCT o_orderdate AS t FROM orders WHERE o_orderdate IS NOT NULL),
+s AS (SELECT epoch(t) - lag(epoch(t)) OVER (ORDER BY t) AS step,
+             (year(t) * 12 + month(t)) - lag(year(t) * 12 + month(t)) OVER (ORDER BY t) AS mstep FROM d),
+a AS (SELECT min(step) AS smin, max(step) AS smax, min(mstep) AS mmin, max(mstep) AS mmax FROM s),
+f AS (SELECT (SELECT count(*) FROM d) AS n, min(day(t)) AS dmin, max(day(t)) AS dmax,
+             min(CASE WHEN CAST(t AS DATE) = last_day(t) THEN 1 ELSE 0 END) AS all_me,
+             max(epoch_us(t) % 86400000000) AS tod, max(CASE WHEN isodow(t) >= 6 THEN 1 ELSE 0 END) AS weekend FROM d),
+code AS (SELECT CASE
+  WHEN n < 3 THEN NULL
+  WHEN smin = smax AND smin = 1 THEN 'S' WHEN smin = smax AND smin = 60 THEN 'T'
+  WHEN smin = smax AND smin = 3600 THEN 'H' WHEN smin = smax AND smin = 86400 THEN 'D'
+  WHEN smin = smax AND smin = 604800 THEN 'W'
+  WHEN mmin = mmax AND tod = 0 AND dmin = 1 AND dmax = 1 AND mmin IN (1, 3, 12) THEN
+       CASE mmin WHEN 1 THEN 'MS' WHEN 3 THEN 'QS' ELSE 'AS' END
+  WHEN mmin = mmax AND tod = 0 AND all_me = 1 AND mmin IN (1, 3, 12) THEN CASE mmin WHEN 1 THEN 'M' WHEN 3 THEN 'Q' ELSE 'A' END
+  WHEN weekend = 0 AND tod = 0 AND smin = 86400 AND smax = 259200 THEN 'B'
+  END AS c FROM a, f)
+SELECT (SELECT count(DISTINCT o_orderdate) FROM orders) AS n_distinct, c AS inferred_freq, coalesce(c, 'D') AS freq,
+  CASE coalesce(c, 'D') WHEN 'D' THEN 7 WHEN 'B' THEN 7 WHEN 'W' THEN 52 WHEN 'M' THEN 12 WHEN 'MS' THEN 12
+    WHEN 'Q' THEN 4 WHEN 'QS' THEN 4 WHEN 'H' THEN 24 ELSE 1 END AS seasonal_period FROM code""")
+def q_freq_infer(spark, sf):
+    return S.frequency_table(t(spark, sf, "orders"), "o_orderdate")
+
+
+# ------------------------------------------------------------------ J3, J4, M12, M20, M21 neighbours and CF table
+
+EMB_SPLIT_SQL = f"(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, {HASH_UNIT_SQL.format(id='vec_id')} < 0.2 AS is_test FROM embeddings)"
+
+
+@query("knn_eps", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+n AS (SELECT count(*) AS n FROM e),
+d AS (SELECT a.vec_id, list_distance(a.x, b.x) AS dist,
+      row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) AS r FROM e a, e b)
+SELECT round(quantile_cont(dist, 0.5), 6) AS eps, (SELECT least(20, n - 1) FROM n) AS k FROM d
+WHERE r = (SELECT least(20, n - 1) FROM n)""")
+def q_knn_eps(spark, sf):
+    from tabforge.operators import neighbors as NB
+    e = t(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = e.count()
+    eps = NB.estimate_eps(e, "vec_id", "embedding", 20)
+    return rnd(spark.createDataFrame([(float(eps), int(min(20, n - 1)))], "eps double, k int"))
+
+
+@query("dbscan_core", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+n AS (SELECT count(*) AS n FROM e),
+d AS (SELECT a.vec_id, list_distance(a.x, b.x) AS dist,
+      row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) AS r FROM e a, e b),
+eps AS (SELECT quantile_cont(dist, 0.5) AS eps FROM d WHERE r = (SELECT least(20, n - 1) FROM n)),
+c AS (SELECT a.vec_id, count(*) AS n_neighbors FROM e a, e b, eps WHERE list_distance(a.x, b.x) <= eps.eps * (1 + 1e-9)
+      GROUP BY a.vec_id)
+SELECT vec_id, n_neighbors, n_neighbors >= (SELECT least(5, CAST(floor(n * 0.05) AS BIGINT) + 1) FROM n) AS core FROM c""")
+def q_dbscan_core(spark, sf):
+    from tabforge.operators import neighbors as NB
+    e = t(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = e.count()
+    eps = NB.estimate_eps(e, "vec_id", "embedding", 20)
+    ms = min(5, int(n * 0.05) + 1)
+    c = NB.range_counts(e, eps * (1 + 1e-9), "vec_id", "embedding")
+    return c.withColumn("core", F.col("n_neighbors") >= ms)
+
+
+@query("knn_classify", f"""
+WITH s AS {EMB_SPLIT_SQL},
+tr AS (SELECT * FROM s WHERE NOT is_test), te AS (SELECT * FROM s WHERE is_test),
+nn AS (SELECT te.vec_id, tr.label, row_number() OVER (PARTITION BY te.vec_id ORDER BY list_distance(te.x, tr.x), tr.vec_id) AS r
+       FROM te, tr),
+v AS (SELECT vec_id, label, count(*) AS votes FROM nn WHERE r <= 5 GROUP BY vec_id, label)
+SELECT vec_id, min(label) AS prediction FROM (SELECT *, max(votes) OVER (PARTITION BY vec_id) AS mv FROM v) WHERE votes = mv
+GROUP BY vec_id""")
+def q_knn_classify(spark, sf):
+    from tabforge.functions.hashing import hash_unit
+    from tabforge.operators import neighbors as NB
+    e = t(spark, sf, "embeddings").withColumn("is_test", hash_unit(["vec_id"]) < 0.2)
+    return NB.knn_classify(e.where(~F.col("is_test")), e.where("is_test"), 5, "vec_id", "embedding", "label")
+
+
+@query("cf_table", """
+WITH p AS (SELECT CAST(p_size AS DOUBLE) AS a0, p_retailprice AS a1 FROM part),
+b AS (SELECT min(a0) AS lo0, max(a0) AS hi0, min(a1) AS lo1, max(a1) AS hi1 FROM p),
+c AS (SELECT CAST(least(floor((a0 - lo0) / (coalesce(nullif(hi0 - lo0, 0), 1.0) / 32)), 31) AS BIGINT) AS c0,
+             CAST(least(floor((a1 - lo1) / (coalesce(nullif(hi1 - lo1, 0), 1.0) / 32)), 31) AS BIGINT) AS c1, a0, a1 FROM p, b)
+SELECT CAST(c0 AS VARCHAR) || ':' || CAST(c1 AS VARCHAR) AS cell, count(*) AS n, round(sum(a0), 4) AS ls0, round(sum(a1), 4) AS ls1,
+  round(sum(a0 * a0 + a1 * a1), 2) AS ss FROM c GROUP BY c0, c1""")
+def q_cf_table(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    from tabforge.plans.cluster import cf_summaries
+    p = t(spark, sf, "part").select("p_partkey", array_to_vector(F.array(F.col("p_size").cast("double"),
+                                                                        F.col("p_retailprice"))).alias("features"))
+    cf = cf_summaries(p, "p_partkey")
+    return cf.select("cell", "n", F.round(F.col("ls")[0], 4).alias("ls0"), F.round(F.col("ls")[1], 4).alias("ls1"),
+                     F.round("ss", 2).alias("ss"))
+
+
+# ------------------------------------------------------------------ model plans (rows-only checks)
+
+def _docs_labels(spark, sf):
+    lab = t(spark, sf, "labels").drop("toxic")
+    docs = t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    return lab.join(docs, "doc_id")
+
+
+@query("train_regression")
+def q_train_regression(spark, sf):
+    from tabforge.plans.train import train_regression
+    res = train_regression(t(spark, sf, "orders"), "o_totalprice", ["o_orderkey"],
+                           models=("linear_regression", "ridge", "lasso", "elastic_net", "decision_tree",
+                                   "random_forest", "gradient_boosting"))
+    return res.leaderboard.drop("error", "train_seconds")
+
+
+@query("train_classification")
+def q_train_classification(spark, sf):
+    from tabforge.plans.train import train_classification
+    res = train_classification(_docs_labels(spark, sf), "quality", ["doc_id"],
+                               models=("logistic_regression", "decision_tree", "random_forest", "gradient_boosting",
+                                       "naive_bayes", "svm", "mlp"), balance="weights")
+    return res.leaderboard.drop("error", "train_seconds")
+
+
+@query("train_classification_smote")
+def q_train_classification_smote(spark, sf):
+    from tabforge.plans.train import train_classification
+    res = train_classification(_docs_labels(spark, sf), "quality", ["doc_id"],
+                               models=("logistic_regression", "naive_bayes"), balance="smote")
+    return res.leaderboard.drop("error", "train_seconds")
+
+
+@query("smote")
+def q_smote(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    from tabforge.operators.balance import smote
+    e = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    f = e.select("doc_id", "quality", array_to_vector(F.array(F.ln(F.col("n_chars").cast("double") + 1),
+                                                              F.col("toxic").cast("double"))).alias("features"))
+    out = smote(f, "quality", "features", ["doc_id"])
+    return out.groupBy("quality", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("train_cluster")
+def q_train_cluster(spark, sf):
+    from tabforge.plans.cluster import cluster
+    res = cluster(t(spark, sf, "embeddings"), "vec_id", cols=["embedding"])
+    return res.leaderboard.drop("error", "train_seconds")
+
+
+@query("pca")
+def q_pca(spark, sf):
+    from tabforge.plans.cluster import cluster_features, pca_reduce
+    feats, _ = cluster_features(t(spark, sf, "embeddings"), "vec_id", ["embedding"])
+    _, load = pca_reduce(feats, 2)
+    return load.drop("loadings")
+
+
+@query("dbscan")
+def q_dbscan(spark, sf):
+    from tabforge.operators import neighbors as NB
+    from tabforge.plans.cluster import cluster_features, pca_reduce
+    feats, _ = cluster_features(t(spark, sf, "embeddings"), "vec_id", ["embedding"])
+    red, _ = pca_reduce(feats, 2)
+    n = red.count()
+    eps = NB.estimate_eps(red, "vec_id", "features", 20)
+    return NB.dbscan(red, "vec_id", "features", eps, min(5, int(n * 0.05) + 1))
+
+
+@query("forecast")
+def q_forecast(spark, sf):
+    from tabforge.plans.forecast import forecast
+    e = t(spark, sf, "events").select("event_id", "ts", "user_id", "value")
+    res = forecast(e, "ts", "value", ["user_id"], "event_id", horizon=7)
+    return res.future
+
+
+@query("arima")
+def q_arima(spark, sf):
+    from tabforge.plans.forecast import arima111
+    e = t(spark, sf, "events").select("event_id", "ts", "user_id", "value")
+    s = R.split_chronological(e, "ts", "event_id", 0.8)
+    coef, _ = arima111(s, "ts", "value", ["user_id"], "event_id")
+    return coef
+
+
+@query("random_search")
+def q_random_search(spark, sf):
+    from tabforge.plans.prepare import fit_preparation
+    from tabforge.plans.search import random_search
+    o = R.split_random(t(spark, sf, "orders"), ["o_orderkey"])
+    train = o.where("split = 'train'")
+    prep = fit_preparation(train, "o_totalprice", None, exclude=["o_orderkey", "split"])
+    feats = prep.model.transform(train).select("o_orderkey", "label", "features")
+    table, _ = random_search(feats, "regression", ["o_orderkey"], models=["ridge", "elastic_net"], n_iter=20, cv=5)
+    return table
+
+
+@query("score")
+def q_score(spark, sf):
+    from tabforge.plans.score import artifact_from, score
+    from tabforge.plans.train import train_classification
+    o = t(spark, sf, "orders")
+    res = train_classification(o, "o_orderstatus", ["o_orderkey"], models=("logistic_regression",))
+    run = artifact_from(res, o, "o_orderstatus", ["o_orderkey"])
+    return score(run, o).metrics
+
+
+@query("quick_train")
+def q_quick_train(spark, sf):
+    from tabforge.plans.custom import quick_train, validate_run
+    rep = quick_train(t(spark, sf, "orders"), "o_orderstatus", ["o_orderkey"])
+    rep["model_id"] = "orders-status"
+    from datetime import datetime, timezone
+    rep["timestamp"] = datetime.now(timezone.utc).isoformat()
+    return validate_run(rep)

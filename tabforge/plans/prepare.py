@@ -134,11 +134,14 @@ def fit_preparation(train: DataFrame, target: str | None, cfg: dict | None = Non
     if target and problem in ("regression", "time_series"):
         label_sql[label_col] = f"CAST(`{target}` AS DOUBLE)"
     elif target and problem == "classification":
-        label_sql["__target_str"] = f"CAST(`{target}` AS STRING)"
         numeric_target = isinstance(train.schema[target].dataType, (T.NumericType, T.BooleanType))
         vals = [r[0] for r in train.where(F.col(target).isNotNull()).select(target).distinct().collect()]
         vals = sorted(vals) if numeric_target else sorted(str(v) for v in vals)
         label_classes = vals
+        # sorted classes -> 0..k-1 as a plain CASE (no ML attribute metadata, so binary models
+        # see exactly two classes); an unseen class at scoring time gets a NULL label
+        whens = " ".join(f"WHEN {_lit(str(v))} THEN {float(i)}" for i, v in enumerate(vals))
+        label_sql[label_col] = f"CASE CAST(`{target}` AS STRING) {whens} ELSE NULL END"
     keep_cols = [c for c in train.columns]
     select = [f"`{c}`" for c in keep_cols]
     select += [f"{e} AS `{k}`" for k, e in {**num_sql, **cat_sql, **label_sql}.items()]
@@ -156,10 +159,6 @@ def fit_preparation(train: DataFrame, target: str | None, cfg: dict | None = Non
         vec_inputs += [f"{c}__ohe" for c in categorical]
         for c, labels in zip(categorical, idx.labelsArray):
             slot_names += [f"{c}_{v}" for v in labels]
-    if label_classes is not None:
-        labels = [str(v) for v in label_classes]
-        stages.append(StringIndexerModel.from_labels(labels, inputCol="__target_str", outputCol=label_col,
-                                                     handleInvalid="keep"))
     stages.append(VectorAssembler(inputCols=vec_inputs, outputCol=features_col, handleInvalid="keep"))
     model = PipelineModel(stages)
     params = {"fills": fills, "bounds": bounds, "scaler": scaler, "categorical_fills": cat_fills,
