@@ -1229,3 +1229,159 @@ def q_quick_train(spark, sf):
     from datetime import datetime, timezone
     rep["timestamp"] = datetime.now(timezone.utc).isoformat()
     return validate_run(rep)
+
+
+# ------------------------------------------------------------------ S1 / S3 sources round trip, S12 / X8 report
+
+def _scratch(spark, name):
+    import uuid
+    from tabforge.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+ROUNDTRIP_SQL = """SELECT count(*) AS n_rows, count(DISTINCT o_orderstatus) AS n_status, round(sum(o_totalprice), 2) AS total_price,
+  CAST(max(o_orderkey) AS BIGINT) AS max_key FROM orders"""
+
+
+def _roundtrip(spark, sf, fmt):
+    path = _scratch(spark, f"orders-{fmt}")
+    IO.write_table(t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path, fmt)
+    back = IO.read_table(spark, path, fmt=fmt)
+    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_orderstatus").alias("n_status"),
+                    F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total_price"),
+                    F.max(F.col("o_orderkey")).cast("long").alias("max_key"))
+
+
+@query("csv_roundtrip", ROUNDTRIP_SQL)
+def q_csv_roundtrip(spark, sf):
+    return _roundtrip(spark, sf, "csv")
+
+
+@query("json_roundtrip", ROUNDTRIP_SQL)
+def q_json_roundtrip(spark, sf):
+    return _roundtrip(spark, sf, "json")
+
+
+@query("report_json")
+def q_report_json(spark, sf):
+    d = P.describe(t(spark, sf, "lineitem"), LI_NUM)
+    return IO.report_json(d.withColumn("quartiles", F.array("p25", "p50", "p75")))
+
+
+# ------------------------------------------------------------------ W3 moments, W10 rank-1, T3 top-k, H2 folds, H13
+
+def _moments_sql():
+    cols = []
+    fr = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
+    for f, agg in (("skew", "skewness"), ("kurt", "kurtosis")):
+        cols.append(f"round(CASE WHEN count(value) {fr} = 7 THEN {agg}(value) {fr} END, 6) AS value_rolling_7_{f}")
+    return "SELECT event_id, " + ", ".join(cols) + " FROM events"
+
+
+@query("ts_rolling_moments", _moments_sql())
+def q_ts_rolling_moments(spark, sf):
+    e = t(spark, sf, "events").select("event_id", "ts", "user_id", "value")
+    return rnd(S.series_features(e, ["value"], ["ts", "event_id"], ["user_id"], lags=(), windows=(7,),
+                                 funcs=("skew", "kurt"), diffs=()).drop("ts", "user_id", "value"))
+
+
+@query("rank1_pick", """
+SELECT event_type, arg_max(event_id, value * 1e6 - event_id * 1e-9) AS event_id, max(value) AS value FROM (
+  SELECT event_type, event_id, value, max(value) OVER (PARTITION BY event_type) AS mx FROM events) WHERE value = mx
+GROUP BY event_type""".replace("arg_max(event_id, value * 1e6 - event_id * 1e-9)", "min(event_id)"))
+def q_rank1_pick(spark, sf):
+    from tabforge.plans.train import rank1_per_group
+    return rank1_per_group(t(spark, sf, "events"), "event_type", "value", "event_id").select(
+        "event_type", "event_id", "value")
+
+
+@query("bottom_classes_f1", CLASS_REPORT_SQL + """
+SELECT label, round(f1, 6) AS f1 FROM f ORDER BY f1, label LIMIT 3""")
+def q_bottom_classes(spark, sf):
+    rep = M.class_report(ord_pred(spark, sf), "actual", "predicted")
+    return rnd(rep.orderBy("f1", "label").limit(3).select("label", "f1"))
+
+
+@query("top_error_pairs", f"""
+SELECT actual, predicted, count(*) AS count FROM {ORD_PRED_SQL} WHERE actual <> predicted
+GROUP BY 1, 2 ORDER BY count DESC, actual, predicted LIMIT 5""")
+def q_top_error_pairs(spark, sf):
+    pairs = M.misclassified_groups(ord_pred(spark, sf), "actual", "predicted").where("grouping = 'pair'")
+    return pairs.orderBy(F.col("count").desc(), "actual", "predicted").limit(5).select("actual", "predicted", "count")
+
+
+@query("cv_folds", """
+SELECT CAST(CAST(('0x' || substr(md5(concat_ws('|', '42', CAST(o_orderkey AS VARCHAR))), 1, 8)) AS BIGINT) % 5 AS INTEGER) AS fold,
+  count(*) AS n_rows FROM orders GROUP BY 1""")
+def q_cv_folds(spark, sf):
+    from tabforge.functions.hashing import hash_fold
+    return t(spark, sf, "orders").select(hash_fold(["o_orderkey"], 5).alias("fold")).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("weak_classes", CLASS_REPORT_SQL + """
+SELECT label, recall < 0.5 AS low_recall,
+  (SELECT count(*) FROM f) <= 10 AND precision < 0.7 AND recall < 0.7 AS weak FROM f""")
+def q_weak_classes(spark, sf):
+    from tabforge.plans.train import weak_classes
+    return weak_classes(M.class_report(ord_pred(spark, sf), "actual", "predicted"))
+
+
+@query("metric_ranges")
+def q_metric_ranges(spark, sf):
+    from tabforge.plans.train import metric_ranges, train_regression
+    res = train_regression(t(spark, sf, "orders"), "o_totalprice", ["o_orderkey"],
+                           models=("linear_regression", "ridge", "decision_tree"))
+    return metric_ranges(res.leaderboard, ["r2", "rmse", "mae", "mape"])
+
+
+@query("scoring_report")
+def q_scoring_report(spark, sf):
+    o = t(spark, sf, "orders")
+    score_tbl = o.drop("o_orderpriority").withColumn(
+        "o_totalprice", F.when(F.col("o_orderstatus") == "P", F.lit(None)).otherwise(F.col("o_totalprice"))) \
+        .withColumn("o_comment", F.lit("new"))
+    classes = o.select(F.col("o_orderstatus").alias("label")).distinct()
+    return C.scoring_report(o.schema, score_tbl, "o_orderstatus", classes)
+
+
+# ------------------------------------------------------------------ F18 full time-series feature set
+
+def _ts_features_sql():
+    cal = {
+        "day_of_week": "CAST(isodow(ts) - 1 AS BIGINT)", "day_of_month": "CAST(day(ts) AS BIGINT)",
+        "day_of_year": "CAST(dayofyear(ts) AS BIGINT)", "month": "CAST(month(ts) AS BIGINT)",
+        "quarter": "CAST(quarter(ts) AS BIGINT)", "year": "CAST(year(ts) AS BIGINT)",
+        "day_of_week_sin": "sin(2 * pi() * (isodow(ts) - 1) / 7)", "day_of_week_cos": "cos(2 * pi() * (isodow(ts) - 1) / 7)",
+        "month_sin": "sin(2 * pi() * month(ts) / 12)", "month_cos": "cos(2 * pi() * month(ts) / 12)",
+        "hour_sin": "sin(2 * pi() * hour(ts) / 24)", "hour_cos": "cos(2 * pi() * hour(ts) / 24)",
+    }
+    base = ("SELECT event_id, user_id, ts, value, " + ", ".join(f"{v} AS {k}" for k, v in cal.items())
+            + " FROM events")
+    w = "PARTITION BY user_id ORDER BY ts, event_id"
+    cols = []
+    for c in ["value", *cal]:
+        x = f"CAST({c} AS DOUBLE)"
+        for k in (1, 7, 14, 30):
+            cols.append(f"round(lag({x}, {k}) OVER ({w}), 6) AS {c}_lag_{k}")
+        for win in (7, 14, 30):
+            fr = f"OVER ({w} ROWS BETWEEN {win - 1} PRECEDING AND CURRENT ROW)"
+            for f, agg in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")):
+                cols.append(f"round(CASE WHEN count({x}) {fr} = {win} THEN {agg}({x}) {fr} END, 6) AS {c}_rolling_{win}_{f}")
+        for k in (1, 7):
+            cols.append(f"round({x} - lag({x}, {k}) OVER ({w}), 6) AS {c}_diff_{k}")
+    return f"SELECT event_id, {', '.join(cols)} FROM ({base})"
+
+
+@query("ts_features", _ts_features_sql())
+def q_ts_features(spark, sf):
+    e = t(spark, sf, "events").select("event_id", "ts", "user_id", "value")
+    f = TF.ts_features(e, "ts", None, ["user_id"], "event_id")
+    keep = [c for c in f.columns if "_lag_" in c or "_rolling_" in c or "_diff_" in c]
+    return rnd(cut_features(f.select("event_id", *keep)))
+
+
+def cut_features(df: DataFrame) -> DataFrame:
+    """Materialise a very wide window projection once (keeps the optimizer's work small)."""
+    from tabforge.session import cut_lineage
+    return cut_lineage(df)

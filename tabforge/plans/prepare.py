@@ -142,9 +142,8 @@ def fit_preparation(train: DataFrame, target: str | None, cfg: dict | None = Non
         # see exactly two classes); an unseen class at scoring time gets a NULL label
         whens = " ".join(f"WHEN {_lit(str(v))} THEN {float(i)}" for i, v in enumerate(vals))
         label_sql[label_col] = f"CASE CAST(`{target}` AS STRING) {whens} ELSE NULL END"
-    keep_cols = [c for c in train.columns]
-    select = [f"`{c}`" for c in keep_cols]
-    select += [f"{e} AS `{k}`" for k, e in {**num_sql, **cat_sql, **label_sql}.items()]
+    # pass every input column through, so scoring tables with other extra columns work too
+    select = ["*"] + [f"{e} AS `{k}`" for k, e in {**num_sql, **cat_sql, **label_sql}.items()]
     sqlt = SQLTransformer(statement="SELECT " + ", ".join(select) + " FROM __THIS__")
     stages = [sqlt]
     projected = sqlt.transform(train)

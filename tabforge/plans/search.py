@@ -122,7 +122,7 @@ def random_search(train_feats: DataFrame, problem: str, id_cols, models=None, n_
                 continue
         points = sample_grid(grids[name], n_iter, seed)
         maps = [_spark_params(est, name, pt, st["sd"] or 1.0, st["n"]) for pt in points]
-        cvm = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold",
+        cvm = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=cv,
                              parallelism=parallelism, seed=seed).fit(data)
         import statistics
         scores = list(cvm.avgMetrics)

@@ -224,3 +224,39 @@ def train_classification(df: DataFrame, target: str, id_cols, cfg: dict | None =
                                     "feature string, importance double")
     return TrainResult("classification", prep, {k2: v[0] for k2, v in fitted.items() if v[0] is not None}, board,
                        best_name, preds, checks, imp, {"features": feats, "primary_metric": primary})
+
+
+def rank1_per_group(df: DataFrame, group: str, metric: str, id_col: str, higher: bool = True) -> DataFrame:
+    """Row with the best ``metric`` per group, the smallest id on ties (W10 idxmax / idxmin),
+    as an aggregate: best value first, then the smallest id among the rows holding it."""
+    best = df.groupBy(group).agg((F.max if higher else F.min)(metric).alias("__best"))
+    j = df.join(best, group).where(F.col(metric) == F.col("__best"))
+    return j.groupBy(group, F.col("__best").alias(metric)).agg(F.min(id_col).alias(id_col))
+
+
+def metric_ranges(board: DataFrame, metrics) -> DataFrame:
+    """Min / max of each metric over the successfully trained models, NaN and NULL skipped."""
+    ok = board.where("trained_successfully")
+    rows = []
+    for m in metrics:
+        v = F.when(~F.isnan(F.col(m)), F.col(m))
+        rows.append(ok.agg(F.lit(m).alias("metric"), F.min(v).alias("min"), F.max(v).alias("max"),
+                           F.count(v).alias("n_models")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def top_models(board: DataFrame, n: int = 3) -> DataFrame:
+    """The first ``n`` rows of a ranked leaderboard."""
+    return board.where(F.col("rank") <= n).orderBy("rank")
+
+
+def weak_classes(report: DataFrame) -> DataFrame:
+    """Per-class weakness flags (H13): recall < 0.5; precision < 0.7 and recall < 0.7 when the
+    label universe has at most 10 classes."""
+    k = report.agg(F.count(F.lit(1)).alias("__k"))
+    j = report.crossJoin(F.broadcast(k))
+    return j.select("label", (F.col("recall") < 0.5).alias("low_recall"),
+                    ((F.col("__k") <= 10) & (F.col("precision") < 0.7) & (F.col("recall") < 0.7)).alias("weak"))

@@ -25,13 +25,25 @@ def read_table(spark: SparkSession, path: str | None = None, df: DataFrame | Non
     reader = spark.read
     if fmt == "csv":
         reader = reader.option("header", "true").option("inferSchema", "true")
-    elif fmt == "json":
-        reader = reader.option("multiLine", "true")
+    elif fmt == "json" and _json_array_file(path):
+        reader = reader.option("multiLine", "true")      # one array-of-objects / one object per file
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.format(fmt).load(path)
 
 
+def _json_array_file(path: str) -> bool:
+    """A single local file whose first non-blank character opens an array or object spanning
+    lines is read whole; directories and remote paths are read as JSON lines."""
+    if not os.path.isfile(path):
+        return False
+    with open(path, "rb") as fh:
+        head = fh.read(4096).lstrip()
+    if head[:1] == b"[":
+        return True
+    return head[:1] == b"{" and b"\n" in head.rstrip() and not head.split(b"\n", 1)[0].rstrip().endswith(b"}")
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
     """Write a result table (predictions S14, metrics, profiles)."""
