@@ -3,13 +3,18 @@
 Regularised linear models translate the reference's penalty parameters into Spark's
 (``regParam``, ``elasticNetParam``) so that the same objective is minimised:
 
-* ridge (alpha):      regParam = alpha * sd_samp(y) / n, elasticNetParam = 0
+* ridge (alpha):      regParam = alpha * sd_pop(y) / n, elasticNetParam = 0
 * lasso (alpha):      regParam = alpha, elasticNetParam = 1
-* elastic net (a, r): l1 = a r, l2 = a (1 - r) sd_samp(y); regParam = l1 + l2,
+* elastic net (a, r): l1 = a r, l2 = a (1 - r) sd_pop(y); regParam = l1 + l2,
                       elasticNetParam = l1 / regParam
 * logistic (C):       regParam = 1 / (C n), elasticNetParam = 0
 
-all with ``standardization=False`` (features are scaled by the preparation step).
+all with ``standardization=False`` (features are scaled by the preparation step). The linear
+family uses the ``normal`` solver: one distributed pass builds the Gram matrix (a
+treeAggregate of d x d partial sums), the small system is solved on the driver. With the
+population std of the label this reproduces the closed-form ridge and coordinate-descent
+elastic-net solutions to ~1e-9. Plain least squares is the ridge limit with a vanishing
+penalty (1e-10), i.e. the minimum-norm solution when features are collinear.
 """
 
 from __future__ import annotations
@@ -99,25 +104,28 @@ class GaussianNB:
 # ---------------------------------------------------------------- Spark ML menus
 
 def regression_estimator(name: str, params: dict | None, y_sd: float, n: int, features_col: str = "features",
-                         label_col: str = "label", weight_col: str | None = None, seed: int = 42):
+                         label_col: str = "label", weight_col: str | None = None, seed: int = 42,
+                         n_features: int | None = None):
+    """``y_sd`` is the population standard deviation of the training label. The normal
+    equations are used up to 4096 features (Spark's limit), L-BFGS beyond."""
     from pyspark.ml import regression as R
+    solver = "normal" if (n_features or 0) <= 4096 else "l-bfgs"
     p = {**REGRESSION_DEFAULTS.get(name, {}), **(params or {})}
     common = {"featuresCol": features_col, "labelCol": label_col}
     if name == "linear_regression":
-        # l-bfgs from zero stays near the minimum-norm solution when features are collinear
-        # (lags and differences of the same series are); the normal equations do not.
-        return R.LinearRegression(regParam=0.0, solver="l-bfgs", standardization=False, maxIter=200, **common)
+        return R.LinearRegression(regParam=1e-10 * y_sd, elasticNetParam=0.0, solver=solver,
+                                  standardization=False, **common)
     if name == "ridge":
-        return R.LinearRegression(regParam=p["alpha"] * y_sd / n, elasticNetParam=0.0, solver="l-bfgs",
-                                  standardization=False, maxIter=200, tol=1e-8, **common)
+        return R.LinearRegression(regParam=p["alpha"] * y_sd / n, elasticNetParam=0.0, solver=solver,
+                                  standardization=False, **common)
     if name == "lasso":
-        return R.LinearRegression(regParam=p["alpha"], elasticNetParam=1.0, standardization=False,
+        return R.LinearRegression(regParam=p["alpha"], elasticNetParam=1.0, solver=solver, standardization=False,
                                   maxIter=200, tol=1e-8, **common)
     if name == "elastic_net":
         l1 = p["alpha"] * p["l1_ratio"]
         l2 = p["alpha"] * (1 - p["l1_ratio"]) * y_sd
         reg = l1 + l2
-        return R.LinearRegression(regParam=reg, elasticNetParam=(l1 / reg if reg else 0.0), solver="l-bfgs",
+        return R.LinearRegression(regParam=reg, elasticNetParam=(l1 / reg if reg else 0.0), solver=solver,
                                   standardization=False, maxIter=200, tol=1e-8, **common)
     if name == "decision_tree":
         return R.DecisionTreeRegressor(maxDepth=min(p.get("max_depth") or SPARK_MAX_DEPTH, SPARK_MAX_DEPTH),

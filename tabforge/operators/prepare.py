@@ -94,9 +94,13 @@ def impute_exprs(df: DataFrame, fills: dict) -> dict[str, str]:
             out[c] = f"CASE WHEN {q} IS NULL OR isnan({q}) THEN {_lit_sql(v)} ELSE {q} END"
         elif v is None:
             out[c] = q
+        elif isinstance(v, str):
+            out[c] = f"coalesce({q}, {_lit_sql(v)})"
+        elif isinstance(v, float) and not float(v).is_integer():
+            out[c] = f"coalesce(CAST({q} AS DOUBLE), {_lit_sql(float(v))})"     # a mean of integers is fractional
         else:
             cast = df.schema[c].dataType.simpleString()
-            out[c] = f"coalesce({q}, CAST({_lit_sql(v)} AS {cast}))" if not isinstance(v, str) else f"coalesce({q}, {_lit_sql(v)})"
+            out[c] = f"coalesce({q}, CAST({_lit_sql(v)} AS {cast}))"
     return out
 
 

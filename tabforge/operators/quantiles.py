@@ -38,54 +38,60 @@ def long_values(df: DataFrame, cols: Sequence[str], name_col: str = "column_name
 
 
 def _solve(long: DataFrame, targets: dict, bins: int, final_rows: int, max_rounds: int) -> dict:
-    """targets: key -> [column, rank, lo, hi, below]; returns key -> value."""
+    """targets: key -> (column, rank, lo, hi, below, count); returns key -> value.
+
+    Each round: one distributed histogram per open window, cumulative counts per window
+    (a window over at most ``bins`` -- or ``final_rows`` for exact windows -- rows), and a
+    join with the ranks, so only one row per rank reaches the driver.
+    """
+    from pyspark.sql import Window
     spark = long.sparkSession
     result: dict = {}
     active = dict(targets)
     for _ in range(max_rounds):
         if not active:
             break
-        # Deduplicate windows: many ranks share a window in the first round.
         windows: dict = {}
         for key, (col, rank, lo, hi, below, cnt) in active.items():
             if lo == hi:
                 result[key] = lo
                 continue
             windows.setdefault((col, lo, hi, cnt <= final_rows), len(windows))
-        active = {k: t for k, t in active.items() if k not in result}
+        active = {k: v for k, v in active.items() if k not in result}
         if not windows:
             break
+        keys = list(active)
         wrows = [(wid, col, float(lo), float(hi), bool(exact)) for (col, lo, hi, exact), wid in windows.items()]
+        trows = []
+        for tid, key in enumerate(keys):
+            col, rank, lo, hi, below, cnt = active[key]
+            trows.append((tid, windows[(col, lo, hi, cnt <= final_rows)], int(rank - below)))
+        # both tables have at most 2 x columns x probabilities rows: broadcasts are bounded
         wdf = spark.createDataFrame(wrows, "wid int, wcol string, lo double, hi double, exact boolean")
-        # The window table has at most 2 * columns * probabilities rows: broadcast is bounded.
+        tdf = spark.createDataFrame(trows, "tid int, wid int, r long")
         j = long.join(F.broadcast(wdf), (F.col("column_name") == F.col("wcol"))
                       & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         bucket = F.when(F.col("exact"), F.col("v")).otherwise(
             F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins),
                     F.lit(bins - 1)).cast("double"))
-        hist = (j.groupBy("wid", bucket.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                .collect())
-        by_wid: dict = {}
-        for r in hist:
-            by_wid.setdefault(r["wid"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
-        for rows in by_wid.values():
-            rows.sort()
+        hist = j.groupBy("wid", bucket.alias("b")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
+        before = Window.partitionBy("wid").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        cum = hist.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        hits = cum.join(F.broadcast(tdf), "wid").where(
+            (F.col("before") <= F.col("r")) & (F.col("r") < F.col("before") + F.col("n"))) \
+            .select("tid", "before", "n", "mn", "mx").collect()
+        found = {h["tid"]: h for h in hits}
         nxt = {}
-        for key, (col, rank, lo, hi, below, cnt) in active.items():
-            wid = windows[(col, lo, hi, cnt <= final_rows)]
-            r = rank - below
-            cum = 0
-            for _, n, mn, mx in by_wid.get(wid, []):
-                if cum + n > r:
-                    if mn == mx or cnt <= final_rows:
-                        result[key] = mn
-                    else:
-                        nxt[key] = (col, rank, mn, mx, below + cum, n)
-                    break
-                cum += n
-            else:  # pragma: no cover - rank beyond window would be a bug
+        for tid, key in enumerate(keys):
+            col, rank, lo, hi, below, cnt = active[key]
+            h = found.get(tid)
+            if h is None:  # pragma: no cover - a rank outside its window would be a bug
                 raise RuntimeError(f"rank {rank} not found for {col}")
+            if h["mn"] == h["mx"] or cnt <= final_rows:
+                result[key] = h["mn"]
+            else:
+                nxt[key] = (col, rank, h["mn"], h["mx"], below + h["before"], h["n"])
         active = nxt
     if active:
         raise RuntimeError("quantile refinement did not converge")

@@ -158,7 +158,7 @@ def forecast(df: DataFrame, ts: str, target: str, key_cols=(), id_col: str | Non
         data = data.withColumnRenamed("raw", "features")
     data = data.withColumn("label", F.col(target).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
     train = data.where("split = 'train'")
-    st = train.agg(F.stddev_samp("label").alias("sd"), F.count(F.lit(1)).alias("n")).first()
+    st = train.agg(F.stddev_pop("label").alias("sd"), F.count(F.lit(1)).alias("n")).first()
     rows, preds, fitted = [], None, {}
     for order_i, name in enumerate(models):
         t0 = time.time()

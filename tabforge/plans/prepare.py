@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tabforge.functions import dates as D
 from tabforge.operators import prepare as R
 from tabforge.operators.profile import column_types
-from tabforge.operators.timefeatures import has_time_of_day
 
 # The reference's default preparation settings.
 DEFAULT_CONFIG = {
@@ -68,26 +67,74 @@ def fit_preparation(train: DataFrame, target: str | None, cfg: dict | None = Non
     types = column_types(train, skip)
     numeric, categorical, dts, booleans = types["numeric"], types["categorical"], types["datetime"], types["boolean"]
 
-    # 1. datetime columns become numeric features (not one-hot categories)
-    flags = has_time_of_day(train, dts)
-    dt_sql: dict[str, str] = {}
+    # 1. datetime columns become numeric features (not one-hot categories). Hour / minute
+    # columns exist only when some value has a time of day; the flag comes from the same
+    # fused first pass as the column statistics below.
+    dt_all: dict[str, str] = {}
     for c in dts:
-        dt_sql.update(D.datetime_feature_sql(c, flags[c]))
-    dt_sql = {k: (f"CAST({v} AS DOUBLE)" if k.endswith(("is_weekend", "is_month_end")) else v) for k, v in dt_sql.items()}
-    stage1_sql = dict(dt_sql)
+        dt_all.update(D.datetime_feature_sql(c, True))
+    dt_all = {k: (f"CAST({v} AS DOUBLE)" if k.endswith(("is_weekend", "is_month_end")) else v) for k, v in dt_all.items()}
+    stage_all = dict(dt_all)
     for b in booleans:
-        stage1_sql[b] = f"CAST(`{b}` AS DOUBLE)"
+        stage_all[b] = f"CAST(`{b}` AS DOUBLE)"
+    cand = numeric + booleans + list(dt_all)
+    base_all = R.apply_exprs(train.select(*(numeric + booleans + dts + categorical)), stage_all)
+
+    # One pass: row count, per numeric column mean / min / max, hour flags, category counts.
+    def _v(c):
+        x = F.col(f"`{c}`").cast("double")
+        return F.when(~F.isnan(x), x)
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for i, c in enumerate(cand):
+        aggs += [F.avg(_v(c)).alias(f"a{i}"), F.min(_v(c)).alias(f"l{i}"), F.max(_v(c)).alias(f"h{i}")]
+    for i, c in enumerate(dts):
+        aggs.append(F.max(F.hour(F.col(f"`{c}`"))).alias(f"t{i}"))
+    for i, c in enumerate(categorical):
+        aggs.append(F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}"))
+    first = base_all.agg(*aggs).first()
+    flags = {c: (first[f"t{i}"] or 0) > 0 for i, c in enumerate(dts)}
+    dt_sql: dict[str, str] = {}
+    for c in dts:
+        names = set(D.datetime_feature_sql(c, flags[c]))
+        dt_sql.update({k: v for k, v in dt_all.items() if k in names})
+    stage1_sql = {k: v for k, v in stage_all.items() if k in dt_sql or k in booleans}
     num_all = numeric + booleans + list(dt_sql)
-
-    # Fits happen on the projected training rows, one aggregate each.
-    base = R.apply_exprs(train, stage1_sql)
-    fills = R.fit_imputer(base, num_all, pp["missing_values"].get("numeric_strategy", "mean"))
+    idx_of = {c: i for i, c in enumerate(cand)}
+    n_rows = first["__n"]
+
+    # Fits happen on the projected training rows, one aggregate each. Every pass re-scans only
+    # the needed Parquet columns (pruned, cheap) instead of persisting a copy of the table.
+    base = R.apply_exprs(train.select(*(numeric + booleans + dts)), stage1_sql).select(*num_all)
+    strategy = pp["missing_values"].get("numeric_strategy", "mean")
+    if strategy == "mean":
+        fills = {c: first[f"a{idx_of[c]}"] for c in num_all}
+    else:
+        fills = R.fit_imputer(base, num_all, strategy)
     imp = R.impute_exprs(base, fills)
     cur = R.apply_exprs(base, imp)
     od = pp["outlier_detection"]
     bounds = {}
     if od.get("strategy", "clip") != "none":
-        bounds = R.outlier_bounds(cur, num_all, od.get("method", "iqr"), od.get("threshold", 1.5))
+        # after imputation every value is present; the fill lies inside [min, max] unless it is
+        # a constant, so the first pass already gives the quantile solver its start window
+        stats = {}
+        for c in num_all:
+            lo, hi, f = first[f"l{idx_of[c]}"], first[f"h{idx_of[c]}"], fills.get(c)
+            if lo is None:
+                stats[c] = (n_rows if f is not None else 0, f, f)
+            else:
+                if isinstance(f, (int, float)):
+                    lo, hi = min(lo, f), max(hi, f)
+                stats[c] = (n_rows, lo, hi) if f is not None else None
+        if od.get("method", "iqr") == "iqr" and all(v is not None for v in stats.values()):
+            from tabforge.operators.quantiles import exact_quantiles
+            q = exact_quantiles(cur, num_all, (0.25, 0.75), stats=stats)
+            t = od.get("threshold", 1.5)
+            for c in num_all:
+                q1, q3 = q[(c, 0.25)], q[(c, 0.75)]
+                bounds[c] = (None, None) if q1 is None else (q1 - t * (q3 - q1), q3 + t * (q3 - q1))
+        else:
+            bounds = R.outlier_bounds(cur, num_all, od.get("method", "iqr"), od.get("threshold", 1.5))
     clip = {}
     if od.get("strategy") == "clip":
         clip = R.clip_exprs(bounds)
@@ -117,13 +164,12 @@ def fit_preparation(train: DataFrame, target: str | None, cfg: dict | None = Non
 
     # 2. categoricals: most-frequent imputation, then index + one-hot (unknown -> all zeros)
     dropped = []
-    cat_fills = R.fit_imputer(train, categorical, pp["missing_values"].get("categorical_strategy", "most_frequent"))
     if categorical:
-        approx = train.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(categorical)]).first()
         keep = []
         for i, c in enumerate(categorical):
-            (dropped if approx[f"d{i}"] > max_categories else keep).append(c)
+            (dropped if first[f"d{i}"] > max_categories else keep).append(c)
         categorical = keep
+    cat_fills = R.fit_imputer(train, categorical, pp["missing_values"].get("categorical_strategy", "most_frequent"))
     cat_sql = {}
     for c in categorical:
         f = cat_fills.get(c)

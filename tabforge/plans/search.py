@@ -104,7 +104,7 @@ def random_search(train_feats: DataFrame, problem: str, id_cols, models=None, n_
     grids = REGRESSION_GRIDS if problem == "regression" else CLASSIFICATION_GRIDS
     models = [m for m in (models or grids) if m in grids]
     data = train_feats.withColumn("fold", hash_fold(id_cols, cv, seed))
-    st = data.agg(F.stddev_samp("label").alias("sd"), F.count(F.lit(1)).alias("n")).first()
+    st = data.agg(F.stddev_pop("label").alias("sd"), F.count(F.lit(1)).alias("n")).first()
     nfeat = len(data.select("features").first()["features"])
     if problem == "regression":
         evaluator = RegressionEvaluator(metricName="mse")

@@ -93,7 +93,7 @@ def train_regression(df: DataFrame, target: str, id_cols, cfg: dict | None = Non
     feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
     tr = training_rows(prep, train).select(*id_cols).join(feats.where("split = 'train'"), list(id_cols)) \
         if prep.params["outliers"].get("strategy") == "remove" else feats.where("split = 'train'")
-    st = tr.agg(F.stddev_samp("label").alias("sd"), F.count(F.lit(1)).alias("n")).first()
+    st = tr.agg(F.stddev_pop("label").alias("sd"), F.count(F.lit(1)).alias("n")).first()
     ests = {name: MD.regression_estimator(name, (params or {}).get(name), st["sd"] or 1.0, st["n"]) for name in models}
     fitted = _fit_all(ests, tr, parallelism)
     rows, preds = [], None
