@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabforge.operators.quantiles import exact_quantiles
 from tabforge.session import ship_package
+from tabforge.functions.scalars import attach
 
 EPS = 2.220446049250313e-16          # fixed value: float64 machine epsilon used by MAPE
 
@@ -66,7 +67,7 @@ def extreme_errors(df: DataFrame, actual: str, pred: str) -> DataFrame:
     r = df.select((F.col(actual).cast("double") - F.col(pred).cast("double")).alias("e"))
     p95 = exact_quantiles(r.select(F.abs("e").alias("a")), ["a"], (0.95,))[("a", 0.95)]
     sd = r.agg(F.stddev_pop("e").alias("sd"))
-    return r.crossJoin(F.broadcast(sd)).agg(
+    return attach(r, sd).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.abs("e") > 3 * F.col("sd"), 1).otherwise(0)).cast("long").alias("n_extreme"),
         F.sum(F.when(F.abs("e") > p95, 1).otherwise(0)).cast("long").alias("n_large"),
@@ -142,7 +143,7 @@ def binary_counts(df: DataFrame, actual: str, pred: str) -> DataFrame:
     pos = labels.agg(F.max("l").alias("pos"), F.count(F.lit(1)).alias("n_labels"))
     a = F.col(actual).cast("string") == F.col("pos")
     p = F.col(pred).cast("string") == F.col("pos")
-    c = df.crossJoin(F.broadcast(pos)).agg(
+    c = attach(df, pos).agg(
         F.first("pos").alias("positive_label"),
         F.sum(F.when(a & p, 1).otherwise(0)).cast("long").alias("tp"),
         F.sum(F.when(~a & p, 1).otherwise(0)).cast("long").alias("fp"),
@@ -307,7 +308,7 @@ def class_share_drift(df: DataFrame, target: str, split_col: str = "split") -> D
         F.sum(F.when(F.col(split_col) == "train", 1).otherwise(0)).alias("n_train"),
         F.sum(F.when(F.col(split_col) == "test", 1).otherwise(0)).alias("n_test"))
     tot = counts.agg(F.sum("n_train").alias("t_train"), F.sum("n_test").alias("t_test"))
-    j = counts.crossJoin(F.broadcast(tot))
+    j = attach(counts, tot)
     tr = F.when(F.col("t_train") > 0, F.col("n_train") * 100.0 / F.col("t_train")).otherwise(F.lit(0.0))
     te = F.when(F.col("t_test") > 0, F.col("n_test") * 100.0 / F.col("t_test")).otherwise(F.lit(0.0))
     return j.select("cls", tr.alias("train_pct"), te.alias("test_pct"), F.abs(tr - te).alias("diff_pct"))

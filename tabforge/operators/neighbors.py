@@ -186,10 +186,12 @@ def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int, m
     lab = pts.join(border, id_col, "left").select(
         id_col, F.when(F.col("core"), F.col("lab")).when(F.col("m").isNotNull(), F.col("m")).alias("raw"),
         "core")
-    # renumber cluster labels 0..k-1 by the smallest raw label (k rows: small)
-    ids = lab.where(F.col("raw").isNotNull()).select("raw").distinct() \
-             .withColumn("cluster", (F.dense_rank().over(Window.orderBy("raw")) - 1).cast("int"))
-    out = lab.join(F.broadcast(ids), "raw", "left").select(
+    # renumber cluster labels 0..k-1 in order of each cluster's smallest core id, with the
+    # distributed sequence index (there can be many clusters)
+    from tabforge.operators.series import sequence_index
+    ids = sequence_index(lab.where(F.col("raw").isNotNull()).select("raw").distinct(), ["raw"], [], "_c") \
+        .select("raw", F.col("_c").cast("int").alias("cluster"))
+    out = lab.join(ids, "raw", "left").select(
         id_col, F.coalesce(F.col("cluster"), F.lit(-1)).alias("cluster"), "core")
     return out
 

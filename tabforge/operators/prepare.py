@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Column, functions as F, types as T
 from tabforge.functions.hashing import hash_unit, hash_fraction_expr
 from tabforge.operators.profile import column_types
 from tabforge.operators.quantiles import exact_quantiles, order_statistics
+from tabforge.functions.scalars import attach
 
 
 def _num(c: str) -> Column:
@@ -362,7 +363,7 @@ def class_weights(df: DataFrame, target: str, out_col: str = "class_weight") ->
     counts = df.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("cls")).agg(
         F.count(F.lit(1)).alias("n_class"))
     tot = counts.agg(F.sum("n_class").alias("__n"), F.count(F.lit(1)).alias("__k"))
-    return counts.crossJoin(F.broadcast(tot)).select(
+    return attach(counts, tot).select(
         "cls", "n_class", (F.col("__n") / (F.col("__k") * F.col("n_class"))).alias(out_col))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabforge.operators.quantiles import exact_quantiles
 from tabforge.session import ship_package
+from tabforge.functions.scalars import attach
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType)
@@ -126,7 +127,7 @@ def value_counts(df: DataFrame, col: str, value_alias: str = "value") -> DataFra
     # The share needs the total: a one-row aggregate joined back (broadcast of 1 row),
     # not an un-partitioned window over all groups.
     total = counts.agg(F.sum("count").alias("__total"))
-    return counts.crossJoin(F.broadcast(total)).select(
+    return attach(counts, total).select(
         value_alias, "count", (F.col("count") * 100.0 / F.col("__total")).alias("pct"))
 
 
@@ -175,7 +176,7 @@ def imbalance(df: DataFrame, target: str) -> DataFrame:
     vc = value_counts(df, target, "cls").withColumn("cls", F.col("cls").cast("string"))
     ext = vc.agg(F.min("count").alias("minority_count"), F.max("count").alias("majority_count"),
                  F.sum("count").alias("n"), F.count(F.lit(1)).alias("n_classes"))
-    j = vc.crossJoin(F.broadcast(ext))
+    j = attach(vc, ext)
     return j.groupBy("n_classes", "minority_count", "majority_count", "n").agg(
         F.min(F.when(F.col("count") == F.col("minority_count"), F.col("cls"))).alias("minority_class"),
         F.min(F.when(F.col("count") == F.col("majority_count"), F.col("cls"))).alias("majority_class"),

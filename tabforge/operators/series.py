@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabforge.functions import dates as D
 from tabforge.session import cut_lineage, ship_package
+from tabforge.functions.scalars import attach
 
 BROADCAST_ROWS = 2_000_000      # offsets / carry tables up to this size are broadcast
 
@@ -178,7 +179,7 @@ def fill_series(df: DataFrame, cols: Sequence[str], order_cols: Sequence[str], k
                         *[F.first(f"_f_{c}", True).over(ws.rowsBetween(1, Window.unboundedFollowing)).alias(f"_cf_{c}")
                           for c in cols])
     means = df.agg(*[F.avg(F.col(c)).alias(f"_m_{c}") for c in cols])
-    j = loc.join(_maybe_broadcast(cut_lineage(carry)), [*keys, "_blk"]).crossJoin(F.broadcast(means))
+    j = attach(loc.join(_maybe_broadcast(cut_lineage(carry)), [*keys, "_blk"]), means)
     filled = {c: F.coalesce(F.col(f"_ff_{c}"), F.col(f"_cl_{c}"), F.col(f"_bf_{c}"), F.col(f"_cf_{c}"),
                             F.col(f"_m_{c}")) for c in cols}
     sel = [filled[c].alias(c) if c in filled else F.col(c) for c in df.columns]
@@ -314,7 +315,7 @@ def tail_rows(df: DataFrame, n: int, order_cols: Sequence[str], key_cols: Sequen
     ix = sequence_index(df, order_cols, keys, "_seq")
     cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
     cnt = cnt if not keys else _maybe_broadcast(cut_lineage(cnt))
-    j = ix.join(cnt, keys) if keys else ix.crossJoin(F.broadcast(cnt))
+    j = ix.join(cnt, keys) if keys else attach(ix, cnt)
     return j.where(F.col("_seq") >= F.col("_cnt") - n).drop("_cnt", "_seq")
 
 

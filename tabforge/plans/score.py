@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tabforge.operators import checks as C
 from tabforge.operators import metrics as M
 from tabforge.operators import sampling as SM
+from tabforge.functions.scalars import attach
 
 
 @dataclass
@@ -109,7 +110,7 @@ def score_metrics(preds: DataFrame, problem: str) -> DataFrame:
     if problem == "regression":
         base = M.regression_metrics(preds, "actual", "prediction")
         miny = preds.agg(F.min(F.abs("actual")).alias("m"))
-        return base.crossJoin(miny).select("r2", "rmse", "mae", F.when(F.col("m") > 0, F.col("mape")).alias("mape"))
+        return attach(base, miny).select("r2", "rmse", "mae", F.when(F.col("m") > 0, F.col("mape")).alias("mape"))
     cm = M.classification_metrics(preds, "actual", "prediction")
     return cm.select("accuracy",
                      F.coalesce("precision_binary", "precision_macro").alias("precision"),

@@ -22,6 +22,7 @@ from tabforge.operators import models as MD
 from tabforge.operators import prepare as R
 from tabforge.operators.checks import validation_checks
 from tabforge.plans.prepare import Prepared, fit_preparation, merged_config, training_rows
+from tabforge.functions.scalars import attach
 
 REG_METRICS = ("r2", "rmse", "mae", "mape")
 HIGHER_IS_BETTER = {"r2": True, "rmse": False, "mae": False, "mape": False, "accuracy": True,
@@ -139,14 +140,14 @@ def overfit_and_baseline(board: DataFrame, problem: str) -> DataFrame:
     if problem == "regression":
         base = board.where("model = 'linear_regression'").select(F.col("r2").alias("_b"))
         over = ((F.col("train_r2") - F.col("r2")) > 0.2) | (F.col("rmse") > F.col("train_rmse") * 1.3)
-        j = board.drop("baseline_improvement_pct", "overfit").crossJoin(base) if base.count() else \
+        j = attach(board.drop("baseline_improvement_pct", "overfit"), base) if base.count() else \
             board.drop("baseline_improvement_pct", "overfit").withColumn("_b", F.lit(None).cast("double"))
         return j.withColumn("baseline_improvement_pct",
                             F.when(F.col("_b") != 0, (F.col("r2") - F.col("_b")) / F.abs(F.col("_b")) * 100)) \
                 .withColumn("overfit", F.coalesce(over, F.lit(False))).drop("_b")
     base = board.where("model = 'logistic_regression'").select(F.col("accuracy").alias("_b"))
     over = (F.col("train_accuracy") - F.col("accuracy")) > 0.1
-    j = board.drop("baseline_improvement_pct", "overfit").crossJoin(base) if base.count() else \
+    j = attach(board.drop("baseline_improvement_pct", "overfit"), base) if base.count() else \
         board.drop("baseline_improvement_pct", "overfit").withColumn("_b", F.lit(None).cast("double"))
     return j.withColumn("baseline_improvement_pct",
                         F.when(F.col("_b") != 0, (F.col("accuracy") - F.col("_b")) / F.abs(F.col("_b")) * 100)) \
@@ -257,6 +258,6 @@ def weak_classes(report: DataFrame) -> DataFrame:
     """Per-class weakness flags (H13): recall < 0.5; precision < 0.7 and recall < 0.7 when the
     label universe has at most 10 classes."""
     k = report.agg(F.count(F.lit(1)).alias("__k"))
-    j = report.crossJoin(F.broadcast(k))
+    j = attach(report, k)
     return j.select("label", (F.col("recall") < 0.5).alias("low_recall"),
                     ((F.col("__k") <= 10) & (F.col("precision") < 0.7) & (F.col("recall") < 0.7)).alias("weak"))

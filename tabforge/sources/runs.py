@@ -50,3 +50,50 @@ def save_model(model, path: str) -> None:
 def load_model(path: str):
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)
+
+
+RUNS_SCHEMA = ("model_id string, version int, has_model boolean, created_at timestamp, problem string, "
+               "best_model string, metrics map<string,double>, report string")
+
+
+def append_run(spark, path: str, model_id: str, problem: str, best_model: str | None, metrics: dict,
+               report: str = "", has_model: bool = True, max_versions: int = 5) -> int:
+    """Add a run to the runs table at ``path`` (partitioned by model_id) as version
+    max(version) + 1, after keeping only the newest ``max_versions - 1`` versions (S9, S10)."""
+    import datetime as _dt
+    from pyspark.sql.utils import AnalysisException
+    try:
+        runs = spark.read.parquet(path).where(F.col("model_id") == model_id)
+        latest = runs.agg(F.max("version")).first()[0] or 0
+    except AnalysisException:
+        runs, latest = None, 0
+    if runs is not None and latest:
+        enforce_retention(spark, path, model_id, max_versions)
+    version = latest + 1
+    row = [(model_id, version, has_model, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None), problem,
+            best_model, {k: float(v) for k, v in (metrics or {}).items() if v is not None}, report)]
+    spark.createDataFrame(row, RUNS_SCHEMA).write.mode("append").partitionBy("model_id").parquet(path)
+    return version
+
+
+def enforce_retention(spark, path: str, model_id: str, max_versions: int = 5) -> None:
+    """Rewrite one model's partition with its newest ``max_versions - 1`` versions (dynamic
+    partition overwrite touches only that model_id). The kept rows are materialised in the
+    checkpoint folder first, so the source is never read while it is overwritten."""
+    from tabforge.session import cut_lineage
+    runs = spark.read.parquet(path).where(F.col("model_id") == model_id)
+    kept = cut_lineage(retained_versions(runs, max_versions))
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        kept.select(*[c for c in runs.columns if c != "model_id"], "model_id") \
+            .write.mode("overwrite").partitionBy("model_id").parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+
+
+def latest_model_version(spark, path: str, model_id: str) -> int | None:
+    """Highest version of ``model_id`` that holds a model."""
+    r = spark.read.parquet(path).where((F.col("model_id") == model_id) & F.col("has_model")) \
+             .agg(F.max("version")).first()[0]
+    return r

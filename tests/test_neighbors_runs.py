@@ -57,3 +57,15 @@ def test_versions_and_retention(spark):
     assert s == {"m1": (5, 4, 6), "m2": (1, 1, 2)}
     kept = sorted(r["version"] for r in RU.retained_versions(runs, 5).where("model_id = 'm1'").collect())
     assert kept == [2, 3, 4, 5]
+
+
+def test_runs_table_retention(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    for i in range(7):
+        RU.append_run(spark, path, "m1", "regression", "ridge", {"r2": 0.1 * i}, has_model=(i != 6))
+    RU.append_run(spark, path, "m2", "classification", "lr", {"accuracy": 0.5})
+    runs = spark.read.parquet(path)
+    v1 = sorted(r["version"] for r in runs.where("model_id = 'm1'").collect())
+    assert v1 == [3, 4, 5, 6, 7]            # newest 4 kept before each new run, then the new one
+    assert RU.latest_model_version(spark, path, "m1") == 6
+    assert [r["version"] for r in runs.where("model_id = 'm2'").collect()] == [1]
