@@ -3,11 +3,12 @@
 A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of a key to one
 task, and a keyless ``Window.orderBy(ts)`` sends the whole table there. Here:
 
-* ``sequence_index`` numbers rows 0..n-1 per key in (order) order: the table is
-  range-partitioned on (key, order) -- a hot key is split over many tasks --, each
-  partition is sorted locally, and per-(partition, key) counts give the offsets.
-  The numbered table is written to the reliable checkpoint folder so that a
-  retried task sees the same sampled range bounds.
+* ``sequence_index`` numbers rows 0..n-1 per key in (order) order: keys longer than
+  ``GROUP_ROWS`` -- and a keyless table -- are cut into sub-ranges of the first order column
+  at approximate quantiles computed once and inlined as literals; rows are numbered with
+  ``row_number`` inside each bounded (key, sub-range) group and shifted by per-group
+  offsets. The numbering does not depend on partition indices or sampled bounds, so a
+  recomputed task reproduces it without a checkpoint of the data.
 * bounded look-back features (lag, rolling, diff) run on blocks of ``block_rows``
   consecutive rows plus a halo of the previous block's last rows, partitioned by
   (key, block): work spreads evenly however skewed the keys are.
@@ -34,25 +35,72 @@ def _maybe_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(small) if small.count() <= limit else small
 
 
+GROUP_ROWS = 1 << 20            # target rows per numbering group (one window partition)
+
+
+def _order_number(df: DataFrame, col: str):
+    dt = df.schema[col].dataType
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(F.col(col)).cast("double")
+    return F.col(col).cast("double")
+
+
 def sequence_index(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence[str] = (),
-                   idx_col: str = "_seq", partitions: int | None = None) -> DataFrame:
+                   idx_col: str = "_seq", group_rows: int | None = None, partitions: int | None = None) -> DataFrame:
     """Add a dense 0-based row number per key in ``order_cols`` order (ties: give a unique
-    last order column)."""
+    last order column).
+
+    Keys with more than ``group_rows`` rows (and a keyless table) are cut into sub-ranges of
+    their first order column at approximate quantiles computed once and inlined as literals;
+    rows are numbered inside each (key, sub-range) group with ``row_number`` -- every group
+    holds about ``group_rows`` rows -- and a per-group offset (cumulative counts over the small
+    group table) makes the numbers global per key. Nothing depends on partition indices or
+    sampled bounds, so a recomputed task gets the same numbers and no checkpoint is needed.
+    """
     spark = df.sparkSession
-    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                              spark.sparkContext.defaultParallelism)
+    group_rows = group_rows or GROUP_ROWS
     keys, order = list(key_cols), list(order_cols)
-    ranged = (df.repartitionByRange(parts, *keys, *order)
-              .sortWithinPartitions(*keys, *order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()))
-    ranged = cut_lineage(ranged)
-    counts = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
-    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long")).drop("_n")
-    counts = cut_lineage(counts)
-    out = ranged.join(_maybe_broadcast(counts), ["_pid", *keys])
-    return out.withColumn(idx_col, F.col("_off") + F.col("_pos") - F.col("_p0")).drop("_pid", "_pos", "_p0", "_off")
+    o1 = _order_number(df, order[0])
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > group_rows).collect()       # at most n / group_rows rows
+    data = df
+    if hot:
+        m = max(math.ceil(r["_n"] / group_rows) for r in hot)
+        probs = [i / m for i in range(1, m)]
+        if keys:
+            hot_df = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot],
+                                           ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys))
+            src = df.join(F.broadcast(hot_df), keys)
+        else:
+            src = df
+        rows = src.groupBy(*keys).agg(F.percentile_approx(o1, probs, 10_000).alias("_b")).collect()
+        bschema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + ["_b array<double>"])
+        brow = [tuple([*(r[k] for k in keys), sorted(set(r["_b"] or []))]) for r in rows]
+        bdf = spark.createDataFrame(brow, bschema)               # one row per hot key
+        if keys:
+            sub = F.size(F.filter(F.col("_b"), lambda b: b <= o1))
+            data = df.join(F.broadcast(bdf), keys, "left").withColumn("_sub", F.coalesce(sub, F.lit(0))).drop("_b")
+        else:                                                    # one series: inline its boundaries
+            bounds = F.array(*[F.lit(float(b)) for b in brow[0][0]]) if brow[0][0] else F.array().cast("array<double>")
+            data = df.withColumn("_sub", F.size(F.filter(bounds, lambda b: b <= o1)))
+    else:
+        data = df.withColumn("_sub", F.lit(0))
+    sizes = data.groupBy(*keys, "_sub").agg(F.count(F.lit(1)).alias("_gn"))
+    if keys:
+        before = Window.partitionBy(*keys).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select(*keys, "_sub", F.coalesce(F.sum("_gn").over(before), F.lit(0)).cast("long").alias("_off"))
+    else:                                                        # one series: at most n / group_rows groups
+        acc, rows = 0, []
+        for r in sorted(sizes.collect(), key=lambda r: r["_sub"]):
+            rows.append((r["_sub"], acc))
+            acc += r["_gn"]
+        offsets = spark.createDataFrame(rows, "_sub int, _off long")
+    w = Window.partitionBy(*keys, "_sub").orderBy(*order)
+    numbered = data.withColumn("_rn", F.row_number().over(w) - 1)
+    out = numbered.join(_maybe_broadcast(offsets), [*keys, "_sub"])
+    return out.withColumn(idx_col, (F.col("_off") + F.col("_rn")).cast("long")).drop("_sub", "_rn", "_off")
 
 
 def with_blocks(indexed: DataFrame, idx_col: str, halo: int, block_rows: int) -> DataFrame:

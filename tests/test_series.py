@@ -61,13 +61,25 @@ def test_cumsum_and_tail(spark):
 
 def test_sequence_index_global_dense(spark):
     df = _events(spark, n=500)
-    ix = S.sequence_index(df, ["t", "id"], [], "_seq", partitions=7).toPandas()
-    assert sorted(ix["_seq"]) == list(range(500))
-    exp = df.toPandas().sort_values(["t", "id"])["id"].tolist()
-    assert ix.sort_values("_seq")["id"].tolist() == exp
+    for group_rows in (37, 1 << 20):                      # hot-series splitting on and off
+        ix = S.sequence_index(df, ["t", "id"], [], "_seq", group_rows=group_rows).toPandas()
+        assert sorted(ix["_seq"]) == list(range(500))
+        exp = df.toPandas().sort_values(["t", "id"])["id"].tolist()
+        assert ix.sort_values("_seq")["id"].tolist() == exp
 
 
-def test_no_single_partition_exchange(spark):
+def test_sequence_index_hot_keys(spark):
+    df = _events(spark, n=600, keys=3)
+    ix = S.sequence_index(df, ["t", "id"], ["k"], "_seq", group_rows=25).toPandas()
+    pdf = df.toPandas().sort_values(["k", "t", "id"])
+    pdf["exp"] = pdf.groupby("k").cumcount()
+    m = ix.merge(pdf[["id", "exp"]], on="id")
+    assert (m["_seq"] == m["exp"]).all()
+
+
+def test_no_single_partition_exchange(spark, monkeypatch):
+    # a series longer than one numbering group must never be moved into a single partition
+    monkeypatch.setattr(S, "GROUP_ROWS", 37)
     df = _events(spark)
     plan = S.series_features(df, ["v"], ["t", "id"], [], lags=(1,), windows=(3,), diffs=())._jdf \
         .queryExecution().executedPlan().toString()
