@@ -85,17 +85,24 @@ def pca_reduce(feats: DataFrame, k: int, features_col: str = "features") -> tupl
     return red, load
 
 
-def _kmeans(feats, k, n_init, seed, max_iter=300):
+def _kmeans(feats, k, n_init, seed, max_iter=300, parallelism: int = 1):
+    """Best of ``n_init`` seeded k-means|| runs by training cost (first seed wins ties)."""
+    def fit(i):
+        return KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode="k-means||", tol=1e-4).fit(feats)
+    if parallelism > 1:
+        with ThreadPoolExecutor(max_workers=parallelism) as ex:
+            models = list(ex.map(fit, range(n_init)))
+    else:
+        models = [fit(i) for i in range(n_init)]
     best = None
-    for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode="k-means||", tol=1e-4).fit(feats)
+    for m in models:
         if best is None or m.summary.trainingCost < best.summary.trainingCost:
             best = m
     return best
 
 
 def choose_k(feats: DataFrame, id_col: str, k_range=(2, 15), n_init: int = 10, seed: int = 42,
-             parallelism: int = 4) -> tuple[int, DataFrame]:
+             parallelism: int = 8) -> tuple[int, DataFrame]:
     """k by vote of the best k for silhouette (max), Calinski-Harabasz (max) and
     Davies-Bouldin (min); a clear mode wins, ties go to int(median), none -> mid-range (H7)."""
     n = feats.count()
@@ -176,7 +183,7 @@ def birch_like(feats: DataFrame, id_col: str, k: int, seed: int = 42):
 
 def cluster(df: DataFrame, id_col: str, cols=None, n_clusters: int | None = None, k_range=(2, 15),
             n_components: int = 2, n_init: int = 10, models=CLUSTER_MODELS, seed: int = 42,
-            parallelism: int = 4) -> ClusterResult:
+            parallelism: int = 8) -> ClusterResult:
     feats, slots = cluster_features(df, id_col, cols)
     load = None
     if len(slots) > n_components:
@@ -193,15 +200,17 @@ def cluster(df: DataFrame, id_col: str, cols=None, n_clusters: int | None = None
         t0 = time.time()
         try:
             if name == "kmeans":
-                m = _kmeans(feats, k, n_init, seed)
+                m = _kmeans(feats, k, n_init, seed, parallelism=parallelism)
                 lab = m.transform(feats).select(id_col, F.col("prediction").alias("cluster"))
             elif name == "hierarchical":
                 m = {"k": k}
                 lab = bisecting(feats, id_col, k, seed)
             elif name == "gaussian_mixture":
+                with ThreadPoolExecutor(max_workers=parallelism) as ex:
+                    fits = list(ex.map(lambda i: GaussianMixture(k=k, seed=seed + i, maxIter=100).fit(feats),
+                                       range(n_init)))
                 best = None
-                for i in range(n_init):
-                    g = GaussianMixture(k=k, seed=seed + i, maxIter=100).fit(feats)
+                for g in fits:                       # best log-likelihood, first seed on ties
                     if best is None or g.summary.logLikelihood > best.summary.logLikelihood:
                         best = g
                 m = best
