@@ -1385,3 +1385,14 @@ def cut_features(df: DataFrame) -> DataFrame:
     """Materialise a very wide window projection once (keeps the optimizer's work small)."""
     from tabforge.session import cut_lineage
     return cut_lineage(df)
+
+
+@query("forecast_single")
+def q_forecast_single(spark, sf):
+    """One unkeyed series derived from the data: daily order revenue (grows with the table)."""
+    from tabforge.plans.forecast import forecast
+    o = t(spark, sf, "orders")
+    daily = o.groupBy(F.to_date("o_orderdate").cast("timestamp").alias("day")).agg(
+        F.sum("o_totalprice").alias("revenue"), F.count(F.lit(1)).alias("n_orders"))
+    res = forecast(daily, "day", "revenue", horizon=7, models=("linear_regression", "ridge", "gradient_boosting"))
+    return res.leaderboard.drop("error", "train_seconds")

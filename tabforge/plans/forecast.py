@@ -84,6 +84,14 @@ def per_series_ols(df: DataFrame, keys, y: str, xs: list[str], intercept: bool =
     return g.mapInPandas(lambda it: _solve_rows(it, p), schema)
 
 
+def _by_series(df: DataFrame, per_series: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join per-series values onto rows; a single unkeyed series gets them as literals."""
+    if keys:
+        return df.join(per_series, list(keys), how)
+    from tabforge.functions.scalars import attach
+    return attach(df, per_series)
+
+
 def arima111(df: DataFrame, ts: str, target: str, keys, id_col: str | None, split_col: str = "split",
              m: int = AR_ORDER) -> tuple[DataFrame, DataFrame]:
     """Hannan-Rissanen ARIMA(1,1,1) per series on the train rows; returns (coefficients,
@@ -105,7 +113,7 @@ def arima111(df: DataFrame, ts: str, target: str, keys, id_col: str | None, spli
     xs = [f"dy_lag_{j}" for j in range(1, m + 1)]
     ar = per_series_ols(train, keys, "dy", xs)
     ar_b = ar.select(*keys, F.col("beta").alias("ar"))
-    res = dl.join(ar_b, keys, "left").withColumn(
+    res = _by_series(dl, ar_b, keys, "left").withColumn(
         "e", F.col("dy") - F.col("ar")[0] - sum(F.col("ar")[j] * F.col(f"dy_lag_{j}") for j in range(1, m + 1)))
     res = S.series_features(res.select(*keys, "_i", "dy", "dy_lag_1", "e", split_col, target, ts),
                             ["e"], ["_i"], keys, lags=(1,), windows=(), diffs=(),
@@ -119,8 +127,8 @@ def arima111(df: DataFrame, ts: str, target: str, keys, id_col: str | None, spli
     last = res.where(F.col(split_col) == "train").groupBy(*keys).agg(
         F.max("_i").alias("_T"), F.max_by(F.col(target), F.col("_i")).alias("yT"),
         F.max_by(F.col("dy"), F.col("_i")).alias("dyT"), F.max_by(F.col("e"), F.col("_i")).alias("eT"))
-    st = coef.join(last, keys)
-    test = res.where(F.col(split_col) == "test").select(*keys, "_i", ts, target).join(st, keys)
+    st = _by_series(coef, last, keys)
+    test = _by_series(res.where(F.col(split_col) == "test").select(*keys, "_i", ts, target), st, keys)
     h = (F.col("_i") - F.col("_T")).cast("double")
     phi = F.col("phi")
     a1 = F.col("c") + phi * F.coalesce(F.col("dyT"), F.lit(0.0)) + F.col("theta") * F.coalesce(F.col("eT"), F.lit(0.0))
