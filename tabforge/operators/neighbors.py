@@ -129,8 +129,7 @@ def range_counts(df: DataFrame, eps: float, id_col: str, vec: str, block_rows: i
     return part.groupBy("qid").agg(F.sum("n").alias("n_neighbors")).withColumnRenamed("qid", id_col)
 
 
-def _min_label_round(points: DataFrame, eps: float, id_col: str, block_rows: int, max_pairs: float,
-                     core_only_targets: bool) -> DataFrame:
+def _min_label_round(points: DataFrame, eps: float, id_col: str, block_rows: int, max_pairs: float) -> DataFrame:
     """For each row, the smallest label among *core* rows within eps (itself included if core)."""
     import numpy as np
     import pandas as pd
@@ -173,7 +172,7 @@ def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int, m
         .withColumn("lab", F.col(id_col).cast("long"))
     pts = cut_lineage(pts.select(id_col, "__x", "core", "lab"))
     for _ in range(max_iter):
-        m = _min_label_round(pts, eps, id_col, block_rows, max_pairs, True)
+        m = _min_label_round(pts, eps, id_col, block_rows, max_pairs)
         upd = pts.join(m, id_col, "left").withColumn(
             "new", F.when(F.col("core"), F.least("lab", F.coalesce("m", "lab"))).otherwise(F.col("lab")))
         changed = upd.where(F.col("core") & (F.col("new") != F.col("lab"))).count()
@@ -182,7 +181,7 @@ def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int, m
             break
     else:
         raise RuntimeError("DBSCAN label propagation did not converge")
-    border = _min_label_round(pts, eps, id_col, block_rows, max_pairs, True)
+    border = _min_label_round(pts, eps, id_col, block_rows, max_pairs)
     lab = pts.join(border, id_col, "left").select(
         id_col, F.when(F.col("core"), F.col("lab")).when(F.col("m").isNotNull(), F.col("m")).alias("raw"),
         "core")

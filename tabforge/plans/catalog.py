@@ -1057,7 +1057,7 @@ def q_knn_eps(spark, sf):
     e = t(spark, sf, "embeddings").select("vec_id", "embedding")
     n = e.count()
     eps = NB.estimate_eps(e, "vec_id", "embedding", 20)
-    return rnd(spark.createDataFrame([(float(eps), int(min(20, n - 1)))], "eps double, k int"))
+    return rnd(spark.createDataFrame([(float(eps), int(min(20, n - 1)))], "eps double, k long"))
 
 
 @query("dbscan_core", """

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -78,7 +78,6 @@ def pca_reduce(feats: DataFrame, k: int, features_col: str = "features") -> tupl
                                                              for i in range(d)]) for j in range(k)]
     load = spark.createDataFrame(rows, "component int, explained_variance_ratio double, cumulative_ratio double, "
                                        "loadings array<double>")
-    arr = vector_to_array(model.transform(feats)["pca"])
     red = model.transform(feats).withColumn("__p", vector_to_array("pca")).select(
         *[c for c in feats.columns if c != features_col],
         array_to_vector(F.array(*[F.col("__p")[j] * signs[j] for j in range(k)])).alias(features_col))
