@@ -93,13 +93,19 @@ def confusion(df: DataFrame, actual: str, pred: str) -> DataFrame:
 
 def class_report(df: DataFrame, actual: str, pred: str) -> DataFrame:
     """Per class precision, recall, f1 (zero_division = 0) and support over the label
-    universe (union of actual and predicted labels)."""
+    universe (union of actual and predicted labels). One pass over the scored rows: every
+    confusion cell adds to the support of its actual label, to the predictions of its
+    predicted label and, on the diagonal, to the true positives."""
     cm = confusion(df, actual, pred)
-    sup = cm.groupBy(F.col("actual").alias("label")).agg(F.sum("count").alias("support"))
-    prd = cm.groupBy(F.col("predicted").alias("label")).agg(F.sum("count").alias("n_predicted"))
-    tp = cm.where(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("label"),
-                                                                F.col("count").alias("tp"))
-    rep = sup.join(prd, "label", "full").join(tp, "label", "left").fillna(0, ["support", "n_predicted", "tp"])
+    n = F.col("count")
+    diag = F.col("actual") == F.col("predicted")
+    contrib = F.array(
+        F.struct(F.col("actual").alias("label"), n.alias("s"), F.lit(0).cast("long").alias("p"),
+                 F.when(diag, n).otherwise(0).cast("long").alias("t")),
+        F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("s"), n.alias("p"),
+                 F.lit(0).cast("long").alias("t")))
+    rep = cm.select(F.inline(contrib)).groupBy("label").agg(
+        F.sum("s").alias("support"), F.sum("p").alias("n_predicted"), F.sum("t").alias("tp"))
     precision = F.when(F.col("n_predicted") > 0, F.col("tp") / F.col("n_predicted")).otherwise(F.lit(0.0))
     recall = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     rep = rep.select("label", precision.alias("precision"), recall.alias("recall"),

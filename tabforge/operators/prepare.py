@@ -54,9 +54,9 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict:
         if cast == "double":
             long = long.where(~F.isnan("v"))
         counts = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-        best = counts.groupBy("column_name").agg(F.max("n").alias("n"))
-        for r in counts.join(best, ["column_name", "n"]).groupBy("column_name").agg(F.min("v").alias("v")).collect():
-            out[r["column_name"]] = r["v"]
+        key = F.struct((-F.col("n")).alias("neg_n"), F.col("v").alias("v"))
+        for r in counts.groupBy("column_name").agg(F.min(key).alias("best")).collect():
+            out[r["column_name"]] = r["best"]["v"]
     return out
 
 

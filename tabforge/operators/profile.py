@@ -155,15 +155,15 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
 def top_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Most frequent non-null value per column and its count; ties go to the smallest value.
 
-    Aggregates only (max count, then min value among the maxima), so a column with
-    billions of distinct values never lands in one window partition.
+    Two aggregates, no join: counts per (column, value), then per column the value that
+    minimises (-count, value). A column with billions of distinct values is still spread
+    over all tasks by the first aggregate.
     """
     long = _long_strings(df, cols).where(F.col("value").isNotNull())
-    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("top_count"))
-    best = counts.groupBy("column_name").agg(F.max("top_count").alias("top_count"))
-    return (counts.join(best, ["column_name", "top_count"])
-            .groupBy("column_name", "top_count").agg(F.min("value").alias("top_value"))
-            .select("column_name", "top_value", "top_count"))
+    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    key = F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("v"))
+    return counts.groupBy("column_name").agg(F.min(key).alias("best")).select(
+        "column_name", F.col("best.v").alias("top_value"), (-F.col("best.neg_n")).alias("top_count"))
 
 
 # ---------------------------------------------------------------- A9 / A10 class balance
@@ -171,23 +171,23 @@ def top_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def imbalance(df: DataFrame, target: str) -> DataFrame:
     """Class imbalance profile (A9): smallest/largest class, shares, ratio and warnings.
 
-    Ties between equally sized classes go to the smallest class label (as string).
+    Ties between equally sized classes go to the smallest class label (as string). One
+    grouped count, then one aggregate over the class table (min over (count, label) and
+    over (-count, label)).
     """
-    vc = value_counts(df, target, "cls").withColumn("cls", F.col("cls").cast("string"))
-    ext = vc.agg(F.min("count").alias("minority_count"), F.max("count").alias("majority_count"),
-                 F.sum("count").alias("n"), F.count(F.lit(1)).alias("n_classes"))
-    j = attach(vc, ext)
-    return j.groupBy("n_classes", "minority_count", "majority_count", "n").agg(
-        F.min(F.when(F.col("count") == F.col("minority_count"), F.col("cls"))).alias("minority_class"),
-        F.min(F.when(F.col("count") == F.col("majority_count"), F.col("cls"))).alias("majority_class"),
-    ).select(
-        "n_classes", "minority_class", "minority_count",
-        (F.col("minority_count") * 100.0 / F.col("n")).alias("minority_pct"),
-        "majority_class", "majority_count",
-        (F.col("majority_count") * 100.0 / F.col("n")).alias("majority_pct"),
-        (F.col("majority_count") / F.col("minority_count")).alias("imbalance_ratio"),
-        ((F.col("majority_count") / F.col("minority_count")) > 3).alias("warn_ratio"),
-        ((F.col("minority_count") * 100.0 / F.col("n")) < 10).alias("warn_minority"))
+    counts = df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("cls")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    agg = counts.agg(
+        F.count(F.lit(1)).alias("n_classes"), F.sum("n").alias("tot"),
+        F.min(F.struct(F.col("n").alias("n"), F.col("cls").alias("c"))).alias("lo"),
+        F.min(F.struct((-F.col("n")).alias("n"), F.col("cls").alias("c"))).alias("hi"))
+    mn, mx, tot = F.col("lo.n"), -F.col("hi.n"), F.col("tot")
+    return agg.select(
+        "n_classes", F.col("lo.c").alias("minority_class"), mn.alias("minority_count"),
+        (mn * 100.0 / tot).alias("minority_pct"),
+        F.col("hi.c").alias("majority_class"), mx.alias("majority_count"), (mx * 100.0 / tot).alias("majority_pct"),
+        (mx / mn).alias("imbalance_ratio"), ((mx / mn) > 3).alias("warn_ratio"),
+        ((mn * 100.0 / tot) < 10).alias("warn_minority"))
 
 
 def class_entropy(df: DataFrame, target: str) -> DataFrame:

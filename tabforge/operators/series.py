@@ -104,17 +104,18 @@ def sequence_index(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence[
 
 
 def with_blocks(indexed: DataFrame, idx_col: str, halo: int, block_rows: int) -> DataFrame:
-    """Tag rows with block = idx // block_rows; copy the last ``halo`` rows of each block
-    into the next block as halo rows (``_halo`` = true)."""
+    """Tag rows with block = idx // block_rows; the last ``halo`` rows of each block are also
+    emitted into the next block as halo rows (``_halo`` = true). One generator pass: the
+    indexed input is not evaluated twice."""
     if halo >= block_rows:
         raise ValueError("block_rows must exceed the look-back")
-    base = indexed.withColumn("_blk", F.floor(F.col(idx_col) / block_rows).cast("long")) \
-                  .withColumn("_halo", F.lit(False))
+    blk = F.floor(F.col(idx_col) / block_rows).cast("long")
     if halo <= 0:
-        return base
-    copies = (base.where(F.col(idx_col) % block_rows >= block_rows - halo)
-              .withColumn("_blk", F.col("_blk") + 1).withColumn("_halo", F.lit(True)))
-    return base.unionByName(copies)
+        return indexed.withColumn("_blk", blk).withColumn("_halo", F.lit(False))
+    own = F.struct(blk.alias("_blk"), F.lit(False).alias("_halo"))
+    nxt = F.struct((blk + 1).alias("_blk"), F.lit(True).alias("_halo"))
+    tags = F.when(F.col(idx_col) % block_rows >= block_rows - halo, F.array(own, nxt)).otherwise(F.array(own))
+    return indexed.withColumn("_tag", F.explode(tags)).select("*", "_tag._blk", "_tag._halo").drop("_tag")
 
 
 # Rolling aggregate by name (D3 / W3): pandas method name -> (Spark window aggregate, ddof note)
