@@ -205,9 +205,11 @@ def fill_series(df: DataFrame, cols: Sequence[str], order_cols: Sequence[str], k
                 block_rows: int = 1 << 20, idx_col: str = "_seq") -> DataFrame:
     """Forward fill, then backward fill, then the column mean (W5), per key in order.
 
-    Within a block, ``last/first(ignorenulls)`` windows fill locally; a per-block carry
-    table (last / first non-null value of every block, one row per block) supplies the
-    value from earlier / later blocks.
+    Within a block, ``last/first(ignorenulls)`` windows fill locally; the block summaries
+    (last / first non-null value of each block) are read off the same windowed rows, carried
+    across blocks with a window over the small per-block table, and joined back (AQE turns
+    that join into a broadcast when the block table is small). One plan, so the numbered
+    rows are shuffled once.
     """
     keys = list(key_cols)
     ix = sequence_index(df, order_cols, keys, idx_col)
@@ -217,10 +219,11 @@ def fill_series(df: DataFrame, cols: Sequence[str], order_cols: Sequence[str], k
     after = w.rowsBetween(0, Window.unboundedFollowing)
     loc = b.select("*", *[F.last(F.col(c), True).over(before).alias(f"_ff_{c}") for c in cols],
                    *[F.first(F.col(c), True).over(after).alias(f"_bf_{c}") for c in cols])
-    # carry table: one row per (key, block)
-    summ = b.groupBy(*keys, "_blk").agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(idx_col))).alias(f"_l_{c}") for c in cols],
-        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(idx_col))).alias(f"_f_{c}") for c in cols])
+    # block summaries from the windowed rows: the forward fill at the block's last row is the
+    # block's last non-null value, the backward fill at its first row the first non-null one
+    summ = loc.groupBy(*keys, "_blk").agg(
+        *[F.max_by(F.col(f"_ff_{c}"), F.col(idx_col)).alias(f"_l_{c}") for c in cols],
+        *[F.min_by(F.col(f"_bf_{c}"), F.col(idx_col)).alias(f"_f_{c}") for c in cols])
     ws = Window.partitionBy(*keys).orderBy("_blk")
     carry = summ.select(*keys, "_blk",
                         *[F.last(f"_l_{c}", True).over(ws.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_cl_{c}")
@@ -228,11 +231,11 @@ def fill_series(df: DataFrame, cols: Sequence[str], order_cols: Sequence[str], k
                         *[F.first(f"_f_{c}", True).over(ws.rowsBetween(1, Window.unboundedFollowing)).alias(f"_cf_{c}")
                           for c in cols])
     means = df.agg(*[F.avg(F.col(c)).alias(f"_m_{c}") for c in cols])
-    j = attach(loc.join(_maybe_broadcast(cut_lineage(carry)), [*keys, "_blk"]), means)
+    j = attach(loc.join(carry, [*keys, "_blk"]), means)
     filled = {c: F.coalesce(F.col(f"_ff_{c}"), F.col(f"_cl_{c}"), F.col(f"_bf_{c}"), F.col(f"_cf_{c}"),
                             F.col(f"_m_{c}")) for c in cols}
     sel = [filled[c].alias(c) if c in filled else F.col(c) for c in df.columns]
-    return j.select(*sel, idx_col).drop(idx_col)
+    return j.select(*sel)
 
 
 # ---------------------------------------------------------------- adjacent-pair statistics
@@ -370,15 +373,16 @@ def tail_rows(df: DataFrame, n: int, order_cols: Sequence[str], key_cols: Sequen
 
 def cumulative_sum(df: DataFrame, col: str, order_cols: Sequence[str], key_cols: Sequence[str] = (),
                    out_col: str | None = None, block_rows: int = 1 << 20) -> DataFrame:
-    """Running sum in order per key (W9) with per-block carries (no single-task window)."""
+    """Running sum in order per key (W9): a running window per block, plus the carried total
+    of the earlier blocks (each block's total is its last running value), in one plan."""
     keys = list(key_cols)
     ix = sequence_index(df, order_cols, keys, "_seq")
     b = ix.withColumn("_blk", F.floor(F.col("_seq") / block_rows).cast("long"))
     w = Window.partitionBy(*keys, "_blk").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
     loc = b.withColumn("_cs", F.sum(F.col(col)).over(w))
-    tot = b.groupBy(*keys, "_blk").agg(F.sum(F.col(col)).alias("_bs"))
+    tot = loc.groupBy(*keys, "_blk").agg(F.max_by(F.col("_cs"), F.col("_seq")).alias("_bs"))
     ws = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carry = tot.select(*keys, "_blk", F.coalesce(F.sum("_bs").over(ws), F.lit(0)).alias("_carry"))
-    out = loc.join(_maybe_broadcast(cut_lineage(carry)), [*keys, "_blk"])
+    out = loc.join(carry, [*keys, "_blk"])
     return out.withColumn(out_col or f"{col}_cumsum", F.col("_cs") + F.col("_carry")) \
               .drop("_blk", "_cs", "_carry", "_seq")
