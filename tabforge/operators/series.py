@@ -99,7 +99,9 @@ def sequence_index(df: DataFrame, order_cols: Sequence[str], key_cols: Sequence[
         offsets = spark.createDataFrame(rows, "_sub int, _off long")
     w = Window.partitionBy(*keys, "_sub").orderBy(*order)
     numbered = data.withColumn("_rn", F.row_number().over(w) - 1)
-    out = numbered.join(_maybe_broadcast(offsets), [*keys, "_sub"])
+    # the numbered rows are already hash-partitioned by (key, sub-range): the join reuses that
+    # partitioning, and AQE broadcasts the offsets table when its measured size is small
+    out = numbered.join(offsets, [*keys, "_sub"])
     return out.withColumn(idx_col, (F.col("_off") + F.col("_rn")).cast("long")).drop("_sub", "_rn", "_off")
 
 
