@@ -95,30 +95,38 @@ def train_regression(df: DataFrame, target: str, id_cols, cfg: dict | None = Non
     tr = training_rows(prep, train).select(*id_cols).join(feats.where("split = 'train'"), list(id_cols)) \
         if prep.params["outliers"].get("strategy") == "remove" else feats.where("split = 'train'")
     st = tr.agg(F.stddev_pop("label").alias("sd"), F.count(F.lit(1)).alias("n")).first()
-    ests = {name: MD.regression_estimator(name, (params or {}).get(name), st["sd"] or 1.0, st["n"]) for name in models}
+    ests = {name: MD.regression_estimator(name, (params or {}).get(name), st["sd"] or 1.0, st["n"],
+                                          n_features=len(prep.slot_names)) for name in models}
     fitted = _fit_all(ests, tr, parallelism)
-    rows, preds = [], None
+    preds = None
+    for name in models:
+        model = fitted[name][0]
+        if model is not None:
+            p = model.transform(feats).select(*id_cols, "split", "label", "prediction").withColumn("model", F.lit(name))
+            preds = p if preds is None else preds.unionByName(p)
+    # every model's train and test metrics in one aggregate over the stacked predictions
+    mt = {}
+    if preds is not None:
+        e = F.col("label") - F.col("prediction")
+        for r in preds.groupBy("model", "split").agg(
+                F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"), F.avg(F.abs(e)).alias("mae"),
+                F.var_pop("label").alias("vy"),
+                F.avg(F.abs(e) / F.greatest(F.abs("label"), F.lit(M.EPS))).alias("mape")).collect():
+            mt[(r["model"], r["split"])] = r
+
+    def r2(r):
+        return None if r is None or not r["vy"] else 1 - r["sse"] / (r["vy"] * r["n"])
+
+    rows = []
     for order, name in enumerate(models):
         model, secs, err = fitted[name]
         if model is None:
             rows.append((name, order, False, err, secs) + (None,) * 8)
             continue
-        p = model.transform(feats).select(*id_cols, "split", "label", "prediction")
-        mt = {r["split"]: r for r in p.groupBy("split").agg(
-            F.count(F.lit(1)).alias("n"), F.sum((F.col("label") - F.col("prediction")) ** 2).alias("sse"),
-            F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("mae"), F.var_pop("label").alias("vy"),
-            F.avg(F.abs(F.col("label") - F.col("prediction")) / F.greatest(F.abs("label"), F.lit(M.EPS))).alias("mape"),
-        ).collect()}
-
-        def r2(r):
-            return None if r is None or not r["vy"] else 1 - r["sse"] / (r["vy"] * r["n"])
-
-        te, trm = mt.get("test"), mt.get("train")
+        te, trm = mt.get((name, "test")), mt.get((name, "train"))
         rmse = (te["sse"] / te["n"]) ** 0.5 if te else None
         rows.append((name, order, True, None, secs, r2(trm), r2(te), rmse, te["mae"] if te else None,
                      te["mape"] if te else None, (trm["sse"] / trm["n"]) ** 0.5 if trm else None, None, None))
-        pp = p.withColumn("model", F.lit(name))
-        preds = pp if preds is None else preds.unionByName(pp)
     spark = df.sparkSession
     board = spark.createDataFrame(rows, "model string, model_order int, trained_successfully boolean, error string, "
                                         "train_seconds double, train_r2 double, r2 double, rmse double, mae double, "
