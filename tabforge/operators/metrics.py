@@ -185,28 +185,20 @@ def _bucketed(sc: DataFrame, buckets: int) -> tuple[DataFrame, list]:
     return b, splits
 
 
-def _auc_partial(it):
+def _rank_partial(pdf):
+    """AUC numerator and AP sum of one score bucket, given the totals carried in from the
+    buckets below (negatives) and above (positives and negatives)."""
     import numpy as np
     import pandas as pd
-    for pdf in it:
-        pdf = pdf.sort_values("s")
-        pos = pdf["pos"].to_numpy()
-        neg = pdf["neg"].to_numpy()
-        neg_below = np.cumsum(neg) - neg + pdf["neg_carry"].to_numpy()
-        u = float((pos * (neg_below + 0.5 * neg)).sum())
-        yield pd.DataFrame({"u": [u]})
-
-
-def _ap_partial(it):
-    import numpy as np
-    import pandas as pd
-    for pdf in it:
-        pdf = pdf.sort_values("s", ascending=False)
-        pos = pdf["pos"].to_numpy()
-        neg = pdf["neg"].to_numpy()
-        tp = np.cumsum(pos) + pdf["pos_carry"].to_numpy()
-        fp = np.cumsum(neg) + pdf["neg_carry"].to_numpy()
-        yield pd.DataFrame({"ap": [float((pos * tp / (tp + fp)).sum())]})
+    up = pdf.sort_values("s")
+    pos, neg = up["pos"].to_numpy(), up["neg"].to_numpy()
+    neg_below = np.cumsum(neg) - neg + up["neg_below"].to_numpy()
+    u = float((pos * (neg_below + 0.5 * neg)).sum())
+    down = pdf.sort_values("s", ascending=False)
+    pos, neg = down["pos"].to_numpy(), down["neg"].to_numpy()
+    tp = np.cumsum(pos) + down["pos_above"].to_numpy()
+    fp = np.cumsum(neg) + down["neg_above"].to_numpy()
+    return pd.DataFrame({"u": [u], "ap": [float((pos * tp / (tp + fp)).sum())]})
 
 
 def ranking_metrics(df: DataFrame, label: str, score: str, positive=None, buckets: int = 256) -> DataFrame:
@@ -235,13 +227,9 @@ def ranking_metrics(df: DataFrame, label: str, score: str, positive=None, bucket
         below_n += bn
     cdf = spark.createDataFrame(carries, "bucket double, neg_below double, pos_above double, neg_above double")
     j = b.join(F.broadcast(cdf), "bucket")     # one row per bucket: bounded by ``buckets``
-    auc_u = j.select("bucket", "s", "pos", "neg", F.col("neg_below").alias("neg_carry")) \
-             .groupBy("bucket").applyInPandas(lambda pdf: next(_auc_partial(iter([pdf]))), "u double") \
-             .agg(F.sum("u")).first()[0]
-    ap_sum = j.select("bucket", "s", "pos", "neg", F.col("pos_above").alias("pos_carry"),
-                      F.col("neg_above").alias("neg_carry")) \
-              .groupBy("bucket").applyInPandas(lambda pdf: next(_ap_partial(iter([pdf]))), "ap double") \
-              .agg(F.sum("ap")).first()[0]
+    part = j.groupBy("bucket").applyInPandas(_rank_partial, "u double, ap double") \
+            .agg(F.sum("u").alias("u"), F.sum("ap").alias("ap")).first()
+    auc_u, ap_sum = part["u"], part["ap"]
     b.unpersist()
     auc = (auc_u / (n_pos * n_neg)) if n_pos and n_neg else None
     ap = (ap_sum / n_pos) if n_pos else None
