@@ -1125,6 +1125,7 @@ def q_train_regression(spark, sf):
     res = train_regression(t(spark, sf, "orders"), "o_totalprice", ["o_orderkey"],
                            models=("linear_regression", "ridge", "lasso", "elastic_net", "decision_tree",
                                    "random_forest", "gradient_boosting"))
+    res.release()
     return res.leaderboard.drop("error", "train_seconds")
 
 
@@ -1134,6 +1135,7 @@ def q_train_classification(spark, sf):
     res = train_classification(_docs_labels(spark, sf), "quality", ["doc_id"],
                                models=("logistic_regression", "decision_tree", "random_forest", "gradient_boosting",
                                        "naive_bayes", "svm", "mlp"), balance="weights")
+    res.release()
     return res.leaderboard.drop("error", "train_seconds")
 
 
@@ -1142,6 +1144,7 @@ def q_train_classification_smote(spark, sf):
     from tabforge.plans.train import train_classification
     res = train_classification(_docs_labels(spark, sf), "quality", ["doc_id"],
                                models=("logistic_regression", "naive_bayes"), balance="smote")
+    res.release()
     return res.leaderboard.drop("error", "train_seconds")
 
 
@@ -1160,6 +1163,7 @@ def q_smote(spark, sf):
 def q_train_cluster(spark, sf):
     from tabforge.plans.cluster import cluster
     res = cluster(t(spark, sf, "embeddings"), "vec_id", cols=["embedding"])
+    res.release()
     return res.leaderboard.drop("error", "train_seconds")
 
 
@@ -1332,6 +1336,7 @@ def q_metric_ranges(spark, sf):
     from tabforge.plans.train import metric_ranges, train_regression
     res = train_regression(t(spark, sf, "orders"), "o_totalprice", ["o_orderkey"],
                            models=("linear_regression", "ridge", "decision_tree"))
+    res.release()
     return metric_ranges(res.leaderboard, ["r2", "rmse", "mae", "mape"])
 
 

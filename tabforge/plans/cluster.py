@@ -37,6 +37,12 @@ class ClusterResult:
     k_selection: DataFrame | None
     pca: DataFrame | None
     models: dict = field(default_factory=dict)
+    extra: dict = field(default_factory=dict)
+
+    def release(self) -> None:
+        f = self.extra.get("features")
+        if f is not None:
+            f.unpersist()
 
 
 def cluster_features(df: DataFrame, id_col: str, cols=None) -> tuple[DataFrame, list[str]]:
@@ -241,7 +247,7 @@ def cluster(df: DataFrame, id_col: str, cols=None, n_clusters: int | None = None
                                         "train_seconds double, n_clusters int, n_noise int, silhouette double, "
                                         "calinski_harabasz double, davies_bouldin double, inertia double")
     best = select_best_clustering(board, k)
-    return ClusterResult(board, best, labels, k, ksel, load, fitted)
+    return ClusterResult(board, best, labels, k, ksel, load, fitted, {"features": feats})
 
 
 def select_best_clustering(board: DataFrame, target_k: int) -> str | None:

@@ -18,6 +18,8 @@ def flagship(spark: SparkSession, sf_dir: str, models=FLAGSHIP_MODELS) -> DataFr
     if problem != "regression":
         raise ValueError(f"expected a regression target, detected {problem}")
     res = train_regression(orders, "o_totalprice", ["o_orderkey"], models=models)
-    return res.leaderboard.select(
+    board = res.leaderboard
+    res.release()                       # the leaderboard is a small local table; features can go
+    return board.select(
         "model", "rank", "trained_successfully",
         *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "mae", "mape", "train_r2")], "overfit")

@@ -42,6 +42,12 @@ class TrainResult:
     importances: DataFrame | None = None
     extra: dict = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Drop the persisted feature table (predictions recompute deterministically if used later)."""
+        f = self.extra.get("features")
+        if f is not None:
+            f.unpersist()
+
     def pipeline(self, name: str | None = None) -> PipelineModel:
         """Preparation + chosen model as one persistable PipelineModel."""
         m = self.models[name or self.best_model]
