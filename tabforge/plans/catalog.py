@@ -1401,3 +1401,15 @@ def q_forecast_single(spark, sf):
         F.sum("o_totalprice").alias("revenue"), F.count(F.lit(1)).alias("n_orders"))
     res = forecast(daily, "day", "revenue", horizon=7, models=("linear_regression", "ridge", "gradient_boosting"))
     return res.leaderboard.drop("error", "train_seconds")
+
+
+@query("run_report")
+def q_run_report(spark, sf):
+    import datetime as dt
+    from tabforge.plans.train import run_report, train_regression
+    started = dt.datetime.now(dt.timezone.utc)
+    o = t(spark, sf, "orders")
+    res = train_regression(o, "o_totalprice", ["o_orderkey"], models=("linear_regression", "ridge"))
+    rep = run_report(res, o, "orders-total", "o_totalprice", started, parameters={"models": "linear_regression,ridge"})
+    res.release()
+    return rep.drop("timestamp", "start_time", "end_time", "runtime_seconds")

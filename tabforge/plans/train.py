@@ -275,3 +275,30 @@ def weak_classes(report: DataFrame) -> DataFrame:
     j = attach(report, k)
     return j.select("label", (F.col("recall") < 0.5).alias("low_recall"),
                     ((F.col("__k") <= 10) & (F.col("precision") < 0.7) & (F.col("recall") < 0.7)).alias("weak"))
+
+
+def run_report(result: TrainResult, df: DataFrame, model_id: str, target: str, started, finished=None,
+               parameters: dict | None = None) -> DataFrame:
+    """The run report as one typed row (timestamp, start / end time, runtime, parameters, data,
+    preprocessing, models, evaluation, best model, status). Arrays inside are cut to 100
+    elements and the leaderboard is embedded as JSON rows."""
+    import datetime as _dt
+    import json as _json
+    finished = finished or _dt.datetime.now(_dt.timezone.utc)
+    prep = result.prep.params
+    pre = {"numeric": result.prep.numeric[:100], "categorical": result.prep.categorical[:100],
+           "datetime": result.prep.datetime[:100], "dropped": result.prep.dropped[:100],
+           "scaling": prep.get("scaling"), "outliers": prep.get("outliers"),
+           "n_features": len(result.prep.slot_names)}
+    board = [r.asDict() for r in result.leaderboard.drop("error").orderBy("rank").collect()]   # one row per model
+    shape = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    row = [(finished.isoformat(), started.isoformat(), finished.isoformat(), (finished - started).total_seconds(),
+            model_id, target, result.problem, {k: str(v) for k, v in (parameters or {}).items()},
+            int(shape), len(df.columns), _json.dumps(pre, default=str), _json.dumps(board, default=str),
+            result.best_model, "completed" if result.best_model else "failed",
+            result.prep.slot_names[:100])]
+    return df.sparkSession.createDataFrame(row, "timestamp string, start_time string, end_time string, "
+                                                "runtime_seconds double, model_id string, target string, "
+                                                "problem_type string, parameters map<string,string>, n_rows long, "
+                                                "n_columns int, preprocessing string, models string, "
+                                                "best_model string, status string, features array<string>")
