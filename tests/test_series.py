@@ -96,3 +96,30 @@ def test_frequency(spark):
     assert S.infer_frequency(spark.createDataFrame(hours, "t timestamp"), "t") == "H"
     irregular = days[:5] + days[7:]
     assert S.infer_frequency(spark.createDataFrame(irregular, "t timestamp"), "t") is None
+
+
+def test_frequency_codes_and_periods(spark):
+    import datetime as dt
+    weeks = [(dt.datetime(2024, 1, 7) + dt.timedelta(weeks=i),) for i in range(20)]
+    assert S.infer_frequency(spark.createDataFrame(weeks, "t timestamp"), "t") == "W"
+    quarters = [(dt.datetime(2020 + (3 * i) // 12, (3 * i) % 12 + 1, 1),) for i in range(12)]
+    assert S.infer_frequency(spark.createDataFrame(quarters, "t timestamp"), "t") == "QS"
+    month_ends = [(dt.datetime(2023, m, 1) - dt.timedelta(days=1),) for m in range(2, 13)]
+    assert S.infer_frequency(spark.createDataFrame(month_ends, "t timestamp"), "t") == "M"
+    assert [S.seasonal_period(f) for f in ("D", "W", "MS", "QS", "H", None, "T")] == [7, 52, 12, 4, 24, 7, 1]
+
+
+def test_fill_leading_and_trailing_nulls(spark):
+    rows = [(1, 0, None), (2, 1, 5.0), (3, 2, None), (4, 3, 7.0), (5, 4, None)]
+    df = spark.createDataFrame(rows, "id long, t long, v double")
+    out = S.fill_series(df, ["v"], ["t", "id"], block_rows=2).orderBy("t").toPandas()["v"].tolist()
+    assert out == [5.0, 5.0, 5.0, 7.0, 7.0]
+
+
+def test_monotonic_and_duplicates(spark):
+    import datetime as dt
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i // 2)) for i in range(10)]
+    df = spark.createDataFrame(rows, "seq long, ts timestamp")
+    m = S.monotonic_check(df, "ts", "seq")
+    assert m["increasing"] and not m["decreasing"]
+    assert S.duplicate_count(df, "ts").first()[0] == 5
