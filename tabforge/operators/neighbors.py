@@ -212,3 +212,41 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int, id_col: str, vec: st
     votes = nn.join(lab, "__rid").groupBy(id_col, "__lab").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy(id_col).agg(F.max("votes").alias("votes"))
     return votes.join(best, [id_col, "votes"]).groupBy(id_col).agg(F.min("__lab").alias("prediction"))
+
+
+def silhouette_euclidean(df: DataFrame, id_col: str, vec: str, label: str, block_rows: int = 4096,
+                         max_pairs: float = MAX_PAIRS) -> DataFrame:
+    """Mean silhouette with plain Euclidean distance, exact.
+
+    Each (query block, reference block) task sums the distances from every query row to the
+    reference rows of each cluster and emits (row, cluster, sum, count) -- never the pairs;
+    a grouped sum completes the per-cluster means, then a(i) (own cluster, self excluded),
+    b(i) (nearest other cluster) and s(i) = (b - a) / max(a, b), 0 for singletons.
+    O(n^2) distance work, bounded by ``max_pairs``."""
+    import numpy as np
+    import pandas as pd
+    qx, rx = _prepare(df, df, id_col, id_col, vec, label, block_rows, max_pairs)
+
+    def local(qpdf, rpdf):
+        if len(qpdf) == 0 or len(rpdf) == 0:
+            return pd.DataFrame({"qid": [], "own": [], "cl": [], "s": [], "n": []})
+        d = pairwise(_matrix(qpdf), _matrix(rpdf))
+        labs = rpdf["__g"].to_numpy()
+        out = []
+        for c in np.unique(labs):
+            mask = labs == c
+            out.append(pd.DataFrame({"qid": qpdf["qid"].to_numpy(), "own": qpdf["__g"].to_numpy(), "cl": c,
+                                     "s": d[:, mask].sum(1), "n": np.full(len(qpdf), int(mask.sum()))}))
+        return pd.concat(out, ignore_index=True)
+
+    schema = f"qid {df.schema[id_col].dataType.simpleString()}, own string, cl string, s double, n long"
+    part = qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb")).applyInPandas(local, schema)
+    per = part.groupBy("qid", "own", "cl").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    own = F.col("cl") == F.col("own")
+    pts = per.groupBy("qid").agg(
+        F.max(F.when(own, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"),
+        F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"),
+        F.max(F.when(own, F.col("n"))).alias("own_n"))
+    s = F.when((F.col("own_n") > 1) & F.col("b").isNotNull(), (F.col("b") - F.col("a")) / F.greatest("a", "b")) \
+         .otherwise(F.lit(0.0))
+    return pts.agg(F.avg(s).alias("silhouette"))

@@ -1413,3 +1413,17 @@ def q_run_report(spark, sf):
     rep = run_report(res, o, "orders-total", "o_totalprice", started, parameters={"models": "linear_regression,ridge"})
     res.release()
     return rep.drop("timestamp", "start_time", "end_time", "runtime_seconds")
+
+
+@query("silhouette", """
+WITH e AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+d AS (SELECT a.vec_id, a.label AS own, b.label AS cl, sum(list_distance(a.x, b.x)) AS s, count(*) AS n
+      FROM e a, e b WHERE a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+p AS (SELECT vec_id, max(CASE WHEN cl = own THEN s / n END) AS a, min(CASE WHEN cl <> own THEN s / n END) AS b,
+             max(CASE WHEN cl = own THEN n END) AS own_n FROM d GROUP BY vec_id)
+SELECT round(avg(CASE WHEN own_n IS NOT NULL AND b IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0.0 END), 6) AS silhouette
+FROM p""")
+def q_silhouette(spark, sf):
+    from tabforge.operators import neighbors as NB
+    e = t(spark, sf, "embeddings")
+    return rnd(NB.silhouette_euclidean(e, "vec_id", "embedding", "label"))

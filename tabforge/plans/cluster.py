@@ -26,6 +26,17 @@ from tabforge.operators import neighbors as NB
 from tabforge.plans.prepare import fit_preparation
 
 CLUSTER_MODELS = ("kmeans", "hierarchical", "gaussian_mixture", "dbscan", "birch")
+EXACT_SILHOUETTE_PAIRS = 1e10     # up to 100k rows the Euclidean silhouette is exact (O(n^2) work)
+
+
+def silhouette_for(labelled: DataFrame, id_col: str, vec: str, label: str, squared: float | None) -> float | None:
+    """Euclidean silhouette over non-noise rows when its O(n^2) work is within the bound, else
+    the squared-Euclidean closed form (already computed by the caller)."""
+    data = labelled.where(F.col(label) >= 0)
+    n = data.count()
+    if n * n > EXACT_SILHOUETTE_PAIRS or data.select(label).distinct().limit(2).count() < 2:
+        return squared
+    return NB.silhouette_euclidean(data, id_col, vec, label).first()[0]
 
 
 @dataclass
@@ -119,7 +130,8 @@ def choose_k(feats: DataFrame, id_col: str, k_range=(2, 15), n_init: int = 10, s
         m = _kmeans(feats, k, n_init, seed)
         lab = m.transform(feats).select(id_col, vector_to_array("features").alias("x"), F.col("prediction").alias("c"))
         s = M.clustering_scores(lab, "x", "c").first()
-        return (k, float(m.summary.trainingCost), s["silhouette_sq"], s["calinski_harabasz"], s["davies_bouldin"])
+        sil = silhouette_for(lab, id_col, "x", "c", s["silhouette_sq"])
+        return (k, float(m.summary.trainingCost), sil, s["calinski_harabasz"], s["davies_bouldin"])
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         rows = list(ex.map(one, ks))
@@ -233,10 +245,11 @@ def cluster(df: DataFrame, id_col: str, cols=None, n_clusters: int | None = None
             fitted[name] = m
             scored = lab.join(feats.select(id_col, vector_to_array("features").alias("x")), id_col)
             s = M.clustering_scores(scored, "x", "cluster").first()
+            sil = silhouette_for(scored, id_col, "x", "cluster", s["silhouette_sq"]) if s["n_clusters"] >= 2 else None
             sizes = lab.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
                             F.sum(F.when(F.col("cluster") < 0, 1).otherwise(0)).alias("noise")).first()
             rows.append((name, order, True, None, time.time() - t0, int(sizes["k"]), int(sizes["noise"] or 0),
-                         s["silhouette_sq"], s["calinski_harabasz"], s["davies_bouldin"], s["inertia"]))
+                         sil, s["calinski_harabasz"], s["davies_bouldin"], s["inertia"]))
             lab = lab.withColumn("model", F.lit(name))
             labels = lab if labels is None else labels.unionByName(lab)
         except Exception as e:  # noqa: BLE001 - failure isolation (H12)

@@ -71,3 +71,15 @@ def test_silhouette_variants(spark):
     s = M.clustering_scores(df, "x", "c").first()
     assert s["n_clusters"] == 3 and s["calinski_harabasz"] > 10 and s["davies_bouldin"] < 0.5
     assert 0.9 < s["silhouette_sq"] <= 1.0
+
+
+def test_blocked_euclidean_silhouette_matches_brute_force(spark):
+    from tabforge.operators import neighbors as NB
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(c * 3, 1, 3)], int(c)) for i, c in enumerate(rng.integers(0, 3, 90))]
+    rows.append((999, [50.0, 50.0, 50.0], 7))                     # a singleton cluster scores 0
+    df = spark.createDataFrame(rows, "id long, x array<double>, c int")
+    exact = M.silhouette_exact_small(df, "x", "c")
+    got = NB.silhouette_euclidean(df, "id", "x", "c", block_rows=13).first()[0]
+    assert got == pytest.approx(exact, rel=1e-9)
