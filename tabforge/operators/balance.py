@@ -9,8 +9,6 @@ blocked k-NN operator; no class is gathered into one task.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 

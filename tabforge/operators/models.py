@@ -24,7 +24,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabforge.operators.quantiles import long_values  # noqa: F401  (re-export for callers)
 
 # Default model parameters of the reference configuration.
 REGRESSION_DEFAULTS = {

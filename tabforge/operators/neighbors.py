@@ -13,8 +13,6 @@ explicit error instead of a silent cap or an approximate answer.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabforge.session import cut_lineage, ship_package

@@ -12,7 +12,7 @@ import copy
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabforge.functions import dates as D
