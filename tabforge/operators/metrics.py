@@ -209,6 +209,8 @@ def ranking_metrics(df: DataFrame, label: str, score: str, positive=None, bucket
         positive = df.select(F.max(F.col(label).cast("string"))).first()[0]
     ship_package(spark)
     sc = _score_table(df, label, score, positive)
+    # one pandas group per score bucket: keep every bucket near a million distinct scores at most
+    buckets = max(buckets, math.ceil(sc.count() / 1_000_000))
     b, _ = _bucketed(sc, buckets)
     b = b.persist()
     tot = b.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn")).collect()

@@ -243,18 +243,35 @@ def fill_series(df: DataFrame, cols: Sequence[str], order_cols: Sequence[str], k
 # ---------------------------------------------------------------- adjacent-pair statistics
 
 def _adjacent_partials(it):
+    """One summary row per partition (sorted by the order column, so batches arrive as
+    consecutive slices; steps across batch borders are included)."""
     import numpy as np
     import pandas as pd
+    n, o_first, first, last = 0, None, None, None
+    up = down = 0
+    dmin = dmax = None
+    s1 = s2 = 0.0
     for pdf in it:
         if len(pdf) == 0:
             continue
-        v = pdf.sort_values(["o"])["v"].to_numpy(dtype="float64")
+        v = pdf["v"].to_numpy(dtype="float64")
         d = np.diff(v)
-        yield pd.DataFrame({
-            "o_first": [float(pdf["o"].min())], "n": [len(v)], "first": [v[0]], "last": [v[-1]],
-            "n_up": [int((d > 0).sum())], "n_down": [int((d < 0).sum())],
-            "dmin": [float(d.min()) if len(d) else None], "dmax": [float(d.max()) if len(d) else None],
-            "s1": [float(d.sum())], "s2": [float((d * d).sum())]})
+        if last is not None:
+            d = np.concatenate([[v[0] - last], d])
+        if len(d):
+            up += int((d > 0).sum())
+            down += int((d < 0).sum())
+            dmin = float(d.min()) if dmin is None else min(dmin, float(d.min()))
+            dmax = float(d.max()) if dmax is None else max(dmax, float(d.max()))
+            s1 += float(d.sum())
+            s2 += float((d * d).sum())
+        if o_first is None:
+            o_first, first = float(pdf["o"].iloc[0]), float(v[0])
+        last = float(v[-1])
+        n += len(v)
+    if n:
+        yield pd.DataFrame({"o_first": [o_first], "n": [n], "first": [first], "last": [last], "n_up": [up],
+                            "n_down": [down], "dmin": [dmin], "dmax": [dmax], "s1": [s1], "s2": [s2]})
 
 
 def adjacent_stats(df: DataFrame, order_col: str, value_col: str, partitions: int | None = None) -> dict:
@@ -269,7 +286,7 @@ def adjacent_stats(df: DataFrame, order_col: str, value_col: str, partitions: in
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ship_package(spark)
     base = df.select(F.col(order_col).cast("double").alias("o"), F.col(value_col).cast("double").alias("v"))
-    rows = (base.repartitionByRange(parts, "o")
+    rows = (base.repartitionByRange(parts, "o").sortWithinPartitions("o")
             .mapInPandas(_adjacent_partials, "o_first double, n long, first double, last double, n_up long, "
                                              "n_down long, dmin double, dmax double, s1 double, s2 double")
             .collect())

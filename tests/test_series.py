@@ -1,6 +1,7 @@
 """Block + halo windows equal plain per-key windows; fills and sums carry across blocks."""
 
 import numpy as np
+import pytest
 import pandas as pd
 
 from pyspark.sql import functions as F
@@ -123,3 +124,23 @@ def test_monotonic_and_duplicates(spark):
     m = S.monotonic_check(df, "ts", "seq")
     assert m["increasing"] and not m["decreasing"]
     assert S.duplicate_count(df, "ts").first()[0] == 5
+
+
+def test_partition_summaries_span_many_arrow_batches(spark):
+    """Gap and step statistics stay exact when a partition arrives as many Arrow batches."""
+    from tabforge.operators.profile import gap_stats
+    rng = np.random.default_rng(11)
+    vals = np.unique(rng.normal(0, 10, 3000).round(3))
+    df = spark.createDataFrame([(float(v),) for v in rng.permutation(vals)], "x double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        g = gap_stats(df, "x", partitions=3)
+        s = S.adjacent_stats(df.withColumn("o", F.col("x")), "o", "x", partitions=3)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    gaps = np.diff(np.sort(vals))
+    assert g["n_unique"] == len(vals)
+    assert g["gap_mean"] == pytest.approx(gaps.mean()) and g["gap_std"] == pytest.approx(gaps.std())
+    assert s["n_down"] == 0 and s["n_up"] == len(vals) - 1
+    assert s["step_min"] == pytest.approx(gaps.min()) and s["step_max"] == pytest.approx(gaps.max())
