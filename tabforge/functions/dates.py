@@ -32,10 +32,15 @@ def date_flags(c: str) -> dict[str, Column]:
     }
 
 
+def _micros_since_sql(c: str, ref: str) -> str:
+    """Microseconds from a wall-clock reference to ``c`` on wall-clock (timezone-free) time,
+    so the result does not depend on the session time zone or daylight-saving shifts."""
+    return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '{ref}', CAST(`{c}` AS TIMESTAMP_NTZ))"
+
+
 def days_between(c: str, ref: str) -> Column:
     """Whole days from a reference timestamp, floored like a pandas timedelta's ``.days``."""
-    micros = F.unix_micros(F.col(c).cast("timestamp")) - F.unix_micros(F.lit(ref).cast("timestamp"))
-    return F.floor(micros / F.lit(86_400_000_000)).cast("long")
+    return F.expr(f"CAST(floor({_micros_since_sql(c, ref)} / 86400000000) AS BIGINT)")
 
 
 def days_from_epoch(c: str) -> Column:
@@ -97,7 +102,6 @@ def datetime_feature_sql(c: str, with_time: bool, date_features: bool = True, cy
             out[f"{c}_hour_sin"] = f"sin(2 * pi() * hour({q}) / 24)"
             out[f"{c}_hour_cos"] = f"cos(2 * pi() * hour({q}) / 24)"
     for name, ref in (ref_dates or {}).items():
-        out[f"{c}_days_from_{name}"] = (f"CAST(floor((unix_micros(CAST({q} AS TIMESTAMP)) - "
-                                        f"unix_micros(TIMESTAMP '{ref}')) / 86400000000) AS BIGINT)")
-    out[f"{c}_days_from_epoch"] = f"CAST(floor(unix_micros(CAST({q} AS TIMESTAMP)) / 86400000000) AS BIGINT)"
+        out[f"{c}_days_from_{name}"] = f"CAST(floor({_micros_since_sql(c, ref)} / 86400000000) AS BIGINT)"
+    out[f"{c}_days_from_epoch"] = f"CAST(floor({_micros_since_sql(c, '1970-01-01 00:00:00')} / 86400000000) AS BIGINT)"
     return out
