@@ -331,21 +331,24 @@ def infer_frequency(df: DataFrame, ts_col: str) -> str | None:
     Fixed-length steps map to S/T/H/D/W; calendar steps on month starts to MS/QS/AS and
     on month ends to M/Q/A; weekday-only dates with 1- or 3-day steps to B.
     """
-    t = F.col(ts_col).cast("timestamp")
-    dist = df.select(t.alias("t")).where(F.col("t").isNotNull()).distinct()
+    # wall-clock time (timestamp without time zone): steps do not change with the session
+    # time zone or daylight-saving shifts
+    t = F.col(ts_col).cast("timestamp_ntz")
+    wall = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', t)")
+    dist = df.select(t.alias("t")).where(F.col("t").isNotNull()).distinct().withColumn("s", wall)
     flags = dist.agg(F.count(F.lit(1)).alias("n"),
                      F.min(F.dayofmonth("t")).alias("dmin"), F.max(F.dayofmonth("t")).alias("dmax"),
                      F.min(F.when(F.to_date("t") == F.last_day("t"), 1).otherwise(0)).alias("all_me"),
-                     F.max(F.unix_micros("t") % 86_400_000_000).alias("tod"),
+                     F.max(F.pmod(F.col("s"), F.lit(86_400))).alias("tod"),
                      F.max(F.when(F.weekday("t") >= 5, 1).otherwise(0)).alias("weekend")).first()
     if flags["n"] < 3:
         return None
-    secs = dist.select(F.unix_seconds("t").alias("o"))
+    secs = dist.select(F.col("s").alias("o"))
     s = adjacent_stats(secs.withColumn("v", F.col("o")), "o", "v")
     fixed = {1: "S", 60: "T", 3600: "H", 86400: "D", 7 * 86400: "W"}
     if s["step_min"] == s["step_max"] and s["step_min"] in fixed:
         return fixed[s["step_min"]]
-    months = dist.select(F.unix_seconds("t").alias("o"), (F.year("t") * 12 + F.month("t")).alias("v"))
+    months = dist.select(F.col("s").alias("o"), (F.year("t") * 12 + F.month("t")).alias("v"))
     m = adjacent_stats(months, "o", "v")
     if m["step_min"] == m["step_max"] and flags["tod"] == 0:
         step = int(m["step_min"])
