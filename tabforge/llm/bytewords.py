@@ -88,12 +88,28 @@ def words(raw: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndar
     return s, e, np.searchsorted(off, s, "right") - 1
 
 
-def word_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
+def hasher(raw: np.ndarray):
+    """A function (starts, ends) -> 64-bit hashes of those spans of the bytes."""
     p, inv = powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[:len(raw)], out=sums[1:])
-    return mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def of(s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return of
+
+
+def word_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    return hasher(raw)(s, e)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
 
 
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -119,7 +135,7 @@ def shingles(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     for i in range(len(off) - 1):
         a, b = first[i], first[i + 1]
         if b - a >= k:
-            out.append(np.unique(rolled[a:b - k + 1]))
+            out.append(distinct(rolled[a:b - k + 1]))
         elif b > a:
             x = (h[a:b] * _WEIGHTS[:b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
             out.append(mix(np.array([x], np.uint64)))

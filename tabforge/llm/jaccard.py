@@ -289,9 +289,10 @@ def _edges(edges) -> pa.RecordBatch:
 
 
 def jaccard_groups(documents: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, th) for every row: components of the documents linked at num/den.
+    """(doc_id, n_shingles, component_id, th, grp) for every row: components of the documents linked at num/den.
 
-    ``th`` is the xxhash64 of the text, which with doc_id names the row. Equal sets are linked. NULL and empty
+    ``th`` is the xxhash64 of the text, which with doc_id names the row, and ``grp`` a number of the component, NULL
+    for texts without words. Equal sets are linked. NULL and empty
     texts have no shingles and stay alone, their component being their own id. Rows with a NULL doc_id are
     linked like others and are only left out of the smallest id (NULL if no other is there); repeated
     rows are equal sets. Other columns are ignored; an empty table gives no rows.
@@ -329,6 +330,6 @@ def jaccard_groups(documents: DataFrame, k: int = 4, num: int = 85, den: int = 1
     full = base.where("n > 0").join(found, base.node == found.node, "left").select(
         "doc_id", "th", "n", F.coalesce("component", base.node).alias("g"))
     lowest = full.groupBy("g").agg(F.min("doc_id").alias("component_id"))
-    return (full.join(lowest, "g").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "th")
-            .unionByName(base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"),
-                                                    F.col("doc_id").alias("component_id"), "th")))
+    return (full.join(lowest, "g").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "th", F.col("g").alias("grp"))
+            .unionByName(base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+                                                    "th", F.lit(None).cast("long").alias("grp"))))

@@ -3,15 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from .packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ftrl import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linedup import dedup_lines
+    return dedup_lines(table(spark, sf_dir, "documents")).selectExpr(
+        "doc_id", "__lines as n_lines", "__removed as n_removed", "text")
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_groups
-    return jaccard_groups(table(spark, sf_dir, "documents")).drop("th")
+    return jaccard_groups(table(spark, sf_dir, "documents")).drop("th", "grp")
 
 
-QUERIES = {f.__name__: f for f in (op10_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op4_line_dedup, op8_mix_sources, op9_quality,
+                                   op10_jaccard_join)}
 ORACLE: dict[str, str] = {}
