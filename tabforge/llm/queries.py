@@ -13,6 +13,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from .chat import format_conversations, read_back
+    text = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_back(format_conversations(turns, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ftrl import toxicity
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -24,6 +33,21 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "__lines as n_lines", "__removed as n_removed", "text")
 
 
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprints
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -39,6 +63,41 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents")).drop("th", "grp")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_toxicity, op4_line_dedup, op8_mix_sources, op9_quality,
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_toxicity, op4_line_dedup, op5_pii_spans,
+                                   op6_embedding_dedup, op7_minhash_fingerprints,
+                                   op8_mix_sources, op9_quality,
                                    op10_jaccard_join)}
-ORACLE: dict[str, str] = {}
+
+#: op2: the template's escapes only lengthen the text, so its length is that of the parts.
+_OP2 = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+escaped AS (
+    SELECT *, replace(replace(replace(replace(replace(role, '\', '\\'), '<|turn|>', '\b'), '<|text|>', '\c'), '</turn>', '\e'),
+                      '<|endoftext|>', '\x') AS r,
+              replace(replace(replace(replace(replace(text, '\', '\\'), '<|turn|>', '\b'), '<|text|>', '\c'), '</turn>', '\e'),
+                      '<|endoftext|>', '\x') AS t
+    FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(r) + length(t) + length('<|turn|><|text|></turn>') + 1) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+_OP6 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+           embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine
+    FROM embeddings),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.fine AND b.fine AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, g.component_id, v.vec_id = g.component_id AS kept
+FROM v JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) g ON g.a = v.vec_id
+"""
+ORACLE: dict[str, str] = {"op2_chat_format": _OP2, "op6_embedding_dedup": _OP6}
