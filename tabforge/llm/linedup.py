@@ -5,11 +5,11 @@ borders follow from the lines alone, so that text before or after doesn't shift
 ``WINDOW`` lines cuts where it is 0 modulo ``DIVISOR``; and since the first and the last cut of a passage
 leave its edges in a chunk with their surroundings, the shortest run that begins and the one that ends at each line
 are chunks too. A chunk whose key occurs again goes, everywhere but in the document of the smallest id (there, in its
-first place), once its lines have been compared byte for byte: lines are grouped by hash and text, and a hash
-that stands for two texts counts for nothing.
+first place), once its lines have been compared byte for byte: the lines of repeated chunks are grouped by hash and text,
+and a hash that stands for two texts counts for nothing.
 
-Keys, not texts, are shuffled to find repeats, and hot keys are counted before the shuffle. The texts
-move twice: by line for the comparison, by document for the rewriting.
+Keys, not texts, are shuffled to find repeats, and hot keys are counted before the shuffle. Whole texts move
+once, to the spans found in them; of these, the lines of repeated chunks move again for the comparison.
 """
 
 from __future__ import annotations
@@ -84,19 +84,25 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["id", "th", "first", "end", "k1", "k2"])
 
 
+def _found(spans) -> list[tuple[int, int, bool, int, int]]:
+    return [(s["first"], s["end"], s["here"], s["k1"], s["k2"]) for s in spans or ()]
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of the repeated chunks, with their hashes."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            h1, h2, texts = [], [], []
-            for text in batch.column("text").slice(at, 256).to_pylist():
-                lines, hashes, _ = hash_lines(text)
-                for line, h in zip(lines, hashes):
-                    a, b = _two(h)
-                    h1.append(a)
-                    h2.append(b)
-                    texts.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(texts, pa.string())],
-                                             names=["h1", "h2", "line"])
+        h1, h2, texts = [], [], []
+        for text, spans in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()):
+            if not spans:
+                continue
+            lines, hashes, _ = hash_lines(text)
+            for i in sorted({i for s in _found(spans) for i in range(s[0], s[1])}):
+                a, b = _two(hashes[i])
+                h1.append(a)
+                h2.append(b)
+                texts.append(lines[i])
+        yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(texts, pa.string())],
+                                         names=["h1", "h2", "line"])
 
 
 def dropped_lines(spans: list[tuple[int, int, bool, int, int]]) -> set[int]:
@@ -117,13 +123,14 @@ def dropped_lines(spans: list[tuple[int, int, bool, int, int]]) -> set[int]:
     return gone
 
 
-def _rewrite(names: list[str], wrong: frozenset):
+def _rewrite(names: list[str]):
     def run(batches):
         for batch in batches:
             texts, n, lost = [], [], []
+            wrong = {(x["h1"], x["h2"]) for x in (batch.column("__wrong")[0].as_py() if batch.num_rows else None) or ()}
             for text, spans in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist()):
                 lines = (text or "").split("\n")
-                found = [(s["first"], s["end"], s["here"], s["k1"], s["k2"]) for s in spans or ()]
+                found = _found(spans)
                 if wrong and found:
                     bad = [_two(h) in wrong for h in hash_lines(text)[1]]
                     found = [s for s in found if not any(bad[s[0]:s[1]])]
@@ -137,17 +144,13 @@ def _rewrite(names: list[str], wrong: frozenset):
     return run
 
 
-def two_texts(documents: DataFrame) -> frozenset:
-    """Hashes of lines that stand for more than one text: the byte comparison of all lines.
+def two_texts(joined: DataFrame) -> DataFrame:
+    """One row: the hashes of lines of repeated chunks that stand for more than one text.
 
-    A collision of 128-bit BLAKE2 is not known to exist, so there is nothing to collect; more than
-    a few mean that the hash is broken, which is an error.
+    This is the byte comparison. A collision of 128-bit BLAKE2 is not known to exist, so the list is empty.
     """
-    rows = (documents.where("text is not null").select("text").mapInArrow(_lines, "h1 long, h2 long, line string")
-            .groupBy("h1", "h2", "line").agg(F.lit(1).alias("one")).groupBy("h1", "h2").count().where("count > 1").limit(1001).collect())
-    if len(rows) > 1000:
-        raise ValueError("line hashes collide")
-    return frozenset((r["h1"], r["h2"]) for r in rows)
+    return (joined.mapInArrow(_lines, "h1 long, h2 long, line string").groupBy("h1", "h2", "line").agg(F.lit(1).alias("one"))
+            .groupBy("h1", "h2").count().where("count > 1").agg(F.collect_list(F.struct("h1", "h2"))))
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
@@ -165,10 +168,10 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     spans = (keys.join(again, ["k1", "k2"])
              .groupBy("id", "th").agg(F.collect_set(F.struct(
                  "first", "end", (F.col("id") == F.col("keeper")).alias("here"), "k1", "k2")).alias("__spans")))
-    wrong = two_texts(documents)
     names = documents.columns
     left = documents.withColumns({"__id": ident, "__th": F.xxhash64("text"), "__text": F.col("text")})
     both = left.join(spans, (F.col("__id") == spans["id"]) & (F.col("__th") == spans["th"]), "left").select(
         *[left[c] for c in names if c != "text"], "__text", "__spans")
     out = T.StructType([*documents.schema.fields, T.StructField("__lines", T.LongType()), T.StructField("__removed", T.LongType())])
-    return both.mapInArrow(_rewrite(names, wrong), out)
+    # the comparison and the rewriting read the same shuffle of the texts
+    return both.withColumn("__wrong", two_texts(both).scalar()).mapInArrow(_rewrite(names), out)

@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tabforge.llm.linedup import chunks, dedup_lines, hash_lines
 
 
@@ -88,3 +90,17 @@ def test_chunks_are_shift_resistant():
     a, b = keys(["x y", "z"]), keys(["other " * 70])
     inside = {k for k in a if all(x in passage for x in k.split("\n"))}
     assert len(inside & b) >= 0.9 * len(inside)
+
+
+def test_byte_comparison(spark, monkeypatch):
+    """Chunks with a line whose hash stands for two texts are not removed."""
+    import tabforge.llm.linedup as L
+    rnd = random.Random(2)
+    rows = [(i, " ".join(f"u{rnd.randrange(10**6)}" for _ in range(60))) for i in range(4)]
+    spans = spark.createDataFrame([(d, t, [(0, 1, d == 0, 7, 7)]) for d, t in rows],
+                                  "doc_id long, __text string, __spans array<struct<first:int,end:int,here:boolean,k1:long,k2:long>>")
+    assert L.two_texts(spans).first()[0] == []
+    h = L._two(hash_lines(rows[1][1])[1][0])
+    batch = spans.withColumn("__wrong", F.array(F.struct(F.lit(h[0]).alias("h1"), F.lit(h[1]).alias("h2"))))
+    out = batch.mapInArrow(L._rewrite(["doc_id", "text"]), "doc_id long, text string, __lines long, __removed long").collect()
+    assert sorted((r["doc_id"], r["__removed"]) for r in out) == [(0, 0), (1, 0), (2, 1), (3, 1)]
