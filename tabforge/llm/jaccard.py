@@ -251,7 +251,8 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, leaf: int = 48, pivots
         # replicate to every cell that a neighbour within eps may call home
         cells = [at[d[i] <= d.min(axis=0) + 2 * eps + 1e-9] for i in range(len(chosen))
                  if (d.argmin(axis=0) == i).any()]
-        if max(map(len, cells)) > 0.8 * len(at):
+        # where the windows cover most of the region, cells would repeat its work instead of dividing it
+        if sum(map(len, cells)) > 1.25 * len(at):
             return flood(at)
         for cell in cells:
             region(cell)
