@@ -31,16 +31,18 @@ def _empty(x: Column) -> Column:
 
 def add_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """The rows with column ``out``: the packed bins as an array of longs, empty for texts without words."""
-    blank = " \t\n\x0b\x0c\r"
-    df = df.withColumn(f"{out}_t", F.lower(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(blank))))
-    df = df.withColumn(f"{out}_w", F.when(F.col(f"{out}_t") == "", F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.split(f"{out}_t", "[\\x20\\x09-\\x0D]+"), lambda w: F.xxhash64(w))))
+    # the edges of a text give empty words
+    df = df.withColumn(f"{out}_t", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\x20\\x09-\\x0D]+"))
+    t = F.col(f"{out}_t")
+    skip = F.when(F.get(t, F.lit(0)) == "", F.lit(1)).otherwise(F.lit(0))
+    last = F.when(F.get(t, F.size(t) - 1) == "", F.lit(1)).otherwise(F.lit(0))
+    df = df.withColumn(f"{out}_w", F.transform(F.slice(t, skip + 1, F.greatest(F.size(t) - skip - last, F.lit(0))), lambda w: F.xxhash64(w)))
     w = F.col(f"{out}_w")
     n = F.size(w)
     shingles = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, SHINGLE)])),
                        F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(0)))
     df = df.withColumn(f"{out}_s", F.sort_array(F.concat(
-        F.when(n == 0, F.array().cast("array<bigint>")).when(n < SHINGLE, F.array(F.xxhash64(w))).otherwise(shingles), _sentinels())))
+        F.when((n > 0) & (n < SHINGLE), F.array(F.xxhash64(w))).otherwise(shingles), _sentinels())))
     s = F.col(f"{out}_s")
     df = df.withColumn(f"{out}_b", F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, 56) != F.shiftright(F.get(s, i - 1), 56))))
     b = F.col(f"{out}_b")
@@ -56,7 +58,8 @@ def add_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     packed = F.transform(F.sequence(F.lit(0), F.lit(BINS // _PER_LONG - 1)), lambda g: F.aggregate(
         F.slice(d, g * _PER_LONG + 1, F.lit(_PER_LONG)), F.lit(0).cast("long"),
         lambda acc, x: F.shiftleft(acc, BITS).bitwiseOR(x.bitwiseAND(F.lit((1 << BITS) - 1)))))
-    return (df.withColumn(out, F.when(F.size(full) == 0, F.array().cast("array<bigint>")).otherwise(packed))
+    # a second mention of d keeps the optimizer from pasting it into the lambda, which would draw anew for each group
+    return (df.withColumn(out, F.when((F.size(full) == 0) | (F.size(d) == 0), F.slice(d, F.lit(1), F.lit(0))).otherwise(packed))
             .drop(*[f"{out}_{x}" for x in "twsbfd"]))
 
 
