@@ -13,7 +13,7 @@ often last (any order gives the same result; this one keeps licence lines from m
    spanning forest per region, never its pairs; regions of more than ``BLOCK`` rows run as pairs of blocks.
 3. The forests' components are the inner regions, which join exactly on whole sets: document pivots
    make Voronoi cells, a document is replicated into every cell within ``2 * eps`` of its own, and
-   cells join recursively (``link_sets``). They too run as pairs of blocks beyond ``BLOCK`` documents.
+   cells join recursively (``link_sets``). They too run as pairs of blocks beyond ``BLOCK_SHINGLES``.
 4. Components of the links, by distributed star rounds.
 """
 
@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import buffers, mix, pieces, shingles
+from .bytewords import buffers, distinct, mix, pieces, shingles
 from .common import connected_components, stash, workers
 
 #: Documents whose shingles are counted for the global order, and the most frequent shingles kept.
 ORDER_SAMPLE, ORDER_KEPT = 8_000, 1 << 17
-#: Rows of a region, or documents of a cluster, that one task joins at once.
-BLOCK = 4096
+#: Rows of a region, and shingles of a cluster, in a block; a task joins two blocks at once.
+BLOCK, BLOCK_SHINGLES = 4096, 3 << 20
 CLASSES = 64
 _U = np.uint64
 
@@ -102,9 +102,9 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.array([r[1] for r in rows], np.int64)[order]
 
 
-def _in_blocks(df: DataFrame, group: str, size: str, node: str) -> DataFrame:
-    """Rows dealt to work units: the group itself, or each pair of blocks of a large group."""
-    nb = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
+def _in_blocks(df: DataFrame, size: str, block: int, node: str) -> DataFrame:
+    """Rows dealt to work units: the group itself, or each pair of blocks of a group whose size is above a block's."""
+    nb = F.ceil(F.col(size) / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64(F.col(node), F.lit(5)), F.col("nb").cast("bigint")).cast("int")
     unit = F.when(F.col("nb") == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: o != F.col("mine")),
@@ -202,24 +202,24 @@ class _Sets:
 
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets) if sets else np.zeros(0, _U)
-        vocabulary, ids = np.unique(flat, return_inverse=True)
-        cuts = np.concatenate([[0], np.cumsum(self.size)])
-        self.rows = [ids[cuts[i]:cuts[i + 1]] for i in range(len(sets))]
-        self.mark = np.zeros(len(vocabulary), bool)
-
-    def shared(self, x: int, others: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections of x with the others (none of which is empty)."""
-        self.mark[self.rows[x]] = True
-        lengths = self.size[others]
-        got = np.add.reduceat(self.mark[np.concatenate([self.rows[y] for y in others])].astype(np.int64),
-                              np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-        self.mark[self.rows[x]] = False
+        vocabulary = distinct(np.concatenate(sets)) if sets else np.zeros(0, _U)
+        self.rows = [np.searchsorted(vocabulary, s).astype(np.int32) for s in sets]
+        self.mark = np.zeros(len(vocabulary), np.uint8)
+
+    def together(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of some sets, none of which is empty, as one array with their lengths."""
+        return np.concatenate([self.rows[y] for y in at]), self.size[at]
+
+    def shared(self, x: int, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of x with those sets."""
+        self.mark[self.rows[x]] = 1
+        got = np.add.reduceat(self.mark[flat], np.concatenate([[0], np.cumsum(lengths)[:-1]]), dtype=np.int64)
+        self.mark[self.rows[x]] = 0
         return got
 
-    def distances(self, x: int, others: np.ndarray) -> np.ndarray:
-        both = self.shared(x, others)
-        return 1.0 - both / (self.size[x] + self.size[others] - both)
+    def distances(self, x: int, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        both = self.shared(x, flat, lengths)
+        return 1.0 - both / (self.size[x] + lengths - both)
 
 
 def link_sets(sets: list[np.ndarray], num: int, den: int, leaf: int = 48, pivots: int = 8) -> list[tuple[int, int]]:
@@ -228,26 +228,35 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, leaf: int = 48, pivots
     out: list[tuple[int, int]] = []
 
     def flood(at: np.ndarray) -> None:
-        left = at
-        while len(left):
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                x = queue.pop()
-                both = s.shared(x, left)
-                near = den * both >= num * (s.size[x] + s.size[left] - both)
-                out.extend((int(x), int(y)) for y in left[near])
-                queue += list(left[near])
-                left = left[~near]
+        flat, lengths = s.together(at)
+        queue: list[int] = []
+        while len(at):
+            if not queue:
+                queue.append(int(at[0]))
+                flat, lengths, at = flat[lengths[0]:], lengths[1:], at[1:]
+                continue
+            x = queue.pop()
+            both = s.shared(x, flat, lengths)
+            near = den * both >= num * (s.size[x] + lengths - both)
+            if near.any():
+                out.extend((x, int(y)) for y in at[near])
+                queue += [int(y) for y in at[near]]
+                flat, lengths, at = flat[np.repeat(~near, lengths)], lengths[~near], at[~near]
 
     def region(at: np.ndarray) -> None:
         if len(at) <= leaf:
             return flood(at)
-        chosen, to = [int(at[0])], [s.distances(int(at[0]), at)]
-        while len(chosen) < pivots and (far := int(np.argmax(np.min(to, axis=0)))) is not None \
-                and np.min(to, axis=0)[far] > eps:
+        flat, lengths = s.together(at)
+        chosen, to = [int(at[0])], [s.distances(int(at[0]), flat, lengths)]
+        while len(chosen) < pivots:
+            nearest = np.min(to, axis=0)
+            far = int(np.argmax(nearest))
+            if nearest[far] <= eps:
+                break
             chosen.append(int(at[far]))
-            to.append(s.distances(int(at[far]), at))
+            to.append(s.distances(int(at[far]), flat, lengths))
         d = np.array(to)
+        del flat, to
         # replicate to every cell that a neighbour within eps may call home
         cells = [at[d[i] <= d.min(axis=0) + 2 * eps + 1e-9] for i in range(len(chosen))
                  if (d.argmin(axis=0) == i).any()]
@@ -313,17 +322,18 @@ def jaccard_groups(documents: DataFrame, k: int = 4, num: int = 85, den: int = 1
     shared = visits.groupBy("key").agg(F.count("*").alias("c")).where("c >= 2")
     visits = visits.join(shared, "key")
     about = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("classes").alias("classes"))
-    region = _in_blocks(visits.join(about, "node"), "key", "c", "node")
+    region = _in_blocks(visits.join(about, "node"), "c", BLOCK, "node")
     maybe = (region.repartition(parts, "key", "unit").sortWithinPartitions("key", "unit", "n", "node")
              .mapInArrow(_region_links(num, den), "a long, b long"))
     clusters = connected_components(maybe).withColumnsRenamed({"component": "cluster"})
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("c"))
-    place = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("r"))
-    members = clusters.join(sizes, "cluster").join(place, "node").select(
+    place = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th", "n")).alias("r"))
+    clusters = clusters.join(place, "node")
+    sizes = clusters.groupBy("cluster").agg(F.sum("r.n").alias("c"))
+    members = clusters.join(sizes, "cluster").select(
         "cluster", "c", "node", F.col("r.doc_id").alias("rid"), F.col("r.th").alias("rth"))
     texts = (docs.join(members, docs.doc_id.eqNullSafe(members.rid) & (docs.th == members.rth))
              .select("cluster", "c", "node", "text"))
-    work = _in_blocks(texts, "cluster", "c", "node")
+    work = _in_blocks(texts, "c", BLOCK_SHINGLES, "node")
     links = (work.repartition(parts, "cluster", "unit").sortWithinPartitions("cluster", "unit", "node")
              .mapInArrow(_cluster_links(k, num, den), "a long, b long"))
     found = connected_components(links)

@@ -81,6 +81,7 @@ def test_empty_table(spark):
 def test_blocks_of_a_large_region(spark, monkeypatch):
     import tabforge.llm.jaccard as J
     monkeypatch.setattr(J, "BLOCK", 3)
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 1000)
     rows = corpus(seed=5, families=5, size=25)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(df) == brute(rows)
