@@ -267,7 +267,9 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, leaf: int = 48, pivots
             region(cell)
         return None
 
-    region(np.flatnonzero(s.size > 0))
+    some = np.flatnonzero(s.size > 0)
+    if len(some):
+        region(some)
     return out
 
 
