@@ -6,7 +6,7 @@ regions are those of its first ``n - ceil(t*n) + 1`` shingles in one global orde
 the threshold ``t`` meet in at least one of them. The order puts shingles that a bounded sample of documents shows
 often last (any order gives the same result; this one keeps licence lines from making large regions).
 
-1. One scan gives each document its set's digest, size, first shingles and 64 class counts. Equal sets become
+1. One scan gives each document its set's digest, size, first shingles and class counts. Equal sets become
    one node.
 2. Per region, triangle inequality: the class counts are coordinates that change by at most one per shingle
    added or removed, so their L1 distance bounds ``|x ^ y|`` from below, as do the sizes. What survives gives a
@@ -33,7 +33,8 @@ from .common import connected_components, stash, workers
 ORDER_SAMPLE, ORDER_KEPT = 8_000, 1 << 17
 #: Rows of a region, and shingles of a cluster, in a block; a task joins two blocks at once.
 BLOCK, BLOCK_SHINGLES = 4096, 3 << 20
-CLASSES = 64
+#: Class counts of a small set; larger ones have one class for 8 to 16 shingles, so that unrelated sets differ in most.
+CLASSES, CLASSES_MOST = 64, 4096
 _U = np.uint64
 
 
@@ -45,6 +46,21 @@ def digest(h: np.ndarray) -> int:
     return int(mix(np.array([x ^ _U(len(h))], _U)).view(np.int64)[0])
 
 
+def class_counts(h: np.ndarray) -> np.ndarray:
+    """Numbers of members by class, a power of two of them; a count above 255 stays there."""
+    c = CLASSES
+    while c < CLASSES_MOST and 16 * c < len(h):
+        c *= 2
+    return np.minimum(np.bincount((h & _U(c - 1)).astype(np.int64), minlength=c), 255).astype(np.uint8)
+
+
+def folded(classes: np.ndarray, c: int = CLASSES) -> np.ndarray:
+    """The counts as c classes, no more than there are."""
+    if len(classes) == c:
+        return classes
+    return np.minimum(classes.reshape(-1, c).sum(axis=0, dtype=np.int64), 255).astype(np.uint8)
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     """Shingles among which a set of n meets every set at least num/den similar."""
     return n - (-(-num * n // den)) + 1 if n else 0
@@ -60,8 +76,7 @@ def _scan(k: int, num: int, den: int, often):
                 for h in shingles(r, o, k):
                     n.append(len(h))
                     dig.append(digest(h))
-                    classes.append(np.minimum(np.bincount((h & _U(CLASSES - 1)).astype(np.int64),
-                                                          minlength=CLASSES), 255).astype(np.uint8).tobytes())
+                    classes.append(class_counts(h).tobytes())
                     p = prefix_length(len(h), num, den)
                     if len(keys_often) and p:
                         at = np.minimum(np.searchsorted(keys_often, h), len(keys_often) - 1)
@@ -123,7 +138,7 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def forest(nodes: np.ndarray, size: np.ndarray, classes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def forest(nodes: np.ndarray, size: np.ndarray, coarse: np.ndarray, fine: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Spanning forest of the rows of a region that the bounds can't tell apart."""
     left = np.argsort(size, kind="stable")
     out = []
@@ -131,7 +146,8 @@ def forest(nodes: np.ndarray, size: np.ndarray, classes: np.ndarray, num: int, d
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = left[_possible(size[x], size[left], classes[x], classes[left], num, den)]
+            near = left[_possible(size[x], size[left], coarse[x], coarse[left], num, den)]
+            near = near[[_still(size[x], size[y], fine[x], fine[y], num, den) for y in near]] if len(near) else near
             if len(near):
                 out += [(nodes[x], nodes[y]) for y in near]
                 queue += list(near)
@@ -145,17 +161,27 @@ def _possible(sx, sy, cx, cy, num, den) -> np.ndarray:
     return (den + num) * np.maximum(d, np.abs(sx - sy)) <= (den - num) * (sx + sy)
 
 
+def _still(sx, sy, cx, cy, num, den) -> bool:
+    """The same bound on all the classes that both have."""
+    c = min(len(cx), len(cy))
+    return c == CLASSES or bool(_possible(sx, sy, folded(cx, c), folded(cy, c), num, den))
+
+
 def _region_links(num: int, den: int):
     def run(batches):
         for batch in _whole(batches, ["key", "unit"]):
             key, unit = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "unit"))
             node, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n"))
-            classes = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint8).reshape(-1, CLASSES)
+            fine = [np.frombuffer(c, np.uint8) for c in batch.column("classes").to_pylist()]
+            classes = np.stack([folded(c) for c in fine])
             runs = _runs(key, unit)
             ok = np.zeros(len(key), bool)
             for i in range(1, len(key), 65536):
                 j = min(len(key), i + 65536)
                 ok[i:j] = _possible(size[i - 1:j - 1], size[i:j], classes[i - 1:j - 1], classes[i:j], num, den)
+            ok[runs[:-1]] = False
+            for i in np.flatnonzero(ok):
+                ok[i] = _still(size[i - 1], size[i], fine[i - 1], fine[i], num, den)
             ok[runs[:-1]] = True
             bad = np.add.reduceat((~ok).astype(np.int64), runs[:-1]) if len(key) else np.zeros(0, np.int64)
             chained = np.repeat(bad == 0, np.diff(runs))
@@ -164,7 +190,7 @@ def _region_links(num: int, den: int):
             a, b = [node[at - 1]], [node[at]]
             for r in np.flatnonzero(bad):
                 i, j = runs[r], runs[r + 1]
-                got = forest(node[i:j], size[i:j], classes[i:j], num, den)
+                got = forest(node[i:j], size[i:j], classes[i:j], fine[i:j], num, den)
                 if got:
                     g = np.array(got, np.int64)
                     a.append(g[:, 0])

@@ -87,7 +87,8 @@ def test_blocks_of_a_large_region(spark, monkeypatch):
     assert found(df) == brute(rows)
 
 
-def test_link_sets_and_forest():
+def test_link_sets_and_forest(monkeypatch):
+    import tabforge.llm.jaccard as J
     rnd = np.random.default_rng(3)
     for trial in range(6):
         sets = []
@@ -114,8 +115,10 @@ def test_link_sets_and_forest():
                 low.setdefault(root(i), i)
             return [low[root(i)] for i in range(len(sets))]
         assert components(link_sets(sets, 85, 100, leaf=4 + trial)) == components(truth)
-        classes = np.array([np.bincount((s % 64).astype(int), minlength=64) for s in sets]).astype(np.uint8)
-        maybe = forest(np.arange(len(sets)), np.array([len(s) for s in sets]), classes, 85, 100)
+        monkeypatch.setattr(J, "CLASSES", [64, 8][trial % 2])
+        fine = [J.class_counts(s) for s in sets]
+        coarse = np.array([J.folded(c, J.CLASSES) for c in fine])
+        maybe = forest(np.arange(len(sets)), np.array([len(s) for s in sets]), coarse, fine, 85, 100)
         joined = components(maybe)
         assert all(joined[a] == joined[b] for a, b in truth)
 
