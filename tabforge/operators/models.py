@@ -70,15 +70,9 @@ class GaussianNBModel:
 
     def transform(self, df: DataFrame, out_col: str = "prediction") -> DataFrame:
         terms = self.log_likelihood()
-        best, best_cls = None, None
-        for cls, term in terms:           # classes in ascending order; strict '>' keeps the smallest on ties
-            if best is None:
-                best, best_cls = term, F.lit(cls)
-            else:
-                better = term > best
-                best_cls = F.when(better, F.lit(cls)).otherwise(best_cls)
-                best = F.when(better, term).otherwise(best)
-        return df.withColumn(out_col, best_cls)
+        # classes in ascending order; of equal terms the greatest struct is that of the smallest class
+        best = F.array_max(F.array(*[F.struct(t.alias("s"), F.lit(-i).alias("i")) for i, (_, t) in enumerate(terms)]))
+        return df.withColumn(out_col, F.get(F.array(*[F.lit(cls) for cls, _ in terms]), -best["i"]))
 
 
 class GaussianNB:

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabforge.session import cut_lineage, ship_package
 
-MAX_PAIRS = 5e12
+#: No bound by default; a caller may set one to fail early.
+MAX_PAIRS = None
 
 
 def _as_array(df: DataFrame, vec: str) -> DataFrame:
@@ -33,10 +34,10 @@ def _blocks(n: int, block_rows: int) -> int:
 
 
 def _prepare(query: DataFrame, ref: DataFrame, qid: str, rid: str, vec: str, group: str | None,
-             block_rows: int, max_pairs: float):
+             block_rows: int, max_pairs: float | None):
     ship_package(query.sparkSession)
     nq, nr = query.count(), ref.count()
-    if nq * nr > max_pairs:
+    if max_pairs is not None and nq * nr > max_pairs:
         raise ValueError(f"exact neighbour search needs {nq} x {nr} distance evaluations (> {max_pairs:g}); "
                          "reduce the inputs or raise max_pairs explicitly")
     bq, br = _blocks(nq, block_rows), _blocks(nr, block_rows)
@@ -73,7 +74,7 @@ def _dist_blocks(qpdf, rpdf):
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int, qid: str, rid: str, vec: str, group: str | None = None,
-        exclude_self: bool = False, block_rows: int = 4096, max_pairs: float = MAX_PAIRS) -> DataFrame:
+        exclude_self: bool = False, block_rows: int = 4096, max_pairs: float | None = MAX_PAIRS) -> DataFrame:
     """The k nearest reference rows per query row (Euclidean), as (qid, rank, rid, dist).
     ``group`` restricts neighbours to the same group value (same-class search for SMOTE).
     Ties at equal distance are broken by the reference id."""
@@ -110,7 +111,7 @@ def knn(query: DataFrame, ref: DataFrame, k: int, qid: str, rid: str, vec: str,
 
 
 def range_counts(df: DataFrame, eps: float, id_col: str, vec: str, block_rows: int = 4096,
-                 max_pairs: float = MAX_PAIRS) -> DataFrame:
+                 max_pairs: float | None = MAX_PAIRS) -> DataFrame:
     """Number of rows within distance ``eps`` of each row, the row itself included."""
     import numpy as np
     import pandas as pd
@@ -127,14 +128,14 @@ def range_counts(df: DataFrame, eps: float, id_col: str, vec: str, block_rows: i
     return part.groupBy("qid").agg(F.sum("n").alias("n_neighbors")).withColumnRenamed("qid", id_col)
 
 
-def _min_label_round(points: DataFrame, eps: float, id_col: str, block_rows: int, max_pairs: float) -> DataFrame:
+def _min_label_round(points: DataFrame, eps: float, id_col: str, block_rows: int, max_pairs: float | None) -> DataFrame:
     """For each row, the smallest label among *core* rows within eps (itself included if core)."""
     import numpy as np
     import pandas as pd
     ship_package(points.sparkSession)
     q = points.select(id_col, "__x", "core", "lab")
     n = q.count()
-    if n * n > max_pairs:
+    if max_pairs is not None and n * n > max_pairs:
         raise ValueError("exact DBSCAN pair bound exceeded")
     b = _blocks(n, block_rows)
     qa = q.select(F.col(id_col).alias("qid"), "__x", (F.abs(F.xxhash64(F.col(id_col))) % b).alias("qb"))
@@ -157,10 +158,11 @@ def _min_label_round(points: DataFrame, eps: float, id_col: str, block_rows: int
     return part.groupBy("qid").agg(F.min("m").alias("m")).withColumnRenamed("qid", id_col)
 
 
-def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int, max_iter: int = 200,
-           block_rows: int = 4096, max_pairs: float = MAX_PAIRS) -> DataFrame:
+def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int,
+           block_rows: int = 4096, max_pairs: float | None = MAX_PAIRS) -> DataFrame:
     """DBSCAN labels: core rows have >= min_samples rows within eps (itself counted); clusters are
-    connected components of core rows (min-label propagation, lineage cut every round);
+    connected components of core rows (min-label propagation with pointer jumping until nothing
+    changes, lineage cut every round);
     border rows take the smallest label of a core row within eps; the rest are noise (-1).
     Labels are renumbered 0..k-1 in order of each cluster's smallest member id."""
     counts = range_counts(df, eps, id_col, vec, block_rows, max_pairs)
@@ -169,16 +171,18 @@ def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int, m
         .withColumn("core", F.col("n_neighbors") >= min_samples) \
         .withColumn("lab", F.col(id_col).cast("long"))
     pts = cut_lineage(pts.select(id_col, "__x", "core", "lab"))
-    for _ in range(max_iter):
+    while True:
         m = _min_label_round(pts, eps, id_col, block_rows, max_pairs)
         upd = pts.join(m, id_col, "left").withColumn(
             "new", F.when(F.col("core"), F.least("lab", F.coalesce("m", "lab"))).otherwise(F.col("lab")))
-        changed = upd.where(F.col("core") & (F.col("new") != F.col("lab"))).count()
-        pts = cut_lineage(upd.select(id_col, "__x", "core", F.col("new").alias("lab")))
-        if changed == 0:
+        # a label is a core row of the same cluster: take over that row's own label, which halves the way
+        to = upd.where("core").select(F.col(id_col).cast("long").alias("__at"), F.col("new").alias("__to"))
+        jumped = upd.join(to, F.col("new") == F.col("__at"), "left").withColumn(
+            "new", F.when(F.col("core"), F.least("new", F.coalesce("__to", "new"))).otherwise(F.col("new")))
+        after = cut_lineage(jumped.select(id_col, "__x", "core", F.col("new").alias("lab"), F.col("lab").alias("was")))
+        pts = after.drop("was")
+        if after.where(F.col("core") & (F.col("lab") != F.col("was"))).isEmpty():
             break
-    else:
-        raise RuntimeError("DBSCAN label propagation did not converge")
     border = _min_label_round(pts, eps, id_col, block_rows, max_pairs)
     lab = pts.join(border, id_col, "left").select(
         id_col, F.when(F.col("core"), F.col("lab")).when(F.col("m").isNotNull(), F.col("m")).alias("raw"),
@@ -213,7 +217,7 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int, id_col: str, vec: st
 
 
 def silhouette_euclidean(df: DataFrame, id_col: str, vec: str, label: str, block_rows: int = 4096,
-                         max_pairs: float = MAX_PAIRS) -> DataFrame:
+                         max_pairs: float | None = MAX_PAIRS) -> DataFrame:
     """Mean silhouette with plain Euclidean distance, exact.
 
     Each (query block, reference block) task sums the distances from every query row to the

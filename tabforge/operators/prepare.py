@@ -148,13 +148,13 @@ def outlier_bounds(df: DataFrame, cols: Sequence[str], method: str = "iqr", thre
 
 
 def clip_exprs(bounds: dict) -> dict[str, str]:
-    """NULL-preserving clip (``least(greatest(NULL, a), b)`` would not be NULL)."""
+    """Clip that leaves NULL and NaN as they are (``least(greatest(NULL, a), b)`` would not be NULL)."""
     out = {}
     for c, (lo, hi) in bounds.items():
         if lo is None:
             continue
         q = f"`{c}`"
-        out[c] = (f"CASE WHEN {q} IS NULL THEN NULL WHEN {q} < {_lit_sql(lo)} THEN {_lit_sql(lo)} "
+        out[c] = (f"CASE WHEN {q} IS NULL THEN NULL WHEN isnan(CAST({q} AS DOUBLE)) THEN CAST({q} AS DOUBLE) WHEN {q} < {_lit_sql(lo)} THEN {_lit_sql(lo)} "
                   f"WHEN {q} > {_lit_sql(hi)} THEN {_lit_sql(hi)} ELSE CAST({q} AS DOUBLE) END")
     return out
 
@@ -166,7 +166,7 @@ def outlier_counts(df: DataFrame, bounds: dict, strategy: str = "clip") -> DataF
     aggs = []
     kept = F.lit(True)
     for i, (c, lo, hi) in enumerate(items):
-        v = F.col(c).cast("double")
+        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
         outside = (v < lo) | (v > hi)
         cond = outside & kept if strategy == "remove" else outside
         aggs.append(F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias(f"n{i}"))
@@ -367,10 +367,11 @@ def class_weights(df: DataFrame, target: str, out_col: str = "class_weight") ->
         "cls", "n_class", (F.col("__n") / (F.col("__k") * F.col("n_class"))).alias(out_col))
 
 
-def with_class_weights(df: DataFrame, target: str, out_col: str = "class_weight") -> DataFrame:
-    """Attach the balanced weight to every row (the class table is small: broadcast)."""
-    w = class_weights(df, target, out_col).withColumnRenamed("cls", target).drop("n_class")
-    return df.join(F.broadcast(w), target, "left")
+def with_class_weights(df: DataFrame, target: str, out_col: str = "class_weight", fit: DataFrame | None = None) -> DataFrame:
+    """Attach to every row the balanced weight of its class, fitted on ``fit`` (the rows themselves if
+    not given); adaptive execution broadcasts the class table where it is small."""
+    w = class_weights(df if fit is None else fit, target, out_col).withColumnRenamed("cls", target).drop("n_class")
+    return df.join(w, target, "left")
 
 
 # ---------------------------------------------------------------- F10 composition

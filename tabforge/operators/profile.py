@@ -209,7 +209,7 @@ def iqr_outlier_count(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     q1, q3 = q[(col, 0.25)], q[(col, 0.75)]
     iqr = q3 - q1
     lo, hi = q1 - k * iqr, q3 + k * iqr
-    v = F.col(col).cast("double")
+    v = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(F.when((v < lo) | (v > hi), 1).otherwise(0)).cast("long").alias("n_outliers"),

@@ -37,7 +37,12 @@ def long_values(df: DataFrame, cols: Sequence[str], name_col: str = "column_name
     return out.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col)))
 
 
-def _solve(long: DataFrame, targets: dict, bins: int, final_rows: int, max_rounds: int) -> dict:
+def _signed_log(v):
+    """Monotone scale on which any spread of doubles, infinities included, has a bounded width."""
+    return F.signum(v) * F.least(F.log(F.greatest(F.abs(v), F.lit(5e-324))) + F.lit(750.0), F.lit(1460.0))
+
+
+def _solve(long: DataFrame, targets: dict, bins: int, final_rows: int) -> dict:
     """targets: key -> (column, rank, lo, hi, below, count); returns key -> value.
 
     Each round: one distributed histogram per open window, cumulative counts per window
@@ -48,9 +53,11 @@ def _solve(long: DataFrame, targets: dict, bins: int, final_rows: int, max_round
     spark = long.sparkSession
     result: dict = {}
     active = dict(targets)
-    for _ in range(max_rounds):
-        if not active:
-            break
+    # Every round splits each open window, since its least and greatest value fall into different
+    # buckets, so the loop ends. Windows with an infinite end, and every second round from the third on,
+    # have buckets on a logarithmic scale: values of any spread take a few rounds.
+    done = 0
+    while active:
         windows: dict = {}
         for key, (col, rank, lo, hi, below, cnt) in active.items():
             if lo == hi:
@@ -61,19 +68,25 @@ def _solve(long: DataFrame, targets: dict, bins: int, final_rows: int, max_round
         if not windows:
             break
         keys = list(active)
-        wrows = [(wid, col, float(lo), float(hi), bool(exact)) for (col, lo, hi, exact), wid in windows.items()]
+        wide = done >= 2 and done % 2 == 0
+        wrows = [(wid, col, float(lo), float(hi), bool(exact), wide or math.isinf(hi - lo) or math.isnan(hi - lo))
+                 for (col, lo, hi, exact), wid in windows.items()]
+        done += 1
         trows = []
         for tid, key in enumerate(keys):
             col, rank, lo, hi, below, cnt = active[key]
             trows.append((tid, windows[(col, lo, hi, cnt <= final_rows)], int(rank - below)))
         # both tables have at most 2 x columns x probabilities rows: broadcasts are bounded
-        wdf = spark.createDataFrame(wrows, "wid int, wcol string, lo double, hi double, exact boolean")
+        wdf = spark.createDataFrame(wrows, "wid int, wcol string, lo double, hi double, exact boolean, wide boolean")
         tdf = spark.createDataFrame(trows, "tid int, wid int, r long")
         j = long.join(F.broadcast(wdf), (F.col("column_name") == F.col("wcol"))
                       & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        bucket = F.when(F.col("exact"), F.col("v")).otherwise(
-            F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins),
-                    F.lit(bins - 1)).cast("double"))
+        def place(v, lo, hi):
+            return F.least(F.floor(F.try_divide(v - lo, hi - lo) * bins), F.lit(bins - 1)).cast("double")
+        log = place(*[_signed_log(F.col(c)) for c in ("v", "lo", "hi")])
+        # where two values are one on the logarithmic scale, the linear one tells them apart
+        bucket = F.when(F.col("exact"), F.col("v")).when(F.col("wide"), F.coalesce(log, place(*map(F.col, ("v", "lo", "hi"))))).otherwise(
+            place(*map(F.col, ("v", "lo", "hi"))))
         hist = j.groupBy("wid", bucket.alias("b")).agg(
             F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
         before = Window.partitionBy("wid").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,13 +106,11 @@ def _solve(long: DataFrame, targets: dict, bins: int, final_rows: int, max_round
             else:
                 nxt[key] = (col, rank, h["mn"], h["mx"], below + h["before"], h["n"])
         active = nxt
-    if active:
-        raise RuntimeError("quantile refinement did not converge")
     return result
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], *,
-                    bins: int = 4096, final_rows: int = 200_000, max_rounds: int = 16,
+                    bins: int = 4096, final_rows: int = 200_000,
                     stats: dict | None = None) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolated quantiles for several columns and probabilities.
 
@@ -128,7 +139,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             plan[(c, p)] = (k1, k2, h - k1)
             for k in (k1, k2):
                 targets[(c, k)] = (c, k, mn, mx, 0, n)
-    solved = _solve(long, targets, bins, final_rows, max_rounds)
+    solved = _solve(long, targets, bins, final_rows)
     out = {}
     for key, spec in plan.items():
         if spec is None:
@@ -180,5 +191,5 @@ def order_statistics(long: DataFrame, ranks: dict, **kw) -> dict:
         if not 0 <= k < n:
             raise ValueError(f"rank {k} outside 0..{n - 1} for {g}")
         targets[(g, k)] = (g, k, mn, mx, 0, n)
-    solved = _solve(long, targets, kw.get("bins", 4096), kw.get("final_rows", 200_000), kw.get("max_rounds", 16))
+    solved = _solve(long, targets, kw.get("bins", 4096), kw.get("final_rows", 200_000))
     return {key: solved[(g, k)] for key, (g, k) in ranks.items()}

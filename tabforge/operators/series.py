@@ -216,11 +216,17 @@ def fill_series(df: DataFrame, cols: Sequence[str], order_cols: Sequence[str], k
     keys = list(key_cols)
     ix = sequence_index(df, order_cols, keys, idx_col)
     b = ix.withColumn("_blk", F.floor(F.col(idx_col) / block_rows).cast("long"))
-    w = Window.partitionBy(*keys, "_blk").orderBy(idx_col)
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
-    loc = b.select("*", *[F.last(F.col(c), True).over(before).alias(f"_ff_{c}") for c in cols],
-                   *[F.first(F.col(c), True).over(after).alias(f"_bf_{c}") for c in cols])
+    # both directions as growing frames, which are linear; a frame that shrinks from the front is
+    # evaluated anew for every row. NaN is missing, like NULL.
+    grow = (Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys, "_blk").orderBy(idx_col).rowsBetween(*grow)
+    after = Window.partitionBy(*keys, "_blk").orderBy(F.col(idx_col).desc()).rowsBetween(*grow)
+    floating = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("float", "double")}
+
+    def present(c):
+        return F.when(~F.isnan(F.col(c)), F.col(c)) if c in floating else F.col(c)
+    loc = b.select("*", *[F.last(present(c), True).over(before).alias(f"_ff_{c}") for c in cols],
+                   *[F.last(present(c), True).over(after).alias(f"_bf_{c}") for c in cols])
     # block summaries from the windowed rows: the forward fill at the block's last row is the
     # block's last non-null value, the backward fill at its first row the first non-null one
     summ = loc.groupBy(*keys, "_blk").agg(
@@ -232,7 +238,7 @@ def fill_series(df: DataFrame, cols: Sequence[str], order_cols: Sequence[str], k
                           for c in cols],
                         *[F.first(f"_f_{c}", True).over(ws.rowsBetween(1, Window.unboundedFollowing)).alias(f"_cf_{c}")
                           for c in cols])
-    means = df.agg(*[F.avg(F.col(c)).alias(f"_m_{c}") for c in cols])
+    means = df.agg(*[F.avg(present(c)).alias(f"_m_{c}") for c in cols])
     j = attach(loc.join(carry, [*keys, "_blk"]), means)
     filled = {c: F.coalesce(F.col(f"_ff_{c}"), F.col(f"_cl_{c}"), F.col(f"_bf_{c}"), F.col(f"_cf_{c}"),
                             F.col(f"_m_{c}")) for c in cols}

@@ -26,15 +26,13 @@ from tabforge.operators import neighbors as NB
 from tabforge.plans.prepare import fit_preparation
 
 CLUSTER_MODELS = ("kmeans", "hierarchical", "gaussian_mixture", "dbscan", "birch")
-EXACT_SILHOUETTE_PAIRS = 1e10     # up to 100k rows the Euclidean silhouette is exact (O(n^2) work)
 
 
 def silhouette_for(labelled: DataFrame, id_col: str, vec: str, label: str, squared: float | None) -> float | None:
-    """Euclidean silhouette over non-noise rows when its O(n^2) work is within the bound, else
-    the squared-Euclidean closed form (already computed by the caller)."""
+    """Euclidean silhouette over non-noise rows, the same at every size (the caller's value where there
+    are fewer than two clusters)."""
     data = labelled.where(F.col(label) >= 0)
-    n = data.count()
-    if n * n > EXACT_SILHOUETTE_PAIRS or data.select(label).distinct().limit(2).count() < 2:
+    if data.select(label).distinct().limit(2).count() < 2:
         return squared
     return NB.silhouette_euclidean(data, id_col, vec, label).first()[0]
 

@@ -58,7 +58,7 @@ def _lit(v):
 
 
 def fit_preparation(train: DataFrame, target: str | None, cfg: dict | None = None, exclude=(),
-                    problem: str = "regression", max_categories: int = 1000,
+                    problem: str = "regression", max_categories: int | None = None,
                     label_col: str = "label", features_col: str = "features") -> Prepared:
     """Fit the preparation on ``train`` and return the fitted pipeline and slot names."""
     cfg = merged_config(DEFAULT_CONFIG, cfg)
@@ -167,7 +167,7 @@ def fit_preparation(train: DataFrame, target: str | None, cfg: dict | None = Non
     if categorical:
         keep = []
         for i, c in enumerate(categorical):
-            (dropped if first[f"d{i}"] > max_categories else keep).append(c)
+            (dropped if max_categories is not None and first[f"d{i}"] > max_categories else keep).append(c)
         categorical = keep
     cat_fills = R.fit_imputer(train, categorical, pp["missing_values"].get("categorical_strategy", "most_frequent"))
     cat_sql = {}
@@ -181,9 +181,12 @@ def fit_preparation(train: DataFrame, target: str | None, cfg: dict | None = Non
         label_sql[label_col] = f"CAST(`{target}` AS DOUBLE)"
     elif target and problem == "classification":
         numeric_target = isinstance(train.schema[target].dataType, (T.NumericType, T.BooleanType))
-        vals = [r[0] for r in train.where(F.col(target).isNotNull()).select(target).distinct().collect()]
-        vals = sorted(vals) if numeric_target else sorted(str(v) for v in vals)
-        label_classes = vals
+        # the class's text is Spark's own cast, which the CASE below compares with
+        pairs = [tuple(r) for r in train.where(F.col(target).isNotNull()).select(
+            F.col(target), F.col(target).cast("string").alias("text")).distinct().collect()]
+        pairs = sorted(pairs, key=lambda p: p[0] if numeric_target else p[1])
+        vals = [text for _, text in pairs]
+        label_classes = [v for v, _ in pairs] if numeric_target else vals
         # sorted classes -> 0..k-1 as a plain CASE (no ML attribute metadata, so binary models
         # see exactly two classes); an unseen class at scoring time gets a NULL label
         whens = " ".join(f"WHEN {_lit(str(v))} THEN {float(i)}" for i, v in enumerate(vals))

@@ -184,10 +184,12 @@ def train_classification(df: DataFrame, target: str, id_cols, cfg: dict | None =
     k = len(prep.label_classes)
     weight_col = None
     if balance == "weights":
-        feats = R.with_class_weights(feats, "label", "weight")
+        feats = R.with_class_weights(feats, "label", "weight", fit=feats.where("split = 'train'"))
         weight_col = "weight"
     feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
     tr = feats.where("split = 'train'")
+    if prep.params["outliers"].get("strategy") == "remove":
+        tr = training_rows(prep, train).select(*id_cols).join(tr, list(id_cols))
     if balance == "smote":
         from tabforge.operators.balance import smote
         tr = smote(tr, "label", "features", id_cols)
