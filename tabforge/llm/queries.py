@@ -100,4 +100,22 @@ reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r
 SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, g.component_id, v.vec_id = g.component_id AS kept
 FROM v JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) g ON g.a = v.vec_id
 """
-ORACLE: dict[str, str] = {"op2_chat_format": _OP2, "op6_embedding_dedup": _OP6}
+_OP10 = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS ws
+    FROM documents),
+s AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                                      ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh
+    FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, g.component_id
+FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) g ON g.a = s.doc_id
+"""
+ORACLE: dict[str, str] = {"op10_jaccard_join": _OP10, "op2_chat_format": _OP2, "op6_embedding_dedup": _OP6}
