@@ -64,7 +64,7 @@ def cyclic(c: str, with_hour: bool = False) -> dict[str, Column]:
 
 
 # Calendar steps of the frequency codes produced by frequency inference (fixed values).
-FREQ_STEP = {"H": "INTERVAL 1 HOUR", "D": "INTERVAL 1 DAY", "B": "INTERVAL 1 DAY", "W": "INTERVAL 7 DAYS",
+FREQ_STEP = {"S": "INTERVAL 1 SECOND", "T": "INTERVAL 1 MINUTE", "H": "INTERVAL 1 HOUR", "D": "INTERVAL 1 DAY", "B": "INTERVAL 1 DAY", "W": "INTERVAL 7 DAYS",
              "MS": "INTERVAL 1 MONTH", "M": "INTERVAL 1 MONTH", "QS": "INTERVAL 3 MONTHS",
              "Q": "INTERVAL 3 MONTHS", "AS": "INTERVAL 1 YEAR", "A": "INTERVAL 1 YEAR"}
 
@@ -74,9 +74,28 @@ SEASONAL_PERIOD = {"D": 7, "B": 7, "W": 52, "M": 12, "MS": 12, "Q": 4, "QS": 4,
 
 
 def future_dates(last: Column, freq: str, horizon: int) -> Column:
-    """Array of the next ``horizon`` timestamps after ``last`` at calendar step ``freq``."""
-    step = FREQ_STEP.get(freq, "INTERVAL 1 DAY")
-    return F.transform(F.sequence(F.lit(1), F.lit(int(horizon))), lambda i: last + F.expr(step) * i)
+    """Array of the next ``horizon`` timestamps after ``last`` at calendar step ``freq``.
+
+    A code may have a multiplier (``15T``). Business days skip weekends; ``M``, ``Q`` and ``A`` are month ends, the
+    first being that of the current month if ``last`` is before it.
+    """
+    digits = freq[:len(freq) - len(freq.lstrip("0123456789"))]
+    code, n = freq[len(digits):], int(digits or 1)
+    step = F.expr(FREQ_STEP.get(code, "INTERVAL 1 DAY"))
+    day = F.expr("INTERVAL 1 DAY")
+
+    def at(i):
+        i = i * F.lit(n)
+        if code == "B":
+            weekday = F.weekday(last)
+            back = F.greatest(weekday - 4, F.lit(0))
+            return last + day * (i + F.lit(2) * F.floor((F.least(weekday, F.lit(4)) + i) / F.lit(5)).cast("int") - back)
+        if code in ("M", "Q", "A"):
+            ended = F.last_day(last) == F.to_date(last)
+            there = last + step * (i - F.when(ended, F.lit(0)).otherwise(F.lit(1)))
+            return there + day * F.datediff(F.last_day(there), there)
+        return last + step * i
+    return F.transform(F.sequence(F.lit(1), F.lit(int(horizon))), at)
 
 
 def datetime_feature_sql(c: str, with_time: bool, date_features: bool = True, cyclic_features: bool = True,

@@ -241,17 +241,18 @@ def scale(df: DataFrame, cols: Sequence[str], method: str = "standard", fit_on:
 
 # ---------------------------------------------------------------- F9 / F11 encoding
 
-def fit_categories(df: DataFrame, cols: Sequence[str], max_categories: int = 10_000) -> dict[str, list]:
-    """Sorted distinct non-null values per column. The dictionary goes to the driver, so its
-    size is checked first (approximate distinct count, then exact list)."""
+def fit_categories(df: DataFrame, cols: Sequence[str], max_categories: int | None = None) -> dict[str, list]:
+    """Sorted distinct non-null values per column, every one of them. The dictionary goes to the driver; a
+    caller may set ``max_categories`` to fail early where that is too much."""
     cols = list(cols)
     if not cols:
         return {}
-    approx = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    too_big = [c for i, c in enumerate(cols) if approx[f"d{i}"] > max_categories * 1.1]
-    if too_big:
-        raise ValueError(f"columns {too_big} have more than {max_categories} categories; "
-                         "drop them or hash them before one-hot encoding")
+    if max_categories is not None:
+        approx = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        too_big = [c for i, c in enumerate(cols) if approx[f"d{i}"] > max_categories * 1.1]
+        if too_big:
+            raise ValueError(f"columns {too_big} have more than {max_categories} categories; "
+                             "drop them or hash them before one-hot encoding")
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])
     rows = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct().collect()
     out: dict[str, list] = {c: [] for c in cols}
@@ -259,7 +260,7 @@ def fit_categories(df: DataFrame, cols: Sequence[str], max_categories: int = 10_
         out[r["column_name"]].append(r["v"])
     for c in cols:
         out[c].sort()
-        if len(out[c]) > max_categories:
+        if max_categories is not None and len(out[c]) > max_categories:
             raise ValueError(f"column {c} has {len(out[c])} categories > {max_categories}")
     return out
 

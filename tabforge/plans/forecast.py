@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import MinMaxScaler, VectorAssembler
+from pyspark.ml.feature import MinMaxScaler, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from tabforge.functions import dates as D
@@ -157,7 +157,11 @@ def forecast(df: DataFrame, ts: str, target: str, key_cols=(), id_col: str | Non
     split = R.split_chronological(feats, ts, ident, 1 - test_size)
     split = cut_lineage(split)
     vec = VectorAssembler(inputCols=feat_cols, outputCol="raw", handleInvalid="keep")
-    scaler = MinMaxScaler(inputCol="raw", outputCol="features") if scale == "minmax" else None
+    scalers = {"minmax": MinMaxScaler, "standard": lambda **k: StandardScaler(withMean=True, **k),
+               "robust": lambda **k: RobustScaler(withCentering=True, **k)}
+    if scale not in (None, "none", *scalers):
+        raise ValueError(f"unknown scale method {scale!r}")
+    scaler = scalers[scale](inputCol="raw", outputCol="features") if scale in scalers else None
     prep = Pipeline(stages=[vec] + ([scaler] if scaler else [])).fit(split.where("split = 'train'"))
     data = prep.transform(split)
     if scaler is None:

@@ -59,20 +59,3 @@ def test_config_merge_does_not_mutate_defaults():
     m = merged_config(None, {"feature_engineering": {"scaling": "robust"}})
     assert m["feature_engineering"]["scaling"] == "robust"
     assert repr(DEFAULT_CONFIG) == before
-
-
-def test_streaming_scoring(spark, tmp_path):
-    from tabforge.plans.score import artifact_from
-    from tabforge.plans.train import train_regression
-    from tabforge.streaming import score_stream
-    o = spark.read.parquet(f"{SF}/orders.parquet")
-    res = train_regression(o, "o_totalprice", ["o_orderkey"], models=("ridge",))
-    run = artifact_from(res, o, "o_totalprice", ["o_orderkey"])
-    src = str(tmp_path / "in")
-    o.write.parquet(src)
-    stream = spark.readStream.schema(o.schema).parquet(src)
-    q = score_stream(run, stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), trigger_once=True)
-    q.awaitTermination(300)
-    preds = spark.read.parquet(str(tmp_path / "out" / "predictions"))
-    assert preds.count() == o.count()
-    assert spark.read.parquet(str(tmp_path / "out" / "metrics")).first()["rmse"] > 0
