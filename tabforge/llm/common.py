@@ -49,29 +49,30 @@ def workers(spark: SparkSession) -> None:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node that stands on an edge.
 
-    Alternating large-star and small-star rounds; each is two aggregates with partial results and two
-    joins that adaptive execution may split, so a hub with a third of all edges is never gathered
+    Alternating large-star and small-star rounds; each is two aggregates with partial results, whose small results are
+    written, and two joins of the edges with them, which adaptive execution splits where a node is hot (it
+    can't where a side is an aggregate of the same shuffle), so a hub with a third of all edges is never gathered
     in one task. Every round is a written table; the loop ends when a round changes nothing, after
     about log(n) rounds whatever the length of the chains. NULL ends and loops are dropped.
     """
-    spark = edges.sparkSession
     now = Stash(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                 .where("u is not null and v is not null and u <> v").distinct())
     mark = None
     while True:
         e = now.df
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u")
+        low = Stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = Stash(both.join(low.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                      .where("u <> v").distinct())
+        least = Stash(large.df.groupBy("u").agg(F.min("v").alias("m")))
+        small = (large.df.join(least.df, "u")
                  .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
                                            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.*").where("u <> v").distinct())
         after = Stash(small)
         got = after.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now.drop()
+        for old in (now, low, large, least):
+            old.drop()
         now = after
         if got == mark:
             break

@@ -126,6 +126,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     vec = F.transform("embedding", lambda v: F.when(v == 0, F.abs(v)).otherwise(v))
     good = stash(rows.where("fine").withColumn("vec", vec).withColumn("node", F.xxhash64("vec")).select("vec_id", "node", "vec"))
     nodes = good.groupBy("node", "vec").agg(F.count("*").alias("copies")).withColumn("dim", F.size("vec"))
+    lows = good.groupBy("node").agg(F.min("vec_id").alias("low"))
     bits, count = tables(good.count(), threshold)
     kind = good.schema["vec"].dataType.simpleString()
     signed = stash(nodes.mapInArrow(_signs(bits, count), f"node long, copies long, dim int, vec {kind}, keys array<long>"))
@@ -142,12 +143,15 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
                   .mapInArrow(_links(threshold), "node long, n long, low long"))
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
     group = connected_components(found, "node", "low").withColumnRenamed("node", "c_node")
-    copies = signed.select(F.col("node").alias("s_node"), "copies")
-    full = (good.select("vec_id", "node").join(copies, F.col("node") == F.col("s_node"))
-            .join(links.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
-            .join(group, F.col("node") == F.col("c_node"), "left")
-            .select("vec_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("g")))
-    low = full.groupBy("g").agg(F.min("vec_id").alias("component_id"))
-    out = full.join(low, "g").select("vec_id", "n_links", "component_id").unionByName(
+    # links and components are told node by node; the rows, many of which may share a node, come last
+    named = stash(signed.select("node", "copies").join(lows, "node")
+                  .join(links.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
+                  .join(group, F.col("node") == F.col("c_node"), "left")
+                  .select("node", "low", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
+                          F.coalesce("component", "node").alias("g")))
+    # written, so that the join with a hot component's nodes can be split
+    least = stash(named.groupBy("g").agg(F.min("low").alias("component_id")))
+    full = good.select("vec_id", "node").join(named.join(least, "g").select("node", "n_links", "component_id"), "node")
+    out = full.select("vec_id", "n_links", "component_id").unionByName(
         rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -355,8 +355,9 @@ def jaccard_groups(documents: DataFrame, k: int = 4, num: int = 85, den: int = 1
              .mapInArrow(_region_links(num, den), "a long, b long"))
     clusters = connected_components(maybe).withColumnsRenamed({"component": "cluster"})
     place = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th", "n")).alias("r"))
-    clusters = clusters.join(place, "node")
-    sizes = clusters.groupBy("cluster").agg(F.sum("r.n").alias("c"))
+    clusters = stash(clusters.join(place, "node"))
+    # written, so that the join with a hot cluster's rows can be split
+    sizes = stash(clusters.groupBy("cluster").agg(F.sum("r.n").alias("c")))
     members = clusters.join(sizes, "cluster").select(
         "cluster", "c", "node", F.col("r.doc_id").alias("rid"), F.col("r.th").alias("rth"))
     texts = (docs.join(members, docs.doc_id.eqNullSafe(members.rid) & (docs.th == members.rth))
@@ -365,10 +366,12 @@ def jaccard_groups(documents: DataFrame, k: int = 4, num: int = 85, den: int = 1
     links = (work.repartition(parts, "cluster", "unit").sortWithinPartitions("cluster", "unit", "node")
              .mapInArrow(_cluster_links(k, num, den), "a long, b long"))
     found = connected_components(links)
-    base = rows.select("doc_id", "th", "n", "node")
-    full = base.where("n > 0").join(found, base.node == found.node, "left").select(
-        "doc_id", "th", "n", F.coalesce("component", base.node).alias("g"))
-    lowest = full.groupBy("g").agg(F.min("doc_id").alias("component_id"))
-    return (full.join(lowest, "g").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "th", F.col("g").alias("grp"))
-            .unionByName(base.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+    # components are named node by node; the documents, many of which may share a node, come last
+    named = stash(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(found, "node", "left")
+                  .select("node", "low", F.coalesce("component", "node").alias("grp")))
+    lowest = stash(named.groupBy("grp").agg(F.min("low").alias("component_id")))
+    named = named.join(lowest, "grp").select("node", "grp", "component_id")
+    full = rows.select("doc_id", "th", "n", "node").where("n > 0").join(named, "node")
+    return (full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "th", "grp")
+            .unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
                                                     "th", F.lit(None).cast("long").alias("grp"))))

@@ -156,18 +156,20 @@ def two_texts(joined: DataFrame) -> DataFrame:
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """The rows, their columns as they were but ``text`` without repeated chunks, with __lines and __removed.
 
-    The document with the smallest doc_id keeps a chunk; rows that share id and text are one document, and
-    NULL ids come last. NULL texts stay NULL and count one empty line; texts of fewer words than a chunk
+    The document with the smallest doc_id keeps a chunk, of several with that id the one with the smallest hash of its text;
+    rows that share id and text are one document, and NULL ids come last. NULL texts stay NULL and count one empty line; texts of fewer words than a chunk
     are unchanged; an empty table gives no rows.
     """
     workers(documents.sparkSession)
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     docs = documents.where("text is not null").select(ident.alias("id"), F.xxhash64("text").alias("th"), "text")
     keys = stash(docs.mapInArrow(_keys, "id long, th long, first int, end int, k1 long, k2 long"))
-    again = (keys.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min("id").alias("keeper")).where("c >= 2").drop("c"))
+    # written, so that the join with the places of a hot chunk can be split
+    again = stash(keys.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min(F.struct("id", "th")).alias("keeper"))
+                  .where("c >= 2").drop("c"))
     spans = (keys.join(again, ["k1", "k2"])
              .groupBy("id", "th").agg(F.collect_set(F.struct(
-                 "first", "end", (F.col("id") == F.col("keeper")).alias("here"), "k1", "k2")).alias("__spans")))
+                 "first", "end", (F.struct("id", "th") == F.col("keeper")).alias("here"), "k1", "k2")).alias("__spans")))
     names = documents.columns
     left = documents.withColumns({"__id": ident, "__th": F.xxhash64("text"), "__text": F.col("text")})
     both = left.join(spans, (F.col("__id") == spans["id"]) & (F.col("__th") == spans["th"]), "left").select(

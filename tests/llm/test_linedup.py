@@ -104,3 +104,13 @@ def test_byte_comparison(spark, monkeypatch):
     batch = spans.withColumn("__wrong", F.array(F.struct(F.lit(h[0]).alias("h1"), F.lit(h[1]).alias("h2"))))
     out = batch.mapInArrow(L._rewrite(["doc_id", "text"]), "doc_id long, text string, __lines long, __removed long").collect()
     assert sorted((r["doc_id"], r["__removed"]) for r in out) == [(0, 0), (1, 0), (2, 1), (3, 1)]
+
+
+def test_one_document_keeps_a_chunk_though_ids_repeat(spark):
+    passage = "\n".join(" ".join(f"w{i}x{j}" for j in range(20)) for i in range(4))
+    rows = [(7, passage + "\nfirst"), (7, passage + "\nsecond"), (None, passage + "\nthird"), (None, passage + "\nfourth")]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 4 and sorted(r["__removed"] for r in out) == [0, 4, 4, 4]
+    assert [r["doc_id"] for r in out if r["__removed"] == 0] == [7]
+    only = dedup_lines(spark.createDataFrame(rows[2:], "doc_id long, text string")).collect()
+    assert sorted(r["__removed"] for r in only) == [0, 4]
