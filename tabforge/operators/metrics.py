@@ -142,6 +142,44 @@ def classification_metrics(df: DataFrame, actual: str, pred: str) -> DataFrame:
         F.when(binary, F.col("pos.f1")).alias("f1_binary"))
 
 
+def model_metrics(df: DataFrame, group: Sequence[str], actual: str, pred: str, prob_true: str,
+                  positive: str | None = None, eps: float = 1e-15) -> DataFrame:
+    """Per ``group`` (model and split, say): accuracy, balanced accuracy, macro and weighted precision, recall and f1,
+    the log loss of the probability ``prob_true`` of the actual class (NULL without one), and with a ``positive``
+    label its precision, recall, f1 and MCC. One pass over the rows; the rest works on confusion cells."""
+    group = list(group)
+    p = F.least(F.greatest(F.col(prob_true).cast("double"), F.lit(eps)), F.lit(1 - eps))
+    cells = df.groupBy(*group, F.col(actual).cast("string").alias("__a"), F.col(pred).cast("string").alias("__p")).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(-F.ln(p)).alias("__ll"), F.count(F.col(prob_true)).alias("__lp"))
+    n, zero = F.col("__n"), F.lit(0).cast("long")
+    contrib = F.array(
+        F.struct(F.col("__a").alias("label"), n.alias("s"), zero.alias("p"),
+                 F.when(F.col("__a") == F.col("__p"), n).otherwise(zero).alias("t"), F.col("__ll").alias("ll"), F.col("__lp").alias("lp")),
+        F.struct(F.col("__p").alias("label"), zero.alias("s"), n.alias("p"), zero.alias("t"),
+                 F.lit(None).cast("double").alias("ll"), zero.alias("lp")))
+    rep = cells.select(*group, F.inline(contrib)).groupBy(*group, "label").agg(
+        *[F.sum(c).alias(c) for c in ("s", "p", "t", "ll", "lp")])
+    rep = rep.withColumn("precision", F.when(F.col("p") > 0, F.col("t") / F.col("p")).otherwise(F.lit(0.0)))
+    rep = rep.withColumn("recall", F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(F.lit(0.0)))
+    both = F.col("precision") + F.col("recall")
+    rep = rep.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(F.lit(0.0)))
+    kinds = ("precision", "recall", "f1")
+    is_pos = F.col("label") == F.lit(positive) if positive is not None else F.lit(False)
+    out = rep.groupBy(*group).agg(
+        F.sum("s").alias("n"), (F.sum("t") / F.sum("s")).alias("accuracy"),
+        F.avg(F.when(F.col("s") > 0, F.col("recall"))).alias("balanced_accuracy"),
+        *[F.avg(c).alias(f"{c}_macro") for c in kinds],
+        *[(F.sum(F.col(c) * F.col("s")) / F.sum("s")).alias(f"{c}_weighted") for c in kinds],
+        *[F.max(F.when(is_pos, F.col(c))).alias(f"{c}_binary") for c in kinds],
+        F.try_divide(F.sum("ll"), F.sum("lp")).alias("log_loss"),
+        *[F.max(F.when(is_pos, F.col(c).cast("double"))).alias(f"__{c}") for c in ("s", "p", "t")])
+    tp, fp, fn = F.col("__t"), F.col("__p") - F.col("__t"), F.col("__s") - F.col("__t")
+    tn = F.col("n") - tp - fp - fn
+    den = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+    mcc = F.when(den > 0, (tp * tn - fp * fn) / den).when(den.isNotNull(), F.lit(0.0))
+    return out.withColumn("mcc", mcc).drop("__s", "__p", "__t")
+
+
 def binary_counts(df: DataFrame, actual: str, pred: str) -> DataFrame:
     """tp, fp, fn, tn with positive = second label in sorted order, plus MCC."""
     labels = df.select(F.col(actual).cast("string").alias("l")).union(

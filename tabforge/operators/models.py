@@ -153,44 +153,59 @@ def classification_estimator(name: str, params: dict | None, n: int, n_classes:
     if name == "gradient_boosting":
         gbt = C.GBTClassifier(maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", 0.1), maxDepth=3,
                               seed=seed, **common, **wc)
-        return gbt if n_classes <= 2 else C.OneVsRest(classifier=gbt, **common)
+        return gbt if n_classes <= 2 else C.OneVsRest(classifier=gbt, **common, **wc)
     if name == "naive_bayes":
         return C.NaiveBayes(modelType="gaussian", **common, **wc)
     if name == "svm":
-        svc = C.LinearSVC(maxIter=p.get("max_iter", 100), regParam=p.get("reg", 0.0), **common)
-        return svc if n_classes <= 2 else C.OneVsRest(classifier=svc, **common)
+        svc = C.LinearSVC(maxIter=p.get("max_iter", 100), regParam=p.get("reg", 0.0), **common, **wc)
+        return svc if n_classes <= 2 else C.OneVsRest(classifier=svc, **common, **wc)
     if name == "mlp":
         return C.MultilayerPerceptronClassifier(layers=[n_features, 100, 50, max(n_classes, 2)],
                                                 maxIter=p.get("max_iter", 500), seed=seed, **common)
     raise ValueError(f"unknown classification model {name!r}")
 
 
-def feature_importances(model, slot_names: Sequence[str], top: int = 10) -> list[tuple[str, float]]:
-    """Tree importances, or |coefficients| for linear models, sorted, top ``top``."""
-    vals = None
+def _importance_values(model) -> list[float] | None:
     if hasattr(model, "featureImportances"):
-        vals = model.featureImportances.toArray().tolist()
-    elif hasattr(model, "coefficientMatrix") and getattr(model, "numClasses", 2) > 2:
+        return model.featureImportances.toArray().tolist()
+    if hasattr(model, "coefficientMatrix") and getattr(model, "numClasses", 2) > 2:
         m = model.coefficientMatrix.toArray()
-        vals = [float(abs(m[:, j]).mean()) for j in range(m.shape[1])]
-    elif hasattr(model, "coefficients"):
-        vals = [abs(v) for v in model.coefficients.toArray().tolist()]
+        return [float(abs(m[:, j]).mean()) for j in range(m.shape[1])]
+    if hasattr(model, "coefficients"):
+        return [abs(v) for v in model.coefficients.toArray().tolist()]
+    if hasattr(model, "models"):                     # one-vs-rest: the mean over its classes
+        each = [_importance_values(m) for m in model.models]
+        return None if any(v is None for v in each) else [sum(v) / len(each) for v in zip(*each)]
+    return None
+
+
+def feature_importances(model, slot_names: Sequence[str], top: int = 10) -> list[tuple[str, float]]:
+    """Tree importances, or |coefficients| for linear models, sorted, top ``top``."""
+    vals = _importance_values(model)
     if vals is None:
         return []
     names = list(slot_names) + [f"f{i}" for i in range(len(slot_names), len(vals))]
     return sorted(zip(names, vals), key=lambda kv: (-kv[1], kv[0]))[:top]
 
 
-def complexity(model) -> dict:
-    """Leaves / depth / trees / coefficients of a fitted model."""
+def complexity(model) -> dict[str, int]:
+    """Nodes / depth / trees / coefficients of a fitted model (H11); of one-vs-rest the sums over its classes."""
+    if hasattr(model, "models"):
+        out: dict[str, int] = {"n_classifiers": len(model.models)}
+        for m in model.models:
+            for key, v in complexity(m).items():
+                out[key] = out.get(key, 0) + v
+        return out
     out = {}
     for attr, key in (("numNodes", "n_nodes"), ("depth", "depth"), ("getNumTrees", "n_estimators"),
                       ("totalNumNodes", "total_nodes")):
         if hasattr(model, attr):
             v = getattr(model, attr)
             out[key] = int(v() if callable(v) else v)
-    if hasattr(model, "coefficients"):
+    if hasattr(model, "coefficientMatrix"):
+        m = model.coefficientMatrix.toArray()
+        out["n_coef"], out["n_nonzero"] = int(m.size), int((m != 0).sum())
+    elif hasattr(model, "coefficients"):
         c = model.coefficients
-        out["n_coef"] = int(c.size)
-        out["n_nonzero"] = int(c.numNonzeros())
+        out["n_coef"], out["n_nonzero"] = int(c.size), int(c.numNonzeros())
     return out

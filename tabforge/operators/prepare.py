@@ -337,7 +337,8 @@ def split_chronological(df: DataFrame, ts_col: str, id_col: str, train_frac: flo
     """First floor(train_frac * n) rows in (ts, id) order are 'train', the rest 'test'.
 
     The boundary row is found as two exact order statistics (the timestamp, then the id
-    among rows tied at that timestamp), not by numbering all rows in one partition.
+    among rows tied at that timestamp), not by numbering all rows in one partition. Ids that aren't numbers are
+    compared in their own type; with the timestamp itself as id, rows tied at the boundary are 'test'.
     """
     ts_num = F.unix_micros(F.col(ts_col).cast("timestamp")).cast("double") if not isinstance(
         df.schema[ts_col].dataType, (T.LongType, T.IntegerType, T.DoubleType)) else F.col(ts_col).cast("double")
@@ -348,12 +349,17 @@ def split_chronological(df: DataFrame, ts_col: str, id_col: str, train_frac: flo
         return keyed.drop("__t").withColumn(out_col, F.lit("train"))
     long = keyed.select(F.lit("t").alias("column_name"), F.col("__t").alias("v"))
     t_star = order_statistics(long, {"t": ("t", k)})["t"]
-    below = keyed.where(F.col("__t") < t_star).count()
-    r = k - below
-    ties = keyed.where(F.col("__t") == t_star).select(F.lit("i").alias("column_name"),
-                                                       F.col(id_col).cast("double").alias("v"))
-    id_star = order_statistics(ties, {"i": ("i", r)})["i"]
-    train = (F.col("__t") < t_star) | ((F.col("__t") == t_star) & (F.col(id_col).cast("double") < id_star))
+    train = F.col("__t") < t_star
+    if id_col != ts_col:
+        r = k - keyed.where(train).count()
+        ties = keyed.where(F.col("__t") == t_star)
+        if isinstance(df.schema[id_col].dataType, T.NumericType):
+            ids = F.col(id_col).cast("double")
+            id_star = order_statistics(ties.select(F.lit("i").alias("column_name"), ids.alias("v")), {"i": ("i", r)})["i"]
+        else:
+            ids = F.col(id_col)
+            id_star = ties.select(ids.alias("v")).orderBy("v").offset(r).limit(1).first()["v"]
+        train = train | ((F.col("__t") == t_star) & (ids < F.lit(id_star)))
     return keyed.withColumn(out_col, F.when(train, F.lit("train")).otherwise(F.lit("test"))).drop("__t")
 
 

@@ -65,15 +65,17 @@ def ts_features(df: DataFrame, ts_col: str, value_cols: Sequence[str] | None = N
                 key_cols: Sequence[str] = (), id_col: str | None = None,
                 lags=(1, 7, 14, 30), windows=(7, 14, 30), funcs=("mean", "std", "min", "max"),
                 diffs=(1, 7), calendar: bool = True, leakage_safe_cols: Sequence[str] = (),
-                block_rows: int = 1 << 20) -> DataFrame:
+                block_rows: int = 1 << 20, with_hour: bool | None = None) -> DataFrame:
     """Time-series feature set (F18): calendar and cyclic columns, then lag / rolling / diff
     over every numeric column -- including the calendar columns just added (``is_weekend`` is
-    boolean and excluded) -- per series key in (ts, id) order."""
+    boolean and excluded) -- per series key in (ts, id) order. ``with_hour`` says whether there are hour columns;
+    None looks for a time of day in the rows."""
     keys = list(key_cols)
     order = [ts_col] + ([id_col] if id_col else [])
     base = df
     if calendar:
-        with_hour = has_time_of_day(df, [ts_col])[ts_col]
+        if with_hour is None:
+            with_hour = has_time_of_day(df, [ts_col])[ts_col]
         cal = ts_calendar_columns(ts_col, with_hour)
         base = df.select("*", *[e.alias(k) for k, e in cal.items()])
     if value_cols is None:
@@ -95,8 +97,14 @@ def detect_datetime_strings(df: DataFrame, cols: Sequence[str] | None = None) ->
               .withColumn("is_datetime", (F.col("n_values") > 0) & (F.col("n_values") == F.col("n_parsed")))
 
 
-def cast_datetime_strings(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Cast the string columns that fully parse to timestamps (P3 transform)."""
-    det = detect_datetime_strings(df, cols).where("is_datetime").select("column_name").collect()
-    names = {r["column_name"] for r in det}
-    return df.select(*[F.try_to_timestamp(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
+def date_strings(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """The string columns in which every value is a date or time (P3); plain numbers are none. The first rows
+    rule out most columns cheaply, and those that are left are checked over all rows."""
+    left = list(cols)
+    for rows in (df.limit(100), df):
+        if left:
+            marked = rows.select(*[F.when(F.col(c).isNull() | F.col(c).rlike("[-/:]"), F.col(c)).otherwise(F.lit("")).alias(c)
+                                   for c in left])
+            found = {r["column_name"]: r for r in detect_datetime_strings(marked, left).collect()}
+            left = [c for c in left if found[c]["n_values"] == found[c]["n_parsed"]]
+    return [c for c in left if found[c]["is_datetime"]]

@@ -1199,7 +1199,7 @@ def q_arima(spark, sf):
     from tabforge.plans.forecast import arima111
     e = t(spark, sf, "events").select("event_id", "ts", "user_id", "value")
     s = R.split_chronological(e, "ts", "event_id", 0.8)
-    coef, _ = arima111(s, "ts", "value", ["user_id"], "event_id")
+    coef, _, _ = arima111(s, "ts", "value", ["user_id"], "event_id")
     return coef
 
 

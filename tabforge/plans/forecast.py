@@ -91,9 +91,10 @@ def _by_series(df: DataFrame, per_series: DataFrame, keys, how: str = "inner") -
 
 
 def arima111(df: DataFrame, ts: str, target: str, keys, id_col: str | None, split_col: str = "split",
-             m: int = AR_ORDER) -> tuple[DataFrame, DataFrame]:
+             m: int = AR_ORDER) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hannan-Rissanen ARIMA(1,1,1) per series on the train rows; returns (coefficients,
-    test predictions with the closed-form multi-step forecast from the last train row)."""
+    test predictions with the closed-form multi-step forecast from the last train row, and the
+    coefficients with the state at the last row of all, from which ``arima_future`` goes on)."""
     keys = list(keys)
     order = [ts] + ([id_col] if id_col else [])
     ix = S.sequence_index(df, order, keys, "_i")
@@ -122,20 +123,33 @@ def arima111(df: DataFrame, ts: str, target: str, keys, id_col: str | None, spli
     coef = hr.select(*keys, "n_obs", F.col("beta")[0].alias("c"), F.col("beta")[1].alias("phi"),
                      F.col("beta")[2].alias("theta"))
     # state at the last train row of each series
-    last = res.where(F.col(split_col) == "train").groupBy(*keys).agg(
-        F.max("_i").alias("_T"), F.max_by(F.col(target), F.col("_i")).alias("yT"),
-        F.max_by(F.col("dy"), F.col("_i")).alias("dyT"), F.max_by(F.col("e"), F.col("_i")).alias("eT"))
-    st = _by_series(coef, last, keys)
+    def state(rows):
+        return _by_series(coef, rows.groupBy(*keys).agg(
+            F.max("_i").alias("_T"), F.max(ts).alias("_last"), F.max_by(F.col(target), F.col("_i")).alias("yT"),
+            F.max_by(F.col("dy"), F.col("_i")).alias("dyT"), F.max_by(F.col("e"), F.col("_i")).alias("eT")), keys)
+    st = state(res.where(F.col(split_col) == "train")).drop("_last")
     test = _by_series(res.where(F.col(split_col) == "test").select(*keys, "_i", ts, target), st, keys)
-    h = (F.col("_i") - F.col("_T")).cast("double")
+    pred = _ahead((F.col("_i") - F.col("_T")).cast("double"))
+    out = test.select(*keys, ts, F.col(target).alias("actual"), pred.alias("prediction"))
+    return coef, out, state(res)
+
+
+def _ahead(h):
+    """Forecast ``h`` steps after a state in closed form."""
     phi = F.col("phi")
     a1 = F.col("c") + phi * F.coalesce(F.col("dyT"), F.lit(0.0)) + F.col("theta") * F.coalesce(F.col("eT"), F.lit(0.0))
     near1 = F.abs(1 - phi) < 1e-9
     s_h = F.when(near1, h).otherwise((1 - F.pow(phi, h)) / (1 - phi))
     sum_s = F.when(near1, h * (h - 1) / 2).otherwise((h - s_h) / (1 - phi))
-    pred = F.col("yT") + F.col("c") * sum_s + a1 * s_h
-    out = test.select(*keys, ts, F.col(target).alias("actual"), pred.alias("prediction"))
-    return coef, out
+    return F.col("yT") + F.col("c") * sum_s + a1 * s_h
+
+
+def arima_future(state: DataFrame, ts: str, keys, horizon: int, freq: str) -> DataFrame:
+    """(keys, ts, step, forecast): ``horizon`` steps of every series after its last row."""
+    kind = state.schema["_last"].dataType
+    steps = state.select("*", F.posexplode(D.future_dates(F.col("_last"), freq, horizon)).alias("_p", "_at"))
+    return steps.select(*keys, F.col("_at").cast(kind).alias(ts), (F.col("_p") + 1).alias("step"),
+                        _ahead((F.col("_p") + 1).cast("double")).alias("forecast"))
 
 
 def forecast(df: DataFrame, ts: str, target: str, key_cols=(), id_col: str | None = None, horizon: int = 7,
@@ -184,11 +198,11 @@ def forecast(df: DataFrame, ts: str, target: str, key_cols=(), id_col: str | Non
             preds = p if preds is None else preds.unionByName(p)
         except Exception as e:  # noqa: BLE001 - failure isolation (H12)
             rows.append((name, order_i, False, f"{type(e).__name__}: {e}", time.time() - t0, None, None))
-    coef = None
+    coef = arima_state = None
     if arima:
         t0 = time.time()
         try:
-            coef, ap = arima111(base.join(split.select(*keys, ts, *([id_col] if id_col and id_col not in keys else []), "split"),
+            coef, ap, arima_state = arima111(base.join(split.select(*keys, ts, *([id_col] if id_col and id_col not in keys else []), "split"),
                                           [*keys, ts] + ([id_col] if id_col and id_col not in keys else []), "left")
                                 .fillna({"split": "train"}), ts, target, keys, id_col)
             ap = ap.where(F.col("prediction").isNotNull())
@@ -205,7 +219,9 @@ def forecast(df: DataFrame, ts: str, target: str, key_cols=(), id_col: str | Non
     best = board.where("trained_successfully AND rmse IS NOT NULL").orderBy("rmse", "model_order").first()
     best_name = best["model"] if best else None
     future = None
-    if best_name in fitted:
+    if best_name == "arima":
+        future = arima_future(arima_state, ts, keys, horizon, freq)
+    elif best_name in fitted:
         future = recursive_forecast(base, ts, target, keys, id_col, fitted[best_name], prep, feat_cols, lags,
                                     windows, horizon, freq)
     return ForecastResult(board, best_name, preds, future, coef, freq, {"features": feat_cols})
@@ -215,19 +231,20 @@ def recursive_forecast(base: DataFrame, ts: str, target: str, keys, id_col, mode
                        horizon: int, freq: str) -> DataFrame:
     """Forecast ``horizon`` steps per series. The state per series is its last
     max(lag, window) + 1 rows (bounded); each step appends one row per series, recomputes the
-    features of that row from the state, predicts it, and cuts lineage."""
+    features of that row from the state, predicts it, and cuts lineage. A series shorter than the
+    longest look-back lacks features; its forecasts are NULL."""
     keys = list(keys)
     need = max([*lags, *windows, 8]) + 2
     order = [ts] + ([id_col] if id_col else [])
     state = S.tail_rows(base, need, order, keys)
     num_cols = [c for c in column_types(base, [*keys, ts] + ([id_col] if id_col else []))["numeric"]]
     state = cut_lineage(state.withColumn("__future", F.lit(False)))
-    step = F.expr(D.FREQ_STEP.get(freq, "INTERVAL 1 DAY"))
+    step = D.future_dates(F.col("__last"), freq, 1)[0]
     out = None
     for s in range(1, horizon + 1):
         last = state.groupBy(*keys).agg(F.max(F.col(ts)).alias("__last"),
                                         *[F.max_by(F.col(c), F.col(ts)).alias(f"__l_{c}") for c in num_cols if c != target])
-        nxt = last.select(*keys, (F.col("__last") + step).cast(base.schema[ts].dataType).alias(ts),
+        nxt = last.select(*keys, step.cast(base.schema[ts].dataType).alias(ts),
                           *[F.col(f"__l_{c}").alias(c) for c in num_cols if c != target],
                           F.lit(None).cast("double").alias(target))
         if id_col and id_col not in keys:
@@ -238,11 +255,11 @@ def recursive_forecast(base: DataFrame, ts: str, target: str, keys, id_col, mode
         nxt = nxt.withColumn("__future", F.lit(True))
         allrows = state.unionByName(nxt.select(*state.columns))
         f = cut_lineage(ts_features(allrows.drop("__future"), ts, None, keys, None, lags, windows,
-                                    leakage_safe_cols=[target]))
+                                    leakage_safe_cols=[target], with_hour="hour_sin" in feat_cols))
         f = f.join(nxt.select(*keys, ts).withColumn("__new", F.lit(True)), [*keys, ts], "inner")
-        scored = model.transform(prep.transform(f.fillna(0.0, subset=feat_cols)))
+        scored = model.transform(prep.transform(f.dropna(subset=feat_cols)))
         pred = scored.select(*keys, ts, F.col("prediction").alias("__pred"))
-        newrows = nxt.join(pred, [*keys, ts]).withColumn(target, F.col("__pred")).drop("__pred")
+        newrows = nxt.join(pred, [*keys, ts], "left").withColumn(target, F.col("__pred")).drop("__pred")
         state = cut_lineage(state.unionByName(newrows.select(*state.columns)))
         o = newrows.select(*keys, ts, F.lit(s).alias("step"), F.col(target).alias("forecast"))
         out = o if out is None else out.unionByName(o)

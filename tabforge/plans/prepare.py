@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tabforge.functions import dates as D
 from tabforge.operators import prepare as R
 from tabforge.operators.profile import column_types
+from tabforge.operators.timefeatures import date_strings
 
 # The reference's default preparation settings.
 DEFAULT_CONFIG = {
@@ -67,6 +68,15 @@ def fit_preparation(train: DataFrame, target: str | None, cfg: dict | None = Non
     types = column_types(train, skip)
     numeric, categorical, dts, booleans = types["numeric"], types["categorical"], types["datetime"], types["boolean"]
 
+    # 0. strings that are all dates become timestamps
+    dated = date_strings(train, [c for c in categorical if isinstance(train.schema[c].dataType, T.StringType)])
+    before = []
+    if dated:
+        before = [SQLTransformer(statement="SELECT * EXCEPT (" + ", ".join(f"`{c}`" for c in dated) + "), "
+                                 + ", ".join(f"try_to_timestamp(`{c}`) AS `{c}`" for c in dated) + " FROM __THIS__")]
+        train = before[0].transform(train)
+        categorical, dts = [c for c in categorical if c not in dated], [*dts, *dated]
+
     # 1. datetime columns become numeric features (not one-hot categories). Hour / minute
     # columns exist only when some value has a time of day; the flag comes from the same
     # fused first pass as the column statistics below.
@@ -192,9 +202,11 @@ def fit_preparation(train: DataFrame, target: str | None, cfg: dict | None = Non
         whens = " ".join(f"WHEN {_lit(str(v))} THEN {float(i)}" for i, v in enumerate(vals))
         label_sql[label_col] = f"CASE CAST(`{target}` AS STRING) {whens} ELSE NULL END"
     # pass every input column through, so scoring tables with other extra columns work too
-    select = ["*"] + [f"{e} AS `{k}`" for k, e in {**num_sql, **cat_sql, **label_sql}.items()]
+    # but for one whose name the prepared columns take
+    taken = [c for c in (label_col, features_col) if c in train.columns]
+    select = ["* EXCEPT (" + ", ".join(f"`{c}`" for c in taken) + ")" if taken else "*"] + [f"{e} AS `{k}`" for k, e in {**num_sql, **cat_sql, **label_sql}.items()]
     sqlt = SQLTransformer(statement="SELECT " + ", ".join(select) + " FROM __THIS__")
-    stages = [sqlt]
+    stages = [*before, sqlt]
     projected = sqlt.transform(train)
     vec_inputs = list(num_sql)
     slot_names = [k[:-5] for k in num_sql]

@@ -98,7 +98,8 @@ def _spark_params(est, name: str, point: dict, y_sd: float, n: int) -> dict:
 
 
 def random_search(train_feats: DataFrame, problem: str, id_cols, models=None, n_iter: int = 20, cv: int = 5,
-                  seed: int = 42, parallelism: int = 4, balanced: bool = False, n_classes: int = 2) -> DataFrame:
+                  seed: int = 42, parallelism: int = 4, balanced: bool = False,
+                  n_classes: int = 2) -> tuple[DataFrame, dict]:
     """Search every model with a grid; returns a table (model, n_candidates, best params,
     cv mean / std / min / max of the score, best score) and the refit models."""
     grids = REGRESSION_GRIDS if problem == "regression" else CLASSIFICATION_GRIDS
@@ -115,13 +116,14 @@ def random_search(train_feats: DataFrame, problem: str, id_cols, models=None, n_
     rows, refit = [], {}
     for name in models:
         if problem == "regression":
-            est = MD.regression_estimator(name, None, st["sd"] or 1.0, st["n"])
+            est = MD.regression_estimator(name, None, st["sd"] or 1.0, st["n"], n_features=nfeat)
         else:
             est = MD.classification_estimator(name, None, st["n"], n_classes, nfeat)
             if hasattr(est, "getClassifier"):      # one-vs-rest wrapper: search its inner model
                 continue
         points = sample_grid(grids[name], n_iter, seed)
-        maps = [_spark_params(est, name, pt, st["sd"] or 1.0, st["n"]) for pt in points]
+        # a fold trains on (cv - 1) / cv of the rows, and penalties that are sums over rows go by those
+        maps = [_spark_params(est, name, pt, st["sd"] or 1.0, st["n"] * (cv - 1) / cv) for pt in points]
         cvm = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=cv,
                              parallelism=parallelism, seed=seed).fit(data)
         import statistics
@@ -133,7 +135,8 @@ def random_search(train_feats: DataFrame, problem: str, id_cols, models=None, n_
         rows.append((f"{name}_optimized", len(points), str(points[best_i]), float(statistics.mean(scores)),
                      float(statistics.pstdev(scores)), float(min(scores)), float(max(scores)), float(best_score),
                      float(display), float(stds[best_i])))
-        refit[f"{name}_optimized"] = cvm.bestModel
+        full = _spark_params(est, name, points[best_i], st["sd"] or 1.0, st["n"])
+        refit[f"{name}_optimized"] = cvm.bestModel if full == maps[best_i] else est.fit(data, full)
     table = train_feats.sparkSession.createDataFrame(
         rows, "model string, n_candidates int, best_params string, cv_mean double, cv_std double, cv_min double, "
               "cv_max double, best_cv_score double, best_score double, best_fold_std double")

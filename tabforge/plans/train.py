@@ -8,6 +8,7 @@ leaderboard DataFrame -> best model by rank-1 selection.
 
 from __future__ import annotations
 
+import json
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -27,7 +28,44 @@ from tabforge.functions.scalars import attach
 REG_METRICS = ("r2", "rmse", "mae", "mape")
 HIGHER_IS_BETTER = {"r2": True, "rmse": False, "mae": False, "mape": False, "accuracy": True,
                     "balanced_accuracy": True, "f1_macro": True, "f1_binary": True, "precision_macro": True,
-                    "recall_macro": True, "roc_auc": True, "silhouette": True}
+                    "recall_macro": True, "roc_auc": True, "silhouette": True, "mcc": True, "average_precision": True,
+                    "log_loss": False}
+CLS_METRICS = ("accuracy", "balanced_accuracy", "precision_macro", "recall_macro", "f1_macro", "precision_weighted",
+               "recall_weighted", "f1_weighted", "precision_binary", "recall_binary", "f1_binary", "mcc", "log_loss")
+
+
+def resolve_metric(name: str, n_classes: int) -> str:
+    """Leaderboard column of a metric name of classification: 'precision', 'recall' and 'f1' are those of the
+    positive class with two classes and macro averages beyond; 'auc' needs two classes, else accuracy is used."""
+    if name in ("precision", "recall", "f1"):
+        return f"{name}_{'binary' if n_classes == 2 else 'macro'}"
+    if name in ("auc", "roc_auc"):
+        return "roc_auc" if n_classes == 2 else "accuracy"
+    if name not in (*CLS_METRICS, "average_precision"):
+        raise ValueError(f"unknown classification metric {name!r}")
+    return name
+
+
+def _complexity(model) -> str:
+    """The counts of a fitted model as JSON, in the order of their names."""
+    return json.dumps(MD.complexity(model), sort_keys=True)
+
+
+def model_details(models: dict, slot_names, spark) -> DataFrame:
+    """(model, feature, importance) of every model that has importances."""
+    rows = [(name, f, v) for name, m in models.items() for f, v in MD.feature_importances(m, slot_names)]
+    return spark.createDataFrame(rows, "model string, feature string, importance double")
+
+
+def searched(tr: DataFrame, problem: str, id_cols, search: dict | None, **kw) -> tuple[dict, DataFrame | None]:
+    """Random search beside the plain models (H1): fitted ``*_optimized`` models and the table of the search."""
+    if not search:
+        return {}, None
+    from tabforge.plans.search import random_search
+    t0 = time.time()
+    table, refit = random_search(tr, problem, id_cols, **{**kw, **search})
+    share = (time.time() - t0) / max(len(refit), 1)
+    return {name: (m, share, None) for name, m in refit.items()}, table
 
 
 @dataclass
@@ -88,7 +126,9 @@ def rank_best(board: DataFrame, metric: str, order_col: str = "model_order") ->
 
 def train_regression(df: DataFrame, target: str, id_cols, cfg: dict | None = None,
                      models=MD.REGRESSION_MODELS, params: dict | None = None, parallelism: int = 4,
-                     primary_metric: str = "r2") -> TrainResult:
+                     primary_metric: str = "r2", search: dict | None = None) -> TrainResult:
+    """``search`` (arguments of ``random_search``, such as ``{"models": ["ridge"], "n_iter": 20}``) adds the best
+    candidates as ``*_optimized`` rows of the leaderboard."""
     cfg = merged_config(None, cfg)
     checks = validation_checks(df, target, "regression")
     if checks.where("status = 'error'").count():
@@ -104,6 +144,9 @@ def train_regression(df: DataFrame, target: str, id_cols, cfg: dict | None = Non
     ests = {name: MD.regression_estimator(name, (params or {}).get(name), st["sd"] or 1.0, st["n"],
                                           n_features=len(prep.slot_names)) for name in models}
     fitted = _fit_all(ests, tr, parallelism)
+    found, search_table = searched(tr, "regression", id_cols, search, parallelism=parallelism)
+    fitted |= found
+    models = [*models, *found]
     preds = None
     for name in models:
         model = fitted[name][0]
@@ -127,17 +170,17 @@ def train_regression(df: DataFrame, target: str, id_cols, cfg: dict | None = Non
     for order, name in enumerate(models):
         model, secs, err = fitted[name]
         if model is None:
-            rows.append((name, order, False, err, secs) + (None,) * 8)
+            rows.append((name, order, False, err, secs) + (None,) * 7)
             continue
         te, trm = mt.get((name, "test")), mt.get((name, "train"))
         rmse = (te["sse"] / te["n"]) ** 0.5 if te else None
         rows.append((name, order, True, None, secs, r2(trm), r2(te), rmse, te["mae"] if te else None,
-                     te["mape"] if te else None, (trm["sse"] / trm["n"]) ** 0.5 if trm else None, None, None))
+                     te["mape"] if te else None, (trm["sse"] / trm["n"]) ** 0.5 if trm else None, _complexity(model)))
     spark = df.sparkSession
     board = spark.createDataFrame(rows, "model string, model_order int, trained_successfully boolean, error string, "
                                         "train_seconds double, train_r2 double, r2 double, rmse double, mae double, "
-                                        "mape double, train_rmse double, baseline_improvement_pct double, overfit boolean")
-    board = overfit_and_baseline(board, "regression")
+                                        "mape double, train_rmse double, complexity string")
+    board = overfit_and_baseline(board, "regression", primary_metric)
     board = rank_best(board, primary_metric)
     best = board.where("rank = 1").select("model").first()
     best_name = best["model"] if best else None
@@ -145,34 +188,36 @@ def train_regression(df: DataFrame, target: str, id_cols, cfg: dict | None = Non
     if best_name and fitted[best_name][0] is not None:
         imp = spark.createDataFrame(MD.feature_importances(fitted[best_name][0], prep.slot_names),
                                     "feature string, importance double")
-    return TrainResult("regression", prep, {k: v[0] for k, v in fitted.items() if v[0] is not None}, board,
-                       best_name, preds, checks, imp, {"features": feats})
+    done = {k: v[0] for k, v in fitted.items() if v[0] is not None}
+    return TrainResult("regression", prep, done, board, best_name, preds, checks, imp,
+                       {"features": feats, "search": search_table, "importances": model_details(done, prep.slot_names, spark)})
 
 
-def overfit_and_baseline(board: DataFrame, problem: str) -> DataFrame:
-    """Overfitting flags (H9) and % improvement over the linear / logistic baseline (H8)."""
+def overfit_and_baseline(board: DataFrame, problem: str, metric: str | None = None) -> DataFrame:
+    """Overfitting flags (H9) and % improvement over the linear / logistic baseline in the primary metric (H8),
+    positive where the model is better."""
     if problem == "regression":
-        base = board.where("model = 'linear_regression'").select(F.col("r2").alias("_b"))
+        baseline, metric = "linear_regression", metric or "r2"
         over = ((F.col("train_r2") - F.col("r2")) > 0.2) | (F.col("rmse") > F.col("train_rmse") * 1.3)
-        j = attach(board.drop("baseline_improvement_pct", "overfit"), base) if base.count() else \
-            board.drop("baseline_improvement_pct", "overfit").withColumn("_b", F.lit(None).cast("double"))
-        return j.withColumn("baseline_improvement_pct",
-                            F.when(F.col("_b") != 0, (F.col("r2") - F.col("_b")) / F.abs(F.col("_b")) * 100)) \
-                .withColumn("overfit", F.coalesce(over, F.lit(False))).drop("_b")
-    base = board.where("model = 'logistic_regression'").select(F.col("accuracy").alias("_b"))
-    over = (F.col("train_accuracy") - F.col("accuracy")) > 0.1
-    j = attach(board.drop("baseline_improvement_pct", "overfit"), base) if base.count() else \
-        board.drop("baseline_improvement_pct", "overfit").withColumn("_b", F.lit(None).cast("double"))
+    else:
+        baseline, metric = "logistic_regression", metric or "accuracy"
+        over = (F.col("train_accuracy") - F.col("accuracy")) > 0.1
+    better = 1.0 if HIGHER_IS_BETTER.get(metric, True) else -1.0
+    # an aggregate without groups has its row also where the baseline is missing
+    j = attach(board, board.agg(F.max(F.when(F.col("model") == baseline, F.col(metric))).alias("_b")))
     return j.withColumn("baseline_improvement_pct",
-                        F.when(F.col("_b") != 0, (F.col("accuracy") - F.col("_b")) / F.abs(F.col("_b")) * 100)) \
+                        F.when(F.col("_b") != 0, better * (F.col(metric) - F.col("_b")) / F.abs(F.col("_b")) * 100)) \
             .withColumn("overfit", F.coalesce(over, F.lit(False))).drop("_b")
 
 
 def train_classification(df: DataFrame, target: str, id_cols, cfg: dict | None = None,
                          models=("logistic_regression", "decision_tree", "random_forest", "naive_bayes"),
                          params: dict | None = None, parallelism: int = 4, balance: str | None = None,
-                         primary_metric: str | None = None) -> TrainResult:
-    """Classification with label encoding, optional balanced weights (F16) or SMOTE."""
+                         primary_metric: str | None = None, search: dict | None = None) -> TrainResult:
+    """Classification with label encoding, optional balanced weights (F16) or SMOTE.
+
+    ``search`` adds ``*_optimized`` rows, as in regression; candidates are compared by balanced accuracy where the
+    rarest class has less than a fifth of the rows."""
     cfg = merged_config(None, cfg)
     checks = validation_checks(df, target, "classification")
     if checks.where("status = 'error'").count():
@@ -200,38 +245,52 @@ def train_classification(df: DataFrame, target: str, id_cols, cfg: dict | None =
     fitted = _fit_all(ests, tr, parallelism)
     shares = feats.where("split = 'train'").groupBy("label").count().agg(
         (F.min("count") / F.sum("count")).alias("s")).first()["s"]
-    primary = primary_metric or ("balanced_accuracy" if shares < 0.2 else "accuracy")
-    rows, preds = [], None
+    primary = resolve_metric(primary_metric or ("balanced_accuracy" if shares < 0.2 else "accuracy"), k)
+    found, search_table = searched(tr, "classification", id_cols, search, parallelism=parallelism, balanced=shares < 0.2,
+                                   n_classes=k)
+    fitted |= found
+    models = [*models, *found]
+    preds = None
     classes = [str(c) for c in prep.label_classes]
     decode = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(float(i)), F.lit(c))])
-    for order, name in enumerate(models):
-        model, secs, err = fitted[name]
+    scored = set()
+    for name in models:
+        model = fitted[name][0]
         if model is None:
-            rows.append((name, order, False, err, secs) + (None,) * 8)
             continue
         p = model.transform(feats)
-        prob = (F.array_max(vector_to_array("probability")) if "probability" in p.columns else F.lit(None).cast("double"))
-        pos_prob = (vector_to_array("probability")[k - 1] if "probability" in p.columns and k == 2
-                    else F.lit(None).cast("double"))
-        p = p.select(*id_cols, "split", decode[F.col("label")].alias("actual"),
-                     decode[F.col("prediction")].alias("predicted"), prob.alias("prediction_probability"),
-                     pos_prob.alias("positive_score"))
-        te = p.where("split = 'test'")
-        cm = M.classification_metrics(te, "actual", "predicted").first()
-        tr_acc = M.outcome_summary(p.where("split = 'train'"), "actual", "predicted").first()["accuracy"]
-        auc = None
-        if k == 2 and "probability" in model.transform(feats.limit(1)).columns:
-            auc = M.ranking_metrics(te, "actual", "positive_score", positive=classes[-1]).first()["roc_auc"]
-        rows.append((name, order, True, None, secs, tr_acc, cm["accuracy"], cm["balanced_accuracy"], cm["f1_macro"],
-                     cm["f1_binary"], auc, None, None))
-        pp = p.withColumn("model", F.lit(name))
-        preds = pp if preds is None else preds.unionByName(pp)
+        none = F.lit(None).cast("double")
+        probs = vector_to_array("probability") if "probability" in p.columns else None
+        if probs is not None:
+            scored.add(name)
+        p = p.select(*id_cols, "split", decode[F.col("label")].alias("actual"), decode[F.col("prediction")].alias("predicted"),
+                     (none if probs is None else F.array_max(probs)).alias("prediction_probability"),
+                     (none if probs is None or k != 2 else probs[1]).alias("positive_score"),
+                     (none if probs is None else F.get(probs, F.col("label").cast("int"))).alias("true_probability"),
+                     F.lit(name).alias("model"))
+        preds = p if preds is None else preds.unionByName(p)
+    # every model's train and test metrics in one pass over the stacked predictions
+    mt = {}
+    if preds is not None:
+        mt = {(r["model"], r["split"]): r for r in M.model_metrics(
+            preds, ["model", "split"], "actual", "predicted", "true_probability", classes[-1] if k == 2 else None).collect()}
+    rows = []
+    for order, name in enumerate(models):
+        model, secs, err = fitted[name]
+        te, trm = mt.get((name, "test")), mt.get((name, "train"))
+        auc = ap = None
+        if model is not None and k == 2 and name in scored:
+            rk = M.ranking_metrics(preds.where((F.col("model") == name) & (F.col("split") == "test")), "actual",
+                                   "positive_score", positive=classes[-1]).first()
+            auc, ap = rk["roc_auc"], rk["average_precision"]
+        rows.append((name, order, model is not None, err, secs, trm["accuracy"] if trm else None,
+                     *[te[c] if te else None for c in CLS_METRICS], auc, ap, None if model is None else _complexity(model)))
     spark = df.sparkSession
     board = spark.createDataFrame(rows, "model string, model_order int, trained_successfully boolean, error string, "
-                                        "train_seconds double, train_accuracy double, accuracy double, "
-                                        "balanced_accuracy double, f1_macro double, f1_binary double, roc_auc double, "
-                                        "baseline_improvement_pct double, overfit boolean")
-    board = overfit_and_baseline(board, "classification")
+                                        "train_seconds double, train_accuracy double, "
+                                        + ", ".join(f"{c} double" for c in CLS_METRICS)
+                                        + ", roc_auc double, average_precision double, complexity string")
+    board = overfit_and_baseline(board, "classification", primary)
     board = rank_best(board, primary)
     best = board.where("rank = 1").select("model").first()
     best_name = best["model"] if best else None
@@ -239,8 +298,10 @@ def train_classification(df: DataFrame, target: str, id_cols, cfg: dict | None =
     if best_name and fitted[best_name][0] is not None:
         imp = spark.createDataFrame(MD.feature_importances(fitted[best_name][0], prep.slot_names),
                                     "feature string, importance double")
-    return TrainResult("classification", prep, {k2: v[0] for k2, v in fitted.items() if v[0] is not None}, board,
-                       best_name, preds, checks, imp, {"features": feats, "primary_metric": primary})
+    done = {name: v[0] for name, v in fitted.items() if v[0] is not None}
+    return TrainResult("classification", prep, done, board, best_name, preds, checks, imp,
+                       {"features": feats, "primary_metric": primary, "search": search_table,
+                        "importances": model_details(done, prep.slot_names, spark)})
 
 
 def rank1_per_group(df: DataFrame, group: str, metric: str, id_col: str, higher: bool = True) -> DataFrame:
