@@ -269,9 +269,7 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, leaf: int = 48, pivots
                 queue += [int(y) for y in at[near]]
                 flat, lengths, at = flat[np.repeat(~near, lengths)], lengths[~near], at[~near]
 
-    def region(at: np.ndarray) -> None:
-        if len(at) <= leaf:
-            return flood(at)
+    def cells_of(at: np.ndarray) -> list[np.ndarray]:
         flat, lengths = s.together(at)
         chosen, to = [int(at[0])], [s.distances(int(at[0]), flat, lengths)]
         while len(chosen) < pivots:
@@ -282,20 +280,25 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, leaf: int = 48, pivots
             chosen.append(int(at[far]))
             to.append(s.distances(int(at[far]), flat, lengths))
         d = np.array(to)
-        del flat, to
         # replicate to every cell that a neighbour within eps may call home
-        cells = [at[d[i] <= d.min(axis=0) + 2 * eps + 1e-9] for i in range(len(chosen))
-                 if (d.argmin(axis=0) == i).any()]
-        # where the windows cover most of the region, cells would repeat its work instead of dividing it
-        if sum(map(len, cells)) > 1.25 * len(at):
-            return flood(at)
-        for cell in cells:
-            region(cell)
-        return None
-
-    some = np.flatnonzero(s.size > 0)
-    if len(some):
-        region(some)
+        return [at[d[i] <= d.min(axis=0) + 2 * eps + 1e-9] for i in range(len(chosen))
+                if (d.argmin(axis=0) == i).any()]
+
+    # a list instead of calls: where cells peel a few sets off a region, it is divided more often than calls may nest
+    regions = [some] if len(some := np.flatnonzero(s.size > 0)) else []
+    while regions:
+        at = regions.pop()
+        if len(at) <= leaf:
+            flood(at)
+            continue
+        cells = cells_of(at)
+        sizes = [len(c) for c in cells]
+        # where the windows cover most of the region, cells would repeat its work instead of dividing it; below the
+        # square of the region's size every cell is smaller than it, and all cells of cells cost no more than a flood
+        if sum(sizes) > 1.25 * len(at) or sum(n * n for n in sizes) >= len(at) ** 2:
+            flood(at)
+        else:
+            regions += cells
     return out
 
 

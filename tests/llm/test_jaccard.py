@@ -123,6 +123,32 @@ def test_link_sets_and_forest(monkeypatch):
         assert all(joined[a] == joined[b] for a, b in truth)
 
 
+def light_edits(n=200, words=120):
+    base = [f"w{i}" for i in range(words)]
+    return [(i, " ".join(base[:j] + [f"x{i}"] + base[j + 1:])) for i in range(n) for j in [i * 7 % words]]
+
+
+def test_light_edits_of_one_text(spark):
+    rows = light_edits()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, num in ((4, 85), (5, 80)):
+        sets = [np.unique(np.array([hash(g) for g in shingle_set(t, k)], np.int64).view(np.uint64)) for _, t in rows]
+        assert len({frozenset((0, *e)) - {0} for e in link_sets(sets, num, 100)}) == len(rows) - 1
+        got = jaccard_groups(df, k, num, 100).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(i, len(shingle_set(t, k)), 0) for i, t in rows]
+
+
+def test_regions_that_lose_one_set_at_a_time():
+    rnd = np.random.default_rng(8)
+    core = np.arange(100, dtype=np.uint64)
+    sets = [np.delete(core, i % 100) for i in range(60)]
+    for i in range(1100):
+        own = np.arange(10_000 + 40 * i, 10_040 + 40 * i, dtype=np.uint64)
+        sets.append(np.concatenate([np.sort(rnd.choice(core, 60, replace=False)), own]))
+    got = link_sets(sets, 95, 100, pivots=2)
+    assert len(got) == 59 and max(map(max, got)) < 60
+
+
 def test_given_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert found(df) == brute([(r.doc_id, r.text) for r in df.collect()])
