@@ -29,32 +29,36 @@ AT_ONCE = 64
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary file of the tokenizers library, without special tokens.
+    """Ids of a byte-level BPE vocabulary file of the tokenizers library, with no special tokens put around a text.
 
     The vocabulary is read from the file and run by tiktoken's merge loop, which gives the same ids
-    several times faster; the tokenizers library itself does texts that the former can't.
+    several times faster; the tokenizers library itself does texts that the former can't. With ``added`` that also holds
+    for texts with the content of one of the file's added tokens, which has its own id there as by the
+    library's defaults; without, such content is text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.slow.encode_special_tokens = not added
         special = {t.content for t in self.slow.get_added_tokens_decoder().values()}
+        self.added = special if added else set()
         byte = byte_letters()
         ranks = {bytes(byte[c] for c in k): v for k, v in vocabulary.items() if k not in special}
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        try:
-            return np.array(self.fast.encode_ordinary(text), "<u4")
-        except BaseException as e:  # a pattern engine that gives up on a text panics
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
-                raise
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
+        if not any(t in text for t in self.added):
+            try:
+                return np.array(self.fast.encode_ordinary(text), "<u4")
+            except BaseException as e:  # a pattern engine that gives up on a text panics
+                if isinstance(e, (KeyboardInterrupt, SystemExit)):
+                    raise
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def byte_letters() -> dict[str, int]:
@@ -71,7 +75,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The encoder of this process, made once."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, added=True)
     return _ENCODERS[path]
 
 

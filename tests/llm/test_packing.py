@@ -27,6 +27,19 @@ def test_ids_equal_the_tokenizers_library(plain):
         assert list(enc.ids(x)) == plain(x)
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = ["it's <|endoftext|> ok", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext", "word " * 3000 + "<|endoftext|>", "é"]
+    want = {i: library.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert want[0] == [270, 338, 220, 50256, 12876, 0]
+    got = pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, with_ids=True).collect()
+    back = {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        back.setdefault(r.doc_id, []).extend(r.ids)
+    assert back == want
+
+
 def test_cuts():
     assert cuts(5, 4) == [(0, 1), (1, 4)] and cuts(4, 4) == [(0, 4)] and cuts(8, 4) == [(0, 4), (4, 4)]
 
