@@ -14,9 +14,10 @@ FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".pq": "parque
 
 
 def read_table(spark: SparkSession, path: str | None = None, df: DataFrame | None = None,
-               fmt: str | None = None, **options) -> DataFrame:
+               fmt: str | None = None, multi_line: bool | None = None, **options) -> DataFrame:
     """Load a table. An in-memory DataFrame wins over a path (S5). CSV: header and inferred
-    types (S1); JSON: array-of-objects or one object per file, multi-line (S3); Parquet (S4)."""
+    types (S1); JSON: array-of-objects or one object per file, multi-line, or JSON lines (S3), as
+    ``multi_line`` says or else as the files begin; Parquet (S4)."""
     if df is not None:
         return df
     if path is None:
@@ -25,23 +26,29 @@ def read_table(spark: SparkSession, path: str | None = None, df: DataFrame | Non
     reader = spark.read
     if fmt == "csv":
         reader = reader.option("header", "true").option("inferSchema", "true")
-    elif fmt == "json" and _json_array_file(path):
-        reader = reader.option("multiLine", "true")      # one array-of-objects / one object per file
+    elif fmt == "json" and "multiline" not in {k.lower() for k in options}:
+        whole = _json_whole_files(spark, path) if multi_line is None else multi_line
+        reader = reader.option("multiLine", str(whole).lower())      # one array-of-objects / one object per file
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.format(fmt).load(path)
 
 
-def _json_array_file(path: str) -> bool:
-    """A single local file whose first non-blank character opens an array or object spanning
-    lines is read whole; directories and remote paths are read as JSON lines."""
-    if not os.path.isfile(path):
-        return False
-    with open(path, "rb") as fh:
-        head = fh.read(4096).lstrip()
-    if head[:1] == b"[":
-        return True
-    return head[:1] == b"{" and b"\n" in head.rstrip() and not head.split(b"\n", 1)[0].rstrip().endswith(b"}")
+def _json_whole_files(spark: SparkSession, path: str) -> bool:
+    """Whether the files' first lines are no records by themselves, so that each file is read whole. Spark reads
+    them, so a file, a folder, a URI and a remote path are judged alike, lines of any length too."""
+    lines = (spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), "_metadata.file_path",
+                                          F.struct(F.col("_metadata.file_block_start").alias("block"),
+                                                   F.monotonically_increasing_id().alias("row")).alias("at"))
+             .where("line rlike '[^ \\\\t\\\\r]'"))
+    first = lines.groupBy("file_path").agg(F.min_by("line", "at").alias("line"))
+    record = F.from_json("line", "bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+    # a line that is an array by itself is a line of records
+    opens = F.col("line").rlike("^\\s*[\\[{]") & record["bad"].isNotNull() & F.json_array_length("line").isNull()
+    kinds = {bool(r[0]) for r in first.select(opens).distinct().collect()}
+    if len(kinds) > 1:
+        raise ValueError(f"{path} holds both JSON lines and files to be read whole; read them apart, or give multi_line")
+    return kinds == {True}
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",

@@ -23,6 +23,24 @@ def test_read_formats(spark, tmp_path):
     assert IO.read_table(spark, "/does/not/matter.csv", df=mem) is mem
 
 
+def test_json_is_read_alike_by_file_folder_and_uri(spark, tmp_path):
+    def ways(name, text):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "t.json").write_text(text)
+        return [str(folder / "t.json"), str(folder), f"file://{folder}/t.json", f"file://{folder}"]
+    rows = [{"a": 1, "b": "x"}, {"a": 2, "b": "y"}, {"a": 3, "b": "z"}]
+    for name, text in {"array": json.dumps(rows, indent=2), "open": "\n[" + ",\n".join(map(json.dumps, rows)) + "]",
+                       "lines": "\n".join(map(json.dumps, rows)), "arrays": "\n".join(json.dumps([r]) for r in rows),
+                       "long": "\n".join(json.dumps(r | {"c": "c" * 5000}) for r in rows)}.items():
+        for path in ways(name, text):
+            df = IO.read_table(spark, path, fmt="json")
+            assert sorted(r.a for r in df.collect()) == [1, 2, 3] and "_corrupt_record" not in df.columns
+    for path in ways("one", '{"a": "' + "c" * 5000 + '",\n "b": 7}'):
+        assert [r.b for r in IO.read_table(spark, path, fmt="json").collect()] == [7]
+        assert "_corrupt_record" in IO.read_table(spark, path, fmt="json", multi_line=False).columns
+
+
 def test_report_json_cuts_arrays(spark):
     df = spark.range(1).select(F.sequence(F.lit(1), F.lit(250)).alias("xs"), F.lit("r").alias("name"))
     doc = json.loads(IO.report_json(df).first()["json"])
