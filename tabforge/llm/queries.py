@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -63,10 +64,33 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents")).drop("th", "grp")
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlrules import judge_urls
+    rules = spark.sql("select * from values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), "
+                      "('org', '/fr/', 'allow') as t(host, path, verdict)")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page.page_id", "host", "path", "rule", "verdict")
+
+
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from .alignment import align_tokenizers
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wordruns import plant_loops, word_runs
+    got = word_runs(plant_loops(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return got.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                      F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_format, op3_toxicity, op4_line_dedup, op5_pii_spans,
                                    op6_embedding_dedup, op7_minhash_fingerprints,
                                    op8_mix_sources, op9_quality,
-                                   op10_jaccard_join)}
+                                   op10_jaccard_join, op11_url_rules, op12_align_tokenizers, op13_word_runs)}
 
 #: op2: the template's escapes only lengthen the text, so its length is that of the parts.
 _OP2 = r"""
@@ -118,4 +142,16 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM reach r
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, g.component_id
 FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) g ON g.a = s.doc_id
 """
-ORACLE: dict[str, str] = {"op10_jaccard_join": _OP10, "op2_chat_format": _OP2, "op6_embedding_dedup": _OP6}
+_OP11 = """
+WITH p AS (
+    SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages),
+r(h, q, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+b AS (
+    SELECT host, path, max_by(h || q, length(h || q)) AS rule, max_by(v, length(h || q)) AS verdict
+    FROM (SELECT DISTINCT host, path FROM p) u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+    GROUP BY host, path)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM p LEFT JOIN b ON p.host = b.host AND p.path = b.path
+"""
+ORACLE: dict[str, str] = {"op10_jaccard_join": _OP10, "op11_url_rules": _OP11, "op2_chat_format": _OP2, "op6_embedding_dedup": _OP6}
