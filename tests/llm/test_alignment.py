@@ -1,5 +1,6 @@
 """Operator 12: groups, links and counts against whole-text encodings and brute-force counts."""
 
+import functools
 import hashlib
 import random
 from collections import Counter
@@ -20,6 +21,7 @@ PIECES = SentencePieceProcessor(model_file=B)
 LETTERS = byte_letters()
 
 
+@functools.cache
 def brute(text):
     """(A ids, B ids, groups, links) of one text, its tokens' bytes laid one after the other."""
     if not text:
@@ -41,11 +43,17 @@ def brute(text):
         return out
     ea, eb = ends(a), ends(b)
     both = sorted({n for _, n in ea} & {n for _, n in eb})
-    groups, links, low = [], [], 0
-    for n in both:
-        groups.append(",".join(str(i) for i, m in ea if low < m <= n) + "|" + ",".join(str(i) for i, m in eb if low < m <= n))
-        links += [(i, j) for i, m in ea if m == n for j, k in eb if k == n]
-        low = n
+    def part(ts):
+        at = 0
+        for n in both:
+            low = at
+            while at < len(ts) and ts[at][1] <= n:
+                at += 1
+            yield ts[low:at]
+    groups, links = [], []
+    for n, x, y in zip(both, part(ea), part(eb)):
+        groups.append(",".join(str(i) for i, _ in x) + "|" + ",".join(str(i) for i, _ in y))
+        links += [(i, j) for i, m in x if m == n for j, k in y if k == n]
     return [i for i, _ in ea], [i for i, _ in eb], ";".join(groups), links
 
 
