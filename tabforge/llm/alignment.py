@@ -26,7 +26,7 @@ from .packing import byte_letters
 
 SPACE = "▁"
 #: Documents worked on at once; the characters of units kept, then forgotten; units encoded at once.
-AT_ONCE, KEPT_CHARS, UNITS = 256, 4 << 20, 4096
+AT_ONCE, KEPT_CHARS, UNITS = 256, 6 << 20, 4096
 #: The most id pairs whose counts are sent to all tasks; rarer ones are joined by a shuffle.
 HEAD_PAIRS = 1 << 20
 #: A pair of ids as one number.
@@ -81,10 +81,9 @@ class Pieces:
     def cuts(self, text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
         """(ids, byte end of each in space + text, their bytes) of a text."""
         got = self.model.encode(text, return_type="proto").pieces
-        ids = np.array([p.id for p in got], np.int64)
-        if not len(ids):
-            return ids, ids, b""
-        stop = np.array([p.end for p in got], np.int64) + 1
+        if not got:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), b""
+        ids, stop = np.array([(p.id, p.end + 1) for p in got], np.int64).T
         return ids, refine(stop, ~self.byte[ids], self.size[ids]), b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
@@ -104,25 +103,17 @@ def refine(coarse: np.ndarray, sure: np.ndarray, size: np.ndarray) -> np.ndarray
     return np.where(there, coarse[at] + total - total[at], total)
 
 
-def group(a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, low: int, high: int) -> tuple[int, int, str, np.ndarray]:
-    """(tokens of A, of B, the groups as text, the linked pairs) between two bytes where both have a cut."""
-    i, j = np.searchsorted(a_end, [low, high], "right")
-    k, m = np.searchsorted(b_end, [low, high], "right")
-    ea, eb = a_end[i:j], b_end[k:m]
-    both = np.intersect1d(ea, eb)
-    ga, gb = np.searchsorted(ea, both, "right"), np.searchsorted(eb, both, "right")
-    xs, ys = a[i:j].tolist(), b[k:m].tolist()
-    words, p, q = [], 0, 0
-    for s, t in zip(ga.tolist(), gb.tolist()):
-        words.append(",".join(map(str, xs[p:s])) + "|" + ",".join(map(str, ys[q:t])))
+def groups(a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(byte where both have a cut, tokens of A and of B up to it, the group before it as text, the linked pair)."""
+    both = np.intersect1d(a_end, b_end)
+    up_a, up_b = np.searchsorted(a_end, both, "right"), np.searchsorted(b_end, both, "right")
+    xs, ys = list(map(str, a.tolist())), list(map(str, b.tolist()))
+    said, p, q = [], 0, 0
+    for s, t in zip(up_a.tolist(), up_b.tolist()):
+        said.append((xs[p] if s == p + 1 else ",".join(xs[p:s])) + "|" + (ys[q] if t == q + 1 else ",".join(ys[q:t])))
         p, q = s, t
-    # tokens of no bytes share the end of the one before them
-    la, lb = np.searchsorted(ea, both, "left"), np.searchsorted(eb, both, "left")
-    if (ga - la == 1).all() and (gb - lb == 1).all():
-        pairs = (a[i:j][ga - 1] << B_BITS) | b[k:m][gb - 1]
-    else:
-        pairs = np.array([(x << B_BITS) | y for s, t, u, v in zip(la, ga, lb, gb) for x in xs[s:t] for y in ys[u:v]], np.int64)
-    return j - i, m - k, ";".join(words), pairs
+    # a token has at least a byte, so one of each vocabulary ends at a cut
+    return both, up_a, up_b, said, (a[up_a - 1] << B_BITS) | b[up_b - 1]
 
 
 class Aligner:
@@ -163,25 +154,30 @@ class Aligner:
         if not lead:  # the space that the model puts before the first is none of the units'
             b, b_end, b_raw = b[1:], b_end[1:] - 1, b_raw[1:]
         stop = np.cumsum([len((lead + u).encode()) for u in part])
-        sure = a_raw == raw and b_raw == raw and np.isin(stop, a_end).all() and np.isin(stop, b_end).all()
+        if a_raw != raw or b_raw != raw or not np.isin(stop, a_end).all() or not np.isin(stop, b_end).all():
+            for u in part:
+                if len(part) > 1:
+                    self._many(lead + u, [u], lead)
+                else:
+                    self._add(u, 0, 0, "", np.zeros(0, np.int64), False)
+            return
+        both, up_a, up_b, said, pairs = groups(a, a_end, b, b_end)
+        last = np.searchsorted(both, stop)
+        n_a, n_b = np.diff(up_a[last], prepend=0).tolist(), np.diff(up_b[last], prepend=0).tolist()
         low = 0
-        for u, high in zip(part, stop.tolist()):
-            if sure:
-                self._add(u, *group(a, a_end, b, b_end, low, high), True)
-            elif len(part) > 1:
-                self._many(lead + u, [u], lead)
-            else:
-                self._add(u, 0, 0, "", np.zeros(0, np.int64), False)
+        for i, (u, high) in enumerate(zip(part, (last + 1).tolist())):
+            self._add(u, n_a[i], n_b[i], ";".join(said[low:high]), pairs[low:high], True)
             low = high
 
-    def whole(self, text: str) -> tuple[int, int, str, np.ndarray, bool]:
-        """A text encoded by itself; False at the end where its bytes don't come back."""
+    def whole(self, text: str) -> tuple[int, int, str, np.ndarray]:
+        """(tokens of A, of B, groups as text, linked pairs) of a text encoded by itself; nothing where its bytes don't come back."""
         raw = (" " + text).encode()
         a, a_end, a_raw = self.a.cuts(" " + text)
         b, b_end, b_raw = self.b.cuts(text)
         if not text or a_raw != raw or b_raw != raw:
-            return 0, 0, "", np.zeros(0, np.int64), False
-        return *group(a, a_end, b, b_end, 0, len(raw)), True
+            return 0, 0, "", np.zeros(0, np.int64)
+        _, _, _, said, pairs = groups(a, a_end, b, b_end)
+        return len(a), len(b), ";".join(said), pairs
 
     def _add(self, unit: str, n_a: int, n_b: int, said: str, pairs: np.ndarray, fine: bool) -> None:
         self.number[unit] = len(self.said)
@@ -208,7 +204,7 @@ class Aligner:
                 out.append((sum(map(self.n_a.__getitem__, at)), sum(map(self.n_b.__getitem__, at)),
                             ";".join(map(self.said.__getitem__, at)), np.concatenate([self.pairs[i] for i in at])))
             else:
-                out.append(self.whole(text)[:4])
+                out.append(self.whole(text))
         return out
 
 
