@@ -3,8 +3,8 @@
 SMOTE: every minority class is grown to the majority count with points
 ``x + u (nn - x)`` where ``nn`` is one of the k nearest same-class rows of ``x``. The base
 rows, the neighbour choice and ``u`` come from hashes of (row id, copy number), so the
-result is reproducible on any partitioning. Same-class neighbours come from the exact
-blocked k-NN operator; no class is gathered into one task.
+result is reproducible on any partitioning. Same-class neighbours come from the exact pivot
+k-NN join, whose parts and bounds are those of one class; no class is gathered into one task. Rows are named by all their id columns.
 """
 
 from __future__ import annotations
@@ -13,22 +13,24 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from tabforge.functions.hashing import hash_fraction_expr
-from tabforge.operators import neighbors as NB
+from tabforge.operators.knn import knn, row_key
 from tabforge.operators.quantiles import order_statistics
 
 
 def smote(df: DataFrame, label: str, features: str, id_cols, k: int = 5, seed: int = 42) -> DataFrame:
     """Return ``df`` plus synthetic rows (id columns NULL, ``synthetic`` = true)."""
-    id_col = id_cols[0]
+    # one key for rows of several id columns
+    id_col = "__key"
+    plain, df = df, df.withColumn(id_col, row_key(id_cols) if len(id_cols) > 1 else F.col(id_cols[0]))
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     if len(counts) < 2:
-        return df.withColumn("synthetic", F.lit(False))
+        return plain.withColumn("synthetic", F.lit(False))
     target = max(counts.values())
     need = {c: target - n for c, n in counts.items() if n < target and n >= 2}
     if not need:
-        return df.withColumn("synthetic", F.lit(False))
+        return plain.withColumn("synthetic", F.lit(False))
     minority = df.where(F.col(label).isin(list(need)))
-    nn = NB.knn(minority, minority.withColumnRenamed(id_col, "__rid"), k, id_col, "__rid", features,
+    nn = knn(minority, minority.withColumnRenamed(id_col, "__rid"), k, id_col, "__rid", features,
                 group=label, exclude_self=True)
     # copies per row: full rounds for every row, plus one more for the rows with the smallest hashes
     h = hash_fraction_expr([id_col], seed)
@@ -54,10 +56,10 @@ def smote(df: DataFrame, label: str, features: str, id_cols, k: int = 5, seed: i
     syn = pairs.join(nbr, "__rid").withColumn("__x", vector_to_array(features))
     syn = syn.select(*[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in id_cols], label,
                      array_to_vector(F.zip_with("__x", "__nx", lambda a, b: a + F.col("__u") * (b - a))).alias(features))
-    others = [c for c in df.columns if c not in (*id_cols, label, features)]
+    others = [c for c in plain.columns if c not in (*id_cols, label, features)]
     for c in others:
         syn = syn.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
-    out = df.withColumn("synthetic", F.lit(False)).unionByName(syn.withColumn("synthetic", F.lit(True)))
+    out = plain.withColumn("synthetic", F.lit(False)).unionByName(syn.withColumn("synthetic", F.lit(True)))
     return out
 
 

@@ -1,4 +1,5 @@
-"""Exact neighbour operators (J3-J6, M12, M20) by blocked nested loops.
+"""Neighbour operators (J3-J6, M12, M20, E9): the k-NN join is in ``knn``, DBSCAN and range counts in ``dbscan``; here is
+the silhouette, by blocked nested loops.
 
 Rows are hashed into query blocks and reference blocks of at most ``block_rows`` rows.
 Each (query block, reference block) pair is one cogrouped task that computes distances
@@ -13,22 +14,17 @@ explicit error instead of a silent cap or an approximate answer.
 from __future__ import annotations
 
 import math
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from tabforge.session import cut_lineage, ship_package
+from tabforge.operators.dbscan import dbscan, range_counts  # noqa: F401 - part of this module's interface
+from tabforge.operators.knn import (KNNClassifier, as_array, estimate_eps, knn, knn_classify, matrix,  # noqa: F401
+                                    pairwise)
+from tabforge.session import ship_package
 
 #: No bound by default; a caller may set one to fail early.
 MAX_PAIRS = None
 
 
-def _as_array(df: DataFrame, vec: str) -> DataFrame:
-    dt = df.schema[vec].dataType
-    if isinstance(dt, T.ArrayType):
-        return df.withColumn("__x", F.col(vec).cast("array<double>"))
-    from pyspark.ml.functions import vector_to_array
-    return df.withColumn("__x", vector_to_array(F.col(vec)))
-
-
 def _blocks(n: int, block_rows: int) -> int:
     return max(1, math.ceil(n / block_rows))
 
@@ -42,180 +38,15 @@ def _prepare(query: DataFrame, ref: DataFrame, qid: str, rid: str, vec: str, gro
                          "reduce the inputs or raise max_pairs explicitly")
     bq, br = _blocks(nq, block_rows), _blocks(nr, block_rows)
     g = [F.col(group).cast("string").alias("__g")] if group else [F.lit("").alias("__g")]
-    q = _as_array(query, vec).select(F.col(qid).alias("qid"), "__x", *g,
+    q = as_array(query, vec).select(F.col(qid).alias("qid"), "__x", *g,
                                      (F.abs(F.xxhash64(F.col(qid))) % bq).alias("qb"))
-    r = _as_array(ref, vec).select(F.col(rid).alias("rid"), "__x", *g,
+    r = as_array(ref, vec).select(F.col(rid).alias("rid"), "__x", *g,
                                    (F.abs(F.xxhash64(F.col(rid))) % br).alias("rb"))
     qx = q.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)).cast("array<long>")))
     rx = r.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>")))
     return qx, rx
 
 
-def pairwise(Q, R, batch: int = 64):
-    """Euclidean distances from differences (not the |q|^2 + |r|^2 - 2 q.r shortcut, whose
-    rounding can move a pair across a radius), in row batches to bound memory."""
-    import numpy as np
-    out = np.empty((Q.shape[0], R.shape[0]), dtype="float64")
-    for i in range(0, Q.shape[0], batch):
-        diff = Q[i:i + batch, None, :] - R[None, :, :]
-        out[i:i + batch] = np.sqrt((diff * diff).sum(-1))
-    return out
-
-
-def _matrix(pdf):
-    import numpy as np
-    return np.array(pdf["__x"].tolist(), dtype="float64")
-
-
-def _dist_blocks(qpdf, rpdf):
-    d = pairwise(_matrix(qpdf), _matrix(rpdf))
-    same = qpdf["__g"].to_numpy()[:, None] == rpdf["__g"].to_numpy()[None, :]
-    return d, same
-
-
-def knn(query: DataFrame, ref: DataFrame, k: int, qid: str, rid: str, vec: str, group: str | None = None,
-        exclude_self: bool = False, block_rows: int = 4096, max_pairs: float | None = MAX_PAIRS) -> DataFrame:
-    """The k nearest reference rows per query row (Euclidean), as (qid, rank, rid, dist).
-    ``group`` restricts neighbours to the same group value (same-class search for SMOTE).
-    Ties at equal distance are broken by the reference id."""
-    import numpy as np
-    import pandas as pd
-    qx, rx = _prepare(query, ref, qid, rid, vec, group, block_rows, max_pairs)
-
-    def local(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({"qid": [], "rid": [], "dist": []})
-        d, same = _dist_blocks(qpdf, rpdf)
-        d = np.where(same, d, np.inf)
-        if exclude_self:
-            d = np.where(qpdf["qid"].to_numpy()[:, None] == rpdf["rid"].to_numpy()[None, :], np.inf, d)
-        rids = rpdf["rid"].to_numpy()
-        kk = min(k, d.shape[1])
-        # order by (distance, rid): lexsort per row over the kk smallest + ties
-        out_q, out_r, out_d = [], [], []
-        for i in range(d.shape[0]):
-            row = d[i]
-            idx = np.lexsort((rids, row))[:kk]
-            idx = idx[np.isfinite(row[idx])]
-            out_q.extend([qpdf["qid"].iat[i]] * len(idx))
-            out_r.extend(rids[idx].tolist())
-            out_d.extend(row[idx].tolist())
-        return pd.DataFrame({"qid": out_q, "rid": out_r, "dist": out_d})
-
-    schema = f"qid {query.schema[qid].dataType.simpleString()}, rid {ref.schema[rid].dataType.simpleString()}, dist double"
-    cand = qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb")).applyInPandas(local, schema)
-    # per query at most k x blocks candidates: a bounded window group
-    w = Window.partitionBy("qid").orderBy("dist", "rid")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-               .select(F.col("qid").alias(qid), "rank", F.col("rid").alias(f"nn_{rid}" if rid == qid else rid), "dist")
-
-
-def range_counts(df: DataFrame, eps: float, id_col: str, vec: str, block_rows: int = 4096,
-                 max_pairs: float | None = MAX_PAIRS) -> DataFrame:
-    """Number of rows within distance ``eps`` of each row, the row itself included."""
-    import numpy as np
-    import pandas as pd
-    qx, rx = _prepare(df, df, id_col, id_col, vec, None, block_rows, max_pairs)
-
-    def local(qpdf, rpdf):
-        if len(qpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({"qid": [], "n": []})
-        d, _ = _dist_blocks(qpdf, rpdf)
-        return pd.DataFrame({"qid": qpdf["qid"].to_numpy(), "n": (d <= eps).sum(1).astype("int64")})
-
-    schema = f"qid {df.schema[id_col].dataType.simpleString()}, n long"
-    part = qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb")).applyInPandas(local, schema)
-    return part.groupBy("qid").agg(F.sum("n").alias("n_neighbors")).withColumnRenamed("qid", id_col)
-
-
-def _min_label_round(points: DataFrame, eps: float, id_col: str, block_rows: int, max_pairs: float | None) -> DataFrame:
-    """For each row, the smallest label among *core* rows within eps (itself included if core)."""
-    import numpy as np
-    import pandas as pd
-    ship_package(points.sparkSession)
-    q = points.select(id_col, "__x", "core", "lab")
-    n = q.count()
-    if max_pairs is not None and n * n > max_pairs:
-        raise ValueError("exact DBSCAN pair bound exceeded")
-    b = _blocks(n, block_rows)
-    qa = q.select(F.col(id_col).alias("qid"), "__x", (F.abs(F.xxhash64(F.col(id_col))) % b).alias("qb"))
-    ra = q.where("core").select(F.col(id_col).alias("rid"), "__x", "lab",
-                                (F.abs(F.xxhash64(F.col(id_col))) % b).alias("rb"))
-    qx = qa.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(b - 1)).cast("array<long>")))
-    rx = ra.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(b - 1)).cast("array<long>")))
-
-    def local(qpdf, rpdf):
-        if len(qpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({"qid": [], "m": []})
-        near = pairwise(_matrix(qpdf), _matrix(rpdf)) <= eps
-        labs = np.where(near, rpdf["lab"].to_numpy()[None, :], np.iinfo("int64").max)
-        m = labs.min(1)
-        keep = m < np.iinfo("int64").max
-        return pd.DataFrame({"qid": qpdf["qid"].to_numpy()[keep], "m": m[keep]})
-
-    schema = f"qid {points.schema[id_col].dataType.simpleString()}, m long"
-    part = qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb")).applyInPandas(local, schema)
-    return part.groupBy("qid").agg(F.min("m").alias("m")).withColumnRenamed("qid", id_col)
-
-
-def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int,
-           block_rows: int = 4096, max_pairs: float | None = MAX_PAIRS) -> DataFrame:
-    """DBSCAN labels: core rows have >= min_samples rows within eps (itself counted); clusters are
-    connected components of core rows (min-label propagation with pointer jumping until nothing
-    changes, lineage cut every round);
-    border rows take the smallest label of a core row within eps; the rest are noise (-1).
-    Labels are renumbered 0..k-1 in order of each cluster's smallest member id."""
-    counts = range_counts(df, eps, id_col, vec, block_rows, max_pairs)
-    # initial label = the row id itself (ids are integers), so no global numbering is needed
-    pts = _as_array(df.select(id_col, vec), vec).join(counts, id_col) \
-        .withColumn("core", F.col("n_neighbors") >= min_samples) \
-        .withColumn("lab", F.col(id_col).cast("long"))
-    pts = cut_lineage(pts.select(id_col, "__x", "core", "lab"))
-    while True:
-        m = _min_label_round(pts, eps, id_col, block_rows, max_pairs)
-        upd = pts.join(m, id_col, "left").withColumn(
-            "new", F.when(F.col("core"), F.least("lab", F.coalesce("m", "lab"))).otherwise(F.col("lab")))
-        # a label is a core row of the same cluster: take over that row's own label, which halves the way
-        to = upd.where("core").select(F.col(id_col).cast("long").alias("__at"), F.col("new").alias("__to"))
-        jumped = upd.join(to, F.col("new") == F.col("__at"), "left").withColumn(
-            "new", F.when(F.col("core"), F.least("new", F.coalesce("__to", "new"))).otherwise(F.col("new")))
-        after = cut_lineage(jumped.select(id_col, "__x", "core", F.col("new").alias("lab"), F.col("lab").alias("was")))
-        pts = after.drop("was")
-        if after.where(F.col("core") & (F.col("lab") != F.col("was"))).isEmpty():
-            break
-    border = _min_label_round(pts, eps, id_col, block_rows, max_pairs)
-    lab = pts.join(border, id_col, "left").select(
-        id_col, F.when(F.col("core"), F.col("lab")).when(F.col("m").isNotNull(), F.col("m")).alias("raw"),
-        "core")
-    # renumber cluster labels 0..k-1 in order of each cluster's smallest core id, with the
-    # distributed sequence index (there can be many clusters)
-    from tabforge.operators.series import sequence_index
-    ids = sequence_index(lab.where(F.col("raw").isNotNull()).select("raw").distinct(), ["raw"], [], "_c") \
-        .select("raw", F.col("_c").cast("int").alias("cluster"))
-    out = lab.join(ids, "raw", "left").select(
-        id_col, F.coalesce(F.col("cluster"), F.lit(-1)).alias("cluster"), "core")
-    return out
-
-
-def estimate_eps(df: DataFrame, id_col: str, vec: str, k: int = 20, **kw) -> float:
-    """Median distance to the min(k, n-1)-th nearest row, the row itself counted as first."""
-    from tabforge.operators.quantiles import exact_quantiles
-    n = df.count()
-    kk = min(k, n - 1)
-    nn = knn(df, df, kk, id_col, id_col, vec, **kw)
-    kth = nn.where(F.col("rank") == kk).select("dist")
-    return exact_quantiles(kth, ["dist"], (0.5,))[("dist", 0.5)]
-
-
-def knn_classify(train: DataFrame, test: DataFrame, k: int, id_col: str, vec: str, label: str, **kw) -> DataFrame:
-    """k-NN vote (uniform weights, ties -> smallest label) for every test row."""
-    nn = knn(test, train.withColumnRenamed(id_col, "__rid"), k, id_col, "__rid", vec, **kw)
-    lab = train.select(F.col(id_col).alias("__rid"), F.col(label).alias("__lab"))
-    votes = nn.join(lab, "__rid").groupBy(id_col, "__lab").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy(id_col).agg(F.max("votes").alias("votes"))
-    return votes.join(best, [id_col, "votes"]).groupBy(id_col).agg(F.min("__lab").alias("prediction"))
-
-
 def silhouette_euclidean(df: DataFrame, id_col: str, vec: str, label: str, block_rows: int = 4096,
                          max_pairs: float | None = MAX_PAIRS) -> DataFrame:
     """Mean silhouette with plain Euclidean distance, exact.
@@ -232,7 +63,7 @@ def silhouette_euclidean(df: DataFrame, id_col: str, vec: str, label: str, block
     def local(qpdf, rpdf):
         if len(qpdf) == 0 or len(rpdf) == 0:
             return pd.DataFrame({"qid": [], "own": [], "cl": [], "s": [], "n": []})
-        d = pairwise(_matrix(qpdf), _matrix(rpdf))
+        d = pairwise(matrix(qpdf["__x"]), matrix(rpdf["__x"]))
         labs = rpdf["__g"].to_numpy()
         out = []
         for c in np.unique(labs):

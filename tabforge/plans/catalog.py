@@ -1079,6 +1079,54 @@ def q_dbscan_core(spark, sf):
     return c.withColumn("core", F.col("n_neighbors") >= ms)
 
 
+#: DBSCAN by reachability: smallest core row reachable by core rows within eps, numbered in order.
+DBSCAN_SQL = """
+n AS (SELECT a.id AS a, b.id AS b FROM p a, p b WHERE list_distance(a.x, b.x) <= (SELECT eps FROM e)),
+core AS (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= (SELECT ms FROM e)),
+l AS (SELECT a, b FROM n WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach(a, b) AS (SELECT id, id FROM core UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+root AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
+num AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS c FROM (SELECT DISTINCT root FROM root)),
+own AS (SELECT root.id, num.c FROM root JOIN num USING (root)),
+edge AS (SELECT n.a AS id, min(own.c) AS c FROM n JOIN own ON own.id = n.b WHERE n.a NOT IN (SELECT id FROM core) GROUP BY n.a)
+SELECT p.id, CAST(coalesce(own.c, edge.c, -1) AS INTEGER) AS cluster, own.c IS NOT NULL AS core
+FROM p LEFT JOIN own ON own.id = p.id LEFT JOIN edge ON edge.id = p.id"""
+
+
+@query("dbscan_grid", """
+WITH RECURSIVE p AS (SELECT c_custkey AS id, [c_acctbal / 1000, CAST(c_nationkey AS DOUBLE) / 4] AS x FROM customer),
+e AS (SELECT 0.3 AS eps, 6 AS ms),""" + DBSCAN_SQL)
+def q_dbscan_grid(spark, sf):
+    from tabforge.operators import neighbors as NB
+    c = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.array(
+        F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double") / 4).alias("x"))
+    return NB.dbscan(c, "id", "x", 0.3, 6)
+
+
+@query("dbscan_vectors", """
+WITH RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+e AS (SELECT 0.6 AS eps, 4 AS ms),""" + DBSCAN_SQL)
+def q_dbscan_vectors(spark, sf):
+    from tabforge.operators import neighbors as NB
+    return NB.dbscan(t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")), "id", "x", 0.6, 4)
+
+
+@query("knn_weighted", f"""
+WITH s AS {EMB_SPLIT_SQL},
+tr AS (SELECT * FROM s WHERE NOT is_test), te AS (SELECT * FROM s WHERE is_test),
+d AS (SELECT te.vec_id, tr.vec_id AS rid, tr.label, list_sum(list_transform(list_zip(te.x, tr.x), lambda z: abs(z[1] - z[2]))) AS dist FROM te, tr),
+nn AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, rid) AS r FROM d),
+z AS (SELECT *, max(dist = 0) OVER (PARTITION BY vec_id) AS zero FROM nn WHERE r <= 7),
+v AS (SELECT vec_id, label, round(sum(CASE WHEN zero THEN CAST(dist = 0 AS INTEGER) ELSE 1 / dist END), 9) AS votes FROM z GROUP BY vec_id, label)
+SELECT vec_id, min(label) AS prediction FROM (SELECT *, max(votes) OVER (PARTITION BY vec_id) AS mv FROM v) WHERE votes = mv
+GROUP BY vec_id""")
+def q_knn_weighted(spark, sf):
+    from tabforge.functions.hashing import hash_unit
+    from tabforge.operators import neighbors as NB
+    e = t(spark, sf, "embeddings").withColumn("is_test", hash_unit(["vec_id"]) < 0.2)
+    return NB.knn_classify(e.where(~F.col("is_test")), e.where("is_test"), 7, "vec_id", "embedding", "label", weights="distance", p=1)
+
+
 @query("knn_classify", f"""
 WITH s AS {EMB_SPLIT_SQL},
 tr AS (SELECT * FROM s WHERE NOT is_test), te AS (SELECT * FROM s WHERE is_test),
@@ -1148,7 +1196,11 @@ def q_train_classification_smote(spark, sf):
     return res.leaderboard.drop("error", "train_seconds")
 
 
-@query("smote")
+@query("smote", """
+WITH c AS (SELECT l.quality, count(*) AS n FROM labels l JOIN documents USING (doc_id) GROUP BY l.quality),
+m AS (SELECT max(n) AS m FROM c)
+SELECT quality, false AS synthetic, n FROM c
+UNION ALL SELECT quality, true, m - n FROM c, m WHERE n < m AND n >= 2""")
 def q_smote(spark, sf):
     from pyspark.ml.functions import array_to_vector
     from tabforge.operators.balance import smote

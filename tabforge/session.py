@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +67,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Written:
+    """A table written once as Parquet in the shared checkpoint folder: cuts lineage, survives lost executors, and adaptive
+    execution can split joins with it. The files go with ``drop()``, or else when the application ends."""
+
+    def __init__(self, df: DataFrame):
+        spark = df.sparkSession
+        place = f"{checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+        df.write.parquet(place)
+        jvm = spark.sparkContext._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path(place)
+        self.files = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files.deleteOnExit(self.path)
+        self.df = spark.read.schema(df.schema).parquet(place)
+
+    def drop(self) -> None:
+        self.files.delete(self.path, True)
+
+
 _SHIPPED: set = set()
 
 
