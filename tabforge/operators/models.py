@@ -36,7 +36,7 @@ REGRESSION_DEFAULTS = {
 }
 REGRESSION_MODELS = ("linear_regression", "ridge", "lasso", "elastic_net", "decision_tree", "random_forest",
                      "gradient_boosting")
-CLASSIFICATION_MODELS = ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting",
+CLASSIFICATION_MODELS = ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting", "knn",
                          "naive_bayes", "svm", "mlp")
 SPARK_MAX_DEPTH = 30            # Spark trees reject deeper limits; "unlimited" maps here
 
@@ -134,7 +134,7 @@ def regression_estimator(name: str, params: dict | None, y_sd: float, n: int, fe
 
 def classification_estimator(name: str, params: dict | None, n: int, n_classes: int, n_features: int,
                              features_col: str = "features", label_col: str = "label",
-                             weight_col: str | None = None, seed: int = 42):
+                             weight_col: str | None = None, seed: int = 42, id_cols: Sequence[str] | None = None):
     from pyspark.ml import classification as C
     p = dict(params or {})
     common = {"featuresCol": features_col, "labelCol": label_col}
@@ -162,6 +162,11 @@ def classification_estimator(name: str, params: dict | None, n: int, n_classes:
     if name == "mlp":
         return C.MultilayerPerceptronClassifier(layers=[n_features, 100, 50, max(n_classes, 2)],
                                                 maxIter=p.get("max_iter", 500), seed=seed, **common)
+    if name == "knn":
+        from tabforge.operators.knn import KNNClassifier
+        if not id_cols:
+            raise ValueError("knn needs the columns that name a row")
+        return KNNClassifier(id_cols, n_classes, p.get("n_neighbors", 5), p.get("weights", "uniform"), p.get("p", 2), features_col, label_col)
     raise ValueError(f"unknown classification model {name!r}")
 
 

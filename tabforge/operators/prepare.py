@@ -332,6 +332,45 @@ def split_stratified(df: DataFrame, target: str, id_cols: Sequence[str], test_si
                             .otherwise(F.lit("train"))).drop("__h")
 
 
+def _digits(c, kind) -> list | None:
+    """A value of order as numbers that a double holds exactly, most significant first; None for text, whose number is open."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)):
+        return [c.cast("double")]
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(kind, T.DateType):
+        c = F.unix_date(c).cast("long")
+    elif isinstance(kind, T.DecimalType):
+        whole = (c * F.expr(f"cast(1e{kind.scale} as decimal(38,0))")).cast("decimal(38,0)")
+        big, small = F.expr("cast(1e24 as decimal(38,0))"), F.expr("cast(1e12 as decimal(38,0))")
+        return [F.floor(whole / big).cast("double"), F.floor(F.pmod(whole, big) / small).cast("double"), F.pmod(whole, small).cast("double")]
+    elif not isinstance(kind, T.LongType):
+        return None
+    return [F.shiftright(c, 32).cast("double"), c.bitwiseAND(0xFFFFFFFF).cast("double")]
+
+
+def value_at(df: DataFrame, col: str, r: int):
+    """The value of ``col`` (NULLs left out) at place ``r`` of its order, in its own type: one exact order statistic for each
+    digit of the values, among the rows alike in the digits before. No rows are gathered, however many tie."""
+    kind = df.schema[col].dataType
+    order = F.col(col).cast("string")
+    digits = _digits(F.col(col), kind)
+    rows, at = df.where(F.col(col).isNotNull()), 0
+    while True:
+        if digits is not None:
+            if at == len(digits):
+                break
+            v = digits[at]
+        else:   # six bytes of the text at a time
+            if rows.agg(F.max(F.octet_length(order))).first()[0] <= 6 * at:
+                break
+            v = F.conv(F.rpad(F.hex(F.substring(F.encode(order, "UTF-8"), 6 * at + 1, 6)), 12, "0"), 16, 10).cast("double")
+        star = order_statistics(rows.select(F.lit("i").alias("column_name"), v.alias("v")), {"i": ("i", r)})["i"]
+        r -= rows.where(v < star).count()
+        rows, at = rows.where(v == star), at + 1
+    return rows.select(col).first()[0]
+
+
 def split_chronological(df: DataFrame, ts_col: str, id_col: str, train_frac: float = 0.8,
                         out_col: str = "split") -> DataFrame:
     """First floor(train_frac * n) rows in (ts, id) order are 'train', the rest 'test'.
@@ -353,13 +392,8 @@ def split_chronological(df: DataFrame, ts_col: str, id_col: str, train_frac: flo
     if id_col != ts_col:
         r = k - keyed.where(train).count()
         ties = keyed.where(F.col("__t") == t_star)
-        if isinstance(df.schema[id_col].dataType, T.NumericType):
-            ids = F.col(id_col).cast("double")
-            id_star = order_statistics(ties.select(F.lit("i").alias("column_name"), ids.alias("v")), {"i": ("i", r)})["i"]
-        else:
-            ids = F.col(id_col)
-            id_star = ties.select(ids.alias("v")).orderBy("v").offset(r).limit(1).first()["v"]
-        train = train | ((F.col("__t") == t_star) & (ids < F.lit(id_star)))
+        id_star = value_at(ties, id_col, r)
+        train = train | ((F.col("__t") == t_star) & (F.col(id_col) < F.lit(id_star)))
     return keyed.withColumn(out_col, F.when(train, F.lit("train")).otherwise(F.lit("test"))).drop("__t")
 
 

@@ -120,9 +120,15 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, probs=(0.25, 0.5,
 
 # ---------------------------------------------------------------- A5 / A6 / A7 counts
 
+def known(df: DataFrame, col: str):
+    """The column with NaN as NULL: both are missing values."""
+    c = F.col(col)
+    return F.when(~F.isnan(c), c) if isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType)) else c
+
+
 def value_counts(df: DataFrame, col: str, value_alias: str = "value") -> DataFrame:
     """Count and share (%) per non-null value of one column."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias(value_alias)).agg(
+    counts = df.select(known(df, col).alias(value_alias)).where(F.col(value_alias).isNotNull()).groupBy(value_alias).agg(
         F.count(F.lit(1)).alias("count"))
     # The share needs the total: a one-row aggregate joined back (broadcast of 1 row),
     # not an un-partitioned window over all groups.
@@ -132,7 +138,7 @@ def value_counts(df: DataFrame, col: str, value_alias: str = "value") -> DataFra
 
 
 def _long_strings(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), known(df, c).cast("string").alias("value"))
                       for c in cols])
     return df.select(F.inline(pairs))
 
@@ -145,7 +151,7 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
     """
     cols = list(cols or df.columns)
     if approx:
-        agg = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)])
+        agg = df.agg(*[F.approx_count_distinct(known(df, c)).alias(f"d{i}") for i, c in enumerate(cols)])
         stack = ", ".join(f"'{c}', d{i}" for i, c in enumerate(cols))
         return agg.selectExpr(f"stack({len(cols)}, {stack}) AS (column_name, n_distinct)")
     long = _long_strings(df, cols).where(F.col("value").isNotNull())
@@ -175,7 +181,7 @@ def imbalance(df: DataFrame, target: str) -> DataFrame:
     grouped count, then one aggregate over the class table (min over (count, label) and
     over (-count, label)).
     """
-    counts = df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("cls")) \
+    counts = df.select(known(df, target).cast("string").alias("cls")).where(F.col("cls").isNotNull()).groupBy("cls") \
         .agg(F.count(F.lit(1)).alias("n"))
     agg = counts.agg(
         F.count(F.lit(1)).alias("n_classes"), F.sum("n").alias("tot"),
@@ -275,8 +281,8 @@ def gap_stats(df: DataFrame, col: str, partitions: int | None = None) -> dict:
 
 
 def unique_profile(df: DataFrame, col: str) -> DataFrame:
-    """n_unique (NULL counted as one value, like pandas ``unique``), ratio and value range."""
-    c = F.col(col)
+    """n_unique (NULL and NaN counted as one value, like pandas ``unique``), ratio and value range of the others."""
+    c = known(df, col)
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(c).alias("nd"),
                   F.max(F.when(c.isNull(), 1).otherwise(0)).alias("has_null"),
                   F.min(c).cast("double").alias("vmin"), F.max(c).cast("double").alias("vmax")).select(

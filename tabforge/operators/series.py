@@ -334,8 +334,8 @@ def duplicate_count(df: DataFrame, col: str) -> DataFrame:
 def infer_frequency(df: DataFrame, ts_col: str) -> str | None:
     """Frequency code of the distinct timestamps when every step is equal (W8); None otherwise.
 
-    Fixed-length steps map to S/T/H/D/W; calendar steps on month starts to MS/QS/AS and
-    on month ends to M/Q/A; weekday-only dates with 1- or 3-day steps to B.
+    Fixed-length steps map to the longest of S/T/H/D/W that divides them, with a multiplier (``15T``); calendar steps on
+    month starts to MS/QS/AS and on month ends to M/Q/A, likewise; weekday-only dates with 1- or 3-day steps to B.
     """
     # wall-clock time (timestamp without time zone): steps do not change with the session
     # time zone or daylight-saving shifts
@@ -351,23 +351,33 @@ def infer_frequency(df: DataFrame, ts_col: str) -> str | None:
         return None
     secs = dist.select(F.col("s").alias("o"))
     s = adjacent_stats(secs.withColumn("v", F.col("o")), "o", "v")
-    fixed = {1: "S", 60: "T", 3600: "H", 86400: "D", 7 * 86400: "W"}
-    if s["step_min"] == s["step_max"] and s["step_min"] in fixed:
-        return fixed[s["step_min"]]
+    units = ((7 * 86400, "W"), (86400, "D"), (3600, "H"), (60, "T"), (1, "S"))
+    fixed = _multiple(s["step_min"], units) if s["step_min"] == s["step_max"] else None
     months = dist.select(F.col("s").alias("o"), (F.year("t") * 12 + F.month("t")).alias("v"))
     m = adjacent_stats(months, "o", "v")
     if m["step_min"] == m["step_max"] and flags["tod"] == 0:
         step = int(m["step_min"])
         if flags["dmin"] == flags["dmax"] == 1:
-            return {1: "MS", 3: "QS", 12: "AS"}.get(step)
+            return _multiple(step, ((12, "AS"), (3, "QS"), (1, "MS")))
         if flags["all_me"] == 1:
-            return {1: "M", 3: "Q", 12: "A"}.get(step)
+            return _multiple(step, ((12, "A"), (3, "Q"), (1, "M")))
+    if fixed:
+        return fixed
     if (flags["weekend"] == 0 and flags["tod"] == 0 and s["step_min"] == 86400
             and s["step_max"] == 3 * 86400):
         return "B"
     return None
 
 
+def _multiple(step, units) -> str | None:
+    """The code of a step by the longest unit that divides it, with the multiplier in front."""
+    for size, code in units:
+        n, left = divmod(int(step), size)
+        if n and not left and step == int(step):
+            return code if n == 1 else f"{n}{code}"
+    return None
+
+
 def seasonal_period(freq: str | None) -> int:
     return D.SEASONAL_PERIOD.get(freq or "D", 1)
 

@@ -139,6 +139,62 @@ def q_top_value(spark, sf):
     return P.top_values(t(spark, sf, "part"), PART_STR)
 
 
+# The same profiles where NaN stands for some values: a missing value like NULL, as in SQL without those rows.
+NAN_SIZE_SQL = "(SELECT CASE WHEN p_size % 7 = 0 OR p_size % 5 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS v FROM part)"
+
+
+def _nan_sizes(spark, sf):
+    size = F.col("p_size")
+    return t(spark, sf, "part").select(F.when(size % 7 == 0, float("nan")).when(size % 5 == 0, None).otherwise(size.cast("double")).alias("v"))
+
+
+@query("value_counts_nan", f"""
+SELECT v AS value, count(*) AS "count", round(count(*) * 100.0 / (SELECT count(v) FROM {NAN_SIZE_SQL}), 6) AS pct
+FROM {NAN_SIZE_SQL} WHERE v IS NOT NULL GROUP BY v""")
+def q_value_counts_nan(spark, sf):
+    return rnd(P.value_counts(_nan_sizes(spark, sf), "v"))
+
+
+@query("distinct_counts_nan", f"SELECT 'v' AS column_name, count(DISTINCT v) AS n_distinct FROM {NAN_SIZE_SQL}")
+def q_distinct_counts_nan(spark, sf):
+    return P.distinct_counts(_nan_sizes(spark, sf), ["v"])
+
+
+@query("top_value_nan", f"""
+WITH c AS (SELECT CAST(v AS VARCHAR) AS v, count(*) AS n FROM {NAN_SIZE_SQL} WHERE v IS NOT NULL GROUP BY v)
+SELECT 'v' AS column_name, min(v) AS top_value, max(n) AS top_count FROM c WHERE n = (SELECT max(n) FROM c)""")
+def q_top_value_nan(spark, sf):
+    return P.top_values(_nan_sizes(spark, sf), ["v"])
+
+
+@query("imbalance_nan", f"""
+WITH c AS (SELECT CAST(v AS VARCHAR) AS v, count(*) AS n FROM {NAN_SIZE_SQL} WHERE v IS NOT NULL GROUP BY v)
+SELECT count(*) AS n_classes, min(n) AS minority_count, max(n) AS majority_count,
+  (SELECT min(v) FROM c WHERE n = (SELECT min(n) FROM c)) AS minority_class FROM c""")
+def q_imbalance_nan(spark, sf):
+    return P.imbalance(_nan_sizes(spark, sf), "v").select("n_classes", "minority_count", "majority_count", "minority_class")
+
+
+@query("unique_profile_nan", f"""
+SELECT count(*) AS n_rows, count(DISTINCT v) + max(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS n_unique,
+  max(v) - min(v) AS value_range FROM {NAN_SIZE_SQL}""")
+def q_unique_profile_nan(spark, sf):
+    return P.unique_profile(_nan_sizes(spark, sf), "v").select("n_rows", F.col("n_unique").cast("long").alias("n_unique"), "value_range")
+
+
+@query("freq_infer_step", """
+WITH s AS (SELECT DISTINCT o_orderdate AS d FROM orders),
+b AS (SELECT min(d) AS d0, count(*) AS n FROM s)
+SELECT i AS step, d0 + INTERVAL 15 MINUTE * (n - 1 + i) AS ts, '15T' AS freq FROM b, range(1, 4) r(i)""")
+def q_freq_infer_step(spark, sf):
+    first = t(spark, sf, "orders").select("o_orderdate").distinct()
+    n = first.agg(F.min("o_orderdate").alias("d0"), F.count(F.lit(1)).alias("n"))
+    quarters = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"), "d0").select(
+        F.expr("timestampadd(MINUTE, cast(15 * i as int), d0)").alias("ts"))
+    freq = S.infer_frequency(quarters, "ts")
+    return S.future_dates(quarters, "ts", [], freq, 3).select(F.col("step").cast("long").alias("step"), "ts", F.lit(freq).alias("freq"))
+
+
 @query("imbalance", """
 WITH vc AS (SELECT CAST(quality AS VARCHAR) AS cls, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 ext AS (SELECT min(n) AS mn, max(n) AS mx, sum(n) AS tot, count(*) AS k FROM vc)
@@ -1182,7 +1238,7 @@ def q_train_classification(spark, sf):
     from tabforge.plans.train import train_classification
     res = train_classification(_docs_labels(spark, sf), "quality", ["doc_id"],
                                models=("logistic_regression", "decision_tree", "random_forest", "gradient_boosting",
-                                       "naive_bayes", "svm", "mlp"), balance="weights")
+                                       "knn", "naive_bayes", "svm", "mlp"), balance="weights")
     res.release()
     return res.leaderboard.drop("error", "train_seconds")
 

@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import itertools
 import random
+import statistics
 
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tabforge.functions.hashing import hash_fold
 from tabforge.operators import models as MD
+from tabforge.operators.knn import KNNClassifier, knn, row_key
 
 # Search spaces of the reference configuration (sklearn names).
 REGRESSION_GRIDS = {
@@ -39,6 +41,7 @@ CLASSIFICATION_GRIDS = {
                           "subsample": [0.7, 0.8, 0.9, 1.0]},
     "logistic_regression": {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "penalty": ["l1", "l2", "elasticnet"],
                             "max_iter": [1000]},
+    "knn": {"n_neighbors": [3, 5, 7, 9, 11, 13], "weights": ["uniform", "distance"], "p": [1, 2]},
 }
 # sklearn-only knobs with no Spark counterpart are dropped from the sampled points
 UNMAPPED = {"min_samples_split", "solver"}
@@ -97,6 +100,39 @@ def _spark_params(est, name: str, point: dict, y_sd: float, n: int) -> dict:
     return m
 
 
+def _row(name: str, points: list[dict], scores: list[float], best_i: int, stds: list[float], problem: str) -> tuple:
+    best = scores[best_i]
+    display = best ** 0.5 if problem == "regression" else best   # RMSE for regression
+    return (f"{name}_optimized", len(points), str(points[best_i]), float(statistics.mean(scores)), float(statistics.pstdev(scores)),
+            float(min(scores)), float(max(scores)), float(best), float(display), float(stds[best_i]))
+
+
+def search_knn(data: DataFrame, id_cols, points: list[dict], cv: int, balanced: bool) -> tuple[list[float], list[float]]:
+    """(mean, deviation over folds) of each k-NN candidate: one neighbour join a fold and p with the largest k,
+    from which all candidates vote together."""
+    rows = data.select(row_key(id_cols).alias("__q"), "features", F.col("label").alias("__lab"), "fold")
+    scores: dict[int, list[float]] = {i: [] for i in range(len(points))}
+    for fold in range(cv):
+        held, rest = rows.where(F.col("fold") == fold), rows.where(F.col("fold") != fold)
+        for p in sorted({pt["p"] for pt in points}):
+            mine = [(i, pt["n_neighbors"], pt["weights"]) for i, pt in enumerate(points) if pt["p"] == p]
+            nn = knn(held, rest.withColumnRenamed("__q", "__rid"), max(k for _, k, _ in mine), "__q", "__rid", "features", p=p)
+            named = nn.join(rest.select(F.col("__q").alias("__rid"), "__lab"), "__rid")
+            each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(w).alias("w")) for i, k, w in mine])
+            cast = named.withColumn("c", F.explode(each)).where(F.col("rank") <= F.col("c.k"))
+            zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("__q", "c.i"))
+            vote = F.when(F.col("c.w") == "uniform", F.lit(1.0)).when(F.col("zero") == 1, (F.col("dist") == 0).cast("double")) \
+                .otherwise(1 / F.col("dist"))
+            counted = cast.withColumn("zero", zero).groupBy("__q", F.col("c.i").alias("i"), "__lab").agg(F.sum(vote).alias("v"))
+            best = counted.groupBy("__q", "i").agg(F.min(F.struct((-F.col("v")).alias("v"), "__lab")).alias("b"))
+            right = best.join(held.select("__q", "__lab"), "__q").select("i", "__lab", (F.col("b.__lab") == F.col("__lab")).cast("double").alias("ok"))
+            if balanced:
+                right = right.groupBy("i", "__lab").agg(F.avg("ok").alias("ok"))
+            for r in right.groupBy("i").agg(F.avg("ok").alias("s")).collect():
+                scores[r["i"]].append(r["s"])
+    return [statistics.mean(v) for v in scores.values()], [statistics.pstdev(v) for v in scores.values()]
+
+
 def random_search(train_feats: DataFrame, problem: str, id_cols, models=None, n_iter: int = 20, cv: int = 5,
                   seed: int = 42, parallelism: int = 4, balanced: bool = False,
                   n_classes: int = 2) -> tuple[DataFrame, dict]:
@@ -118,24 +154,25 @@ def random_search(train_feats: DataFrame, problem: str, id_cols, models=None, n_
         if problem == "regression":
             est = MD.regression_estimator(name, None, st["sd"] or 1.0, st["n"], n_features=nfeat)
         else:
-            est = MD.classification_estimator(name, None, st["n"], n_classes, nfeat)
-            if hasattr(est, "getClassifier"):      # one-vs-rest wrapper: search its inner model
-                continue
+            est = MD.classification_estimator(name, None, st["n"], n_classes, nfeat, id_cols=id_cols)
         points = sample_grid(grids[name], n_iter, seed)
+        if name == "knn":
+            scores, stds = search_knn(data, id_cols, points, cv, balanced)
+            best_i = max(range(len(points)), key=lambda i: scores[i])
+            rows.append(_row(name, points, scores, best_i, stds, problem))
+            refit[f"{name}_optimized"] = KNNClassifier(id_cols, n_classes, **points[best_i]).fit(data)
+            continue
+        # of one-vs-rest, the parameters are those of the model it repeats
+        inner = est.getClassifier() if hasattr(est, "getClassifier") else est
         # a fold trains on (cv - 1) / cv of the rows, and penalties that are sums over rows go by those
-        maps = [_spark_params(est, name, pt, st["sd"] or 1.0, st["n"] * (cv - 1) / cv) for pt in points]
+        maps = [_spark_params(inner, name, pt, st["sd"] or 1.0, st["n"] * (cv - 1) / cv) for pt in points]
         cvm = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=cv,
                              parallelism=parallelism, seed=seed).fit(data)
-        import statistics
         scores = list(cvm.avgMetrics)
         stds = list(getattr(cvm, "stdMetrics", []) or [0.0] * len(scores))
         best_i = (min if not evaluator.isLargerBetter() else max)(range(len(scores)), key=lambda i: scores[i])
-        best_score = scores[best_i]
-        display = (best_score ** 0.5) if problem == "regression" else best_score   # RMSE for regression
-        rows.append((f"{name}_optimized", len(points), str(points[best_i]), float(statistics.mean(scores)),
-                     float(statistics.pstdev(scores)), float(min(scores)), float(max(scores)), float(best_score),
-                     float(display), float(stds[best_i])))
-        full = _spark_params(est, name, points[best_i], st["sd"] or 1.0, st["n"])
+        rows.append(_row(name, points, scores, best_i, stds, problem))
+        full = _spark_params(inner, name, points[best_i], st["sd"] or 1.0, st["n"])
         refit[f"{name}_optimized"] = cvm.bestModel if full == maps[best_i] else est.fit(data, full)
     table = train_feats.sparkSession.createDataFrame(
         rows, "model string, n_candidates int, best_params string, cv_mean double, cv_std double, cv_min double, "

@@ -240,7 +240,7 @@ def train_classification(df: DataFrame, target: str, id_cols, cfg: dict | None =
         tr = smote(tr, "label", "features", id_cols)
     n = tr.count()
     nfeat = len(tr.select("features").first()["features"])
-    ests = {m: MD.classification_estimator(m, (params or {}).get(m), n, k, nfeat, weight_col=weight_col)
+    ests = {m: MD.classification_estimator(m, (params or {}).get(m), n, k, nfeat, weight_col=weight_col, id_cols=id_cols)
             for m in models}
     fitted = _fit_all(ests, tr, parallelism)
     shares = feats.where("split = 'train'").groupBy("label").count().agg(
