@@ -41,6 +41,21 @@ def stash(df: DataFrame) -> DataFrame:
     return Stash(df).df
 
 
+def aside(df: DataFrame, names: list[str]):
+    """(df, back): the table with its columns of those names, if any, under free ones, and a function that gives a result their names again."""
+    used, free = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = f"{c}_aside"
+            while new.lower() in used:
+                new += "_"
+            used.add(new.lower())
+            free[c] = new
+    if not free:
+        return df, lambda got: got
+    return df.withColumnsRenamed(free), lambda got: got.withColumnsRenamed({new: c for c, new in free.items()})
+
+
 def workers(spark: SparkSession) -> None:
     """Make this package importable in the Python workers."""
     ship_package(spark)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash, workers
+from .common import aside, stash, workers
 
 MIN_WORDS = 50
 WINDOW, DIVISOR = 2, 4
@@ -158,9 +158,10 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
 
     The document with the smallest doc_id keeps a chunk, of several with that id the one with the smallest hash of its text;
     rows that share id and text are one document, and NULL ids come last. NULL texts stay NULL and count one empty line; texts of fewer words than a chunk
-    are unchanged; an empty table gives no rows.
+    are unchanged; an empty table gives no rows. A column of ``documents`` named __lines or __removed gives way to the operator's; all others stay.
     """
     workers(documents.sparkSession)
+    documents, back = aside(documents.drop("__lines", "__removed"), ["__id", "__th", "__text", "__spans", "__wrong", "id", "th"])
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     docs = documents.where("text is not null").select(ident.alias("id"), F.xxhash64("text").alias("th"), "text")
     keys = stash(docs.mapInArrow(_keys, "id long, th long, first int, end int, k1 long, k2 long"))
@@ -176,4 +177,4 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
         *[left[c] for c in names if c != "text"], "__text", "__spans")
     out = T.StructType([*documents.schema.fields, T.StructField("__lines", T.LongType()), T.StructField("__removed", T.LongType())])
     # the comparison and the rewriting read the same shuffle of the texts
-    return both.withColumn("__wrong", two_texts(both).scalar()).mapInArrow(_rewrite(names), out)
+    return back(both.withColumn("__wrong", two_texts(both).scalar()).mapInArrow(_rewrite(names), out))

@@ -84,7 +84,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, usable) -> Model:
-    """Without labelled rows every score is one half; where all labels are equal, it is that label."""
+    """Without labelled rows every score is one half; where all labels are equal, scores are near that label."""
     spark = documents.sparkSession
     workers(spark)
     rows = stash(labelled(documents, labels, "quality", usable, TRAIN_ROWS).select("at", "label", "text")
