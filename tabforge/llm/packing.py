@@ -2,10 +2,9 @@
 
 One scan makes each document's ids and cuts those longer than a sequence; only the pieces' places, lengths and
 checksums are kept. Packing works on that small table, dealt evenly into groups of about ``GROUP`` pieces
-(so their number grows with the input): in each, bounded-space best fit keeps at most ``OPEN`` open bins, a bitset
-with one bit per amount of free space finds the fullest bin that still takes a piece, and when
-another bin would be one too many, the fullest closes first. Pieces arrive longest first within short runs
-of a seeded order, so that long pieces open bins that the short ones of the same run fill.
+(so their number grows with the input). In each the pieces come in a seeded order, a buffer of ``RUN`` of them at a time, the
+longest of a buffer first. Bounded-space best fit keeps at most ``OPEN`` open bins: a bitset with one bit per amount of
+free space finds the fullest bin that still takes a piece, and when another bin would be one too many, the fullest closes first.
 """
 
 from __future__ import annotations
@@ -23,7 +22,8 @@ from .common import stash, workers
 
 LENGTH = 2048
 END = 0
-GROUP, OPEN = 1 << 14, 1 << 13
+GROUP, RUN, OPEN = 1 << 14, 256, 128
+SEED = 42
 #: Texts encoded at once.
 AT_ONCE = 64
 
@@ -155,12 +155,18 @@ def best_fit(sizes: np.ndarray, capacity: int, open_bins: int) -> tuple[np.ndarr
     return bins, offsets
 
 
-def _pack(capacity: int, open_bins: int):
+def in_buffers(size: np.ndarray, run: int) -> np.ndarray:
+    """The places of the sizes in the order of their arrival: buffers of ``run`` in turn, each longest first."""
+    return np.lexsort((np.arange(len(size)), -size, np.arange(len(size)) // run))
+
+
+def _pack(capacity: int, open_bins: int, buffer: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got).combine_chunks()
+        t = t.take(pa.array(in_buffers(t.column("length").to_numpy(), buffer)))
         size = t.column("length").to_numpy()
         bins, offsets = best_fit(size, capacity, open_bins)
         # sequence numbers: the group's number above, the bin's below
@@ -170,18 +176,19 @@ def _pack(capacity: int, open_bins: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = LENGTH, group: int = GROUP, open_bins: int = OPEN) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = LENGTH, group: int = GROUP, open_bins: int = OPEN, buffer: int = RUN) -> DataFrame:
     """The pieces with (sequence_id, offset): their place in sequences of at most ``capacity`` ids, gapless from 0.
 
     ``pieces`` should be a written table: it is counted and then dealt out. Each group of about ``group`` pieces is
-    packed by one task; what is left over is at most the open bins of each group.
+    packed by one task; what is left over is at most the open bins of each group. The order within a group is that of a seeded hash
+    of id, piece and checksum, so it doesn't depend on where the rows lay.
     """
     workers(pieces.sparkSession)
     n = max(1, -(-pieces.count() // group))
     # dealt by place, so that repeated rows and hot keys spread evenly
     dealt = pieces.repartition(n).withColumn("group", F.spark_partition_id())
-    in_order = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return in_order.mapInArrow(_pack(capacity, open_bins), in_order.drop("group").withColumns(
+    in_order = dealt.sortWithinPartitions(F.xxhash64(F.lit(SEED), "doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32")
+    return in_order.mapInArrow(_pack(capacity, open_bins, buffer), in_order.drop("group").withColumns(
         {"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema)
 
 

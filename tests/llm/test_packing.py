@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabforge.llm.packing import Encoder, best_fit, cuts, pack_documents, sequences
+from tabforge.llm.packing import OPEN, RUN, Encoder, best_fit, cuts, in_buffers, pack_documents, sequences
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -63,6 +63,40 @@ def test_best_fit_picks_the_fullest_and_closes_the_fullest():
     assert b.tolist() == [0, 1, 1, 0, 2, 3, 3]
 
 
+def test_open_bins_are_bounded_and_close():
+    rng = np.random.default_rng(4)
+    size = rng.integers(1, 2049, 6000)
+    order = in_buffers(size, RUN)
+    assert sorted(order.tolist()) == list(range(6000)) and (np.diff(order // RUN) >= 0).all()
+    size = size[order]
+    assert all((np.diff(size[i:i + RUN]) <= 0).all() for i in range(0, 6000, RUN))
+    bins, _ = best_fit(size, 2048, OPEN)
+    # a bin is open from its first piece until it is full or closed: replay with a list instead of a bitset
+    opened, free, closed = [], {}, 0
+    for n, b in zip(size.tolist(), bins.tolist()):
+        fits = [free[x] for x in opened if free[x] >= n]
+        if fits:
+            assert b in opened and free[b] == min(fits)
+        else:
+            if len(opened) == OPEN:
+                least = min(free[x] for x in opened)
+                # the one that closes takes nothing any more; equal ones are alike
+                opened.remove([x for x in opened if free[x] == least][-1])
+                closed += 1
+            opened.append(b)
+            free[b] = 2048
+        free[b] -= n
+        if not free[b]:
+            opened.remove(b)
+        else:
+            # the last of equal space is taken first
+            opened.remove(b)
+            opened.append(b)
+        assert len(opened) <= OPEN
+    assert closed > 0
+    assert bins.max() + 1 <= 1.05 * -(-size.sum() // 2048)
+
+
 def test_round_trip(spark, plain):
     rnd = random.Random(2)
     rows = [(i % 37, " ".join(rnd.choices(["alpha", "béta", "7", "\n", "zz"], k=rnd.choice([0, 3, 50, 900]))), 5, "x") for i in range(120)]
