@@ -76,15 +76,55 @@ def test_refined_cuts(spark, monkeypatch):
 
 
 def test_overlapping_sources(spark):
-    data = [(i, "a b c d", ["x"] if i < 50 else ["x", "y"] if i < 80 else ["y"]) for i in range(100)]
-    df = spark.createDataFrame(data, "doc_id long, text string, members array<string>").withColumn("source", F.col("members")[0])
+    data = [(i, "a b c d", ["x"] if i < 50 else ["x", "y"] if i < 80 else ["y"] if i < 98 else None if i < 99 else []) for i in range(100)]
+    df = spark.createDataFrame(data, "doc_id long, text string, members array<string>").withColumn("source", F.get("members", F.lit(0)))
     got = mix(df, "members").collect()
-    assert len(got) == 100 and sum(r.taken for r in got) <= 800
+    assert len(got) == 100 and all(r.taken == 0 for r in got if r.doc_id >= 98)
+    assert all(r.source_size == 320 for r in got if r.source == "x")
+    # both quotas are met: 600 words are shared as 5 to 2, of which y's 48 documents could give more
+    want = targets({"x": 320, "y": 192})
+    assert sum(r.taken for r in got) == min(round(want["x"]) + round(want["y"]), 2 * 4 * 98)
+
+
+def test_components_flow_as_one_graph_would(spark):
+    """Sources in several components with overlaps, NULL and empty ones: each pattern's words as by one flow over all."""
+    rnd = random.Random(11)
+    groups = [["a", "b", "c"], ["d", "e"], ["f"], [None, "g"], ["h", "i", "j", "k"]]
+    data = []
+    for i in range(600):
+        g = rnd.choice(groups)
+        data.append((i, "w " * rnd.randint(0, 9), rnd.sample(g, rnd.randint(1, len(g)))))
+    df = spark.createDataFrame([(i, t, m, m[0]) for i, t, m in data], "doc_id long, text string, members array<string>, source string")
+    got = mix(df.repartition(7), "members").collect()
+    size, pattern = defaultdict(int), defaultdict(int)
+    for _, t, m in data:
+        pattern[frozenset(m)] += len(t.split())
+        for s in m:
+            size[s] += len(t.split())
+    goal = targets(size)
+    order = sorted(pattern, key=str)
+    flows = route([(tuple(p), pattern[p]) for p in order], {s: round(goal[s]) for s in goal})
+    assert len(got) == 600 and all(r.target == goal[r.source] and r.source_size == size[r.source] for r in got)
+    of = {i: frozenset(m) for i, _, m in data}
+    taken = defaultdict(int)
+    for r in got:
+        taken[of[r.doc_id]] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    # which pattern of equal cost gives is free; the sum and the repeated words are not
+    assert sum(taken.values()) == sum(sum(f.values()) for f in flows)
+    assert (sum(max(0, taken[p] - pattern[p]) for p in order)
+            == sum(max(0, sum(f.values()) - pattern[p]) for p, f in zip(order, flows)))
 
 
-def test_more_sources_than_the_flow_takes(spark, monkeypatch):
+def test_the_query_goes_through_the_flow(spark, monkeypatch):
     import tabforge.llm.mixing as M
-    monkeypatch.setattr(M, "MAX_PATTERNS", 50)
+    # without any flow nothing is taken
+    monkeypatch.setattr(M, "_routed", lambda of, pdf: pdf.groupby("pattern", as_index=False).agg(size=("size", "first")).assign(give=0))
+    got = mix(spark.createDataFrame([(i, "one two", "s") for i in range(20)], "doc_id long, text string, source string")).collect()
+    assert len(got) == 20 and all(r.taken == 0 and r.target == 60 for r in got)
+
+
+def test_many_sources(spark):
     data = [(i, "w " * (i % 7), None if i % 331 == 5 else f"é{i % 331}") for i in range(1500)]
     got = mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
     size, taken = defaultdict(int), defaultdict(int)
