@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tabforge.operators.clusterscores import clustering_scores, silhouette_squared  # noqa: F401 - part of this module's interface
 from tabforge.operators.quantiles import exact_quantiles
 from tabforge.session import ship_package
 from tabforge.functions.scalars import attach
@@ -348,112 +349,8 @@ def class_share_drift(df: DataFrame, target: str, split_col: str = "split") -> D
     return j.select("cls", tr.alias("train_pct"), te.alias("test_pct"), F.abs(tr - te).alias("diff_pct"))
 
 
-# ---------------------------------------------------------------- E9-E12 clustering
-
-def _centroids(df: DataFrame, features: str, label: str) -> DataFrame:
-    """(label, n, centroid array, sum of squared norms) per cluster; k rows."""
-    x = F.col(features)
-    dims = df.select(F.size(x).alias("d")).first()["d"]
-    return df.groupBy(F.col(label).alias("cl")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(x[i].cast("double")) for i in range(dims)]).alias("mu"),
-        F.sum(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))).alias("ss"))
-
+# ---------------------------------------------------------------- A17, E9-E12 clustering
 
 def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
     """Per label count and share, noise = -1 included."""
     return df.groupBy(F.col(label).alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
-
-
-def clustering_scores(df: DataFrame, features: str, label: str, noise_label: int = -1) -> DataFrame:
-    """Calinski-Harabasz, Davies-Bouldin, inertia and the squared-Euclidean silhouette
-    (closed form per point against k broadcast centroids) over non-noise rows."""
-    spark = df.sparkSession
-    data = df.where(F.col(label) != noise_label)
-    cents = _centroids(data, features, label).collect()       # k rows
-    k = len(cents)
-    n = sum(r["n"] for r in cents)
-    if k < 2 or n <= k:
-        return spark.createDataFrame([(k, n, None, None, None, None)],
-                                     "n_clusters int, n long, calinski_harabasz double, davies_bouldin double, "
-                                     "inertia double, silhouette_sq double")
-    d = len(cents[0]["mu"])
-    mu_all = [sum(r["n"] * r["mu"][j] for r in cents) / n for j in range(d)]
-    between = sum(r["n"] * sum((r["mu"][j] - mu_all[j]) ** 2 for j in range(d)) for r in cents)
-    within = sum(r["ss"] - r["n"] * sum(m * m for m in r["mu"]) for r in cents)
-    ch = (between / (k - 1)) / (within / (n - k)) if within > 0 else float("inf")
-    ctab = spark.createDataFrame([(r["cl"], r["n"], [float(v) for v in r["mu"]], float(r["ss"])) for r in cents],
-                                 "cl long, n long, mu array<double>, ss double")
-    x = F.col(features)
-    dist = F.sqrt(F.aggregate(F.zip_with(x, F.col("mu"), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)),
-                              F.lit(0.0), lambda acc, v: acc + v))
-    # centroids table has k rows: broadcast is bounded by the number of clusters
-    spread = {r["cl"]: r["s"] for r in data.join(F.broadcast(ctab), F.col(label) == F.col("cl"))
-              .groupBy("cl").agg(F.avg(dist).alias("s")).collect()}
-    mus = {r["cl"]: r["mu"] for r in cents}
-    db_terms = []
-    for i in mus:
-        worst = 0.0
-        for j in mus:
-            if i == j:
-                continue
-            dij = math.sqrt(sum((a - b) ** 2 for a, b in zip(mus[i], mus[j])))
-            worst = max(worst, (spread[i] + spread[j]) / dij if dij > 0 else float("inf"))
-        db_terms.append(worst)
-    db = sum(db_terms) / k
-    sil = silhouette_squared(data, features, label, ctab).first()[0]
-    return spark.createDataFrame([(k, n, ch, db, within, sil)],
-                                 "n_clusters int, n long, calinski_harabasz double, davies_bouldin double, "
-                                 "inertia double, silhouette_sq double")
-
-
-def silhouette_squared(df: DataFrame, features: str, label: str, ctab: DataFrame | None = None) -> DataFrame:
-    """Mean silhouette with squared Euclidean distance, exact in O(n k):
-    mean sq. distance of x to cluster C = |x|^2 - 2 x.mu_C + ss_C / n_C."""
-    if ctab is None:
-        cents = _centroids(df, features, label).collect()
-        ctab = df.sparkSession.createDataFrame(
-            [(r["cl"], r["n"], [float(v) for v in r["mu"]], float(r["ss"])) for r in cents],
-            "cl long, n long, mu array<double>, ss double")
-    cl = ctab.collect()
-    x = F.col(features)
-    xx = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double"))
-    dists = []
-    for r in cl:
-        dot = F.aggregate(F.zip_with(x, F.array(*[F.lit(float(m)) for m in r["mu"]]),
-                                     lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, v: acc + v)
-        dists.append((r["cl"], r["n"], xx - 2 * dot + F.lit(r["ss"] / r["n"])))
-    own = F.col(label)
-    a = F.lit(None).cast("double")
-    own_n = F.lit(None).cast("long")
-    for c, nc, dexpr in dists:
-        a = F.when(own == c, dexpr * nc / F.greatest(F.lit(nc - 1), F.lit(1))).otherwise(a)
-        own_n = F.when(own == c, F.lit(nc)).otherwise(own_n)
-    b = None
-    for c, nc, dexpr in dists:
-        term = F.when(own != c, dexpr)
-        b = term if b is None else F.least(b, term)
-    s = F.when(own_n > 1, (b - a) / F.greatest(a, b)).otherwise(F.lit(0.0))
-    return df.agg(F.avg(s).alias("silhouette_sq"))
-
-
-def silhouette_exact_small(df: DataFrame, features: str, label: str, max_rows: int = 20_000) -> float:
-    """Euclidean silhouette by brute force, for small fixtures only (O(n^2) work)."""
-    import numpy as np
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"exact Euclidean silhouette is O(n^2); {n} rows > {max_rows}")
-    pdf = df.select(features, label).toPandas()
-    X = np.array(pdf[features].tolist(), dtype=float)
-    y = pdf[label].to_numpy()
-    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
-    labels = np.unique(y)
-    s = np.zeros(n)
-    for i in range(n):
-        own = y == y[i]
-        if own.sum() <= 1:
-            continue
-        a = D[i, own].sum() / (own.sum() - 1)
-        b = min(D[i, y == c].mean() for c in labels if c != y[i])
-        s[i] = (b - a) / max(a, b)
-    return float(s.mean())
