@@ -1535,3 +1535,17 @@ def q_silhouette(spark, sf):
     from tabforge.operators import neighbors as NB
     e = t(spark, sf, "embeddings")
     return rnd(NB.silhouette_euclidean(e, "vec_id", "embedding", "label"))
+
+
+@query("silhouettes", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label, label % 3 AS third FROM embeddings),
+l AS (SELECT vec_id, x, 'label' AS labelling, label AS cl FROM e UNION ALL SELECT vec_id, x, 'third', third FROM e),
+d AS (SELECT a.labelling, a.vec_id, a.cl AS own, b.cl, sum(list_distance(a.x, b.x)) AS s, count(*) AS n
+      FROM l a JOIN l b ON a.labelling = b.labelling AND a.vec_id <> b.vec_id GROUP BY 1, 2, 3, 4),
+p AS (SELECT labelling, vec_id, max(CASE WHEN cl = own THEN s / n END) AS a, min(CASE WHEN cl <> own THEN s / n END) AS b FROM d GROUP BY 1, 2)
+SELECT labelling, round(avg(CASE WHEN a IS NOT NULL AND b IS NOT NULL AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END), 6) AS silhouette
+FROM p GROUP BY 1""")
+def q_silhouettes(spark, sf):
+    from tabforge.operators.silhouette import silhouettes
+    e = t(spark, sf, "embeddings").withColumn("third", F.col("label") % 3)
+    return rnd(silhouettes(e, "embedding", ["label", "third"]))

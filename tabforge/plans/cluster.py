@@ -23,18 +23,20 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabforge.operators import metrics as M
 from tabforge.operators import neighbors as NB
+from tabforge.operators.silhouette import silhouettes
 from tabforge.plans.prepare import fit_preparation
 
 CLUSTER_MODELS = ("kmeans", "hierarchical", "gaussian_mixture", "dbscan", "birch")
 
 
-def silhouette_for(labelled: DataFrame, id_col: str, vec: str, label: str, squared: float | None) -> float | None:
-    """Euclidean silhouette over non-noise rows, the same at every size (the caller's value where there
-    are fewer than two clusters)."""
-    data = labelled.where(F.col(label) >= 0)
-    if data.select(label).distinct().limit(2).count() < 2:
-        return squared
-    return NB.silhouette_euclidean(data, id_col, vec, label).first()[0]
+#: Largest error of a far distance, as a share of it, in the silhouettes of the plan; few rows are compared exactly.
+TOLERANCE = 1e-4
+
+
+def silhouette_for(labelled: DataFrame, vec: str, label: str) -> float | None:
+    """Euclidean silhouette over non-noise rows."""
+    got = silhouettes(labelled.where(F.col(label) >= 0), vec, [label], TOLERANCE).first()
+    return got["silhouette"] if got else None
 
 
 @dataclass
@@ -124,14 +126,20 @@ def choose_k(feats: DataFrame, id_col: str, k_range=(2, 15), n_init: int = 10, s
     if not ks:
         return k_range[0], feats.sparkSession.createDataFrame([], "k int, inertia double")
 
-    def one(k):
-        m = _kmeans(feats, k, n_init, seed)
-        lab = m.transform(feats).select(id_col, vector_to_array("features").alias("x"), F.col("prediction").alias("c"))
-        s = M.clustering_scores(lab, "x", "c").first()
-        sil = silhouette_for(lab, id_col, "x", "c", s["silhouette_sq"])
-        return (k, float(m.summary.trainingCost), sil, s["calinski_harabasz"], s["davies_bouldin"])
-
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        fits = dict(zip(ks, ex.map(lambda k: _kmeans(feats, k, n_init, seed), ks)))
+        # the labels of every k beside the same rows, so that their distances are computed once
+        lab = feats.select("features")
+        for k, m in fits.items():
+            lab = m.copy().setPredictionCol(f"k{k}").transform(lab)
+        lab = lab.select(vector_to_array("features").alias("x"), *[f"k{k}" for k in ks])
+        sils = {r["labelling"]: r["silhouette"] for r in silhouettes(lab, "x", [f"k{k}" for k in ks], TOLERANCE).collect()}
+
+        def one(k):
+            s = M.clustering_scores(lab, "x", f"k{k}").first()
+            # fits that leave fewer than two clusters have no silhouette
+            return (k, float(fits[k].summary.trainingCost), sils[f"k{k}"] if s["n_clusters"] >= 2 else None,
+                    s["calinski_harabasz"], s["davies_bouldin"])
         rows = list(ex.map(one, ks))
     table = feats.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, "
                                                      "calinski_harabasz double, davies_bouldin double")
@@ -243,7 +251,7 @@ def cluster(df: DataFrame, id_col: str, cols=None, n_clusters: int | None = None
             fitted[name] = m
             scored = lab.join(feats.select(id_col, vector_to_array("features").alias("x")), id_col)
             s = M.clustering_scores(scored, "x", "cluster").first()
-            sil = silhouette_for(scored, id_col, "x", "cluster", s["silhouette_sq"]) if s["n_clusters"] >= 2 else None
+            sil = silhouette_for(scored, "x", "cluster") if s["n_clusters"] >= 2 else None
             sizes = lab.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
                             F.sum(F.when(F.col("cluster") < 0, 1).otherwise(0)).alias("noise")).first()
             rows.append((name, order, True, None, time.time() - t0, int(sizes["k"]), int(sizes["noise"] or 0),
