@@ -4,8 +4,9 @@ A conversation is rendered whole, turn by turn; the rendered text is encoded onc
 sorted spans of the assistant texts are intersected with the token spans by binary search. The template's markers
 are added tokens, at which the tokenizer cuts before anything else, so token borders always fall on
 them: conversations of more than ``BLOCK_TURNS`` turn numbers are rendered and encoded in blocks of turns, with the
-same tokens as in one piece, and a hot conversation is spread over many tasks. Only what has to be read in
-order (the digests of a conversation) streams through one task, one block in memory at a time.
+same tokens as in one piece, and a hot conversation is spread over many tasks. A block of more rows than that (rows
+without a turn number, or with one and the same) is cut into parts of as many rows by their place in it. Only what has to
+be read in order (the digests of a conversation) streams through one task, one part in memory at a time.
 
 A rendered turn is ``<|turn|>role<|text|>text</turn>`` and a newline. In roles and texts a backslash is written
 twice and each control string as a backslash and its letter, so that no control string is left in them.
@@ -88,41 +89,42 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-_FORMATTED = ("block long, n_turns long, formatted string, input_ids array<int>, token_starts array<int>, token_ends array<int>, "
+_FORMATTED = ("block long, part long, n_turns long, formatted string, input_ids array<int>, token_starts array<int>, token_ends array<int>, "
               "loss_runs array<struct<first:int,end:int>>")
 
 
 def _format(path: str, schema: pa.Schema):
-    def emit(key, turns):
+    def emit(key, part, turns):
         text, spans = render(turns)
         enc = tokenizer(path).encode(text, add_special_tokens=False)
         offsets = np.array(enc.offsets, np.int32).reshape(-1, 2)
-        return {"conv_id": key[0], "block": key[1], "n_turns": len(turns), "formatted": text, "input_ids": enc.ids,
+        return {"conv_id": key[0], "block": key[1], "part": part, "n_turns": len(turns), "formatted": text, "input_ids": enc.ids,
                 "token_starts": offsets[:, 0], "token_ends": offsets[:, 1],
                 "loss_runs": [{"first": a, "end": b} for a, b in mask(offsets, spans)]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, turns, rows = None, [], []
+        now, part, turns, rows, waiting = None, 0, [], [], 0
         for batch in batches:
             for c, b, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "block", "role", "text"))):
-                if (c, b) != now:
+                if (c, b) != now or len(turns) >= BLOCK_TURNS:
                     if turns:
-                        rows.append(emit(now, turns))
-                    now, turns = (c, b), []
-                    if len(rows) >= 256:
+                        rows.append(emit(now, part, turns))
+                        waiting += len(turns)
+                    now, part, turns = (c, b), part + 1 if (c, b) == now else 0, []
+                    if waiting >= BLOCK_TURNS:
                         yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
+                        rows, waiting = [], 0
                 turns.append((role, text))
         if turns:
-            rows.append(emit(now, turns))
+            rows.append(emit(now, part, turns))
         yield pa.RecordBatch.from_pylist(rows, schema)
     return run
 
 
 def format_conversations(conversations: DataFrame, path: str) -> DataFrame:
-    """(conv_id, block, n_turns, formatted, input_ids, token_starts, token_ends, loss_runs).
+    """(conv_id, block, part, n_turns, formatted, input_ids, token_starts, token_ends, loss_runs).
 
-    A row is a conversation, or the part of it whose turn numbers share a block. Turns are ordered by turn, role and
+    A row is a conversation, or at most ``BLOCK_TURNS`` rows of it whose turn numbers share a block. Turns are ordered by turn, role and
     text, NULL first; NULL roles and texts count as empty; repeated rows are repeated turns; rows with a NULL conv_id
     are one conversation; other columns are ignored; an empty table gives no rows.
     """
@@ -177,7 +179,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, from the formatted texts, token offsets and loss runs alone."""
     from pyspark.sql.pandas.types import to_arrow_type
     kind = formatted.schema["conv_id"].dataType
-    return (formatted.repartition("conv_id").sortWithinPartitions("conv_id", "block")
+    return (formatted.repartition("conv_id").sortWithinPartitions("conv_id", "block", "part")
             .select("conv_id", "formatted", "token_starts", "token_ends", "loss_runs")
             .mapInArrow(_digest(["conv_id", "formatted", "token_starts", "token_ends", "loss_runs"], to_arrow_type(kind)),
                         f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "

@@ -54,3 +54,14 @@ def test_table(spark):
     ids = [x for r in formatted.where("conv_id = 9").orderBy("block").collect() for x in r.input_ids]
     assert ids == tokenizer(PATH).encode(whole, add_special_tokens=False).ids
     assert read_back(format_conversations(df.limit(0), PATH)).collect() == []
+
+
+def test_a_block_of_many_rows_is_cut_by_place(spark):
+    rows = [(1, None, "assistant" if i % 3 else "user", f"null turn {i}") for i in range(2500)]
+    rows += [(2, 7, "assistant", "same") for _ in range(2049)] + [(3, 0, "user", "u"), (3, 1, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = format_conversations(df.repartition(5), PATH).cache()
+    got = sorted(((r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in read_back(formatted).collect()), key=str)
+    assert got == expected(rows)
+    parts = {(r.conv_id, r.part): r.n_turns for r in formatted.collect()}
+    assert parts == {(1, 0): 1024, (1, 1): 1024, (1, 2): 452, (2, 0): 1024, (2, 1): 1024, (2, 2): 1, (3, 0): 2}
