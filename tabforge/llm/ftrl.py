@@ -120,10 +120,17 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, usable, bound: int) -> DataFrame:
-    """(at, label, text) of at most ``bound`` labelled rows for which ``usable`` holds, by hash of the id."""
+    """(at, label, text) of at most ``bound`` labelled ids for which ``usable`` holds, by hash of the id; one row an id.
+
+    Of an id with several labels the largest counts, of one with several texts that of the least hash (NULL texts
+    are empty), so repeated ids and copies of label rows take no more than one place of the sample.
+    """
     some = (labels.select("doc_id", F.col(label).alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-            .where(usable).withColumn("at", F.xxhash64("doc_id", F.lit(17))).orderBy("at", "label").limit(bound))
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+            .where(usable).groupBy("doc_id").agg(F.max("label").alias("label"))
+            .withColumn("at", F.xxhash64("doc_id", F.lit(17))).orderBy("at", "doc_id").limit(bound))
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    return (texts.groupBy("doc_id", "at", "label").agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text")).alias("t"))
+            .select("at", "label", "t.text"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, usable) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tabforge.llm.bytewords import ALNUM, NOT_SPACE, pieces, words
-from tabforge.llm.ftrl import Ftrl, grams, toxicity
+from tabforge.llm.ftrl import Ftrl, grams, labelled, toxicity
 from tabforge.llm.quality import isotonic, quality
 from tabforge.llm.textstats import NAMES, doc_stats
 
@@ -52,6 +52,19 @@ def test_edge_cases(spark):
         assert {x.score for x in operator(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_sample_holds_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(5000)] + [(i, f"own {i}") for i in range(2, 200)] + [(1, None)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1)] + [(7, 1)] * 3000 + [(i, i % 2) for i in range(2, 200) if i != 7] + [(None, 1), (5, None)],
+                                   "doc_id long, toxic int")
+    every = labelled(docs, labels, "toxic", F.lit(True), 1000).collect()
+    assert len(every) == 199 and sum(r.text.startswith("text") or r.text == "" for r in every) == 1
+    assert {r.text: r.label for r in every if r.text.startswith("own")} == {f"own {i}": i % 2 for i in range(2, 200)}
+    assert [r.label for r in every if not r.text.startswith("own")] == [1]
+    some = labelled(docs.repartition(5), labels, "toxic", F.lit(True), 50).collect()
+    assert len(some) == 50 and {r.at for r in some} == set(sorted(r.at for r in every)[:50])
+
+
 def test_words_stay_within_documents():
     texts = ["ab", "cd e", "", "é!f"]
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
