@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Column, functions as F, types as T
+from pyspark.sql import DataFrame, Column, Window, functions as F, types as T
 
 from tabforge.functions.hashing import hash_unit, hash_fraction_expr
 from tabforge.operators.profile import column_types
@@ -306,30 +306,67 @@ def split_random(df: DataFrame, id_cols: Sequence[str], test_size: float = 0.2,
                          .otherwise(F.lit("train")))
 
 
+#: Rows of a class that one window task ranks, about (the hash spreads a larger class evenly over buckets).
+CUT_ROWS = 1 << 16
+
+
+def class_cuts(keyed: DataFrame, ranks, cut_rows: int = CUT_ROWS) -> DataFrame:
+    """(__k, __cuts): for each class the values of ``__h`` at the places ``ranks(size)`` (from 0; those outside are left out).
+
+    ``keyed`` has a class ``__c`` (NULL is one too) and a hash ``__h`` in [0, 1). A class is cut into equal ranges of the hash
+    of about ``cut_rows`` rows; counts tell the ranges that hold a wanted place, and only their rows are ranked. All
+    classes are done at once, and they stay a table, whatever their number.
+    """
+    keyed = keyed.select("__c", "__h")
+    sizes = keyed.groupBy(F.col("__c").alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = keyed.join(sizes, F.col("__c").eqNullSafe(F.col("__k"))).select(
+        "__k", "__h", F.floor(F.col("__h") * F.ceil(F.col("__n") / F.lit(cut_rows))).alias("__b"))
+    counts = rows.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("__m"))
+    until = F.sum("__m").over(Window.partitionBy("__k").orderBy("__b"))
+    counts = counts.withColumn("__from", until - F.col("__m"))
+    wanted = sizes.select(F.col("__k").alias("__w"), F.explode(ranks(F.col("__n"))).alias("__r"))
+    hits = counts.join(wanted, F.col("__k").eqNullSafe(F.col("__w")) & (F.col("__r") >= F.col("__from"))
+                       & (F.col("__r") < F.col("__from") + F.col("__m"))).select(
+        F.col("__k").alias("__w"), F.col("__b").alias("__wb"), (F.col("__r") - F.col("__from")).alias("__place"))
+    same = F.col("__k").eqNullSafe(F.col("__w")) & (F.col("__b") == F.col("__wb"))
+    place = F.row_number().over(Window.partitionBy("__k", "__b").orderBy("__h")) - 1
+    ranked = rows.join(hits.select("__w", "__wb").distinct(), same, "left_semi").withColumn("__at", place)
+    return (ranked.join(hits, same & (F.col("__at") == F.col("__place")))
+            .groupBy("__k").agg(F.sort_array(F.collect_list("__h")).alias("__cuts")))
+
+
+def _with_cuts(df: DataFrame, target: str, id_cols: Sequence[str], seed: int, ranks, cut_rows: int) -> DataFrame:
+    keyed = df.withColumns({"__c": F.col(target).cast("string"), "__h": hash_fraction_expr(id_cols, seed)})
+    cuts = class_cuts(keyed, ranks, cut_rows)
+    return keyed.join(cuts, F.col("__c").eqNullSafe(F.col("__k")), "left")
+
+
 def split_stratified(df: DataFrame, target: str, id_cols: Sequence[str], test_size: float = 0.2,
-                     seed: int = 42, out_col: str = "split") -> DataFrame:
-    """Per class exactly ceil(test_size * n_class) rows (those with the smallest row hash) go to test.
+                     seed: int = 42, out_col: str = "split", cut_rows: int = CUT_ROWS) -> DataFrame:
+    """Per class exactly ceil(test_size * n_class) rows (those with the smallest row hash) go to test; rows without a class to train.
+
+    The cut of every class comes from ``class_cuts``, so no class is ever gathered into one window partition and any
+    number of classes splits. Rows of one key stay together, so repeated keys can move a class's count.
+    """
+    cut = _with_cuts(df, target, id_cols, seed,
+                     lambda n: F.filter(F.array(F.ceil(F.lit(float(test_size)) * n) - 1), lambda r: r >= 0), cut_rows)
+    return cut.withColumn(out_col, F.when(F.col("__c").isNotNull() & (F.col("__h") <= F.get("__cuts", F.lit(0))), F.lit("test"))
+                          .otherwise(F.lit("train"))).drop("__c", "__h", "__k", "__cuts")
+
+
+def stratified_folds(df: DataFrame, target: str, id_cols: Sequence[str], k: int = 5, seed: int = 42,
+                     out_col: str = "fold", cut_rows: int = CUT_ROWS) -> DataFrame:
+    """Fold 0..k-1 for cross validation: every fold gets floor(n / k) or ceil(n / k) rows of each class (NULL is a class).
 
-    The per-class hash threshold is an exact order statistic found by the distributed
-    histogram refinement, so no class is ever gathered into one window partition.
+    A class is cut at the places ceil(i * n / k) of its order by row hash. Its first fold is drawn by a hash of its
+    name, so that the rest of many small classes doesn't gather in fold 0. Rows of one key share a fold, the one of the last of them.
     """
-    h = hash_fraction_expr(id_cols, seed)
-    keyed = df.withColumn("__h", h)
-    long = keyed.where(F.col(target).isNotNull()).select(
-        F.col(target).cast("string").alias("column_name"), F.col("__h").alias("v"))
-    counts = {r["column_name"]: r["n"] for r in long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranks = {}
-    for cls, n in counts.items():
-        k = math.ceil(test_size * n)
-        if k > 0:
-            ranks[cls] = (cls, k - 1)
-    thr = order_statistics(long, ranks)
-    if not thr:
-        return keyed.drop("__h").withColumn(out_col, F.lit("train"))
-    tmap = F.create_map(*[x for cls, v in thr.items() for x in (F.lit(cls), F.lit(float(v)))])
-    t = tmap[F.col(target).cast("string")]
-    return keyed.withColumn(out_col, F.when(t.isNotNull() & (F.col("__h") <= t), F.lit("test"))
-                            .otherwise(F.lit("train"))).drop("__h")
+    places = F.array(*[F.lit(i) for i in range(1, k)]).cast("array<long>")
+    cut = _with_cuts(df, target, id_cols, seed, lambda n: F.transform(places, lambda i: F.ceil(i * n / F.lit(k))), cut_rows)
+    first = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "__c")), 1, 8), 16, 10).cast("long")
+    part = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda x: x <= F.col("__h")))
+    # in a class of fewer than k rows one row may be at several places
+    return cut.withColumn(out_col, ((part + first) % k).cast("int")).drop("__c", "__h", "__k", "__cuts")
 
 
 def _digits(c, kind) -> list | None:

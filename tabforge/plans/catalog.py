@@ -1431,6 +1431,28 @@ def q_cv_folds(spark, sf):
         F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("cv_folds_stratified", f"""
+WITH r AS (SELECT o_orderkey, o_orderstatus, count(*) OVER (PARTITION BY o_orderstatus) AS n,
+  row_number() OVER (PARTITION BY o_orderstatus ORDER BY {HASH_FRAC_SQL.format(id='o_orderkey')}) - 1 AS j FROM orders)
+SELECT o_orderkey, CAST((j * 5 // n + CAST(('0x' || substr(md5(concat_ws('|', '42', o_orderstatus)), 1, 8)) AS BIGINT)) % 5 AS INTEGER) AS fold FROM r""")
+def q_cv_folds_stratified(spark, sf):
+    o = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return R.stratified_folds(o, "o_orderstatus", ["o_orderkey"]).drop("o_orderstatus")
+
+
+@query("cv_folds_many_classes", f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_partkey) AS n, count(*) OVER (PARTITION BY l_partkey
+  ORDER BY {HASH_FRAC_SQL.format(id="l_orderkey || '|' || l_linenumber")}) - 1 AS j FROM lineitem),
+f AS (SELECT CAST((j * 5 // n + CAST(('0x' || substr(md5(concat_ws('|', '42', CAST(l_partkey AS VARCHAR))), 1, 8)) AS BIGINT)) % 5 AS INTEGER) AS fold,
+  l_partkey FROM r)
+SELECT l_partkey, fold, count(*) AS n_rows FROM f GROUP BY 1, 2""")
+def q_cv_folds_many_classes(spark, sf):
+    # the key repeats in this table: its rows go together to the fold of the last of them, in SQL by the frame that holds all peers
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return R.stratified_folds(rows, "l_partkey", ["l_orderkey", "l_linenumber"]).groupBy("l_partkey", "fold").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("weak_classes", CLASS_REPORT_SQL + """
 SELECT label, recall < 0.5 AS low_recall,
   (SELECT count(*) FROM f) <= 10 AND precision < 0.7 AND recall < 0.7 AS weak FROM f""")

@@ -2,7 +2,7 @@
 
 The parameter grid is enumerated and, when larger than ``n_iter``, sampled with a seeded
 RNG (a grid smaller than ``n_iter`` is tried whole). Folds come from a hash of the row key
-(``foldCol``), so they are the same on every run and every partitioning. Candidates are
+(``foldCol``), of classification within each class, so they are the same on every run and every partitioning. Candidates are
 fitted in parallel (``parallelism``); the best candidate is refit on all training rows as
 ``{name}_optimized``.
 """
@@ -13,6 +13,7 @@ import itertools
 import random
 import statistics
 
+from pyspark import StorageLevel
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window, functions as F
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tabforge.functions.hashing import hash_fold
 from tabforge.operators import models as MD
 from tabforge.operators.knn import KNNClassifier, knn, row_key
+from tabforge.operators.prepare import stratified_folds
 
 # Search spaces of the reference configuration (sklearn names).
 REGRESSION_GRIDS = {
@@ -140,7 +142,11 @@ def random_search(train_feats: DataFrame, problem: str, id_cols, models=None, n_
     cv mean / std / min / max of the score, best score) and the refit models."""
     grids = REGRESSION_GRIDS if problem == "regression" else CLASSIFICATION_GRIDS
     models = [m for m in (models or grids) if m in grids]
-    data = train_feats.withColumn("fold", hash_fold(id_cols, cv, seed))
+    if problem == "regression":
+        data = train_feats.withColumn("fold", hash_fold(id_cols, cv, seed))
+    else:
+        data = stratified_folds(train_feats, "label", id_cols, cv, seed)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     st = data.agg(F.stddev_pop("label").alias("sd"), F.count(F.lit(1)).alias("n")).first()
     nfeat = len(data.select("features").first()["features"])
     if problem == "regression":
@@ -174,6 +180,7 @@ def random_search(train_feats: DataFrame, problem: str, id_cols, models=None, n_
         rows.append(_row(name, points, scores, best_i, stds, problem))
         full = _spark_params(inner, name, points[best_i], st["sd"] or 1.0, st["n"])
         refit[f"{name}_optimized"] = cvm.bestModel if full == maps[best_i] else est.fit(data, full)
+    data.unpersist()
     table = train_feats.sparkSession.createDataFrame(
         rows, "model string, n_candidates int, best_params string, cv_mean double, cv_std double, cv_min double, "
               "cv_max double, best_cv_score double, best_score double, best_fold_std double")

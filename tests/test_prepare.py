@@ -85,6 +85,26 @@ def test_splits(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("cut_rows", [1 << 16, 50, 3])
+def test_stratified_folds_and_splits_of_any_class_size(spark, cut_rows):
+    # one class with a third of the rows, many small ones, NULL as a class
+    y = F.when(F.col("k") % 3 == 0, "hot").when(F.col("k") % 50 == 1, None).otherwise((F.col("k") % 700).cast("string"))
+    df = spark.range(6000).withColumnRenamed("id", "k").withColumn("y", y)
+    sizes = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
+    got = R.stratified_folds(df.repartition(5), "y", ["k"], 5, cut_rows=cut_rows)
+    assert got.columns == ["k", "y", "fold"] and got.select("k").distinct().count() == got.count() == 6000
+    n = {(r["y"], r["fold"]): r["count"] for r in got.groupBy("y", "fold").count().collect()}
+    for c, size in sizes.items():
+        folds = [n.get((c, f), 0) for f in range(5)]
+        assert sum(folds) == size and max(folds) - min(folds) <= 1
+    share = [sum(v for (_, f), v in n.items() if f == g) for g in range(5)]
+    assert max(share) - min(share) < 200
+    test = {r["y"]: r["count"] for r in R.split_stratified(df, "y", ["k"], 0.3, cut_rows=cut_rows).where("split = 'test'").groupBy("y").count().collect()}
+    assert test == {c: math.ceil(0.3 * size) for c, size in sizes.items() if c is not None}
+    assert R.split_stratified(df, "y", ["k"], 0.0, cut_rows=cut_rows).where("split = 'test'").count() == 0
+    assert R.stratified_folds(df.limit(0), "y", ["k"], 5, cut_rows=cut_rows).count() == 0
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([(0,)] * 3 + [(1,)], "y int")
     w = {r["cls"]: r["class_weight"] for r in R.class_weights(df, "y").collect()}

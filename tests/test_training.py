@@ -64,6 +64,18 @@ def test_searched_candidates_stand_on_the_leaderboard(spark):
     assert res.extra["search"].count() == 1
 
 
+def test_search_of_a_classifier_uses_stratified_folds(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from tabforge.plans.search import random_search
+    # 4 of 40 rows have the rare class: every one of 4 folds holds one of them, in training three
+    df = spark.createDataFrame([(i, float(i % 7), float(i < 4)) for i in range(40)], "id long, x double, label double")
+    table, models = random_search(VectorAssembler(inputCols=["x"], outputCol="features").transform(df), "classification", ["id"],
+                                  models=["logistic_regression"], n_iter=1, cv=4)
+    assert table.count() == 1 and set(models) == {"logistic_regression_optimized"}
+    # accuracy of the frequent class in folds of 9 and 1
+    assert table.first()["best_cv_score"] == pytest.approx(0.9) and table.first()["best_fold_std"] == pytest.approx(0.0)
+
+
 def test_string_dates_become_date_features(spark):
     from tabforge.plans.prepare import fit_preparation
     df = points(spark, 2).withColumn("day", F.when(F.col("id") == 7, F.lit(None)).otherwise(F.col("day")))
