@@ -163,3 +163,41 @@ def test_smote_with_composite_ids(spark):
     got = smote(df, "label", "features", ["a", "b"], k=5)
     assert {(r["label"], r["synthetic"]): r["count"] for r in got.groupBy("label", "synthetic").count().collect()} == {
         ("big", False): 360, ("small", False): 40, ("small", True): 320}
+
+
+def test_queries_are_sent_once_to_a_block(spark):
+    """Many dimensions leave every part in reach: each query asks each block once, not each part."""
+    rng = np.random.default_rng(3)
+    X = rng.normal(0, 1, (600, 24))
+    df = frame(spark, X)
+    asked = []
+    plain = KN._search
+    KN._search = lambda asks, *a: (asked.append(asks.count()), plain(asks, *a))[1]
+    try:
+        got = KN.knn(df, df.withColumnRenamed("id", "rid"), 5, "id", "rid", "x", block_rows=200, n_pivots=60).collect()
+    finally:
+        KN._search = plain
+    assert sum(asked) <= 600 * 6
+    D = distances(X, X)
+    for i in range(600):
+        assert sorted((r["dist"], r["rid"]) for r in got if r["id"] == i) == sorted((float(D[i, j]), j) for j in range(600))[:5]
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_nearest_in_block_far_from_the_origin(p):
+    rng = np.random.default_rng(p)
+    X = np.round(rng.normal(0, 1, (300, 3)), 2) + 1e6
+    X[:80] = X[0]
+    X[5], X[6, 1] = np.inf, np.nan
+    key = np.arange(300) // 2
+    with np.errstate(all="ignore"):
+        D = distances(X, X, p)
+
+    def own(i, j):
+        return key[i] == key[j]
+    own.most = 2
+    for bound, of in ((np.full(300, np.inf), None), (np.full(300, 0.305), own)):
+        i, j, d = KN.nearest_in_block(X, X, 4, p, bound, of)
+        for q in range(300):
+            want = sorted((D[q, c], c) for c in range(300) if np.isfinite(D[q, c]) and D[q, c] <= bound[q] and not (of and key[q] == key[c]))[:4]
+            assert list(zip(d[i == q], j[i == q])) == want
