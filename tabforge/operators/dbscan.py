@@ -7,7 +7,8 @@ merged: two cells by the boxes of their core rows where these decide, else by si
 pairs only of rows that this leaves open.
 
 With more dimensions cells have side eps in the three dimensions of largest variance, rows meet those of the 27 cells around them in
-blocks of bounded size, and a task keeps a spanning forest of the links it finds, never all of them.
+blocks of bounded size, by matrix products whose rounding is bounded and exact distances where it matters, some rows at a time, and a task
+keeps a spanning forest of the links it finds, never all of them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from tabforge.operators.components import components
-from tabforge.operators.knn import as_array, matrix, nothing, pairwise
+from tabforge.operators.knn import BLOCK_ROWS, as_array, matrix, nothing, within
 from tabforge.session import Written, ship_package
 
 #: Dimensions of the grid.
@@ -150,7 +151,7 @@ def _meet(queries: DataFrame, refs: DataFrame, local, schema: str, block_rows: i
     return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(local, schema)
 
 
-def range_counts(df: DataFrame, eps: float, id_col: str, vec: str, block_rows: int = 4096) -> DataFrame:
+def range_counts(df: DataFrame, eps: float, id_col: str, vec: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Number of rows within distance ``eps`` of each row, the row itself included. Rows with a NULL or NaN in the vector are left out."""
     ship_package(df.sparkSession)
     points = _points(df, id_col, vec)
@@ -159,18 +160,20 @@ def range_counts(df: DataFrame, eps: float, id_col: str, vec: str, block_rows: i
 
 
 def _counts(p: DataFrame, eps: float, block_rows: int) -> DataFrame:
+    import numpy as np
     import pandas as pd
 
     def local(q, r):
         if len(q) == 0 or len(r) == 0:
             return nothing("id", "n")
-        return pd.DataFrame({"id": q["id"].to_numpy(), "n": (pairwise(matrix(q["__x"]), matrix(r["__x"])) <= eps).sum(1).astype("int64")})
+        n = [near.sum(1) for _, near in within(matrix(q["__x"]), matrix(r["__x"]), eps)]
+        return pd.DataFrame({"id": q["id"].to_numpy(), "n": np.concatenate(n).astype("int64")})
     got = _meet(p, p, local, f"id {p.schema['id'].dataType.simpleString()}, n long", block_rows)
     return got.groupBy("id").agg(F.sum("n").alias("n_neighbors"))
 
 
-def spanning(near):
-    """(i, j) row and column numbers of links that keep together what the links of a boolean matrix hold together."""
+def _linked(near):
+    """Numbers of rows and columns, of columns' own kind: alike where the links of a boolean matrix hold them together."""
     import numpy as np
     n, m = near.shape
     col, row = np.arange(m), np.full(n, m)
@@ -178,13 +181,49 @@ def spanning(near):
         row = np.minimum(row, np.where(near, col[None, :], m).min(1, initial=m))
         new = np.minimum(col, np.where(near, row[:, None], m).min(0, initial=m))
         if (new == col).all():
-            break
+            return row, col
         col = new
-    rows = np.flatnonzero(row < m)
-    cols = np.flatnonzero(col != np.arange(m))
+
+
+def spanning(near):
+    """(i, j) row and column numbers of links that keep together what the links of a boolean matrix hold together."""
+    import numpy as np
+    row, col = _linked(near)
+    rows = np.flatnonzero(row < near.shape[1])
+    cols = np.flatnonzero(col != np.arange(near.shape[1]))
     return (rows, row[rows]), (cols, col[cols])
 
 
+def by_class(near, code):
+    """(codes, boolean matrix): which rows have a link to a column of each code."""
+    import numpy as np
+    order = np.argsort(code, kind="stable")
+    names, first = np.unique(code[order], return_index=True)
+    return names, np.logical_or.reduceat(near[:, order], first, axis=1)
+
+
+def forest(strips_of_links, m: int):
+    """(i, j), (c, e) as by ``spanning``, of a matrix of ``m`` columns given some rows at a time: columns already held together count as one."""
+    import numpy as np
+    held, rows, firsts, cols, lasts = np.arange(m), [], [], [], []
+    for at, near in strips_of_links:
+        some = np.flatnonzero(near.any(0))
+        if not len(some):
+            continue
+        names, met = by_class(near[:, some], held[some])
+        (i, j), (c, e) = spanning(met)
+        rows.append(at + i)
+        firsts.append(names[j])
+        cols.append(names[c])
+        lasts.append(names[e])
+        if len(c):
+            to = np.arange(m)
+            to[names[c]] = names[e]
+            held = to[held]
+    none = [np.empty(0, int)]
+    return (np.concatenate(none + rows), np.concatenate(none + firsts)), (np.concatenate(none + cols), np.concatenate(none + lasts))
+
+
 def _block_dbscan(points: DataFrame, d: int, eps: float, min_samples: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """As ``_cell_dbscan``, by blocks of rows."""
     import numpy as np
@@ -195,27 +234,30 @@ def _block_dbscan(points: DataFrame, d: int, eps: float, min_samples: int, block
     core = judged.df.where("core").drop("core")
     kind = p.df.schema["id"].dataType.simpleString()
 
-    def forest(q, r):
+    def links(q, r):
         if len(q) == 0 or len(r) == 0 or q["qc"].iat[0] > r["rc"].iat[0]:   # each two cells once
             return nothing("a", "b")
         qid, rid = q["id"].to_numpy(), r["id"].to_numpy()
-        (i, j), (c, e) = spanning(pairwise(matrix(q["__x"]), matrix(r["__x"])) <= eps)
+        (i, j), (c, e) = forest(within(matrix(q["__x"]), matrix(r["__x"]), eps), len(r))
         return pd.DataFrame({"a": np.concatenate([qid[i], rid[c]]), "b": np.concatenate([rid[j], rid[e]])})
-    named = components(_meet(core, core, forest, f"a {kind}, b {kind}", block_rows))
+    named = components(_meet(core, core, links, f"a {kind}, b {kind}", block_rows))
     labelled = Written(core.join(named.withColumnRenamed("node", "id"), "id", "left").withColumn("raw", F.coalesce("component", "id")).drop("component"))
 
     def touch(q, r):
         if len(q) == 0 or len(r) == 0:
             return nothing("id", "raw")
-        near = pairwise(matrix(q["__x"]), matrix(r["__x"])) <= eps
         code, names = pd.factorize(r["raw"])
-        out = [(q["id"].iat[i], names[c]) for i in range(len(q)) for c in np.unique(code[near[i]])]
-        return pd.DataFrame(out, columns=["id", "raw"]) if out else nothing("id", "raw")
+        qid, out = q["id"].to_numpy(), []
+        for at, near in within(matrix(q["__x"]), matrix(r["__x"]), eps):
+            codes, met = by_class(near, code)
+            i, c = np.nonzero(met)
+            out.append(pd.DataFrame({"id": qid[at + i], "raw": names[codes[c]]}))
+        return pd.concat(out, ignore_index=True)
     touched = _meet(judged.df.where(~F.col("core")).drop("core"), labelled.df, touch, f"id {kind}, raw {kind}", block_rows)
     return labelled.df.select("id", "raw"), touched.distinct()
 
 
-def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int, block_rows: int = 4096) -> DataFrame:
+def dbscan(df: DataFrame, id_col: str, vec: str, eps: float, min_samples: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, cluster, core). Core rows have at least ``min_samples`` rows within ``eps`` (itself counted); clusters are connected core rows,
     numbered from 0 by their smallest core id; other rows take the smallest cluster of a core row within eps; the rest, and rows
     with a NULL or NaN in the vector, are noise (-1). Ids are unique and of any orderable type."""

@@ -201,3 +201,26 @@ def test_nearest_in_block_far_from_the_origin(p):
         for q in range(300):
             want = sorted((D[q, c], c) for c in range(300) if np.isfinite(D[q, c]) and D[q, c] <= bound[q] and not (of and key[q] == key[c]))[:4]
             assert list(zip(d[i == q], j[i == q])) == want
+
+
+def test_links_by_strips():
+    """Blocks of many rows: counts, spanning forests and classes come some rows at a time, and only exact distances decide at the radius."""
+    rng = np.random.default_rng(8)
+    X = np.round(rng.normal(0, 1, (700, 2)), 1) + 1e5
+    X[:50] = X[0]
+    for eps in (0.0, 0.1, 0.5):
+        near = distances(X, X) <= eps
+        parts = list(KN.within(X, X, eps))
+        assert len(parts) == 3 and (np.vstack([m for _, m in parts]) == near).all()
+        (i, j), (c, e) = DB.forest(iter(parts), len(X))
+        assert len(i) + len(c) <= 2 * len(X) and near[i].any(1).all()
+        at = np.arange(2 * len(X))
+        for a, b in [*zip(i, j + 700), *zip(c + 700, e + 700)]:
+            at[at == at[a]] = at[b]
+        full = np.arange(2 * len(X))
+        for a, b in zip(*np.nonzero(near)):
+            if full[a] != full[b + 700]:
+                full[full == full[a]] = full[b + 700]
+        assert len(set(at)) == len(set(full)) == len(set(zip(at, full)))
+        names, met = DB.by_class(near, np.arange(700) % 3)
+        assert all((met[:, k] == near[:, np.arange(700) % 3 == n].any(1)).all() for k, n in enumerate(names))
