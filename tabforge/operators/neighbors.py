@@ -17,8 +17,9 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from tabforge.operators.dbscan import dbscan, range_counts  # noqa: F401 - part of this module's interface
-from tabforge.operators.knn import (KNNClassifier, as_array, estimate_eps, knn, knn_classify, matrix,  # noqa: F401
+from tabforge.operators.knn import (BLOCK_ROWS, KNNClassifier, as_array, estimate_eps, knn, knn_classify, matrix,  # noqa: F401
                                     pairwise)
+from tabforge.operators.silhouette import label_sums
 from tabforge.session import ship_package
 
 #: No bound by default; a caller may set one to fail early.
@@ -47,7 +48,7 @@ def _prepare(query: DataFrame, ref: DataFrame, qid: str, rid: str, vec: str, gro
     return qx, rx
 
 
-def silhouette_euclidean(df: DataFrame, id_col: str, vec: str, label: str, block_rows: int = 4096,
+def silhouette_euclidean(df: DataFrame, id_col: str, vec: str, label: str, block_rows: int = BLOCK_ROWS,
                          max_pairs: float | None = MAX_PAIRS) -> DataFrame:
     """Mean silhouette with plain Euclidean distance, exact.
 
@@ -63,14 +64,11 @@ def silhouette_euclidean(df: DataFrame, id_col: str, vec: str, label: str, block
     def local(qpdf, rpdf):
         if len(qpdf) == 0 or len(rpdf) == 0:
             return pd.DataFrame({"qid": [], "own": [], "cl": [], "s": [], "n": []})
-        d = pairwise(matrix(qpdf["__x"]), matrix(rpdf["__x"]))
-        labs = rpdf["__g"].to_numpy()
-        out = []
-        for c in np.unique(labs):
-            mask = labs == c
-            out.append(pd.DataFrame({"qid": qpdf["qid"].to_numpy(), "own": qpdf["__g"].to_numpy(), "cl": c,
-                                     "s": d[:, mask].sum(1), "n": np.full(len(qpdf), int(mask.sum()))}))
-        return pd.concat(out, ignore_index=True)
+        code, names = pd.factorize(rpdf["__g"])
+        sums, = label_sums(matrix(qpdf["__x"]), matrix(rpdf["__x"]), np.ones(len(rpdf)), [code])
+        return pd.DataFrame({"qid": np.repeat(qpdf["qid"].to_numpy(), len(names)), "own": np.repeat(qpdf["__g"].to_numpy(), len(names)),
+                             "cl": np.tile(np.asarray(names, dtype=object), len(qpdf)), "s": sums.ravel(),
+                             "n": np.tile(np.bincount(code[code >= 0], minlength=len(names)), len(qpdf))})
 
     schema = f"qid {df.schema[id_col].dataType.simpleString()}, own string, cl string, s double, n long"
     part = qx.groupBy("qb", "rb").cogroup(rx.groupBy("qb", "rb")).applyInPandas(local, schema)

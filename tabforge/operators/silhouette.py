@@ -15,7 +15,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabforge.operators.knn import as_array, matrix, nothing
+from tabforge.operators.knn import BLOCK_ROWS, as_array, distances, matrix, nothing, strips
 from tabforge.session import Written, ship_package
 
 #: Fixed value: the largest third derivative of the distance along a line, 2 / sqrt(3), over 3!.
@@ -23,6 +23,37 @@ REST = 2 / math.sqrt(3) / 6
 #: Levels of the grid at most, and cells of a tile's edge as a power of two.
 LEVELS, TILE = 20, 3
 BLOCK = 2048
+#: A squared distance by matrix product counts where its rounding is at most this share of it, else the rows' own distance does.
+SHARE = 1e-9
+
+
+def label_sums(X, S, n, codes):
+    """For each of ``codes``, which number the clusters of the rows of S from 0 (-1: none), the sums of the distances from the rows of X to the
+    clusters' rows, counted ``n`` times; a strip of distances at a time."""
+    import numpy as np
+    ways, out = [], [[] for _ in codes]
+    for code in codes:
+        use = np.flatnonzero(code >= 0)
+        order = use[np.argsort(code[use], kind="stable")]
+        names = int(code.max(initial=-1)) + 1
+        share = None
+        if 0 < names <= 64:
+            share = np.zeros((len(S), names))
+            share[use, code[use]] = n[use]
+        ways.append((order, np.searchsorted(code[order], np.arange(names)), share))
+    for at, near, slack in strips(X, S):
+        with np.errstate(all="ignore"):
+            i, j = np.nonzero(~(near * SHARE >= slack[:, None]))
+            near = np.sqrt(near, out=near)
+            near[i, j] = distances(X, S, i + at, j)
+            # a product with zeros would spread what isn't finite to all clusters
+            fine = np.isfinite(near.sum())
+            for (order, first, share), sums in zip(ways, out):
+                if share is not None and fine:
+                    sums.append(near @ share)
+                else:
+                    sums.append(np.add.reduceat(near[:, order] * n[order], first, axis=1) if len(first) else np.zeros((len(near), 0)))
+    return [np.concatenate(s) for s in out]
 
 
 def _sums(radius: float, n_cells: int, n_labels: int, far: bool):
@@ -40,13 +71,17 @@ def _sums(radius: float, n_cells: int, n_labels: int, far: bool):
             return nothing("row", "lab", "cl", "s")
         X, S, n = matrix(q["x"]), matrix(s["x"]), s["n"].to_numpy().astype(float)
         QC, SC = q[cells].to_numpy(), s[cells].to_numpy()
+        row = q["row"].to_numpy()
+        if not n_cells:
+            labels = [pd.factorize(np.array([v[j] for v in s["labs"]], dtype=object), sort=True) for j in range(n_labels)]
+            all_sums = label_sums(X, S, n, [code for code, _ in labels])
+            return pd.concat([pd.DataFrame({"row": np.repeat(row, len(names)), "lab": j, "cl": np.tile(np.asarray(names, dtype=object), len(row)),
+                                            "s": sums.ravel()}) for j, ((_, names), sums) in enumerate(zip(labels, all_sums))], ignore_index=True)
         M = matrix(s["m"]).reshape(len(S), X.shape[1], X.shape[1]) if far else None
         D, met = np.zeros((len(X), len(S))), np.zeros((len(X), len(S)), bool)
-        places = pd.Series(np.arange(len(X))).groupby([QC[:, i] for i in range(n_cells)] or np.zeros(len(X))).indices
+        places = pd.Series(np.arange(len(X))).groupby([QC[:, i] for i in range(n_cells)]).indices
         for at in places.values():
-            if not n_cells:
-                other = np.arange(len(S))
-            elif far:
+            if far:
                 other = np.flatnonzero(far_apart(QC[at[0]], SC) & ~far_apart(QC[at[0]] >> 1, SC >> 1))
             else:
                 other = np.flatnonzero(~far_apart(QC[at[0]], SC))
@@ -62,7 +97,6 @@ def _sums(radius: float, n_cells: int, n_labels: int, far: bool):
                 D[np.ix_(some, other)] = d
                 met[np.ix_(some, other)] = True
         out = []
-        row = q["row"].to_numpy()
         for j in range(n_labels):
             label = np.array([v[j] for v in s["labs"]], dtype=object)
             use = np.flatnonzero([v is not None for v in label])
@@ -113,7 +147,7 @@ def _finest(points: DataFrame, place, leaf_rows: int, dims: int) -> int:
     return next((r["lev"] for r in full if r["rows"] <= leaf_rows), LEVELS)
 
 
-def silhouettes(df: DataFrame, vec: str, labels: list[str], tolerance: float = 0.0, leaf_rows: int = 16, block: int = BLOCK) -> DataFrame:
+def silhouettes(df: DataFrame, vec: str, labels: list[str], tolerance: float = 0.0, leaf_rows: int = 16, block: int | None = None) -> DataFrame:
     """(labelling, silhouette): the mean Euclidean silhouette of each label column.
 
     With ``tolerance`` 0, or in more than three dimensions, all distances are exact; else each distance's error is at most
@@ -142,6 +176,7 @@ def silhouettes(df: DataFrame, vec: str, labels: list[str], tolerance: float = 0
             finest = _finest(points, place, leaf_rows, d)
             # no cells are far apart on coarser levels
             levels = list(range(max(1, math.floor(math.log2(radius + 1))), finest + 1))
+    block = block or (BLOCK if levels else BLOCK_ROWS)
     if not levels:
         whole = points.select(F.lit(0).alias("lev"), "x", "labs", "n", "row")
         parts = _meet(whole.select("lev", "row", "x"), whole.select("lev", "x", "labs", "n"), 0, 0.0, 0, len(labels), False, block)

@@ -55,3 +55,19 @@ def test_odd_tables(spark):
     assert S.silhouettes(df.limit(0), "x", ["a"]).collect() == []
     same = spark.createDataFrame([([1.0], "u"), ([1.0], "v"), ([1.0], "u")], "x array<double>, a string")
     assert S.silhouettes(same, "x", ["a"], tolerance=0.1).first()["silhouette"] == 0.0
+
+
+def test_label_sums_are_those_of_the_distances():
+    """By strips and matrix products, with copies, far offsets, rows of no cluster, many clusters and values that aren't finite."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (600, 7)) + 1e4
+    x[:100] = x[0]
+    weight = rng.integers(1, 4, 600).astype(float)
+    codes = [rng.integers(-1, 4, 600), np.arange(600) % 90, np.full(600, -1)]
+    for odd in (False, True):
+        if odd:
+            x[7, 2] = np.nan
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) * weight
+        for code, got_sums in zip(codes, S.label_sums(x, x, weight, codes)):
+            want = np.array([d[:, code == c].sum(1) for c in range(code.max() + 1)]).reshape(-1, 600).T
+            assert got_sums.shape == want.shape and np.allclose(got_sums, want, rtol=1e-9, atol=0, equal_nan=True)
