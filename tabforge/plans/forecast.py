@@ -30,7 +30,7 @@ from tabforge.operators import prepare as R
 from tabforge.operators import series as S
 from tabforge.operators.profile import column_types
 from tabforge.operators.timefeatures import ts_features
-from tabforge.session import cut_lineage, ship_package
+from tabforge.session import cut_lineage, ship_package, spread
 
 FORECAST_MODELS = ("random_forest", "gradient_boosting", "linear_regression", "ridge")
 AR_ORDER = 5                     # long-AR order of the Hannan-Rissanen first stage
@@ -180,7 +180,9 @@ def forecast(df: DataFrame, ts: str, target: str, key_cols=(), id_col: str | Non
     data = prep.transform(split)
     if scaler is None:
         data = data.withColumnRenamed("raw", "features")
-    data = data.withColumn("label", F.col(target).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    # the models need the vector only, not the hundreds of columns it was made of
+    data = data.select(*keys, ts, "split", "features", F.col(target).cast("double").alias("label"))
+    data = spread(data).persist(StorageLevel.MEMORY_AND_DISK)
     train = data.where("split = 'train'")
     st = train.agg(F.stddev_pop("label").alias("sd"), F.count(F.lit(1)).alias("n")).first()
     rows, preds, fitted = [], None, {}

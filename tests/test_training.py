@@ -116,3 +116,16 @@ def test_chronological_split_by_string_ids_and_without_ids(spark):
     assert got == {"k9", "k8", "k7", "k6", "k2"}
     got = {r["n"] for r in split_chronological(df, "day", "day", 0.5).where("split = 'train'").collect()}
     assert got == {0, 1, 2, 3}
+
+
+def test_training_rows_are_dealt_out(spark):
+    """A file of one partition would train on one core; small tables stay as they are."""
+    from tabforge.session import FEW_ROWS, spread
+    big = spark.range(0, 3 * FEW_ROWS, 1, 1).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("y"))
+    res = train_regression(big, "y", ["id"], models=("ridge",))
+    features = res.extra["features"]
+    sizes = features.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 3 and max(r["count"] for r in sizes) < 1.1 * FEW_ROWS
+    assert features.count() == 3 * FEW_ROWS
+    res.release()
+    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 1
