@@ -58,56 +58,73 @@ def label_sums(X, S, n, codes):
 
 def _sums(radius: float, n_cells: int, n_labels: int, far: bool):
     """Sums of the distances from a block of queries to a block of sources, by label."""
+    import json
+
     import numpy as np
     import pandas as pd
     cells = [f"c{i}" for i in range(n_cells)]
 
     def far_apart(a, b):
-        gap = np.maximum(np.abs(a[None, :] - b) - 1, 0)
-        return (gap * gap).sum(1) >= radius * radius
+        square = 0
+        for x, y in zip(a, b.T):
+            gap = np.maximum(np.abs(x - y) - 1, 0)
+            square = square + gap * gap
+        return square >= radius * radius
+
+    def spans(X, S, n, M):
+        """The summed distances from the rows of X to the rows of each source."""
+        diff = [x[:, None] - y[None, :] for x, y in zip(X.T, S.T)]
+        square = sum(v * v for v in diff)
+        r = np.sqrt(square)
+        if M is None:
+            return r * n
+        across = sum(M[:, i, i] for i in range(len(diff)))[None, :] - sum(
+            (1 if i == j else 2) * diff[i] * diff[j] * M[:, i, j] for i in range(len(diff)) for j in range(i, len(diff))) / square
+        return r * n + across / (2 * r)
 
     def run(q, s):
         if len(q) == 0 or len(s) == 0:
             return nothing("row", "lab", "cl", "s")
-        X, S, n = matrix(q["x"]), matrix(s["x"]), s["n"].to_numpy().astype(float)
-        QC, SC = q[cells].to_numpy(), s[cells].to_numpy()
+        code, kinds = pd.factorize(s["labs"])
+        # the label of each kind of source, by labelling
+        kinds = np.array([json.loads(v) for v in kinds], dtype=object).reshape(len(kinds), n_labels)
         row = q["row"].to_numpy()
         if not n_cells:
-            labels = [pd.factorize(np.array([v[j] for v in s["labs"]], dtype=object), sort=True) for j in range(n_labels)]
-            all_sums = label_sums(X, S, n, [code for code, _ in labels])
+            X, S, n = matrix(q["x"]), matrix(s["x"]), s["n"].to_numpy().astype(float)
+            labels = [pd.factorize(kinds[code, j], sort=True) for j in range(n_labels)]
+            all_sums = label_sums(X, S, n, [own for own, _ in labels])
             return pd.concat([pd.DataFrame({"row": np.repeat(row, len(names)), "lab": j, "cl": np.tile(np.asarray(names, dtype=object), len(row)),
                                             "s": sums.ravel()}) for j, ((_, names), sums) in enumerate(zip(labels, all_sums))], ignore_index=True)
+        by = np.argsort(code, kind="stable")
+        s, code = s.iloc[by], code[by]
+        X, S, n = matrix(q["x"]), matrix(s["x"]), s["n"].to_numpy().astype(float)
+        QC, SC = q[cells].to_numpy(), s[cells].to_numpy()
         M = matrix(s["m"]).reshape(len(S), X.shape[1], X.shape[1]) if far else None
-        D, met = np.zeros((len(X), len(S))), np.zeros((len(X), len(S)), bool)
-        places = pd.Series(np.arange(len(X))).groupby([QC[:, i] for i in range(n_cells)]).indices
-        for at in places.values():
-            if far:
-                other = np.flatnonzero(far_apart(QC[at[0]], SC) & ~far_apart(QC[at[0]] >> 1, SC >> 1))
-            else:
-                other = np.flatnonzero(~far_apart(QC[at[0]], SC))
-            for i in range(0, len(at) if len(other) else 0, 64):
+        # by kind of source first: there are few of them around a place
+        D, met = np.zeros((len(X), len(kinds))), np.zeros((len(X), len(kinds)), bool)
+        for at in pd.Series(np.arange(len(X))).groupby([QC[:, i] for i in range(n_cells)]).indices.values():
+            apart = far_apart(QC[at[0]], SC)
+            other = np.flatnonzero(apart & ~far_apart(QC[at[0]] >> 1, SC >> 1) if far else ~apart)
+            if not len(other):
+                continue
+            first = np.flatnonzero(np.diff(code[other], prepend=-1))
+            kind = code[other[first]]
+            near, size, moments = S[other], n[other], M[other] if far else None
+            for i in range(0, len(at), 64):
                 some = at[i:i + 64]
-                diff = X[some][:, None, :] - S[other][None, :, :]
-                r = np.sqrt((diff * diff).sum(-1))
-                d = r * n[other]
-                if far:
-                    u = diff / r[:, :, None]
-                    across = np.trace(M[other], axis1=1, axis2=2)[None, :] - np.einsum("abi,bij,abj->ab", u, M[other], u)
-                    d = d + across / (2 * r)
-                D[np.ix_(some, other)] = d
-                met[np.ix_(some, other)] = True
+                D[np.ix_(some, kind)] = np.add.reduceat(spans(X[some], near, size, moments), first, axis=1)
+            met[np.ix_(at, kind)] = True
         out = []
         for j in range(n_labels):
-            label = np.array([v[j] for v in s["labs"]], dtype=object)
-            use = np.flatnonzero([v is not None for v in label])
+            own, names = pd.factorize(kinds[:, j], sort=True)
+            use = np.flatnonzero(own >= 0)
             if not len(use):
                 continue
-            names, code = np.unique(label[use].astype(str), return_inverse=True)
-            order = use[np.argsort(code, kind="stable")]
-            first = np.searchsorted(np.sort(code), np.arange(len(names)))
+            order = use[np.argsort(own[use], kind="stable")]
+            first = np.searchsorted(own[order], np.arange(len(names)))
             total = np.add.reduceat(D[:, order], first, axis=1)
             a, b = np.nonzero(np.logical_or.reduceat(met[:, order], first, axis=1))
-            out.append(pd.DataFrame({"row": row[a], "lab": j, "cl": names[b], "s": total[a, b]}))
+            out.append(pd.DataFrame({"row": row[a], "lab": j, "cl": np.asarray(names, dtype=object)[b], "s": total[a, b]}))
         return pd.concat(out, ignore_index=True) if out else nothing("row", "lab", "cl", "s")
     return run
 
@@ -157,7 +174,7 @@ def silhouettes(df: DataFrame, vec: str, labels: list[str], tolerance: float = 0
     """
     ship_package(df.sparkSession)
     rows = as_array(df, vec).where(F.col("__x").isNotNull())
-    points = Written(rows.select(F.col("__x").alias("x"), F.array(*[F.col(c).cast("string") for c in labels]).alias("labs"))
+    points = Written(rows.select(F.col("__x").alias("x"), F.to_json(F.array(*[F.col(c).cast("string") for c in labels])).alias("labs"))
                      .groupBy("x", "labs").agg(F.count(F.lit(1)).alias("n")).withColumn("row", F.monotonically_increasing_id())).df
     one = points.select(F.size("x").alias("d")).first()
     d = one["d"] if one else 0
@@ -197,7 +214,7 @@ def silhouettes(df: DataFrame, vec: str, labels: list[str], tolerance: float = 0
             F.array(*[F.lit(low[i]) + (F.col(f"c{i}") + 0.5) * edge + F.col("a")[i] / n for i in range(d)]).alias("x"),
             F.array(*[F.col("b")[i * d + j] - F.col("a")[i] * F.col("a")[j] / n for i in range(d) for j in range(d)]).alias("m"))
         parts = parts.unionByName(_meet(each.select("lev", *cells, "row", "x"), Written(far).df, 2 * reach + 1, radius, dims, len(labels), True, block))
-    own = points.select("row", "n", F.posexplode("labs").alias("lab", "own")).where("own is not null")
+    own = points.select("row", "n", F.posexplode(F.from_json("labs", "array<string>")).alias("lab", "own")).where("own is not null")
     sizes = Written(own.groupBy("lab", F.col("own").alias("cl")).agg(F.sum("n").alias("size"))).df
     sums = parts.groupBy("row", "lab", "cl").agg(F.sum("s").alias("s"))
     both = sums.join(sizes, ["lab", "cl"]).join(own, ["row", "lab"])

@@ -14,7 +14,10 @@ import time
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import islice
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
@@ -23,14 +26,20 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabforge.operators import metrics as M
 from tabforge.operators import neighbors as NB
+from tabforge.operators.knn import matrix
 from tabforge.operators.silhouette import silhouettes
 from tabforge.plans.prepare import fit_preparation
+from tabforge.session import Written, ship_package, spread
 
 CLUSTER_MODELS = ("kmeans", "hierarchical", "gaussian_mixture", "dbscan", "birch")
 
 
 #: Largest error of a far distance, as a share of it, in the silhouettes of the plan; few rows are compared exactly.
 TOLERANCE = 1e-4
+#: How far centres of k-means move at most in a step that is the last one.
+TOL = 1e-4
+#: Rows that meet all centres at once.
+ROWS = 4096
 
 
 def silhouette_for(labelled: DataFrame, vec: str, label: str) -> float | None:
@@ -101,20 +110,106 @@ def pca_reduce(feats: DataFrame, k: int, features_col: str = "features") -> tupl
     return red, load
 
 
+def _starts(feats, ways, seed, parallelism: int) -> list:
+    """The centres that Spark's k-means|| begins with for each (k, number of the seed)."""
+    def start(way):
+        k, i = way
+        return np.array(KMeans(k=k, seed=seed + i, maxIter=0, initMode="k-means||", tol=TOL).fit(feats).clusterCenters())
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        return list(ex.map(start, ways))
+
+
+def _matrices(feats):
+    """The rows as matrices of at most ``ROWS`` rows, kept for many passes."""
+    def pack(rows):
+        rows = iter(rows)
+        while some := list(islice(rows, ROWS)):
+            yield np.array([r[0] for r in some])
+    return feats.select(vector_to_array("features")).rdd.mapPartitions(pack).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _nearest(x, sets):
+    """For each set of centres, the number of the centre nearest to each row of x and the squared distance, less the row's own square."""
+    every = np.concatenate(sets)
+    near = every @ x.T
+    near *= -2
+    near += (every * every).sum(1)[:, None]
+    at = 0
+    for c in sets:
+        least, own = near[at], np.zeros(len(x), "int32")
+        for j in range(1, len(c)):
+            closer = near[at + j] < least
+            own[closer] = j
+            np.minimum(least, near[at + j], out=least)
+        at += len(c)
+        yield own, least
+
+
+def _step(x, sets):
+    """For each centre of all sets: the number and sum of its rows, and for the first of a set the squared distances of all rows."""
+    out, square = [], (x * x).sum()
+    for c, (own, least) in zip(sets, _nearest(x, sets)):
+        got = np.zeros((len(c), x.shape[1] + 2))
+        got[:, 0] = np.bincount(own, minlength=len(c))
+        for j, v in enumerate(x.T):
+            got[:, 1 + j] = np.bincount(own, v, len(c))
+        got[0, -1] = least.sum() + square
+        out.append(got)
+    return np.concatenate(out)
+
+
+def _lloyd(matrices, sets, max_iter: int) -> tuple[list, list]:
+    """Lloyd's algorithm from many sets of centres at once: a step is one pass over the rows for all sets that still move. Returns the
+    centres and, as Spark's ``trainingCost``, the squared distances to those before the last step."""
+    sets, costs, moving = list(sets), [0.0] * len(sets), list(range(len(sets)))
+    for _ in range(max_iter):
+        if not moving:
+            break
+        now = [sets[i] for i in moving]
+        sums = matrices.map(lambda x: _step(x, now)).treeReduce(np.add)
+        still, at = [], 0
+        for i, c in zip(moving, now):
+            got = sums[at:at + len(c)]
+            at += len(c)
+            n = got[:, :1]
+            sets[i] = np.where(n > 0, got[:, 1:-1] / np.maximum(n, 1), c)
+            costs[i] = float(got[0, -1])
+            if ((sets[i] - c) ** 2).sum(1).max() > TOL * TOL:
+                still.append(i)
+        moving = still
+    return sets, costs
+
+
+def _best_starts(feats, ks, n_init, seed, max_iter=300, parallelism: int = 8) -> dict:
+    """k -> (number of the best of ``n_init`` seeds by training cost, the first on ties, its centres, its cost)."""
+    ship_package(feats.sparkSession)
+    ways = [(k, i) for k in ks for i in range(n_init)]
+    starts = _starts(feats, ways, seed, parallelism)
+    matrices = _matrices(feats)
+    sets, costs = _lloyd(matrices, starts, max_iter)
+    matrices.unpersist()
+    best = {}
+    for (k, i), c, cost in zip(ways, sets, costs):
+        if k not in best or cost < best[k][2]:
+            best[k] = (i, c, cost)
+    return best
+
+
 def _kmeans(feats, k, n_init, seed, max_iter=300, parallelism: int = 1):
     """Best of ``n_init`` seeded k-means|| runs by training cost (first seed wins ties)."""
-    def fit(i):
-        return KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode="k-means||", tol=1e-4).fit(feats)
-    if parallelism > 1:
-        with ThreadPoolExecutor(max_workers=parallelism) as ex:
-            models = list(ex.map(fit, range(n_init)))
-    else:
-        models = [fit(i) for i in range(n_init)]
-    best = None
-    for m in models:
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best
+    i = _best_starts(feats, [k], n_init, seed, max_iter, parallelism)[k][0] if n_init > 1 else 0
+    return KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode="k-means||", tol=TOL).fit(feats)
+
+
+def _labelled(feats, sets: dict) -> DataFrame:
+    """(x, a column of labels for each name of ``sets``): the nearest of its centres."""
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), ROWS):
+                some = pdf.iloc[at:at + ROWS]
+                labels = _nearest(matrix(some["x"]), list(sets.values()))
+                yield some.assign(**{name: own for name, (own, _) in zip(sets, labels)})
+    return feats.select(vector_to_array("features").alias("x")).mapInPandas(run, "x array<double>, " + ", ".join(f"{c} int" for c in sets))
 
 
 def choose_k(feats: DataFrame, id_col: str, k_range=(2, 15), n_init: int = 10, seed: int = 42,
@@ -126,21 +221,16 @@ def choose_k(feats: DataFrame, id_col: str, k_range=(2, 15), n_init: int = 10, s
     if not ks:
         return k_range[0], feats.sparkSession.createDataFrame([], "k int, inertia double")
 
+    best = _best_starts(feats, ks, n_init, seed, parallelism=parallelism)
+    # the labels of every k beside the same rows, so that their distances are computed once
+    lab = Written(_labelled(feats, {f"k{k}": best[k][1] for k in ks}))
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        fits = dict(zip(ks, ex.map(lambda k: _kmeans(feats, k, n_init, seed), ks)))
-        # the labels of every k beside the same rows, so that their distances are computed once
-        lab = feats.select("features")
-        for k, m in fits.items():
-            lab = m.copy().setPredictionCol(f"k{k}").transform(lab)
-        lab = lab.select(vector_to_array("features").alias("x"), *[f"k{k}" for k in ks])
-        sils = {r["labelling"]: r["silhouette"] for r in silhouettes(lab, "x", [f"k{k}" for k in ks], TOLERANCE).collect()}
-
-        def one(k):
-            s = M.clustering_scores(lab, "x", f"k{k}").first()
-            # fits that leave fewer than two clusters have no silhouette
-            return (k, float(fits[k].summary.trainingCost), sils[f"k{k}"] if s["n_clusters"] >= 2 else None,
-                    s["calinski_harabasz"], s["davies_bouldin"])
-        rows = list(ex.map(one, ks))
+        sils = ex.submit(lambda: {r["labelling"]: r["silhouette"] for r in silhouettes(lab.df, "x", [f"k{k}" for k in ks], TOLERANCE).collect()})
+        scores = dict(zip(ks, ex.map(lambda k: M.clustering_scores(lab.df, "x", f"k{k}").first(), ks)))
+        # fits that leave fewer than two clusters have no silhouette
+        rows = [(k, best[k][2], sils.result()[f"k{k}"] if s["n_clusters"] >= 2 else None, s["calinski_harabasz"], s["davies_bouldin"])
+                for k, s in scores.items()]
+    lab.drop()
     table = feats.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, "
                                                      "calinski_harabasz double, davies_bouldin double")
     votes = []
@@ -172,7 +262,7 @@ def bisecting(feats: DataFrame, id_col: str, k: int, seed: int = 42, n_init: int
             break
         _, target = max(cand)
         part = lab.where(F.col("cluster") == target)
-        m = _kmeans(part, 2, n_init, seed + step)
+        m = _kmeans(part, 2, n_init, seed + step, parallelism=n_init)
         side = m.transform(part).select(id_col, F.col("prediction").alias("side"))
         lab = cut_lineage(lab.join(side, id_col, "left").select(
             id_col, "features", F.when(F.col("side") == 1, F.lit(step)).otherwise(F.col("cluster")).alias("cluster")))
@@ -204,6 +294,44 @@ def birch_like(feats: DataFrame, id_col: str, k: int, seed: int = 42):
     return m
 
 
+def _trained(name: str, feats: DataFrame, id_col: str, n: int, k: int, n_init: int, seed: int, parallelism: int) -> tuple:
+    """(model, its (id, cluster) labels)."""
+    if name == "kmeans":
+        m = _kmeans(feats, k, n_init, seed, parallelism=parallelism)
+        return m, m.transform(feats).select(id_col, F.col("prediction").alias("cluster"))
+    if name == "hierarchical":
+        return {"k": k}, bisecting(feats, id_col, k, seed)
+    if name == "gaussian_mixture":
+        with ThreadPoolExecutor(max_workers=parallelism) as ex:
+            fits = list(ex.map(lambda i: GaussianMixture(k=k, seed=seed + i, maxIter=100).fit(feats),
+                               range(n_init)))
+        best = None
+        for g in fits:                       # best log-likelihood, first seed on ties
+            if best is None or g.summary.logLikelihood > best.summary.logLikelihood:
+                best = g
+        return best, best.transform(feats).select(id_col, F.col("prediction").alias("cluster"))
+    if name == "birch":
+        m = birch_like(feats, id_col, k, seed)
+        return m, m.transform(feats).select(id_col, F.col("prediction").alias("cluster"))
+    if name == "dbscan":
+        eps = NB.estimate_eps(feats, id_col, "features", 20)
+        ms = min(5, int(n * 0.05) + 1)
+        return {"eps": eps, "min_samples": ms}, NB.dbscan(feats, id_col, "features", eps, ms).select(id_col, "cluster")
+    raise ValueError(f"unknown clustering model {name!r}")
+
+
+def _silhouettes_of(scored: dict, id_col: str) -> dict:
+    """model -> its silhouette, of tables (id, cluster, x) with the same ids, none twice: the distances are computed once for all."""
+    if not scored:
+        return {}
+    names = {name: f"m{i}" for i, name in enumerate(scored)}
+    rows = reduce(DataFrame.unionByName, [df.where("cluster >= 0").select(F.col(id_col).alias("id"), "x", F.col("cluster").cast("long").alias("cluster"), F.lit(c).alias("of"))
+                                          for c, df in zip(names.values(), scored.values())])
+    beside = rows.groupBy("id").agg(F.first("x").alias("x"), *[F.max(F.when(F.col("of") == c, F.col("cluster"))).alias(c) for c in names.values()])
+    got = {r["labelling"]: r["silhouette"] for r in silhouettes(beside, "x", list(names.values()), TOLERANCE).collect()}
+    return {name: got.get(c) for name, c in names.items()}
+
+
 def cluster(df: DataFrame, id_col: str, cols=None, n_clusters: int | None = None, k_range=(2, 15),
             n_components: int = 2, n_init: int = 10, models=CLUSTER_MODELS, seed: int = 42,
             parallelism: int = 8) -> ClusterResult:
@@ -211,55 +339,53 @@ def cluster(df: DataFrame, id_col: str, cols=None, n_clusters: int | None = None
     load = None
     if len(slots) > n_components:
         feats, load = pca_reduce(feats, n_components)
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    feats = spread(feats).persist(StorageLevel.MEMORY_AND_DISK)
     ksel = None
     if n_clusters is None:
         k, ksel = choose_k(feats, id_col, k_range, n_init, seed, parallelism)
     else:
         k = n_clusters
     n = feats.count()
-    labels, rows, fitted = None, [], {}
-    for order, name in enumerate(models):
+    points = feats.select(id_col, vector_to_array("features").alias("x"))
+
+    def train(name):
+        """(seconds, model, labels, scores, sizes, the labelled points), or (seconds, error)."""
         t0 = time.time()
         try:
-            if name == "kmeans":
-                m = _kmeans(feats, k, n_init, seed, parallelism=parallelism)
-                lab = m.transform(feats).select(id_col, F.col("prediction").alias("cluster"))
-            elif name == "hierarchical":
-                m = {"k": k}
-                lab = bisecting(feats, id_col, k, seed)
-            elif name == "gaussian_mixture":
-                with ThreadPoolExecutor(max_workers=parallelism) as ex:
-                    fits = list(ex.map(lambda i: GaussianMixture(k=k, seed=seed + i, maxIter=100).fit(feats),
-                                       range(n_init)))
-                best = None
-                for g in fits:                       # best log-likelihood, first seed on ties
-                    if best is None or g.summary.logLikelihood > best.summary.logLikelihood:
-                        best = g
-                m = best
-                lab = m.transform(feats).select(id_col, F.col("prediction").alias("cluster"))
-            elif name == "birch":
-                m = birch_like(feats, id_col, k, seed)
-                lab = m.transform(feats).select(id_col, F.col("prediction").alias("cluster"))
-            elif name == "dbscan":
-                eps = NB.estimate_eps(feats, id_col, "features", 20)
-                ms = min(5, int(n * 0.05) + 1)
-                m = {"eps": eps, "min_samples": ms}
-                lab = NB.dbscan(feats, id_col, "features", eps, ms).select(id_col, "cluster")
-            else:
-                raise ValueError(f"unknown clustering model {name!r}")
-            fitted[name] = m
-            scored = lab.join(feats.select(id_col, vector_to_array("features").alias("x")), id_col)
-            s = M.clustering_scores(scored, "x", "cluster").first()
-            sil = silhouette_for(scored, "x", "cluster") if s["n_clusters"] >= 2 else None
+            m, lab = _trained(name, feats, id_col, n, k, n_init, seed, parallelism)
+            scored = Written(lab.join(points, id_col))
+            s = M.clustering_scores(scored.df, "x", "cluster").first()
             sizes = lab.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
                             F.sum(F.when(F.col("cluster") < 0, 1).otherwise(0)).alias("noise")).first()
-            rows.append((name, order, True, None, time.time() - t0, int(sizes["k"]), int(sizes["noise"] or 0),
+            return time.time() - t0, m, lab, s, sizes, scored
+        except Exception as e:  # noqa: BLE001 - failure isolation (H12)
+            return time.time() - t0, e
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(models)))) as ex:
+        done = dict(zip(models, ex.map(train, models)))
+    fine = {name: d[5].df for name, d in done.items() if len(d) > 2 and d[3]["n_clusters"] >= 2}
+    try:
+        once = feats.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count() == 0
+        sils = _silhouettes_of(fine, id_col) if once else {}
+    except Exception:  # noqa: BLE001 - each model's own below
+        sils = {}
+    labels, rows, fitted = None, [], {}
+    for order, name in enumerate(models):
+        seconds, m, *rest = done[name]
+        try:
+            if not rest:
+                raise m
+            lab, s, sizes, scored = rest
+            fitted[name] = m
+            t0 = time.time()
+            sil = sils[name] if name in sils else silhouette_for(fine[name], "x", "cluster") if name in fine else None
+            rows.append((name, order, True, None, seconds + time.time() - t0, int(sizes["k"]), int(sizes["noise"] or 0),
                          sil, s["calinski_harabasz"], s["davies_bouldin"], s["inertia"]))
             lab = lab.withColumn("model", F.lit(name))
             labels = lab if labels is None else labels.unionByName(lab)
+            scored.drop()
         except Exception as e:  # noqa: BLE001 - failure isolation (H12)
-            rows.append((name, order, False, f"{type(e).__name__}: {e}", time.time() - t0, None, None, None, None,
+            rows.append((name, order, False, f"{type(e).__name__}: {e}", seconds, None, None, None, None,
                          None, None))
     spark = df.sparkSession
     board = spark.createDataFrame(rows, "model string, model_order int, trained_successfully boolean, error string, "
