@@ -146,6 +146,74 @@ def _rolling_agg(func: str, col):
 ROLLING_FUNCS = ("mean", "std", "var", "min", "max", "sum", "median", "count", "skew", "kurt")
 
 
+WIDE = 32                        # look-back features beyond which numpy computes them
+FRAME_FUNCS = ("mean", "std", "var", "min", "max", "sum")
+
+
+def frames(past, there, name: str, shifted: bool, lags, windows, funcs, diffs):
+    """(column, values, which of them are present) for the look-back features of one column. ``past(k)`` and ``there(k)`` are
+    its values ``k`` rows earlier and which of these are present. Sums and moments run in row order, as Spark's frames do."""
+    import numpy as np
+    for k in lags:
+        yield f"{name}_lag_{k}", past(k), there(k)
+    end = 1 if shifted else 0
+    for win in windows:
+        first = win - 1 + end
+        total = mean = least = most = past(first)
+        square, ok = np.zeros(len(total)), there(first)
+        for n, k in enumerate(range(first - 1, end - 1, -1), 2):
+            x, ok = past(k), ok & there(k)
+            total, least, most = total + x, np.minimum(least, x), np.maximum(most, x)
+            delta = x - mean
+            part = delta / n
+            mean, square = mean + part, square + delta * (delta - part)
+        var = square / max(win - 1, 1)
+        out = {"mean": total / win, "std": np.sqrt(var), "var": var, "min": least, "max": most, "sum": total}
+        for f in funcs:
+            yield f"{name}_rolling_{win}_{f}", out[f], ok & (win > 1) if f in ("std", "var") else ok
+    for k in diffs:
+        yield f"{name}_diff_{k}", past(end) - past(k + end), there(end) & there(k + end)
+
+
+def _frame_batches(batches, cols, shift_cols, lags, windows, funcs, diffs, halo: int, names):
+    """Look-back features of sorted rows, batch by batch; ``_at`` numbers the rows of a block from 1, and the last ``halo`` rows of
+    a batch are kept for the next."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute
+    kept = [np.zeros(halo) for _ in cols]
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        at, own = batch.column("_at").to_numpy(), pa.compute.invert(batch.column("_halo"))
+        made = {}
+        for i, c in enumerate(cols):
+            v = np.concatenate([kept[i], batch.column(f"_v{i}").to_numpy(zero_copy_only=False)])
+            kept[i], present = v[len(v) - halo:], ~np.isnan(v)
+            with np.errstate(all="ignore"):
+                for name, values, ok in frames(lambda k: v[halo - k:halo - k + n], lambda k: present[halo - k:halo - k + n] & (at > k),
+                                               c, c in shift_cols, lags, windows, funcs, diffs):
+                    made[name] = pa.array(values, mask=~ok)
+        arrays = [made[c] if c in made else batch.column(c) for c in names]
+        yield pa.RecordBatch.from_arrays(arrays, names=names).filter(own)
+
+
+def _numpy_features(blocks: DataFrame, window, value_cols, shift_cols, lags, windows, funcs, diffs, halo: int) -> DataFrame:
+    """``series_features`` of many columns: hundreds of window frames take the optimizer and the window operator far longer than the
+    sums take numpy. Spark sorts and numbers the rows of each block, which a task then passes through in batches."""
+    ship_package(blocks.sparkSession)
+    rows = blocks.select("*", F.row_number().over(window).alias("_at"),
+                         *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(value_cols)])
+    old = [f for f in blocks.schema.fields if f.name not in ("_blk", "_halo")]
+    new = [name for c in value_cols for name in
+           [f"{c}_lag_{k}" for k in lags] + [f"{c}_rolling_{w}_{f}" for w in windows for f in funcs] + [f"{c}_diff_{k}" for k in diffs]]
+    names, cols, shifted = [f.name for f in old] + new, list(value_cols), list(shift_cols)
+    given = tuple(map(tuple, (lags, windows, funcs, diffs)))
+    return rows.mapInArrow(lambda it: _frame_batches(it, cols, shifted, *given, halo, names),
+                           T.StructType(old + [T.StructField(c, T.DoubleType()) for c in new]))
+
+
 def series_features(df: DataFrame, value_cols: Sequence[str], order_cols: Sequence[str],
                     key_cols: Sequence[str] = (), lags: Sequence[int] = (1, 7, 14, 30),
                     windows: Sequence[int] = (7, 14, 30), funcs: Sequence[str] = ("mean", "std", "min", "max"),
@@ -166,6 +234,9 @@ def series_features(df: DataFrame, value_cols: Sequence[str], order_cols: Sequen
     ix = indexed if indexed is not None else sequence_index(df, order_cols, keys, idx_col)
     blocks = with_blocks(ix, idx_col, halo, block_rows)
     w = Window.partitionBy(*keys, "_blk").orderBy(idx_col)
+    if len(value_cols) * (len(lags) + len(windows) * len(funcs) + len(diffs)) > WIDE and set(funcs) <= set(FRAME_FUNCS):
+        out = _numpy_features(blocks, w, value_cols, shift_cols, lags, windows, funcs, diffs, halo)
+        return out if keep_index else out.drop(idx_col)
     new = []
     for c in value_cols:
         x = F.col(c).cast("double")

@@ -17,20 +17,21 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import MinMaxScaler, RobustScaler, StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabforge.functions import dates as D
 from tabforge.operators import models as MD
 from tabforge.operators import prepare as R
 from tabforge.operators import series as S
 from tabforge.operators.profile import column_types
-from tabforge.operators.timefeatures import ts_features
-from tabforge.session import cut_lineage, ship_package, spread
+from tabforge.operators.timefeatures import ts_calendar_columns, ts_features
+from tabforge.session import Written, cut_lineage, ship_package, spread
 
 FORECAST_MODELS = ("random_forest", "gradient_boosting", "linear_regression", "ridge")
 AR_ORDER = 5                     # long-AR order of the Hannan-Rissanen first stage
@@ -154,7 +155,7 @@ def arima_future(state: DataFrame, ts: str, keys, horizon: int, freq: str) -> Da
 
 def forecast(df: DataFrame, ts: str, target: str, key_cols=(), id_col: str | None = None, horizon: int = 7,
              test_size: float = 0.2, lags=(1, 7, 14, 30), windows=(7, 14, 30), models=FORECAST_MODELS,
-             arima: bool = True, scale: str = "minmax", freq: str | None = None) -> ForecastResult:
+             arima: bool = True, scale: str = "minmax", freq: str | None = None, parallelism: int = 4) -> ForecastResult:
     keys = list(key_cols)
     base = df.where(F.col(ts).isNotNull())
     order = [ts] + ([id_col] if id_col else [])
@@ -164,12 +165,10 @@ def forecast(df: DataFrame, ts: str, target: str, key_cols=(), id_col: str | Non
     feats = ts_features(base, ts, None, keys, id_col, lags, windows, leakage_safe_cols=[target])
     feat_cols = [c for c in column_types(feats, [target, *keys, *( [id_col] if id_col else [])])["numeric"]
                  if c != target]
-    # cut the wide window plan first: a NOT NULL filter over hundreds of window outputs makes
-    # Catalyst's constraint propagation explode
-    feats = cut_lineage(cut_lineage(feats).dropna(subset=feat_cols + [target]))   # P5: warm-up rows out
-    ident = id_col or ts
-    split = R.split_chronological(feats, ts, ident, 1 - test_size)
-    split = cut_lineage(split)
+    # P5: warm-up rows out; what follows reads some of these columns many times
+    feats = Written(feats.dropna(subset=feat_cols + [target]).select(
+        *dict.fromkeys([*keys, ts, *([id_col] if id_col else []), target, *feat_cols]))).df
+    split = R.split_chronological(feats, ts, id_col or ts, 1 - test_size)
     vec = VectorAssembler(inputCols=feat_cols, outputCol="raw", handleInvalid="keep")
     scalers = {"minmax": MinMaxScaler, "standard": lambda **k: StandardScaler(withMean=True, **k),
                "robust": lambda **k: RobustScaler(withCentering=True, **k)}
@@ -186,20 +185,25 @@ def forecast(df: DataFrame, ts: str, target: str, key_cols=(), id_col: str | Non
     train = data.where("split = 'train'")
     st = train.agg(F.stddev_pop("label").alias("sd"), F.count(F.lit(1)).alias("n")).first()
     rows, preds, fitted = [], None, {}
-    for order_i, name in enumerate(models):
+
+    def one(item):
+        order_i, name = item
         t0 = time.time()
         try:
-            est = MD.regression_estimator(name, None, st["sd"] or 1.0, st["n"])
-            m = est.fit(train)
-            fitted[name] = m
+            m = MD.fit(MD.regression_estimator(name, None, st["sd"] or 1.0, st["n"]), train, st["n"], len(feat_cols))
             p = m.transform(data.where("split = 'test'")).select(*keys, ts, F.col("label").alias("actual"), "prediction")
             r = p.agg(F.sqrt(F.avg((F.col("actual") - F.col("prediction")) ** 2)).alias("rmse"),
                       F.avg(F.abs(F.col("actual") - F.col("prediction"))).alias("mae")).first()
-            rows.append((name, order_i, True, None, time.time() - t0, r["rmse"], r["mae"]))
-            p = p.withColumn("model", F.lit(name))
-            preds = p if preds is None else preds.unionByName(p)
+            return (name, order_i, True, None, time.time() - t0, r["rmse"], r["mae"]), m, p.withColumn("model", F.lit(name))
         except Exception as e:  # noqa: BLE001 - failure isolation (H12)
-            rows.append((name, order_i, False, f"{type(e).__name__}: {e}", time.time() - t0, None, None))
+            return (name, order_i, False, f"{type(e).__name__}: {e}", time.time() - t0, None, None), None, None
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        for row, m, p in ex.map(one, enumerate(models)):
+            rows.append(row)
+            if m is not None:
+                fitted[row[0]] = m
+                preds = p if preds is None else preds.unionByName(p)
     coef = arima_state = None
     if arima:
         t0 = time.time()
@@ -229,40 +233,68 @@ def forecast(df: DataFrame, ts: str, target: str, key_cols=(), id_col: str | Non
     return ForecastResult(board, best_name, preds, future, coef, freq, {"features": feat_cols})
 
 
+def _next_features(batches, cols, target, need: int, lags, windows, feat_cols, passed):
+    """Features of every series' next row from the last ``need`` values of its columns (``_h0`` and so on) and those of the row itself."""
+    import numpy as np
+    import pyarrow as pa
+    for batch in batches:
+        made, n = {}, batch.num_rows
+        for i, c in enumerate(cols):
+            last = batch.column(f"_h{i}").flatten().to_numpy(zero_copy_only=False).reshape(n, need)
+            now = batch.column(f"_x{i}").to_numpy(zero_copy_only=False)
+
+            def past(k):
+                return last[:, need - k] if k else now
+            made[c] = now
+            with np.errstate(all="ignore"):
+                for name, values, ok in S.frames(past, lambda k: ~np.isnan(past(k)), c, c == target, lags, windows, S.FRAME_FUNCS, (1, 7)):
+                    made[name] = np.where(ok, values, np.nan)
+        whole = np.all([~np.isnan(made[c]) for c in feat_cols], axis=0) if feat_cols else np.ones(n, dtype=bool)
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in passed] + [pa.array(made[c]) for c in feat_cols] + [pa.array(whole)],
+                                         names=[*passed, *feat_cols, "_whole"])
+
+
 def recursive_forecast(base: DataFrame, ts: str, target: str, keys, id_col, model, prep, feat_cols, lags, windows,
                        horizon: int, freq: str) -> DataFrame:
-    """Forecast ``horizon`` steps per series. The state per series is its last
-    max(lag, window) + 1 rows (bounded); each step appends one row per series, recomputes the
-    features of that row from the state, predicts it, and cuts lineage. A series shorter than the
-    longest look-back lacks features; its forecasts are NULL."""
+    """Forecast ``horizon`` steps per series. The state is one row a series with the last max(lag, window) + 2 values
+    (bounded) of every column that features look back at; each step computes the features of the next row from it, predicts it and
+    appends it, without a shuffle, and cuts lineage. A series shorter than the longest look-back lacks features; its
+    forecasts are NULL."""
     keys = list(keys)
     need = max([*lags, *windows, 8]) + 2
     order = [ts] + ([id_col] if id_col else [])
-    state = S.tail_rows(base, need, order, keys)
-    num_cols = [c for c in column_types(base, [*keys, ts] + ([id_col] if id_col else []))["numeric"]]
-    state = cut_lineage(state.withColumn("__future", F.lit(False)))
-    step = D.future_dates(F.col("__last"), freq, 1)[0]
+    own = column_types(base, [*keys, *order])["numeric"]
+    calendar = {c: e for c, e in ts_calendar_columns(ts, "hour_sin" in feat_cols).items() if c != "is_weekend"}
+    cols = [*own, *calendar]
+    hist = [f"_h{i}" for i in range(len(cols))]
+    values = [F.col(c) for c in own] + list(calendar.values())
+    rows = F.sort_array(F.collect_list(F.struct(*order, *[v.cast("double").alias(h) for v, h in zip(values, hist)])))
+    state = S.tail_rows(base, need, order, keys).groupBy(*keys).agg(F.max(ts).alias("_last"), rows.alias("_rows"))
+
+    def padded(h):
+        short = F.transform("_rows", lambda r: r[h])
+        return F.concat(F.array_repeat(F.lit(None).cast("double"), need - F.size(short)), short)
+    state = cut_lineage(state.select(*keys, "_last", *[padded(h).alias(h) for h in hist]))
+    ship_package(base.sparkSession)
+    step = D.future_dates(F.col("_last"), freq, 1)[0].cast(base.schema[ts].dataType)
+    passed = [*keys, ts, *hist, *[f"_x{i}" for i in range(len(cols))]]
+    feat_cols, lags, windows = list(feat_cols), tuple(lags), tuple(windows)
     out = None
     for s in range(1, horizon + 1):
-        last = state.groupBy(*keys).agg(F.max(F.col(ts)).alias("__last"),
-                                        *[F.max_by(F.col(c), F.col(ts)).alias(f"__l_{c}") for c in num_cols if c != target])
-        nxt = last.select(*keys, step.cast(base.schema[ts].dataType).alias(ts),
-                          *[F.col(f"__l_{c}").alias(c) for c in num_cols if c != target],
-                          F.lit(None).cast("double").alias(target))
-        if id_col and id_col not in keys:
-            nxt = nxt.withColumn(id_col, F.lit(None).cast(base.schema[id_col].dataType))
-        for c in state.columns:
-            if c not in nxt.columns and c != "__future":
-                nxt = nxt.withColumn(c, F.lit(None).cast(state.schema[c].dataType))
-        nxt = nxt.withColumn("__future", F.lit(True))
-        allrows = state.unionByName(nxt.select(*state.columns))
-        f = cut_lineage(ts_features(allrows.drop("__future"), ts, None, keys, None, lags, windows,
-                                    leakage_safe_cols=[target], with_hour="hour_sin" in feat_cols))
-        f = f.join(nxt.select(*keys, ts).withColumn("__new", F.lit(True)), [*keys, ts], "inner")
-        scored = model.transform(prep.transform(f.dropna(subset=feat_cols)))
-        pred = scored.select(*keys, ts, F.col("prediction").alias("__pred"))
-        newrows = nxt.join(pred, [*keys, ts], "left").withColumn(target, F.col("__pred")).drop("__pred")
-        state = cut_lineage(state.unionByName(newrows.select(*state.columns)))
-        o = newrows.select(*keys, ts, F.lit(s).alias("step"), F.col(target).alias("forecast"))
+        # the columns of the next row: calendar columns of its own, the target unknown, others as in the last row
+        now = [F.lit(None) if c == target else F.element_at(h, -1) if c in own else calendar[c] for c, h in zip(cols, hist)]
+        nxt = state.select(*keys, step.alias(ts), *hist).select("*", *[v.cast("double").alias(f"_x{i}") for i, v in enumerate(now)])
+        f = nxt.select(*passed).mapInArrow(
+            lambda it: _next_features(it, cols, target, need, lags, windows, feat_cols, passed),
+            T.StructType([nxt.schema[c] for c in passed] + [T.StructField(c, T.DoubleType()) for c in feat_cols]
+                         + [T.StructField("_whole", T.BooleanType())]))
+        pred = F.when(F.col("_whole"), F.col("prediction"))
+        scored = model.transform(prep.transform(f)).select(
+            *keys, ts, pred.alias("forecast"),
+            *[F.concat(F.slice(h, 2, need - 1), F.array(pred if c == target else F.col(f"_x{i}"))).alias(h)
+              for i, (c, h) in enumerate(zip(cols, hist))])
+        scored = cut_lineage(scored)
+        state = scored.select(*keys, F.col(ts).alias("_last"), *hist)
+        o = scored.select(*keys, ts, F.lit(s).alias("step"), "forecast")
         out = o if out is None else out.unionByName(o)
     return out

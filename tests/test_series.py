@@ -1,5 +1,7 @@
 """Block + halo windows equal plain per-key windows; fills and sums carry across blocks."""
 
+import random
+
 import numpy as np
 import pytest
 import pandas as pd
@@ -144,3 +146,25 @@ def test_partition_summaries_span_many_arrow_batches(spark):
     assert g["gap_mean"] == pytest.approx(gaps.mean()) and g["gap_std"] == pytest.approx(gaps.std())
     assert s["n_down"] == 0 and s["n_up"] == len(vals) - 1
     assert s["step_min"] == pytest.approx(gaps.min()) and s["step_max"] == pytest.approx(gaps.max())
+
+
+def test_many_features_by_numpy_equal_window_frames(spark, monkeypatch):
+    rnd = random.Random(11)
+    rows = [(i, i % 3, i // 2, None if rnd.random() < 0.03 else float("nan") if rnd.random() < 0.02 else rnd.gauss(5, 2), i % 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k long, t long, v double, w int")
+    got = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 9)
+    try:
+        for wide in (0, 10 ** 9):
+            monkeypatch.setattr(S, "WIDE", wide)
+            f = S.series_features(df, ["v", "w"], ["t", "id"], ["k"], lags=(1, 5), windows=(2, 4), funcs=("mean", "std", "var", "min", "max", "sum"),
+                                  diffs=(1, 3), shift_cols=("v",), block_rows=20, keep_index=True)
+            assert ("ArrowEvalPython" in (p := f._jdf.queryExecution().toString()) or "MapInArrow" in p) == (wide == 0)
+            got.append((f.columns, {r["id"]: r for r in f.collect()}))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0][0] == got[1][0] and len(got[0][1]) == 400
+    for i, a in got[0][1].items():
+        b = got[1][1][i]
+        for c in got[0][0]:
+            assert a[c] == b[c] or (c == "v" and a[c] != a[c] and b[c] != b[c]), (i, c, a[c], b[c])

@@ -130,3 +130,34 @@ def test_training_rows_are_dealt_out(spark):
     assert features.count() == 3 * FEW_ROWS
     res.release()
     assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 1
+
+
+def test_forecast_steps_by_hand_in_a_few_jobs(spark):
+    """Each step computed all features of the state anew by windows, in some twenty jobs a step."""
+    from tabforge.plans.forecast import recursive_forecast
+
+    class Same:
+        def transform(self, df):
+            return df
+
+    class Sum:
+        def transform(self, df):
+            return df.withColumn("prediction", sum(F.col(c) for c in used))
+    used = ["v_lag_2", "u_rolling_7_mean", "v_diff_1", "day_of_month", "day_of_month_lag_1", "v_rolling_7_max", "u"]
+    series = {k: [(date(2024, 1, 1) + timedelta(days=i), 10.0 * k + i % 7, float(i * i)) for i in range(n)] for k, n in ((1, 60), (2, 8), (3, 7))}
+    df = spark.createDataFrame([(k, *r) for k, rows in series.items() for r in rows], "k int, day date, v double, u double")
+    jobs = []
+    for h in (1, 4):
+        spark.sparkContext.setJobGroup(f"steps-{h}", "")
+        out = recursive_forecast(df, "day", "v", ["k"], None, Sum(), Same(), used, (1, 2), (7,), h, "D")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"steps-{h}")))
+    assert jobs[1] - jobs[0] <= 3 * 4
+    got = {(r["k"], r["step"]): (r["day"], r["forecast"]) for r in out.collect()}
+    assert len(got) == 12 and all(got[3, s][1] is not None for s in (1, 2, 3, 4))
+    for k, rows in series.items():
+        v, u = [r[1] for r in rows], [r[2] for r in rows]
+        for s in range(1, 5):
+            day = rows[-1][0] + timedelta(days=s)
+            u.append(u[-1])
+            v.append(v[-2] + sum(u[-7:]) / 7 + v[-1] - v[-2] + day.day + (day - timedelta(days=1)).day + max(v[-7:]) + u[-1])
+            assert got[k, s] == (day, pytest.approx(v[-1]))
