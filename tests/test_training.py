@@ -161,3 +161,19 @@ def test_forecast_steps_by_hand_in_a_few_jobs(spark):
             u.append(u[-1])
             v.append(v[-2] + sum(u[-7:]) / 7 + v[-1] - v[-2] + day.day + (day - timedelta(days=1)).day + max(v[-7:]) + u[-1])
             assert got[k, s] == (day, pytest.approx(v[-1]))
+
+
+@pytest.mark.parametrize("target", ["y"])
+def test_rows_are_read_a_few_times(spark, target):
+    """Every fit of the preparation read the table and split it anew."""
+    from tabforge.plans.train import train_classification, train_regression
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+    df = points(spark, 2).drop("day", "code").withColumn("y", F.udf(seen, "double")("y")).repartition(2)
+    train = train_classification if target == "label" else train_regression
+    res = train(df, target, ["id"], models=("random_forest",), params={"random_forest": {"n_estimators": 2}})
+    assert res.best_model == "random_forest" and read.value <= 240 * 10
+    res.release()
