@@ -163,7 +163,7 @@ def test_forecast_steps_by_hand_in_a_few_jobs(spark):
             assert got[k, s] == (day, pytest.approx(v[-1]))
 
 
-@pytest.mark.parametrize("target", ["y"])
+@pytest.mark.parametrize("target", ["label", "y"])
 def test_rows_are_read_a_few_times(spark, target):
     """Every fit of the preparation read the table and split it anew."""
     from tabforge.plans.train import train_classification, train_regression
